@@ -91,7 +91,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(slots, n_words) + self.b, -50, 50))))
 
 
-def fit(rows_: list[tuple[bytes, int]], epochs: int = 12, rate: float = 8.0, seed: int = 7) -> Model:
+def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Averaged stochastic gradient descent on three quarters of the rows, Platt scaling on the rest. With one class
     only, the model gives that class's share."""
     hashes, size = WordHashes(), 2 << BITS
