@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, licenses, neighbours, packing, rules, secrets, toxicity
+from . import bpe, classify, jaccard, licenses, neighbours, packing, rules, secrets, toxicity
 from .common import documents
 
 
@@ -50,8 +50,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets)}
+    return {f.__name__: f for f in (op1_pack, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
