@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, jaccard, licenses, neighbours, packing, rules, secrets, toxicity
+from . import bpe, classify, jaccard, licenses, neighbours, packing, rules, secrets, substrings, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path())
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), vocabulary_path())
 
@@ -55,7 +59,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
