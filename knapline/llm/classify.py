@@ -154,9 +154,10 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: flo
     return own.mapInArrow(by_batch(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text's score reaches the threshold."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def keep(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.7, text_col: str = "text", taught: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text's score reaches the threshold. taught: the labelled texts, if they
+    aren't in docs. A row with an empty text is scored like any other."""
+    own = (docs if taught is None else taught).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own, labels, sample, LEARN))
     hashes = WordHashes()
     at = docs.columns.index(text_col)
