@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import WordHashes, mix, pieces_of, raw_texts, rows, settle, text_key
+from .common import WordHashes, mix, pieces_of, raw_texts, rows, settle, short_batches, text_key
 
 ANCHOR = np.dtype([("h", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("a", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("f", "u1")])
 RUN = np.dtype([("first", "<i4"), ("last", "<i4")])  # of window starts
@@ -372,6 +372,7 @@ def _sort(unit: Unit):
 def repeats(own: DataFrame, unit: Unit) -> DataFrame:
     """(key, blob): for each text with repeated windows, the runs of their starts in tokens. own has a column text."""
     spark = own.sparkSession
+    short_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 15, 8 * parts)
     found = settle(own.select("text").mapInArrow(_find(unit, buckets), DDL))
