@@ -16,7 +16,7 @@ POINTS, INDICES = r"(?is)\bpoint\s*\[([^\]]*)\]", r"(?is)\bcoordIndex\s*\[([^\]]
 
 
 def find(spark: SparkSession, directory: str, limit: int | None = None) -> DataFrame:
-    """(mesh_id, stem, path, length, content) of the mesh files below a directory, by path; 0 or None: all of them.
+    """(mesh_id, stem, path, length, content) of the mesh files below a directory; limit: the first by path, 0 or None all of them, in no order.
     mesh_id is the path below the directory, so that equal names in two folders stay apart."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(directory)
     files = files.orderBy("path").limit(limit) if limit else files
