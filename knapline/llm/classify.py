@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, raw_texts, rows
+from .common import by_batch, hash_words, raw_texts, rows, short_batches
 
 PASSAGE, SLOTS = 128, 32
 _ALL = np.arange(256)
@@ -22,7 +22,7 @@ CLASSES = [(_ALL >= 65) & (_ALL <= 90), (_ALL >= 48) & (_ALL <= 57), np.isin(_AL
 WIDTH = len(CLASSES) + 5 + SLOTS
 
 
-def passages(raw: bytes, hashes: WordHashes) -> np.ndarray:
+def passages(raw: bytes) -> np.ndarray:
     """(passages, WIDTH): each passage's features. A text without words is one passage of zeros."""
     b = np.frombuffer(raw, np.uint8)
     space = IS_SPACE[b] if len(b) else np.empty(0, bool)
@@ -36,7 +36,7 @@ def passages(raw: bytes, hashes: WordHashes) -> np.ndarray:
     x = np.zeros((m, WIDTH), np.float32)
     for j, is_in in enumerate(CLASSES):
         x[:, j] = np.add.reduceat(is_in[b].astype(np.int32), cut) / size
-    h = hashes(raw.split())
+    h = hash_words(raw)
     of = np.arange(len(h)) // PASSAGE
     n = np.bincount(of, minlength=m)
     j = len(CLASSES)
@@ -122,10 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, where: str = "tr
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(where)  # noqa: E741
     chosen = l.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample).dropDuplicates(["doc_id"])
     bag = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("h", pa.int64()), ("x", pa.binary())])
-    hashes = WordHashes()
-
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return rows(bag, batch.column("doc_id"), batch.column("y"), batch.column("h"), [passages(raw, hashes).tobytes() for raw in raw_texts(batch)])
+        return rows(bag, batch.column("doc_id"), batch.column("y"), batch.column("h"), [passages(raw).tobytes() for raw in raw_texts(batch)])
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "h").mapInArrow(by_batch(encode), "doc_id long, y int, h long, x binary").dropDuplicates(["doc_id"]).collect()
     found.sort(key=lambda r: (r["h"], r["doc_id"]))
@@ -142,13 +140,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: flo
     Only the text enters the score. A null or empty text is one passage of zeros and is scored like any other. A
     null id is not held out. Repeated rows each get their row; without labels every score is one half.
     """
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own, labels, sample, where))
     out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    hashes = WordHashes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return rows(out, batch.column("doc_id"), [model.value.score(passages(raw, hashes)) for raw in raw_texts(batch)])
+        return rows(out, batch.column("doc_id"), [model.value.score(passages(raw)) for raw in raw_texts(batch)])
 
     held = F.expr(f"not coalesce({LEARN}, true)")
     return own.mapInArrow(by_batch(run), "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -157,9 +154,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: flo
 def keep(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.7, text_col: str = "text", taught: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all columns, whose text's score reaches the threshold. taught: the labelled texts, if they
     aren't in docs. A row with an empty text is scored like any other."""
+    short_batches(docs.sparkSession)
     own = (docs if taught is None else taught).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own, labels, sample, LEARN))
-    hashes = WordHashes()
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -167,6 +164,6 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: floa
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 raw = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
-                yield part.filter(pa.array([model.value.score(passages(t, hashes)) >= threshold for t in raw], pa.bool_()))
+                yield part.filter(pa.array([model.value.score(passages(t)) >= threshold for t in raw], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

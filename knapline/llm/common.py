@@ -54,24 +54,6 @@ def sha256(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.known = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = set(words)
-            h = xxhash.xxh3_64_intdigest
-            known.update((w, h(w)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -79,15 +61,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_SPACES = np.isin(np.arange(256), list(SPACE))
+_BASE = 0x9E3779B97F4A7C15
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd base and of its inverse modulo 2**64, up to n at least."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps)
+    return _powers[0], _powers[1]
+
+
+def hash_words(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, in order: what bytes.split() gives, but without an object a word. A word's
+    hash is the difference of two running sums of byte values by powers of an odd base, shifted back to its start."""
+    if not raw:
+        return np.empty(0, np.uint64)
+    b = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(b) + 2, np.int8)
+    word[1:-1] = ~_SPACES[b]
+    turn = np.diff(word)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    up, down = _power_tables(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_LETTERS[b] * up[: len(b)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each run of k neighbours, order included."""
+    """A hash for each run of k <= 64 neighbours, order included."""
     n = len(h) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(3) + h[i : i + n])
-    return out
+    out = h[:n] * _PLACES[0]
+    for i in range(1, k):
+        out += h[i : i + n] * _PLACES[i]
+    return mix(out + np.uint64(k))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

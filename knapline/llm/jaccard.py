@@ -4,7 +4,8 @@ A text's set is its distinct k-word shingles, as 64-bit hashes. All sets are put
 a fixed-size count sketch of the corpus. Two sets that reach the threshold share a shingle of their prefixes; texts
 with equal sets are one class and enter once per task. Members of a prefix shingle's bucket that survive the length
 and positional filters go to the bucket's least member: since near copies share most of their buckets' members, few
-such groups hold all of a family's buckets. Groups verify their pairs against whole sets (suffix filter first) and
+such groups hold all of a family's buckets. The suffix filter bounds the members in
+which two sets differ by those of short signatures. Groups that pass verify their pairs against whole sets and
 give out a spanning forest of the links, never all pairs; large groups are verified in blocks on several tasks.
 """
 
@@ -21,19 +22,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
-from .common import WordHashes, pieces_of, raw_texts, rows, settle, windows_hash
+from .common import fresh, hash_words, pieces_of, raw_texts, rows, settle, short_batches, windows_hash
 from .components import Roots, components
 
-SLOT_BITS, CHUNK = 20, 4096
+SLOT_BITS, CHUNK = 22, 16384
 SMALL = 64  # buckets up to this size apply the filters pair by pair
 BLOCK = 1024  # sets of one side of a verification task
 FILTER_BITS = 24  # of the fixed-size filter that keeps uninvolved texts from being shuffled
 
 
-def shingles(raw: bytes, k: int, hashes: WordHashes) -> np.ndarray:
-    """A text's set in ascending order. bytes.lower() folds A-Z alone, bytes.split() splits at the six ASCII spaces."""
-    h = hashes(raw.lower().split())
-    return np.unique(windows_hash(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+def shingles(raw: bytes, k: int) -> np.ndarray:
+    """A text's set in ascending order. bytes.lower() folds A-Z alone."""
+    h = hash_words(raw.lower())
+    if not len(h):
+        return h
+    s = windows_hash(h, min(k, len(h)))
+    s.sort()
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Parities of a set's members over as many bits as it has members, rounded up to a power of two. The bits in which
+    two signatures differ are no more than the members in which the sets do; a longer one folds onto a shorter one."""
+    bits = 1 << max(6, int(len(s) - 1).bit_length())
+    where = (s >> np.uint64(8)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(where.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def class_of(s: np.ndarray) -> int:
@@ -59,22 +72,28 @@ class Order:
 
 
 def _classes(k: int):
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
-        hashes, total = WordHashes(), np.zeros(1 << SLOT_BITS, np.uint32)
+        total, held, n = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
         for batch in batches:
             for part in pieces_of(batch):
-                sets = [shingles(raw, k, hashes) for raw in raw_texts(part)]
-                total += np.bincount(slots(np.concatenate(sets)), minlength=1 << SLOT_BITS).astype(np.uint32)
-                m = part.num_rows
-                yield rows(out, part.column("doc_id"), [len(s) for s in sets], [class_of(s) for s in sets], [None] * m, [None] * m)
+                sets = [shingles(raw, k) for raw in raw_texts(part)]
+                held += [slots(s) for s in sets]
+                n += sum(map(len, sets))
+                if n > 2_000_000:
+                    total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
+                    held, n = [], 0
+                none = [None] * part.num_rows
+                yield rows(out, part.column("doc_id"), [len(s) for s in sets], [class_of(s) for s in sets], [signature(s) if len(s) else None for s in sets], none, none)
+        if n:
+            total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
         if total.any():
             parts = [zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in range(0, len(total), CHUNK)]
             none = [None] * len(parts)
-            yield rows(out, none, none, none, list(range(len(parts))), parts)
+            yield rows(out, none, none, none, none, list(range(len(parts))), parts)
 
-    return run, "doc_id long, n long, cid long, chunk int, counts binary"
+    return run, "doc_id long, n long, cid long, sig binary, chunk int, counts binary"
 
 
 def _sum_chunks(batches):
@@ -91,12 +110,12 @@ def _prefixes(order, k: int):
     out = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
     def run(batches):
-        hashes, seen, o = WordHashes(), set(), order.value
+        seen, o = set(), order.value
         for batch in batches:
             for part in pieces_of(batch):
                 t, c, n, p = [], [], [], []
                 for raw in raw_texts(part):
-                    s = shingles(raw, k, hashes)
+                    s = shingles(raw, k)
                     if not len(s) or (cid := class_of(s)) in seen:
                         continue
                     seen.add(cid)
@@ -168,7 +187,7 @@ def _bits(cids: np.ndarray) -> np.ndarray:
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Whether two ascending sets reach the threshold: length filter, one step of the suffix filter, then exactly."""
+    """Whether two ascending sets reach the threshold: by length, by the parts on both sides of one member, exactly."""
     n, m = len(x), len(y)
     if num * max(n, m) > den * min(n, m):
         return False
@@ -248,6 +267,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     all reachable ids are null. Equality of sets and shingles is that of 64-bit hashes.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     own = _own(docs, id_col, text_col)
     run, ddl = _classes(k)
     first = settle(own.mapInArrow(run, ddl))
@@ -259,6 +279,7 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     prefixes = own.select("text").mapInArrow(run, ddl).repartition("token")
     run, ddl = _buckets(num, den)
     groups = settle(prefixes.mapInArrow(run, ddl).distinct())
+    groups = settle(_plausible(groups, first, num, den))
     edges = settle(_edges(own, groups, k, num, den))
     root = components(edges)
     classes = first.where("counts is null").select("doc_id", "n", "cid")
@@ -268,6 +289,90 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     return named.unionAll(classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid"))
 
 
+def _deal(groups: DataFrame) -> DataFrame:
+    """(leader, cid, i, j, side): groups in blocks. A member of block x is the left side of blocks x.. and the right one
+    of blocks ..x, so that every two members meet once."""
+    width = groups.groupBy("leader").agg(F.count("*").alias("m"))
+    sized = groups.join(width, "leader").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("at", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    dealt = sized.select("leader", "cid", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("leader", "cid", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.expr("case when at = other then 0 when at < other then 1 else 2 end").alias("side"))
+
+
+def near(n: np.ndarray, sigs: list[bytes], num: int, den: int, left: np.ndarray, right: np.ndarray):
+    """Yields (row of left, rows of right) that sizes and signatures leave possible: sets that share `need` members
+    differ in n + m - 2 need at most. left, right: places in n and sigs."""
+    bits = np.array([8 * len(s) for s in sigs])
+    for level in np.unique(bits):
+        # Sizes within the ratio lie at most one power of two apart; the longer signature folds once.
+        folded: dict[int, np.ndarray] = {}
+
+        def fold(places: np.ndarray, level=level, folded=folded) -> np.ndarray:
+            for p in places.tolist():
+                if p not in folded:
+                    w = np.frombuffer(sigs[p], np.uint64)
+                    while 64 * len(w) > level:
+                        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+                    folded[p] = w
+            return np.stack([folded[p] for p in places.tolist()])
+
+        for a, b, equal in ((left, right, True), (left, right, False), (right, left, False)):
+            a = a[bits[a] == level]
+            b = b[bits[b] == level] if equal else b[(bits[b] > level) & (bits[b] <= 4 * level)]
+            if not len(a) or not len(b):
+                continue
+            x, y = fold(a), fold(b)
+            step = max(1, 2_000_000 // (len(b) * x.shape[1]))
+            for lo in range(0, len(a), step):
+                na, nb = n[a[lo : lo + step]][:, None], n[b][None, :]
+                fits = (num * np.maximum(na, nb) <= den * np.minimum(na, nb)) & (np.bitwise_count(x[lo : lo + step][:, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64) <= na + nb + 2 * (-num * (na + nb) // (num + den)))
+                for r in range(len(fits)):
+                    if len(hit := np.flatnonzero(fits[r])):
+                        yield a[lo + r], b[hit]
+
+
+def _narrow(num: int, den: int):
+    """Reads rows (leader, i, j, side, cid, n, sig) sorted by group; splits groups into parts that signatures connect."""
+    out = pa.schema([("leader", pa.int64()), ("cid", pa.int64())])
+
+    def group(found: list) -> list[tuple[int, int]]:
+        if len(found) < 2:
+            return []
+        side, cid, n = (np.array([f[k] for f in found], np.int64) for k in range(3))
+        left = np.flatnonzero(side != 2)
+        right = np.flatnonzero(side == 2) if (side == 2).any() else left
+        roots, some = Roots(), set()
+        for a, b in near(n, [f[3] for f in found], num, den, left, right):
+            for j in b.tolist():
+                if j != a:
+                    roots.join(int(cid[a]), int(cid[j]))
+                    some.update((int(cid[a]), int(cid[j])))
+        return [(roots.find(c), c) for c in some]
+
+    def run(batches):
+        key, found = None, []
+        for batch in batches:
+            pairs = []
+            for leader, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "cid", "n", "sig")), strict=True):
+                if (leader, i, j) != key:
+                    pairs += group(found)
+                    key, found = (leader, i, j), []
+                found.append(rest)
+            if pairs:
+                yield rows(out, *map(list, zip(*pairs, strict=True)))
+        if pairs := group(found):
+            yield rows(out, *map(list, zip(*pairs, strict=True)))
+
+    return run, "leader long, cid long"
+
+
+def _plausible(groups: DataFrame, first: DataFrame, num: int, den: int) -> DataFrame:
+    """Groups after the suffix filter, in the form of signatures, which bound the members in which whole sets differ."""
+    sigs = first.where("n > 0").select("cid", "n", "sig").dropDuplicates(["cid"])
+    run, ddl = _narrow(num, den)
+    dealt = _deal(groups).join(sigs, "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid")
+    return dealt.select("leader", "i", "j", "side", "cid", "n", "sig").mapInArrow(run, ddl).distinct()
+
+
 def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = own.sparkSession
     needed = groups.select("cid").distinct()
@@ -287,12 +392,12 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
     shared = spark.sparkContext.broadcast(bits.reshape(-1))
 
     def involved(batches):
-        hashes, seen, wanted = WordHashes(), set(), np.unpackbits(shared.value).astype(bool)
+        seen, wanted = set(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             for part in pieces_of(batch):
                 cids, kept = [], []
                 for raw in raw_texts(part):
-                    s = shingles(raw, k, hashes)
+                    s = shingles(raw, k)
                     if len(s) and (cid := class_of(s)) not in seen and wanted[_bits(np.array([cid]))[0]]:
                         seen.add(cid)
                         cids.append(cid)
@@ -301,12 +406,8 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
                     yield rows(pa.schema([("cid", pa.int64()), ("s", pa.binary())]), cids, kept)
 
     sets = settle(own.select("text").mapInArrow(involved, "cid long, s binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"]))
-    width = groups.groupBy("leader").agg(F.count("*").alias("m"))
-    sized = groups.join(width, "leader").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("at", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
-    # A member of block x meets blocks x..end as the left side and blocks 0..x-1 as the right one.
-    dealt = sized.select("leader", "cid", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("leader", "cid", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.expr("case when at = other then 0 when at < other then 1 else 2 end").alias("side"))
     run, ddl = _verify(num, den)
-    return dealt.join(sets, "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid").select("leader", "i", "j", "side", "cid", "s").mapInArrow(run, ddl)
+    return _deal(groups).join(sets, "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid").select("leader", "i", "j", "side", "cid", "s").mapInArrow(run, ddl)
 
 
 def _or_chunks(batches):
@@ -322,21 +423,22 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     """The rows of docs, all columns, of which one stays in each component: that with the least id, then the least
     class. Rows without words all stay, as they link with nothing."""
     found = join(docs, k, num, den, id_col, text_col)
-    stay = settle(found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cid")).alias("alone")).agg(F.min(F.struct("doc_id", "cid")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.cid").alias("__cid")))
-    cids = pa.schema([*to_arrow_schema(docs.schema), ("__class", pa.int64())])
+    own, cls = fresh(docs, "__id"), fresh(docs, "__class")
+    stay = settle(found.where("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cid")).alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cid")).alias("s")).select(F.col("s.doc_id").alias(own), F.col("s.cid").alias(cls)))
+    cids = pa.schema([*to_arrow_schema(docs.schema), (cls, pa.int64())])
     at = docs.columns.index(text_col)
 
     def label(batches):
-        hashes = WordHashes()
         for batch in batches:
             for part in pieces_of(batch):
                 out = []
                 for raw in part.column(at).cast(pa.binary()).to_pylist():
-                    s = shingles(raw or b"", k, hashes)
+                    s = shingles(raw or b"", k)
                     out.append(class_of(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], schema=cids)
 
-    marked = docs.mapInArrow(label, StructType([*docs.schema.fields]).add("__class", LongType()))
+    marked = docs.mapInArrow(label, StructType([*docs.schema.fields]).add(cls, LongType()))
     back = [F.col(f"`{c}`") for c in docs.columns]
-    one = marked.where("`__class` is not null").join(stay, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__cid")), "left_semi").dropDuplicates([id_col, "__class"])
-    return one.select(*back).unionAll(marked.where("`__class` is null").select(*back))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(stay[own]) & (marked[cls] == stay[cls])
+    one = marked.where(marked[cls].isNotNull()).join(stay, same, "left_semi").dropDuplicates([id_col, cls])
+    return one.select(*back).unionAll(marked.where(marked[cls].isNull()).select(*back))

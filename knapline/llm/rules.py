@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_batch, mix, raw_texts, rows
+from .common import by_batch, hash_words, mix, raw_texts, rows, short_batches
 
 SYMBOLS = b"#*$%&|<>"  # fixed value: the characters that count as symbols
 BITS = 16
@@ -53,14 +53,14 @@ def dup_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def base(raw: bytes, hashes: WordHashes) -> tuple[int, int, int, int, int, bool]:
-    """The counts of one text and whether the counting rules reject it. bytes.split() splits at exactly the six
-    ASCII space characters that separate words here."""
-    words = raw.split()
+def base(raw: bytes) -> tuple[int, int, int, int, int, bool]:
+    """The counts of one text and whether the counting rules reject it. Words end at the six ASCII
+    space characters."""
+    words = hash_words(raw)
     n = len(words)
     b = np.frombuffer(raw, np.uint8)
     points = int((IS_POINT[b] & ~IS_SPACE[b]).sum())
-    again = repeat_words(hashes(words))
+    again = repeat_words(words)
     return n, points, int(IS_SYMBOL[b].sum()), dup_lines(raw), again, n < 50 or 100 * again > 50 * n
 
 
@@ -94,10 +94,10 @@ class Model:
 def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
     """Averaged stochastic gradient descent on three quarters of the rows, Platt scaling on the rest. With one class
     only, the model gives that class's share."""
-    hashes, size = WordHashes(), 2 << BITS
+    size = 2 << BITS
     data = []
     for raw, y in rows_:
-        words = hashes(raw.split())
+        words = hash_words(raw)
         slots, n = features(raw, words), len(words)
         x, v = [], []
         for part in (slots[:n], slots[n:]):
@@ -157,17 +157,16 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshol
     A document is kept if the counting rules pass it and its calibrated probability of good quality reaches
     `threshold`. Null and empty texts have no words and fail the counting rules. Repeated rows each get their row.
     """
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     model = fit([(t, y) for _, t, y in labelled(own, labels, "quality", sample)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    hashes = WordHashes()
-
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for raw in raw_texts(batch):
-            counts = base(raw, hashes)
-            words = hashes(raw.split())
+            counts = base(raw)
+            words = hash_words(raw)
             p = shared.value.probability(features(raw, words), len(words))
             out.append((*counts, not counts[-1] and p >= threshold, p))
         return rows(OUT, batch.column("doc_id"), *map(list, zip(*out, strict=True)))

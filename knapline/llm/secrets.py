@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, rows, settle, text_key, texts
+from .common import by_batch, fresh, rows, settle, short_batches, text_key, texts
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -72,6 +72,7 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max
             out.append((doc, key, joined(spans), n["assign"], n["access"], n["hex"], [text_key(text[a:b].encode()) for a, b in loose], [f"owned:{a}:{b}" for a, b in loose], repo, own))
         return rows(found, *map(list, zip(*out, strict=True)))
 
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
     hits = settle(own.mapInArrow(by_batch(search), "doc_id long, key binary, base string, n_assign long, n_access long, n_hex long, values array<binary>, loose array<string>, repository string, owner string"))
     candidates = hits.where("size(values) > 0").select("key", "repository", "owner", F.explode(F.arrays_zip("values", "loose")).alias("c")).select("key", "repository", "owner", F.col("c.values").alias("value"), F.col("c.loose").alias("span"))
@@ -114,18 +115,20 @@ def redact(docs: DataFrame, mark: str = "[secret]", repository: str = "source",
         return t.map(lambda x: _cut(x, None, mark))
 
     @F.pandas_udf("string")
-    def cut_owned(t: pd.Series, owned: pd.Series) -> pd.Series:
-        return pd.Series([_cut(x, o, mark) for x, o in zip(t, owned, strict=True)], dtype=object)
+    def cut_owned(t: pd.Series, live: pd.Series) -> pd.Series:
+        return pd.Series([_cut(x, o, mark) for x, o in zip(t, live, strict=True)], dtype=object)
 
+    short_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    marked = docs.withColumn("__values", values(text))
-    loose = marked.where("size(__values) > 0").withColumn("__key", key(text))
+    vals, name, owned = (fresh(docs, c) for c in ("__values", "__key", "__owned"))
+    marked = docs.withColumn(vals, values(text))
+    loose = marked.where(F.size(vals) > 0).withColumn(name, key(text))
     place = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    candidates = settle(loose.select("__key", place(repository).alias("repository"), place(owner).alias("owner"), F.explode("__values").alias("value")))
-    live = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy("__key").agg(F.collect_set("value").alias("__owned"))
+    candidates = settle(loose.select(F.col(name).alias("k"), place(repository).alias("repository"), place(owner).alias("owner"), F.explode(vals).alias("value")))
+    live = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy(F.col("k").alias(name)).agg(F.collect_set("value").alias(owned))
     back = [F.col(f"`{c}`") for c in docs.columns]
-    plain = marked.where("size(__values) = 0").withColumn(text_col, cut(text)).select(*back)
-    return plain.unionAll(loose.join(live, "__key", "left").withColumn(text_col, cut_owned(text, F.col("__owned"))).select(*back))
+    plain = marked.where(F.size(vals) == 0).withColumn(text_col, cut(text)).select(*back)
+    return plain.unionAll(loose.join(live, name, "left").withColumn(text_col, cut_owned(text, F.col(owned))).select(*back))
 
 
 def _cut(text: str | None, owned: list | None, mark: str) -> str | None:

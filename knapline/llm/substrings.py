@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import WordHashes, mix, pieces_of, raw_texts, rows, settle, short_batches, text_key
+from .common import fresh, hash_words, mix, pieces_of, raw_texts, rows, settle, short_batches, text_key
 
 ANCHOR = np.dtype([("h", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("a", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("f", "u1")])
 RUN = np.dtype([("first", "<i4"), ("last", "<i4")])  # of window starts
@@ -51,8 +51,8 @@ class Unit:
             self.reach = max(1, length - self.gram + 1)
         self.common = length - self.reach + 1  # tokens from the anchor on that all its windows hold
 
-    def tokens(self, raw: bytes, hashes: WordHashes) -> np.ndarray:
-        return hashes(raw.split()) if self.words else np.frombuffer(raw, np.uint8)
+    def tokens(self, raw: bytes) -> np.ndarray:
+        return hash_words(raw) if self.words else np.frombuffer(raw, np.uint8)
 
     def packed(self, tokens: np.ndarray) -> bytes:
         return tokens.astype(">u8").tobytes() if self.words else tokens.tobytes()
@@ -118,7 +118,7 @@ def _same(found: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
 
 def _find(unit: Unit, buckets: int, flush: int = 400_000):
     def run(batches):
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def out():
@@ -144,7 +144,7 @@ def _find(unit: Unit, buckets: int, flush: int = 400_000):
                 for raw in raw_texts(part):
                     if len(raw) < unit.length:
                         continue
-                    tokens = unit.tokens(raw, hashes)
+                    tokens = unit.tokens(raw)
                     if len(tokens) < unit.length:
                         continue
                     a, lo, hi = unit.anchors(tokens)
@@ -244,12 +244,12 @@ def _contexts(own: DataFrame, asked: DataFrame, unit: Unit, splitters) -> DataFr
     out = pa.schema([("bucket", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("key", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int32())])
 
     def cut(batches):
-        hashes, w, bounds = WordHashes(), unit.width, splitters.value
+        w, bounds = unit.width, splitters.value
         for batch in batches:
             for part in pieces_of(batch, 64):
                 found = []
                 for key, raw, blobs in zip(*(part.column(c).to_pylist() for c in ("key", "raw", "blobs")), strict=True):
-                    body = unit.packed(unit.tokens(raw, hashes))
+                    body = unit.packed(unit.tokens(raw))
                     for a, lo, hi, f in np.frombuffer(b"".join(blobs), ASK).tolist():
                         right = body[w * a : w * (a - hi + unit.length)]
                         found.append((bisect.bisect_right(bounds, right[: w * unit.common]), right, body[w * (a - lo) : w * a], key, a, lo, hi, f))
@@ -409,10 +409,10 @@ def without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + raw[at:]
 
 
-def _split(own: DataFrame, hits: DataFrame, fields: StructType, done: Callable, text_at: int, need: int) -> DataFrame:
+def _split(own: DataFrame, hits: DataFrame, fields: StructType, done: Callable, text_at: int, need: int, key: str) -> DataFrame:
     """Rows with a key where their text may have repeats, null elsewhere. done fills the rest of a batch."""
     wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(hits)))
-    schema = to_arrow_schema(StructType([*fields.fields]).add("__key", BinaryType()))
+    schema = to_arrow_schema(StructType([*fields.fields]).add(key, BinaryType()))
 
     def run(batches):
         bits = np.unpackbits(wanted.value).astype(bool)
@@ -423,7 +423,7 @@ def _split(own: DataFrame, hits: DataFrame, fields: StructType, done: Callable,
                 keys = [k if k is not None and bits[_bits_of([k])[0]] else None for k in keys]
                 yield done(part, raw, keys, schema)
 
-    return own.mapInArrow(run, StructType([*fields.fields]).add("__key", BinaryType()))
+    return own.mapInArrow(run, StructType([*fields.fields]).add(key, BinaryType()))
 
 
 def report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,7 +441,7 @@ def report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         sha = [hashlib.sha256(t).hexdigest() if k is None else None for t, k in zip(raw, keys, strict=True)]
         return rows(schema, part.column("doc_id"), [t if k is not None else None for t, k in zip(raw, keys, strict=True)], [len(t) for t in raw], sha, keys)
 
-    marked = settle(_split(own, hits, fields, done, 1, length))
+    marked = settle(_split(own, hits, fields, done, 1, length, "__key"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def finish(batches):
@@ -471,7 +471,8 @@ def strip(docs: DataFrame, words: int = 50, text_col: str = "text") -> DataFrame
     def done(part, raw, keys, schema):
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], schema=schema)
 
-    marked = _split(docs, hits, docs.schema, done, docs.columns.index(text_col), words)
+    key, blobs = fresh(docs, "__key"), fresh(docs, "__blobs")
+    marked = _split(docs, hits, docs.schema, done, docs.columns.index(text_col), words, key)
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     at, schema = docs.columns.index(text_col), to_arrow_schema(docs.schema)
 
@@ -489,5 +490,6 @@ def strip(docs: DataFrame, words: int = 50, text_col: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays(new, schema=schema)
 
     back = [F.col(f"`{c}`") for c in docs.columns]
-    some = marked.where("`__key` is not null").join(hits, F.col("__key") == hits["key"], "left").select(*back, "blobs").mapInArrow(cut, docs.schema)
-    return marked.where("`__key` is null").select(*back).unionAll(some)
+    found = hits.select(F.col("key").alias(key), F.col("blobs").alias(blobs))
+    some = marked.where(f"`{key}` is not null").join(found, key, "left").select(*back, F.col(blobs)).mapInArrow(cut, docs.schema)
+    return marked.where(f"`{key}` is null").select(*back).unionAll(some)
