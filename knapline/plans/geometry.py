@@ -67,9 +67,14 @@ def drop_degenerate(s, d):
     return op.drop_degenerate(v, f)
 
 
+def _gentle(v, f):
+    return op.measured(v, f).where("nz >= 0.5").select("mesh_id", "fid", "a", "b", "c")
+
+
 def reindex(s, d):
+    """What is left of the vertices when only gently sloping faces stay."""
     v, f = mesh(s, d)
-    v, f = op.reindex(v, f.where("fid % 3 = 0 and a % 10 > 2"))
+    v, f = op.reindex(v, _gentle(v, f))
     return f.join(v.select("mesh_id", F.col("vid").alias("a"), F.col("x").alias("ax")), ["mesh_id", "a"]).select("mesh_id", "fid", "a", "b", "c", r("ax").alias("ax"))
 
 
@@ -100,8 +105,9 @@ def lod_targets(s, d):
 
 
 def components(s, d):
+    """Patches of gently sloping faces."""
     v, f = mesh(s, d)
-    return op.components(v, f.where("a % 10 <> 4")).select("mesh_id", "vid", "component")
+    return op.components(v, _gentle(v, f)).select("mesh_id", "vid", "component")
 
 
 def clean_mesh(s, d):
@@ -211,13 +217,13 @@ QUERIES = {
     "canvas_params": (canvas_params, sql(MESH, BOX, "g as (select max(l[1]) mx, max(l[2]) my from sb), sc as (select *, 224 * (1 - 2 * 0.08::double) / greatest(mx, my) as scale from g)", f"select {tidy('scale')} as scale, greatest(1, round_even(mx * scale + 2 * 224 * 0.08::double, 0)::int) as canvas_w, greatest(1, round_even(my * scale + 2 * 224 * 0.08::double, 0)::int) as canvas_h from sc")),
     "merge_vertices": (merge_vertices, sql(MESH, DOUBLED, f"select mesh_id, nid as vid, {tidy('x')} x, {tidy('y')} y, {tidy('z')} z from mg")),
     "drop_degenerate": (drop_degenerate, sql(MESH, DOUBLED, CROSS, "select mesh_id, fid, a, b, c from tt")),
-    "reindex": (reindex, sql(MESH, "s as (select * from f where fid % 3 = 0 and a % 10 > 2), u as (select distinct mesh_id, unnest([a, b, c]) as vid from s), n as (select mesh_id, vid, row_number() over (partition by mesh_id order by vid) - 1 as nid from u)", f"select s.mesh_id, fid, p.nid a, q.nid b, o.nid c, {tidy('v.x')} as ax from s join n p on p.mesh_id = s.mesh_id and p.vid = a join n q on q.mesh_id = s.mesh_id and q.vid = b join n o on o.mesh_id = s.mesh_id and o.vid = c join v on v.mesh_id = s.mesh_id and v.vid = s.a")),
+    "reindex": (reindex, sql(*M, "s as (select mesh_id, fid, a, b, c from m where nz >= 0.5), u as (select distinct mesh_id, unnest([a, b, c]) as vid from s), n as (select mesh_id, vid, row_number() over (partition by mesh_id order by vid) - 1 as nid from u)", f"select s.mesh_id, fid, p.nid a, q.nid b, o.nid c, {tidy('v.x')} as ax from s join n p on p.mesh_id = s.mesh_id and p.vid = a join n q on q.mesh_id = s.mesh_id and q.vid = b join n o on o.mesh_id = s.mesh_id and o.vid = c join v on v.mesh_id = s.mesh_id and v.vid = s.a")),
     "edge_count": (edge_count, sql(MESH, EDGES, "select mesh_id, count(*) as n_edges from (select distinct mesh_id, u, w from e) group by 1")),
     "edge_adjacency": (edge_adjacency, sql(MESH, EDGES, ADJACENT, "select mesh_id, u, w as v, f1, f2 from adj")),
     "quadrics": (quadrics, sql(*M, "pl as (select mesh_id, unnest([a, b, c]) as vid, nx, ny, nz, -(nx * ax + ny * ay + nz * az) as nd, area from m)", "select mesh_id, vid, " + ", ".join(f"{tidy(f'sum({e} * area)', 5)} as q{n}" for n, e in Q.items()) + " from pl group by 1, 2")),
     "cluster_decimate": (cluster_decimate, sql(MESH, CLUSTER, f"select mesh_id, count(*) as n_faces, {tidy('sum(ax)', 4)} as sx, {tidy('sum(az)', 4)} as sz from al group by 1")),
     "lod_targets": (lod_targets, sql(MESH, "n as (select mesh_id, count(*) n from f group by 1)", "select distinct mesh_id, floor(n * pow(20::double / n, k / 4) + 1e-9)::bigint as target from n, range(1, 5) r(k) where n > 20")),
-    "components": (components, "with recursive " + sql(MESH.replace("v as (", "v as materialized (").replace("f as (", "f as materialized ("), "l as (select mesh_id, unnest([a, b, c]) as u, unnest([b, c, a]) as w from f where a % 10 <> 4), bi as materialized (select mesh_id, u, w from l union select mesh_id, w, u from l), r(mesh_id, vid, root) as (select mesh_id, vid, vid from v union select r.mesh_id, bi.w, r.root from r join bi on bi.mesh_id = r.mesh_id and bi.u = r.vid and bi.w > r.root)", "select mesh_id, vid, min(root) as component from r group by 1, 2")[5:]),
+    "components": (components, "with recursive " + sql(MESH.replace("v as (", "v as materialized (").replace("f as (", "f as materialized ("), MEASURED, "l as (select mesh_id, unnest([a, b, c]) as u, unnest([b, c, a]) as w from m where nz >= 0.5), bi as materialized (select mesh_id, u, w from l union select mesh_id, w, u from l), r(mesh_id, vid, root) as (select mesh_id, vid, vid from v union select r.mesh_id, bi.w, r.root from r join bi on bi.mesh_id = r.mesh_id and bi.u = r.vid and bi.w > r.root)", "select mesh_id, vid, min(root) as component from r group by 1, 2")[5:]),
     "clean_mesh": (clean_mesh, sql(MESH, DOUBLED, CROSS, f"select tt.mesh_id, any_value(u.n) as n_vertices, count(*) as n_faces, {tidy('sum(sqrt(gx * gx + gy * gy + gz * gz) / 2)', 5)} as area from tt join (select mesh_id, count(distinct i) n from (select mesh_id, unnest([a, b, c]) i from tt) group by 1) u on u.mesh_id = tt.mesh_id group by tt.mesh_id")),
     "dedupe_faces": (dedupe_faces, sql(MESH, DOUBLED, "select mesh_id, fid, a, b, c from (select *, row_number() over (partition by mesh_id, list_sort([a, b, c]) order by fid) r from rf) where r = 1")),
     "barycentric": (barycentric, sql(*M, "select mesh_id, fid, " + ", ".join(f"{tidy(f'0.4::double * a{k} + 0.6::double * 0.75::double * b{k}{chr(95) if k == chr(121) else str()} + 0.6::double * 0.25::double * c{k}')} as {k}" for k in "xyz") + " from m")),

@@ -48,7 +48,7 @@ def opposing_normals(s, d):
 
 
 def _mask(s, d):
-    return op.zbuffer(fragments(s, d), *PLACE).where("value > 0.2 and (col + row * 3) % 7 < 5").select(*PLACE)
+    return op.zbuffer(fragments(s, d), *PLACE).where("value > 0.2 and value < 0.9").select(*PLACE)
 
 
 def image_stats(s, d):
@@ -107,7 +107,7 @@ Z = "zb as (select mesh_id, row_, col_, max_by(value, row(depth, fid)) as value
 ZF = "zf as (select mesh_id, row_, col_, flag, max_by(value, row(depth, fid)) as value from fr group by all)"
 TB = "tp as (select mesh_id, row_, col_, max(value) as value from zf where flag in ('A', 'R') group by all), bt as (select mesh_id, row_, col_, value / 2 as value from zf where flag = 'N'), th as (select tp.mesh_id, tp.row_, tp.col_, greatest(least(tp.value - bt.value, 1), 0) as value from tp join bt on bt.mesh_id = tp.mesh_id and bt.row_ = tp.row_ and bt.col_ = tp.col_ where tp.value > 0.5::double / 255 and bt.value > 0.5::double / 255)"
 N = "nm as (select mesh_id, row_, col_, value * (row_ / 7) tx, 1 - value ty, 0.75::double tz, value / 2 bx, (row_ / 7) / 2 by_, case when col_ % 10 = 0 then -5.0::double else 0.25::double end bz from zb)"
-MK = "mk as (select mesh_id, row_, col_ from zb where value > 0.2::double and (col_ + row_ * 3) % 7 < 5)"
+MK = "mk as (select mesh_id, row_, col_ from zb where value > 0.2::double and value < 0.9::double)"
 SP = "sp as (select mesh_id, count(*) n, avg(col_) mc, avg(row_) mr, var_pop(col_) vc, var_pop(row_) vr, covar_pop(col_, row_) vcr from mk group by 1 having count(*) >= 20), l as (select *, (vc + vr) / 2 + sqrt(((vc - vr) / 2) ** 2 + vcr ** 2) l1, (vc + vr) / 2 - sqrt(((vc - vr) / 2) ** 2 + vcr ** 2) l2 from sp)"
 TIP = """tn as (select *, case when vcr = 0 and vc >= vr then 0 when vcr = 0 then pi() / 2 else atan2(l1 - vc, vcr) end as t from l),
 uw as (select mk.mesh_id, (col_ - mc) * cos(t) + (row_ - mr) * sin(t) u, (row_ - mr) * cos(t) - (col_ - mc) * sin(t) w from mk join tn on tn.mesh_id = mk.mesh_id),

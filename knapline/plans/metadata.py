@@ -36,7 +36,7 @@ def _rows(s, rows, width):
 
 
 def site_left_join(s, d):
-    sites = table(s, d, "nation").where("n_nationkey < 7").select(F.col("n_nationkey").alias("label"), F.col("n_name").alias("site"))
+    sites = table(s, d, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name").alias("site"))
     return op.with_site(embeddings(s, d).select("id", "label"), F.broadcast(sites), "label").select("id", "site")
 
 
@@ -210,7 +210,7 @@ STARS = lambda p: f"case when {p} < 0.001 then '***' when {p} < 0.01 then '**' w
 COLOURS = "[" + ", ".join(f"'{c}'" for c in op.PALETTE) + "]"
 
 QUERIES = {
-    "site_left_join": (site_left_join, sql(EMBEDDED, "select id, coalesce(n_name, 'Unknown') as site from emb left join (select * from nation where n_nationkey < 7) n on label = n_nationkey")),
+    "site_left_join": (site_left_join, sql(EMBEDDED, "select id, coalesce(r_name, 'Unknown') as site from emb left join region on label = r_regionkey")),
     "note_left_join": (note_left_join, "select d.doc_id, case when toxic = 1 then 'marked' else '' end as note from documents d left join labels l on l.doc_id = d.doc_id"),
     "site_meta_join": (site_meta_join, "select c_custkey, c_mktsegment as site, count(*) over (partition by c_mktsegment) as n_site from customer"),
     "site_two_hop": (site_two_hop, sql(EMBEDDED, "select id, n_name, r_name from emb left join nation on label = n_nationkey left join region on n_regionkey = r_regionkey")),

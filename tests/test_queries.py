@@ -1,6 +1,7 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from knapline.plans import catalog
@@ -19,7 +20,7 @@ def duck():
 
 def canonical(df):
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x for x in row) for row in df.itertuples(index=False)), key=repr)
+    return sorted((tuple(None if pd.isna(x) else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") else x for x in row) for row in df.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
