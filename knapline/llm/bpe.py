@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pieces_of, rows, texts
+from .common import pieces_of, released, rows, short_batches, texts
 
 # Fixed value: the pre-tokenizer's pattern as the vocabulary's publisher states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -285,6 +285,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     A null or empty text has 0 ids and the digests of nothing; null ids of documents pass through.
     """
 
+    short_batches(docs.sparkSession)
+
+    @released
     def run(batches):
         code, back = transducer(path), Decoder(vocabulary(path))
         for batch in batches:
@@ -308,6 +311,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(doc_id, ids): every text's ids as an array."""
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
+    @released
     def run(batches):
         code = transducer(path)
         for batch in batches:
@@ -321,6 +325,7 @@ def decode(ids: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "id
     """(doc_id, text): what arrays of ids spell; null arrays and null ids spell nothing."""
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
+    @released
     def run(batches):
         back = Decoder(vocabulary(path))
         for batch in batches:

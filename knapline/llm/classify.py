@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_words, raw_texts, rows, short_batches
+from .common import by_batch, hash_words, raw_texts, released, rows, short_batches
 
 PASSAGE, SLOTS = 128, 32
 _ALL = np.arange(256)
@@ -159,6 +159,7 @@ def keep(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: floa
     model = docs.sparkSession.sparkContext.broadcast(fit(own, labels, sample, LEARN))
     at = docs.columns.index(text_col)
 
+    @released
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):

@@ -6,6 +6,10 @@ they need, so further columns of any name cannot clash.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -133,11 +137,28 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(run: Callable) -> Callable:
+    """run, whose task gives memory back when it ends: Python workers outlive tasks, and one executor has several."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch], step: int = 256) -> Callable:
+    @released
     def run(batches):
         for batch in batches:
             for part in pieces_of(batch, step):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, settle
+from .common import released, rows, settle
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -37,6 +37,7 @@ class Roots:
         return True
 
 
+@released
 def _stars(batches):
     """A task's edges as stars; given out and forgotten once they are many."""
     roots, n = Roots(), 0

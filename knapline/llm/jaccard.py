@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
-from .common import fresh, hash_words, pieces_of, raw_texts, rows, settle, short_batches, windows_hash
+from .common import fresh, hash_words, pieces_of, raw_texts, released, rows, settle, short_batches, windows_hash
 from .components import Roots, components
 
 SLOT_BITS, CHUNK = 22, 16384
@@ -74,6 +74,7 @@ class Order:
 def _classes(k: int):
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
+    @released
     def run(batches):
         total, held, n = np.zeros(1 << SLOT_BITS, np.uint32), [], 0
         for batch in batches:
@@ -96,6 +97,7 @@ def _classes(k: int):
     return run, "doc_id long, n long, cid long, sig binary, chunk int, counts binary"
 
 
+@released
 def _sum_chunks(batches):
     out = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
     total: dict[int, np.ndarray] = {}
@@ -109,6 +111,7 @@ def _sum_chunks(batches):
 def _prefixes(order, k: int):
     out = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
 
+    @released
     def run(batches):
         seen, o = set(), order.value
         for batch in batches:
@@ -134,6 +137,7 @@ def _buckets(num: int, den: int):
     """Groups (leader, member) of a partition's prefix rows."""
     out = pa.schema([("leader", pa.int64()), ("cid", pa.int64())])
 
+    @released
     def run(batches):
         cols = [[], [], [], []]
         for batch in batches:
@@ -238,6 +242,7 @@ def _verify(num: int, den: int):
                 if c != right[j][0] and roots.join(c, right[j][0]):
                     yield c, right[j][0]
 
+    @released
     def run(batches):
         key, found = None, []
         for batch in batches:
@@ -348,6 +353,7 @@ def _narrow(num: int, den: int):
                     some.update((int(cid[a]), int(cid[j])))
         return [(roots.find(c), c) for c in some]
 
+    @released
     def run(batches):
         key, found = None, []
         for batch in batches:
@@ -378,6 +384,7 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
     needed = groups.select("cid").distinct()
 
     # A fixed-size bit per involved class keeps most other texts from the shuffle; the join below is exact.
+    @released
     def marks(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
@@ -391,6 +398,7 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
         bits[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(bits.reshape(-1))
 
+    @released
     def involved(batches):
         seen, wanted = set(), np.unpackbits(shared.value).astype(bool)
         for batch in batches:
@@ -410,6 +418,7 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
     return _deal(groups).join(sets, "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid").select("leader", "i", "j", "side", "cid", "s").mapInArrow(run, ddl)
 
 
+@released
 def _or_chunks(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -428,6 +437,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     cids = pa.schema([*to_arrow_schema(docs.schema), (cls, pa.int64())])
     at = docs.columns.index(text_col)
 
+    @released
     def label(batches):
         for batch in batches:
             for part in pieces_of(batch):

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import PATTERN, Vocabulary, vocabulary
-from .common import pieces_of, rows, texts
+from .bpe import PATTERN, Vocabulary
+from .common import pieces_of, released, rows, short_batches, texts
 
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -30,18 +30,27 @@ class Chunks:
     """A tokenizer's ids for whole texts, packed. What chunks between spaces encode to is remembered up to a
     bound; an empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole."""
 
-    def __init__(self, path: str, limit: int = 600_000):
-        import os
+    def __init__(self, path: str, limit: int = 200_000):
+        self.path, self.limit, self.known, self._tokenizer = path, limit, {}, None
+        self.quick = self._quick(Vocabulary(path))
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    @property
+    def tokenizer(self):
+        """The tokenizer itself, loaded where a text needs it."""
+        if self._tokenizer is None:
+            import os
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.quick = self._quick(vocabulary(path))
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.no_truncation()
+            self._tokenizer.no_padding()
+        return self._tokenizer
 
     def _encode(self, strings: list[str]) -> list[bytes]:
+        if not strings:
+            return []
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     @staticmethod
@@ -161,8 +170,10 @@ def pack(docs: DataFrame, path: str, length: int = 2048, open_windows: int = 64,
     A null or empty text is the end id alone. A document longer than a sequence is cut. Repeated rows are packed
     once each; null document ids pass through. An empty table gives no rows. length must be a power of two.
     """
+    short_batches(docs.sparkSession)
     end = array.array("I", [end_id]).tobytes()
 
+    @released
     def run(batches):
         code, packer = chunks(path), Packer(length, open_windows)
         base = TaskContext.get().partitionId() << 33

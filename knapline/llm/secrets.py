@@ -16,8 +16,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
-from .common import by_batch, fresh, rows, settle, short_batches, text_key, texts
+from .common import by_batch, fresh, pieces_of, released, rows, settle, short_batches, text_key, texts
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -102,32 +104,37 @@ def redact(docs: DataFrame, mark: str = "[secret]", repository: str = "source",
     A text without spans is left as it is, a null one stays null. Only rows with loose candidates are joined.
     """
 
-    @F.pandas_udf("array<binary>")
-    def values(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: [text_key(x[a:b].encode()) for a, b in loose_spans(x or "")])
-
-    @F.pandas_udf("binary")
-    def key(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: text_key((x or "").encode()))
-
-    @F.pandas_udf("string")
-    def cut(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: _cut(x, None, mark))
+    short_batches(docs.sparkSession)
+    vals, name, owned = (fresh(docs, c) for c in ("__values", "__key", "__owned"))
+    wide = StructType([*docs.schema.fields]).add(vals, ArrayType(BinaryType())).add(name, BinaryType())
+    schema, at = to_arrow_schema(wide), docs.columns.index(text_col)
+
+    @released
+    def mark_rows(batches):
+        for batch in batches:
+            for part in pieces_of(batch):
+                texts_, values, keys = [], [], []
+                for t in part.column(at).to_pylist():
+                    loose = loose_spans(t or "")
+                    texts_.append(t if loose else _cut(t, None, mark))
+                    values.append([text_key(t[a:b].encode()) for a, b in loose])
+                    keys.append(text_key(t.encode()) if loose else None)
+                new = [*part.columns, pa.array(values, pa.list_(pa.binary())), pa.array(keys, pa.binary())]
+                new[at] = pa.array(texts_, schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(new, schema, strict=True)], schema=schema)
 
     @F.pandas_udf("string")
     def cut_owned(t: pd.Series, live: pd.Series) -> pd.Series:
         return pd.Series([_cut(x, o, mark) for x, o in zip(t, live, strict=True)], dtype=object)
 
-    short_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
-    vals, name, owned = (fresh(docs, c) for c in ("__values", "__key", "__owned"))
-    marked = docs.withColumn(vals, values(text))
-    loose = marked.where(F.size(vals) > 0).withColumn(name, key(text))
+    marked = docs.mapInArrow(mark_rows, wide)
+    loose = marked.where(F.size(vals) > 0)
     place = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     candidates = settle(loose.select(F.col(name).alias("k"), place(repository).alias("repository"), place(owner).alias("owner"), F.explode(vals).alias("value")))
     live = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy(F.col("k").alias(name)).agg(F.collect_set("value").alias(owned))
     back = [F.col(f"`{c}`") for c in docs.columns]
-    plain = marked.where(F.size(vals) == 0).withColumn(text_col, cut(text)).select(*back)
+    plain = marked.where(F.size(vals) == 0).select(*back)
     return plain.unionAll(loose.join(live, name, "left").withColumn(text_col, cut_owned(text, F.col(owned))).select(*back))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import fresh, hash_words, mix, pieces_of, raw_texts, rows, settle, short_batches, text_key
+from .common import fresh, hash_words, mix, pieces_of, raw_texts, released, rows, settle, short_batches, text_key
 
 ANCHOR = np.dtype([("h", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("a", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("f", "u1")])
 RUN = np.dtype([("first", "<i4"), ("last", "<i4")])  # of window starts
@@ -117,6 +117,7 @@ def _same(found: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
 
 
 def _find(unit: Unit, buckets: int, flush: int = 400_000):
+    @released
     def run(batches):
         held, n = [], 0
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -168,6 +169,7 @@ def _find(unit: Unit, buckets: int, flush: int = 400_000):
     return run
 
 
+@released
 def _meet(batches):
     """All anchors of some buckets: settles contexts that occur twice, asks for those of the others that share their
     common tokens with another context, and drops the rest."""
@@ -204,12 +206,14 @@ def _filter(keyed: DataFrame) -> np.ndarray:
     """A fixed-size set of bits with those of all keys: what it lacks is not among them."""
     kind = pa.schema([("bits", pa.binary())])
 
+    @released
     def mark(batches):
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
             bits[_bits_of(batch.column("key").to_pylist())] = True
         yield rows(kind, [np.packbits(bits).tobytes()])
 
+    @released
     def merge(batches):
         total = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
         for batch in batches:
@@ -228,6 +232,7 @@ def _contexts(own: DataFrame, asked: DataFrame, unit: Unit, splitters) -> DataFr
     wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(asked)))
     text = pa.schema([("key", pa.binary()), ("raw", pa.binary())])
 
+    @released
     def take(batches):
         bits, seen = np.unpackbits(wanted.value).astype(bool), set()
         for batch in batches:
@@ -243,6 +248,7 @@ def _contexts(own: DataFrame, asked: DataFrame, unit: Unit, splitters) -> DataFr
     lists = asked.groupBy("key").agg(F.collect_list("blob").alias("blobs"))
     out = pa.schema([("bucket", pa.int32()), ("right", pa.binary()), ("left", pa.binary()), ("key", pa.binary()), ("a", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("f", pa.int32())])
 
+    @released
     def cut(batches):
         w, bounds = unit.width, splitters.value
         for batch in batches:
@@ -338,6 +344,7 @@ def _backwards(s: bytes) -> bytes:
 
 
 def _sort(unit: Unit):
+    @released
     def run(batches):
         cols = {c: [] for c in ("right", "left", "key", "a", "lo", "hi", "f")}
         for batch in batches:
@@ -414,6 +421,7 @@ def _split(own: DataFrame, hits: DataFrame, fields: StructType, done: Callable,
     wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(hits)))
     schema = to_arrow_schema(StructType([*fields.fields]).add(key, BinaryType()))
 
+    @released
     def run(batches):
         bits = np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
@@ -444,6 +452,7 @@ def report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     marked = settle(_split(own, hits, fields, done, 1, length, "__key"))
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
+    @released
     def finish(batches):
         for batch in batches:
             for part in pieces_of(batch):
@@ -476,6 +485,7 @@ def strip(docs: DataFrame, words: int = 50, text_col: str = "text") -> DataFrame
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     at, schema = docs.columns.index(text_col), to_arrow_schema(docs.schema)
 
+    @released
     def cut(batches):
         for batch in batches:
             for part in pieces_of(batch):
