@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, rows, texts
+from .common import by_batch, rows, short_batches, texts
 
 # Notices by which works are put under licenses.
 TEMPLATES = {
@@ -39,7 +39,8 @@ TEMPLATES = {
 
 SPEAKS = re.compile(r"licen[sc]|copyright|warrant|public domain|hereby granted|spdx", re.IGNORECASE)
 HINTS = ("icen", "ICEN", "opyright", "OPYRIGHT", "arrant", "ARRANT", "ublic ", "UBLIC ", "ereby", "EREBY", "pdx", "PDX")
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s|$)|(?=\n)|$)")
+# A full stop before a number, as in "v. 2.0", ends no sentence.
+SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=[ \t]+[^\d\s]|[ \t]*(?:\n|$))|(?=\n)|$)")
 WORD = re.compile(r"[\w.+-]*\w")
 LEVEL = 3
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("reduction", pa.float64()), ("n_different", pa.int64()), ("verdict", pa.string())])
@@ -112,6 +113,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     A null or empty text has no blocks, so no rows. Verdict `other` has a null license. Sentences of a long block
     are judged together; repeated rows give repeated results.
     """
+    short_batches(docs.sparkSession)
     own = tuple(sorted((templates or TEMPLATES).items()))
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -336,7 +336,7 @@ def test_secrets(spark, odd, none):
     found = secrets.base_spans(text)
     assert [k for *_, k in found] == ["assign", "access", "assign", "hex"] and found[0] == (2, 18, "assign")
     assert [text[a:b] for a, b, k in found[1:]] == ["AKIA" + "Z" * 16, "api_key='x1y2z3_q", "0a" * 12]
-    shared, own = "Zq9" * 9 + "ab1", "k7Rt2" * 6
+    shared, own = "Zq9Ty4Xw1Vu8Rs2Po7Nm3Lk6Ji5H", "k7Rt2mQ9xZ4vB8nL1pW5sY3dF6gH0j"
     rows = [(i, f"x {shared} y", f"s{i}") for i in range(5)] + [(9, f"é {own} {shared}", "s9"), (10, f"z {own}", "s9")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
@@ -387,4 +387,5 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == n
     assert packed.where(F.col("start") == 0).agg(F.sum("doc_tokens")).first()[0] == packed.agg(F.sum("length")).first()[0]
-    assert corpus_pipeline.run(spark, DATA).count() == packed.count()
+    tokens = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length")).collect()))
+    assert tokens(corpus_pipeline.run(spark, DATA)) == tokens(packed)
