@@ -3,8 +3,9 @@
 Planes are fitted on a bounded sample (`sample` distinct vectors, those that hash lowest); every vector is indexed.
 Equal vectors form one entry first, within each task and then over all, with as many of their smallest ids as a
 result can need, so that a vector that a third of the rows hold is compared once. A query pops tree nodes in the
-order of its smallest margin on the way there until `probes` leaves are visited; each leaf ranks its entries by
-exact double-precision distance, and the best of all leaves are merged.
+order of the summed squares of the margins on the way there until it has visited `share` of all leaves, or `probes`
+of them if that is more: where vectors have no structure to speak of, recall hangs on the share of the leaves that
+are seen. Each leaf ranks its entries by exact double-precision distance, and the best of all leaves are merged.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, rows, settle
+from .common import pieces_of, released, rows, settle
 
 
 class Forest:
@@ -29,8 +30,8 @@ class Forest:
         x = sample.astype(np.float32)
         for _ in range(trees):
             self.roots.append(self._grow(x, np.arange(len(x)), leaf, rng))
-        d = x.shape[1] if x.ndim == 2 else 0
-        self.normal = np.array(self.normal, np.float32).reshape(-1, d)
+        d = x.shape[1]
+        self.normal = np.array(self.normal, np.float32).reshape(len(self.normal), d)
         self.offset = np.array(self.offset, np.float32)
         self.child = np.array(self.child, np.int64).reshape(-1, 2)
 
@@ -68,10 +69,11 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def search(self, q: np.ndarray, probes: int) -> list[int]:
+    def search(self, q: np.ndarray, probes: int, share: float) -> list[int]:
         """The leaves that a query visits, by one queue over all trees."""
+        probes = max(probes, int(np.ceil(share * self.leaves)))
         margin = self.normal @ q.astype(np.float32) - self.offset if len(self.normal) else np.empty(0)
-        queue = [(-np.inf, root) for root in self.roots]
+        queue = [(0.0, root) for root in self.roots]
         heapq.heapify(queue)
         found = []
         while queue and len(found) < probes:
@@ -79,7 +81,7 @@ class Forest:
             while node >= 0:
                 m = float(margin[node])
                 near = int(m > 0)
-                heapq.heappush(queue, (max(far, abs(m)), int(self.child[node, 1 - near])))
+                heapq.heappush(queue, (far + m * m, int(self.child[node, 1 - near])))
                 node = int(self.child[node, near])
             found.append(-1 - node)
         return found
@@ -99,7 +101,7 @@ def _valid(batch: pa.RecordBatch, dims: int | None):
             yield key, v
 
 
-def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 100, probes: int = 80, sample: int = 20_000, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, probes: int = 80, share: float = 0.08, sample: int = 20_000, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do null ids or
@@ -113,6 +115,7 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 100, pr
     most = k + 1
     pair = pa.schema([("vector", pa.binary()), ("ids", pa.list_(pa.int64()))])
 
+    @released
     def gather(batches):
         known: dict[bytes, list[int]] = {}
         for batch in batches:
@@ -132,11 +135,12 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 100, pr
     entries = settle(own.mapInArrow(gather, "vector binary, ids array<long>").groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids")))
     n = entries.count()
     drawn = entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
-    x = np.array([np.frombuffer(r["vector"], np.float64) for r in drawn]).reshape(len(drawn), -1)
+    x = np.array([np.frombuffer(r["vector"], np.float64) for r in drawn]).reshape(len(drawn), dims)
     forest = spark.sparkContext.broadcast(Forest(x, trees, max(2, leaf * len(x) // max(n, 1))))
 
     placed = pa.schema([("leaf", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("query", pa.binary())])
 
+    @released
     def place(batches):
         for batch in batches:
             for part in pieces_of(batch, 1000):
@@ -145,18 +149,20 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 100, pr
                 for t in range(at.shape[1]):
                     yield rows(placed, at[:, t], raw, part.column("ids"), [None] * len(raw))
 
+    @released
     def ask(batches):
         for batch in batches:
             for part in pieces_of(batch, 256):
                 leaves, asked = [], []
                 for v in part.column("vector").to_pylist():
-                    own_leaves = forest.value.search(np.frombuffer(v, np.float64), probes)
+                    own_leaves = forest.value.search(np.frombuffer(v, np.float64), probes, share)
                     leaves += own_leaves
                     asked += [v] * len(own_leaves)
                 yield rows(placed, leaves, [None] * len(leaves), [None] * len(leaves), asked)
 
     query_rows = pa.schema([("query_id", pa.int64()), ("vector", pa.binary())])
 
+    @released
     def queries_of(batches):
         for batch in batches:
             found = list(_valid(batch, dims))
@@ -176,11 +182,12 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 100, pr
             first = np.array([i[0] for i in ids])
             for q in asks["query"]:
                 d = distances(x, np.frombuffer(q, np.float64))
-                for j in np.lexsort((first, d))[:most]:
-                    out.append((q, float(d[j]), list(ids[j])))
-        return pd.DataFrame(out, columns=["query", "score", "ids"])
+                near = sorted((float(d[j]), int(i)) for j in np.lexsort((first, d))[:most] for i in ids[j])[:most]
+                out.append((q, [s for s, _ in near], [i for _, i in near]))
+        return pd.DataFrame(out, columns=["query", "score", "vec_id"])
 
-    found = both.groupBy("leaf").applyInPandas(rank, "query binary, score double, ids array<long>")
-    best = found.select("query", F.explode("ids").alias("vec_id"), "score").groupBy("query", "vec_id").agg(F.min("score").alias("score")).groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, most).alias("best"))
+    # One row for each query and leaf. A vector has the same distance in every leaf, so equal pairs are one hit.
+    found = both.groupBy("leaf").applyInPandas(rank, "query binary, score array<double>, vec_id array<long>").select("query", F.arrays_zip("score", "vec_id").alias("hits"))
+    best = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("best"))
     answered = queries.join(best, queries["vector"] == best["query"]).select("query_id", F.slice(F.expr("filter(best, x -> x.vec_id <> query_id)"), 1, k).alias("best"))
     return answered.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
