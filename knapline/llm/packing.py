@@ -27,11 +27,11 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 class Chunks:
-    """A tokenizer's ids for whole texts, packed. What chunks between spaces encode to is remembered up to a
-    bound; an empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole."""
+    """A tokenizer's ids for whole texts, packed. What chunks between spaces encode to is remembered in two generations
+    of `limit` chunks: when the younger is full the older goes, but chunks that are met again move to the younger; an empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole."""
 
     def __init__(self, path: str, limit: int = 200_000):
-        self.path, self.limit, self.known, self._tokenizer = path, limit, {}, None
+        self.path, self.limit, self.known, self.old, self._tokenizer = path, limit, {}, {}, None
         self.quick = self._quick(Vocabulary(path))
 
     @property
@@ -73,12 +73,15 @@ class Chunks:
         return out
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        known, split, new, whole = self.known, [], set(), {}
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        known, old, split, new, whole = self.known, self.old, [], set(), {}
         for k, text in enumerate(batch):
             first, *chunks = text.split(" ")
             fresh = set(chunks).difference(known)
+            if again := fresh & old.keys():
+                known.update((c, old[c]) for c in again)
+                fresh -= again
             if first.endswith(tuple("\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")) or first[-1:].isspace() or any(not c or len(c) > 256 or c[-1].isspace() for c in fresh) or not first:
                 whole[k] = text
                 split.append(None)
