@@ -80,7 +80,7 @@ def mask_groups(s, d):
 
 
 def events_windows(s, d):
-    """Beyond the reference: hourly counts of the event table, as its stream gives them."""
+    """Hourly counts of the event table, as a stream of it gives them."""
     e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
