@@ -1,17 +1,18 @@
 """License scans by conditional compression.
 
-Candidate blocks (neighbouring lines or sentences that speak of licensing) are compressed on their own and with each
-template as a raw zstandard dictionary. The template that saves most wins; a word-by-word comparison of the winner
-and the block then says whether the wording is exact, a variant, or another text altogether.
+In and around candidate blocks (neighbouring lines or sentences that speak of licensing) every template is looked for
+by its least word-by-word difference, so that a block gives each notice that stands in it. What is found is compressed
+on its own and with its template as a raw zstandard dictionary. Templates are left out of the comparison only where
+counts of shared words show that they differ too much.
 """
 
 from __future__ import annotations
 
-import difflib
 import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -42,7 +43,10 @@ HINTS = ("icen", "ICEN", "opyright", "OPYRIGHT", "arrant", "ARRANT", "ublic ", "
 # A full stop before a number, as in "v. 2.0", ends no sentence.
 SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=[ \t]+[^\d\s]|[ \t]*(?:\n|$))|(?=\n)|$)")
 WORD = re.compile(r"[\w.+-]*\w")
+# What closes a notice behind its last word.
+CLOSE = re.compile(r"[.!?\"')\]]*")
 LEVEL = 3
+TOLERANCE = 0.25
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("reduction", pa.float64()), ("n_different", pa.int64()), ("verdict", pa.string())])
 
 
@@ -70,57 +74,193 @@ def blocks(text: str, gap: int = 2) -> Iterator[tuple[int, int]]:
         yield now
 
 
-@functools.lru_cache(maxsize=4)
-def _books(templates: tuple[tuple[str, str], ...]) -> tuple:
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    known = []
-    for name, body in templates:
+class Form:
+    """A template as numbers of words, and the most words that a variant may differ by."""
+
+    def __init__(self, name: str, body: str, numbers: dict[str, int], tolerance: float):
+        self.name, self.body = name, body
+        self.words = np.array([numbers.setdefault(w, len(numbers)) for w in _words(body)], np.int32)
+        self.n = len(self.words)
+        self.most = int(tolerance * self.n)
+        self.kinds, self.counts = np.unique(self.words, return_counts=True)
         book = zstandard.ZstdCompressionDict(body.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.append((name, body, zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=False, write_dict_id=False)))
-    return plain, known
+        book.precompute_compress(level=LEVEL)
+        self.zip = zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_dict_id=False)
+
+    def reduction(self, text: str) -> float:
+        raw = text.encode()
+        return 1 - len(self.zip.compress(raw)) / len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(raw))
+
+    def shared(self, x: np.ndarray, size: int) -> int:
+        """How many words of the template x has too, repeats counted: the rest differ wherever it may stand in x."""
+        return int(np.minimum(np.bincount(x[x >= 0], minlength=size)[self.kinds], self.counts).sum())
+
+    def find(self, x: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        """(start, end, words that differ) of places in x that don't overlap, the closest first."""
+        out = []
+        raw, own, at = x.tobytes(), self.words.tobytes(), 0
+        while (at := raw.find(own, at)) >= 0:
+            if at % 4:
+                at += 1
+                continue
+            out.append((at // 4, at // 4 + self.n, 0))
+            at += len(own)
+        edges = [0, *(e for a, b, _ in out for e in (a, b)), len(x)]
+        for a, b in list(zip(edges[::2], edges[1::2], strict=True)):
+            if self.most and b - a >= self.n - self.most:
+                out += [(a + i, a + j, d) for i, j, d in self._near(x[a:b], size)]
+        return sorted(out, key=lambda o: (o[2], o[0]))
+
+    def _near(self, x: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+        if self.n - self.shared(x, size) > self.most:
+            return []
+        d = distances(self.words, x)
+        # Where neighbouring ends are as close, the last one holds the word that was changed.
+        ends = np.flatnonzero((d <= self.most) & np.append(d[:-1] != d[1:], True))
+        out, free = [], np.ones(len(x) + 1, bool)
+        for j in ends[np.argsort(d[ends], kind="stable")].tolist():
+            if j == 0 or not free[j - 1]:
+                continue
+            used = np.flatnonzero(~free[max(0, j - self.n - self.most) : j])
+            low = max(0, j - self.n - self.most) + (int(used[-1]) + 1 if len(used) else 0)
+            if j - low < self.n - self.most:
+                continue
+            back = distances(self.words[::-1], x[low:j][::-1], anchored=True)
+            least = int(back.min())
+            if least <= self.most:
+                i = j - int(np.flatnonzero(back == least)[-1])
+                out.append((i, j, least))
+                free[i:j] = False
+        return out
+
+
+def distances(words: np.ndarray, x: np.ndarray, anchored: bool = False) -> np.ndarray:
+    """For each end in x, 0 to its length: the fewest words to change, drop or add between `words` and a part of x that
+    ends there; a part that starts where x does if anchored."""
+    place = np.arange(len(x) + 1, dtype=np.int32)
+    row = place.copy() if anchored else np.zeros_like(place)
+    for k, w in enumerate(words, 1):
+        new = np.minimum(row + 1, np.int32(2**30))
+        np.minimum(new[1:], row[:-1] + (x != w), out=new[1:])
+        new[0] = k
+        row = np.minimum.accumulate(new - place) + place
+    return row
+
+
+@functools.lru_cache(maxsize=4)
+def _forms(templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[list[Form], dict[str, int]]:
+    numbers: dict[str, int] = {}
+    return [Form(name, body, numbers, tolerance) for name, body in templates], numbers
 
 
 def _words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def _without(spans: list[tuple[int, int]], taken: list[tuple]) -> list[tuple[int, int]]:
+    """spans (in order) less what is taken."""
+    out = []
+    taken = sorted(t[:2] for t in taken)
+    for a, b in spans:
+        for i, j in taken:
+            if j > a and i < b:
+                if i > a:
+                    out.append((a, i))
+                a = max(a, j)
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def notices(x: np.ndarray, spans: list[tuple[int, int]], forms: list[Form], size: int) -> list[tuple[int, int, int, Form]]:
+    """(start, end, words that differ, form) of every notice in x that touches one of the spans (in words, in order).
+
+    Of notices that overlap, the one that explains more words stands, but an exact wording of another license inside a
+    variant stands too. What the rest of the words hold is looked for again until nothing more is found.
+    """
+    taken: list[tuple[int, int, int, Form]] = []
+    while True:
+        found = []
+        for form in forms:
+            reach: list[tuple[int, int]] = []
+            for a, b in spans:
+                a, b = max(0, a - form.n - form.most), min(len(x), b + form.n + form.most)
+                if reach and a <= reach[-1][1]:
+                    reach[-1] = (reach[-1][0], max(b, reach[-1][1]))
+                else:
+                    reach.append((a, b))
+            for a, b in _without(reach, taken):
+                if b - a >= form.n - form.most:
+                    found += [(a + i, a + j, d, form) for i, j, d in form.find(x[a:b], size)]
+        found = [f for f in found if any(f[0] < b and f[1] > a for a, b in spans)]
+        before = len(taken)
+        for f in sorted(found, key=lambda f: (2 * f[2] - f[3].n, f[0], f[3].name)):
+            over = [t for t in taken if t[0] < f[1] and t[1] > f[0]]
+            if not over or f[2] == 0 and all(t[2] and t[3].name != f[3].name for t in over):
+                taken.append(f)
+        if len(taken) == before:
+            return sorted(taken, key=lambda t: t[:3])
+
+
+def judge(text: str, templates: tuple[tuple[str, str], ...], tolerance: float = TOLERANCE) -> list[tuple[int, int, str | None, float, int, str]]:
+    """(start, end, license, reduction, words that differ, verdict) of each notice, in code points, and of each block
+    without one, compared with its nearest template."""
+    places = list(blocks(text))
+    if not places:
+        return []
+    forms, numbers = _forms(templates, tolerance)
+    words = list(WORD.finditer(text))
+    x = np.array([numbers.get(m[0].lower(), -1) for m in words], np.int32)
+    begin, end = np.array([m.start() for m in words]), np.array([m.end() for m in words])
+    spans = [(int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, side="right"))) for a, b in places]
+    taken = notices(x, spans, forms, len(numbers))
+    out = []
+    for i, j, d, form in taken:
+        a, b = int(begin[i]), int(end[j - 1])
+        b += len(CLOSE.match(text, b)[0])
+        out.append((a, b, form.name, form.reduction(text[a:b]), d, "variant" if d else "exact"))
+    for (a, b), (i, j) in zip(places, spans, strict=True):
+        if not any(t[0] < j and t[1] > i for t in taken):
+            out.append((a, b, None, *_nearest(text[a:b], templates, tolerance), "other"))
+    return sorted(out, key=lambda o: o[:2])
+
+
 @functools.lru_cache(maxsize=20_000)
-def judge(block: str, templates: tuple[tuple[str, str], ...], tolerance: float = 0.25) -> tuple[str | None, float, int, str]:
-    """(license, reduction, words that differ, verdict). The two best by size reduction are compared word by word,
-    since near-equal notices differ by a byte or two; ties go to the better reduction, then to the name."""
-    plain, known = _books(templates)
-    raw = block.encode()
-    alone = len(plain.compress(raw))
-    ranked = sorted(((1 - len(c.compress(raw)) / alone, name, body) for name, body, c in known), key=lambda r: (-r[0], r[1]))
-    mine = _words(block)
-    best = None
-    for saved, name, body in ranked[:4]:
-        theirs = _words(body)
-        ops = difflib.SequenceMatcher(None, theirs, mine, autojunk=False).get_opcodes()
-        # Text around the notice is not a difference in its wording.
-        inner = [o for k, o in enumerate(ops) if not (o[0] == "insert" and k in (0, len(ops) - 1))]
-        differ = sum(max(b - a, d - c) for tag, a, b, c, d in inner if tag != "equal")
-        if best is None or differ < best[2]:
-            best = (name, saved, differ, len(theirs))
-    name, saved, differ, n = best
-    verdict = "exact" if differ == 0 else "variant" if differ <= tolerance * n else "other"
-    return (None if verdict == "other" else name), saved, differ, verdict
+def _nearest(block: str, templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[float, int]:
+    """(reduction, words that differ) of the template that differs least; of several the one that saves most."""
+    forms, numbers = _forms(templates, tolerance)
+    x = np.array([numbers.get(w, -1) for w in _words(block)], np.int32)
+    least = sorted(((form.n - form.shared(x, len(numbers)), k) for k, form in enumerate(forms)))
+    best: list[tuple[int, int]] = []
+    for bound, k in least:
+        if best and bound > best[0][0]:
+            break
+        d = int(distances(forms[k].words, x).min())
+        if not best or d < best[0][0]:
+            best = []
+        if not best or d == best[0][0]:
+            best.append((d, k))
+    return max(forms[k].reduction(block) for _, k in best), best[0][0]
+
+
+def listed(templates: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    return tuple(sorted(templates.items()))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block: its place in code points, the license, the size reduction and the verdict.
+    """One row per notice: its place in code points, the license, the size reduction and the verdict; one row with
+    verdict `other` and a null license per candidate block without any.
 
-    A null or empty text has no blocks, so no rows. Verdict `other` has a null license. Sentences of a long block
-    are judged together; repeated rows give repeated results.
+    A null or empty text has no blocks, so no rows. A block with several notices gives a row for each; repeated rows
+    give repeated results.
     """
     short_batches(docs.sparkSession)
-    own = tuple(sorted((templates or TEMPLATES).items()))
+    own = listed(templates or TEMPLATES)
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-            for a, b in blocks(text):
-                found.append((doc, a, b, *judge(text[a:b], own)))
+            found += [(doc, *row) for row in judge(text, own)]
         return rows(OUT, *(map(list, zip(*found, strict=True)) if found else [[]] * len(OUT)))
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(by_batch(search), "doc_id long, start long, end long, license string, reduction double, n_different long, verdict string")

@@ -361,6 +361,31 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == 1 and licenses.scan(none).count() == 0
 
 
+def test_licenses_each_notice(spark):
+    names = licenses.TEMPLATES
+    both = "Released under the MIT License. Licensed under CC BY-NC 4.0."
+    rows = [(0, both), (1, " ".join(names.values())), (2, "Licensed under CC BY-NC 4.0. Under the MIT License."), (3, f"{both} {both}")]
+    got = {}
+    for r in sorted(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r["start"]):
+        got.setdefault(r["doc_id"], []).append((rows[r["doc_id"]][1][r["start"] : r["end"]], r["license"], r["verdict"]))
+    assert got[0] == [(names[k], k, "exact") for k in ("MIT", "CC-BY-NC-4.0")] and got[3] == got[0] * 2
+    assert got[1] == [(t, k, "exact") for k, t in names.items()]
+    assert [g[1:] for g in got[2]] == [("CC-BY-NC-4.0", "exact"), ("MIT", "variant")]
+
+
+def test_license_distances():
+    r = random.Random(2)
+    for _ in range(50):
+        words, x = ([r.randrange(4) for _ in range(r.randrange(1, n))] for n in (6, 9))
+        row = [0] * (len(x) + 1)
+        for k, w in enumerate(words, 1):
+            new = [k]
+            for j, v in enumerate(x, 1):
+                new.append(min(row[j] + 1, row[j - 1] + (v != w), new[-1] + 1))
+            row = new
+        assert licenses.distances(np.array(words), np.array(x)).tolist() == row
+
+
 def test_toxicity(spark, odd, none, labels):
     docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = marks.select("doc_id", F.col("toxic").alias("truth"))
