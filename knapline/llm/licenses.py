@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,43 @@ TEMPLATES = {
     "EPL-2.0": "This program is made available under the terms of the Eclipse Public License 2.0.",
 }
 
+WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details. You should have received a copy of the {1} along with this {0}"
+FREE = "This {0} is free software{2} you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation{3} either version {4} of the License, or (at your option) any later version."
+STREET = "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+PAGE = ". If not, see <https://www.gnu.org/licenses/>."
+GNU = {
+    "GPL-3.0": ("program", "GNU General Public License", ":", ",", "3"),
+    "GPL-2.0": ("program", "GNU General Public License", ";", ";", "2"),
+    "LGPL-2.1": ("library", "GNU Lesser General Public License", ";", ";", "2.1"),
+    "AGPL-3.0": ("program", "GNU Affero General Public License", ":", ",", "3"),
+}
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+CREATIVE = "This work is licensed under {} Creative Commons {} 4.0 International License."
+LETTER = " To view a copy of this license, visit http://creativecommons.org/licenses/{}/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."
+CC = {"CC-BY-4.0": ("Attribution", "by"), "CC-BY-SA-4.0": ("Attribution-ShareAlike", "by-sa"), "CC-BY-NC-4.0": ("Attribution-NonCommercial", "by-nc")}
+# Short texts and the headers that works carry, besides the notices; whole texts of the longer licenses are files.
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", BSD.format("")),
+    ("BSD-3-Clause", BSD.format(NAMES)),
+    ("BSD-3-Clause", BSD.format("3. " + NAMES)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    *((name, FREE.format(*v)) for name, v in GNU.items()),
+    *((name, f"{FREE.format(*v)} {WARRANTY.format(*v)}{end}") for name, v in GNU.items() for end in (PAGE, STREET)),
+    *((name, CREATIVE.format(a, kind)) for name, (kind, _) in CC.items() for a in ("a", "the")),
+    *((name, CREATIVE.format(a, kind) + LETTER.format(path)) for name, (kind, path) in CC.items() for a in ("a", "the")),
+    *((name, f"SPDX-License-Identifier: {name}{end}") for name in (*TEMPLATES, "BSD-2-Clause") for end in (("", "-only", "-or-later") if name in GNU else ("",))),
+]
+FILES = ("Apache-2.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0")
+# What follows the terms: advice on how to apply them, which copies often lack.
+TAIL = re.compile(r"\n[^\n]*END OF TERMS AND CONDITIONS.*|\nExhibit A - .*", re.DOTALL)
+SECTION_13 = re.compile(r"13\. Use with the GNU Affero General Public License\..*?(?=14\. Revised Versions)", re.DOTALL)
+REMOTE = "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph. Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work. The terms of this License will continue to apply to the part which is the covered work, but the work with which it is combined will remain governed by version 3 of the GNU General Public License. "
+
 SPEAKS = re.compile(r"licen[sc]|copyright|warrant|public domain|hereby granted|spdx", re.IGNORECASE)
 HINTS = ("icen", "ICEN", "opyright", "OPYRIGHT", "arrant", "ARRANT", "ublic ", "UBLIC ", "ereby", "EREBY", "pdx", "PDX")
 # A full stop before a number, as in "v. 2.0", ends no sentence.
@@ -227,26 +265,42 @@ def judge(text: str, templates: tuple[tuple[str, str], ...], tolerance: float =
 
 @functools.lru_cache(maxsize=20_000)
 def _nearest(block: str, templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[float, int]:
-    """(reduction, words that differ) of the template that differs least; of several the one that saves most."""
+    """(reduction, words that differ) of the template of whose words the least share differs; of several the one that
+    saves most."""
     forms, numbers = _forms(templates, tolerance)
     x = np.array([numbers.get(w, -1) for w in _words(block)], np.int32)
-    least = sorted(((form.n - form.shared(x, len(numbers)), k) for k, form in enumerate(forms)))
-    best: list[tuple[int, int]] = []
+    least = sorted((1 - form.shared(x, len(numbers)) / form.n, k) for k, form in enumerate(forms))
+    best: list[tuple[float, int, int]] = []
     for bound, k in least:
-        if best and bound > best[0][0]:
+        if best and bound > best[0][0] + 1e-9:
             break
         d = int(distances(forms[k].words, x).min())
-        if not best or d < best[0][0]:
+        if not best or d / forms[k].n < best[0][0]:
             best = []
-        if not best or d == best[0][0]:
-            best.append((d, k))
-    return max(forms[k].reduction(block) for _, k in best), best[0][0]
+        if not best or d / forms[k].n == best[0][0]:
+            best.append((d / forms[k].n, d, k))
+    return max((forms[k].reduction(block), d) for _, d, k in best)
 
 
 def listed(templates: dict[str, str]) -> tuple[tuple[str, str], ...]:
     return tuple(sorted(templates.items()))
 
 
+def _affero(text: str) -> str:
+    """The GNU Affero license from the GNU GPL: another name and section 13."""
+    name = re.compile(r"GNU(\s+)General(\s+)Public(\s+)License", re.IGNORECASE)
+    parts = SECTION_13.split(text)
+    return REMOTE.join(name.sub(r"GNU Affero\1General\2Public\3License", p) for p in parts)
+
+
+@functools.cache
+def everything() -> tuple[tuple[str, str], ...]:
+    """The notices, headers and whole texts, the latter also without what follows their terms."""
+    own = {name: (resources.files(__package__) / "license_texts" / f"{name}.txt").read_text(encoding="utf-8") for name in FILES}
+    own["AGPL-3.0"] = _affero(own["GPL-3.0"])
+    return tuple(sorted({*TEMPLATES.items(), *HEADERS, *own.items(), *((name, TAIL.sub("", t)) for name, t in own.items())}))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per notice: its place in code points, the license, the size reduction and the verdict; one row with
     verdict `other` and a null license per candidate block without any.
@@ -255,7 +309,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     give repeated results.
     """
     short_batches(docs.sparkSession)
-    own = listed(templates or TEMPLATES)
+    own = listed(templates) if templates else everything()
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []

@@ -3,6 +3,7 @@
 import array
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,6 +374,18 @@ def test_licenses_each_notice(spark):
     assert [g[1:] for g in got[2]] == [("CC-BY-NC-4.0", "exact"), ("MIT", "variant")]
 
 
+def test_licenses_whole_texts(spark):
+    forms = [f for f in licenses.everything() if len(f[1]) < 5000]
+    wrapped = [(k, "/* Copyright 2020 A. Body\n * " + re.sub(r"(.{60}\S*)\s", r"\1\n * ", t) + "\n */\nint main() {}") for k, t in forms]
+    long = [f for f in licenses.everything() if len(f[1]) >= 5000]
+    rows = [(i, t) for i, (_, t) in enumerate(wrapped + [(k, f"Before it.\n\n{t}\n\nAfter it.") for k, t in long])]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("license is not null").collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["verdict"]))
+    assert {"MIT", "ISC", "BSD-3-Clause", "Apache-2.0"} < {k for k, _ in forms} and {"GPL-3.0", "LGPL-2.1", "EPL-2.0"} < {k for k, _ in long}
+    assert [got.get(i) for i in range(len(rows))] == [[(k, "exact")] for k, _ in forms + long]
+
+
 def test_license_distances():
     r = random.Random(2)
     for _ in range(50):
