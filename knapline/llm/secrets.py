@@ -2,8 +2,9 @@
 
 Patterns with a fixed form are reported wherever they stand. Looser candidates (long mixed runs) are judged by
 the whole corpus: their hashes are summed by distinct repositories and owners, first within each input partition
-and then over all. What several owners share is an example that was copied around; what one owner has alone, in
-few repositories, looks live and is reported as well.
+and then over all. What several owners share, or what stands in many repositories of one, is an example that was
+copied around; what one owner has alone, in few repositories, looks live and is reported as well. Where no column
+names repositories, each distinct text is one, so that exact copies of a document count once.
 """
 
 from __future__ import annotations
@@ -54,13 +55,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = 1, max_repositories: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, repository: str | None = None, owner: str = "source", max_owners: int = 1, max_repositories: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans.
 
     `owned` spans are loose candidates whose value has at most max_owners owners and max_repositories repositories
-    in the whole corpus. A null or empty text has no spans; a null repository or owner counts as one of its own
-    name, the empty one. Repeated rows each get their row. A secret that many copies of one document by several
-    owners share is an example by this measure.
+    in the whole corpus; without a repository column each distinct text is a repository. A null or empty text has no
+    spans; a null repository or owner counts as one of its own name, the empty one. Repeated rows each get their row.
+    A secret that many copies of one document by several owners share, or more than max_repositories different texts
+    of one owner, is an example by this measure.
     """
     found = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("base", pa.string()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("values", pa.list_(pa.binary())), ("loose", pa.list_(pa.string())), ("repository", pa.string()), ("owner", pa.string())])
 
@@ -70,12 +72,15 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max
             spans = base_spans(text)
             n = Counter(s[2] for s in spans)
             loose = loose_spans(text)
-            key = text_key(f"{doc}\0{repo}\0{own}\0".encode() + text.encode()) if loose else None
+            raw = text.encode() if loose else b""
+            key = text_key(f"{doc}\0{repo}\0{own}\0".encode() + raw) if loose else None
+            if repository is None:
+                repo = text_key(raw).hex() if loose else ""
             out.append((doc, key, joined(spans), n["assign"], n["access"], n["hex"], [text_key(text[a:b].encode()) for a, b in loose], [f"owned:{a}:{b}" for a, b in loose], repo, own))
         return rows(found, *map(list, zip(*out, strict=True)))
 
     short_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit("") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
     hits = settle(own.mapInArrow(by_batch(search), "doc_id long, key binary, base string, n_assign long, n_access long, n_hex long, values array<binary>, loose array<string>, repository string, owner string"))
     candidates = hits.where("size(values) > 0").select("key", "repository", "owner", F.explode(F.arrays_zip("values", "loose")).alias("c")).select("key", "repository", "owner", F.col("c.values").alias("value"), F.col("c.loose").alias("span"))
     kept = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy("key").agg(F.collect_set("span").alias("owned"))
@@ -87,7 +92,8 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", max
 
 def live_values(candidates: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """(value): what few enough owners and repositories hold, of (value, repository, owner) rows. Distinct places are
-    formed first, within each task, so that a value that a third of the rows hold reaches its count as few rows."""
+    formed and counted within each task first, so that a value that a third of the rows hold reaches its total as few
+    rows."""
     places = candidates.select("value", "repository", "owner").distinct()
     n = places.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
     return n.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("value")
@@ -98,10 +104,11 @@ def _merge(base: str, owned: list[str]) -> str:
     return joined(spans)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", repository: str = "source", owner: str = "source", max_owners: int = 1, max_repositories: int = 3, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", repository: str | None = None, owner: str = "source", max_owners: int = 1, max_repositories: int = 3, text_col: str = "text") -> DataFrame:
     """docs with every reported span replaced by a mark; overlapping spans count as one. All columns stay.
 
-    A text without spans is left as it is, a null one stays null. Only rows with loose candidates are joined.
+    A text without spans is left as it is, a null one stays null. Only rows with loose candidates are joined. Owners
+    and repositories as in `scan`.
     """
 
     short_batches(docs.sparkSession)
@@ -131,7 +138,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", repository: str = "source",
     marked = docs.mapInArrow(mark_rows, wide)
     loose = marked.where(F.size(vals) > 0)
     place = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    candidates = settle(loose.select(F.col(name).alias("k"), place(repository).alias("repository"), place(owner).alias("owner"), F.explode(vals).alias("value")))
+    candidates = settle(loose.select(F.col(name).alias("k"), (F.hex(name) if repository is None else place(repository)).alias("repository"), place(owner).alias("owner"), F.explode(vals).alias("value")))
     live = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy(F.col("k").alias(name)).agg(F.collect_set("value").alias(owned))
     back = [F.col(f"`{c}`") for c in docs.columns]
     plain = marked.where(F.size(vals) == 0).select(*back)

@@ -350,6 +350,18 @@ def test_secrets(spark, odd, none):
     assert "hunter22secret" not in " ".join(r["text"] or "" for r in back.collect())
 
 
+def test_secrets_copied_within_one_owner(spark):
+    example, live, copied = "Zq9Ty4Xw1Vu8Rs2Po7Nm3Lk6Ji5H", "k7Rt2mQ9xZ4vB8nL1pW5sY3dF6gH0j", "Ab3Cd6Ef9Gh2Ij5Kl8Mn1Op4Qr7S"
+    for source in ("s", None):
+        rows = [(i, f"text {i} {example}", source) for i in range(4)] + [(10 + i, f"text {i} {live}", source) for i in range(3)] + [(20 + i, f"same {copied}", source) for i in range(5)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+        assert {i for i, spans in got.items() if spans} == {10, 11, 12, 20, 21, 22, 23, 24}
+        clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+        assert all((clean[i] != text) == bool(got[i]) for i, text, _ in rows) and len(clean) == len(rows)
+        assert all(r["spans"] for r in secrets.scan(docs, repository="source").collect())
+
+
 def test_licenses(spark, odd, none):
     names = licenses.TEMPLATES
     rows = [(i, f"Some words here.\n{t}\nMore words follow.") for i, t in enumerate(names.values())] + [(90, "Licensed under the Apache License, Version 2.1."), (91, "He lost his driving licence in an accident on the road to the sea last summer."), (92, None)]
