@@ -8,6 +8,7 @@ most `sample` labelled rows, the documented bound; their words are counted in ta
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 
@@ -29,10 +30,20 @@ def words(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
+@functools.cache
+def _upper() -> np.ndarray:
+    """Which code points are capitals."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def capitals(text: str) -> int:
+    return int(_upper()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].sum())
+
+
 def shape(text: str, n: int) -> list[float]:
-    """How a text looks, whatever its words: share of marks and capitals, size."""
+    """How a text looks, whatever its words: share of marks and capitals in the whole of it, size."""
     size = max(1, len(text))
-    return [sum(map(text.count, MARKS)) / size * 10, sum(1 for c in text[:: max(1, size // 2000)] if c.isupper()) / max(1, len(text[:: max(1, size // 2000)])), np.log1p(n) / 8]
+    return [sum(map(text.count, MARKS)) / size * 10, capitals(text) / size, np.log1p(n) / 8]
 
 
 class Linear:

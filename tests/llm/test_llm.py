@@ -411,6 +411,12 @@ def test_license_distances():
         assert licenses.distances(np.array(words), np.array(x)).tolist() == row
 
 
+def test_capitals_of_whole_texts():
+    r = random.Random(4)
+    for text in ("", "Aé ÉΩß日", "Ab" * 3000, "aB" * 3000, "".join(r.choice("aB cÉ日\U0001d400") for _ in range(9001))):
+        assert toxicity.shape(text, 0)[1] == sum(c.isupper() for c in text) / max(1, len(text))
+
+
 def test_toxicity(spark, odd, none, labels):
     docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = marks.select("doc_id", F.col("toxic").alias("truth"))
