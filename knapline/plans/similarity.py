@@ -67,7 +67,7 @@ def ward_order(s, d):
 
 
 def archetypes_(s, d):
-    _, mix = archetypes.archetypes(coords(s, d), ["c1", "c2", "c3"], steps=150, restarts=2)
+    _, mix = archetypes.archetypes(coords(s, d), ["c1", "c2", "c3"])
     return mix.select("id", "k", r("w", 5).alias("w"))
 
 

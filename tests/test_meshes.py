@@ -198,3 +198,13 @@ def test_embedders(spark, cube):
     assert len(got) == embed.Descriptor().width
     with pytest.raises(RuntimeError, match="not installed"):
         embed.build("no_such_module_here:Model")
+
+
+def test_archetypes_query_takes_the_defaults(spark):
+    from knapline.plans import catalog, inputs
+
+    data = "/root/testdata/sf0.001"
+    rows = inputs.coords(spark, data).orderBy("id").collect()
+    _, m = archetypes.analyse(np.array([[r["c1"], r["c2"], r["c3"]] for r in rows], float), 4, steps=500, restarts=3)
+    got = {(r["id"], r["k"]): r["w"] for r in catalog.queries()["archetypes"](spark, data).collect()}
+    assert len(got) == m.size and all(abs(got[r["id"], k] - m[i, k]) < 1e-4 for i, r in enumerate(rows) for k in range(4))
