@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, cross, dot, minus, named, norm, xyz
-from .lineage import settle
+from .lineage import Scratch, settle
 
 
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -205,11 +205,13 @@ def keep_largest(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Data
 def clean_mesh(vertices: DataFrame, faces: DataFrame, largest: bool = True, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """Merges vertices, drops degenerate faces and unused vertices, keeps the largest component, orients outward. A
     breadth-first pass over windings would change nothing, since orienting outward doesn't depend on windings."""
-    v, f = map(settle, merge_vertices(vertices, faces, tolerance))
-    v, f = map(settle, reindex(v, settle(drop_degenerate(v, f))))
-    if largest:
-        v, f = map(settle, keep_largest(v, f))
-    return reindex(v, settle(orient_outward(v, f)))
+    with Scratch(vertices.sparkSession) as scratch:
+        v, f = map(scratch.settle, merge_vertices(vertices, faces, tolerance))
+        v, f = map(scratch.settle, reindex(v, scratch.settle(drop_degenerate(v, f))))
+        if largest:
+            v, f = map(scratch.settle, keep_largest(v, f))
+        v, f = map(settle, reindex(v, scratch.settle(orient_outward(v, f))))
+    return v, f
 
 
 def mesh_metadata(raw: tuple[DataFrame, DataFrame], clean: tuple[DataFrame, DataFrame]) -> DataFrame:
