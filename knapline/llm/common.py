@@ -11,7 +11,6 @@ import ctypes
 import functools
 import gc
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import Scratch, settle  # noqa: F401
+
 SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -66,36 +67,32 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _SPACES = np.isin(np.arange(256), list(SPACE))
-_BASE = 0x9E3779B97F4A7C15
-_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of an odd base and of its inverse modulo 2**64, up to n at least."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+_LENGTHS = mix(np.arange(1, 66, dtype=np.uint64))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+LONG = 64  # bytes of a word from which it is hashed on its own
 
 
 def hash_words(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, in order: what bytes.split() gives, but without an object a word. A word's
-    hash is the difference of two running sums of byte values by powers of an odd base, shifted back to its start."""
+    """64-bit hashes of the words of a text, in order: what bytes.split() gives, but without an object a word. A word is
+    taken in lanes of 8 bytes, each of which is mixed in by a bijection; a long word goes by its xxh3 hash."""
     if not raw:
         return np.empty(0, np.uint64)
-    b = np.frombuffer(raw, np.uint8)
-    word = np.zeros(len(b) + 2, np.int8)
-    word[1:-1] = ~_SPACES[b]
+    word = np.zeros(len(raw) + 2, np.int8)
+    word[1:-1] = ~_SPACES[np.frombuffer(raw, np.uint8)]
     turn = np.diff(word)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-    up, down = _power_tables(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_LETTERS[b] * up[: len(b)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    size = end - start
+    lane = np.ndarray(len(raw), "<u8", raw + bytes(8), strides=(1,))  # the 8 bytes from every place on
+    out = mix(lane[start] & _MASKS[np.minimum(size, 8)]) ^ _LENGTHS[np.minimum(size, 65) - 1]
+    at, left = start, size
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    while len(more):
+        at, left = at + 8, left - 8
+        out[more] = mix((out[more] + np.uint64(0x9E3779B97F4A7C15)) ^ (lane[at[more]] & _MASKS[np.minimum(left[more], 8)]))
+        more = more[left[more] > 8]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : end[k]])
+    return out
 
 
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -120,23 +117,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else "/tmp/checkpoints/knapline"
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/knapline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def released(run: Callable) -> Callable:
     """run, whose task gives memory back when it ends: Python workers outlive tasks, and one executor has several."""
 

@@ -3,21 +3,23 @@
 A passage is a window of `length` tokens (bytes, or words). Of every window's first `reach` positions the one with
 the least 16-token hash is its anchor; equal windows have equal anchors, so only suffixes at anchors need sorting.
 
-1. Each task finds its anchors. Anchors whose whole context (all windows that they stand for) occurs twice are
-   settled by the context's 128-bit hash, first within the task; anchors that share nothing are dropped.
+1. Each task finds its anchors. Suffixes whose whole context (all windows that they stand for) is equal are one entry
+   of the array, found by the context's 128-bit hash, first within the task; anchors that share nothing are dropped.
 2. The rest, about where passages begin and end, fetch their contexts from the texts. Sampled splitters deal these
-   suffixes out by their leading tokens. Splitters are no longer than what all windows of an anchor have in
-   common, so that windows that are equal never fall on two sides of a boundary.
+   suffixes out by their leading tokens.
 3. Each bucket sorts its suffixes by multikey quicksort, and likewise the tokens before the anchors, read backwards.
    For every offset of a window from its anchor, windows are equal where no short common prefix lies between them
-   in either order.
+   in either order. Where a suffix shares the window's tokens with a splitter, equal windows may lie on the other side
+   of the boundary: one window of each class is then compared across buckets.
 
-Texts go by a 128-bit key, so that neither ids nor repeated rows matter.
+Texts go by a 128-bit key, so that neither ids nor repeated rows matter: a text that stands twice is repeated as a
+whole, and its copies cost no more than the hash of each.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 from collections.abc import Callable
 
@@ -30,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructType
 
-from .common import fresh, hash_words, mix, pieces_of, raw_texts, released, rows, settle, short_batches, text_key
+from .common import Scratch, by_batch, fresh, hash_words, mix, pieces_of, raw_texts, released, rows, settle, short_batches, text_key
 
 ANCHOR = np.dtype([("h", "<u8"), ("c0", "<u8"), ("c1", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("a", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("f", "u1")])
 RUN = np.dtype([("first", "<i4"), ("last", "<i4")])  # of window starts
 ASK = np.dtype([("a", "<i4"), ("lo", "<u2"), ("hi", "<u2"), ("f", "u1")])
-SAMPLE = 3000  # texts from which splitters are drawn
+CUT = np.dtype([("from", "<i4"), ("to", "<i4")])  # of tokens
+SAMPLE, DRAWN = 3000, 20_000  # texts from which splitters are drawn, suffixes of these
 FILTER_BITS = 22
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -80,7 +83,9 @@ class Unit:
 
 OUT = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "key binary, kind int, bucket int, blob binary"
-DONE, DEALT, ASKED = 0, 1, 2
+DONE, DEALT, ASKED, EDGE = 0, 1, 2, 3
+EDGES = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("start", pa.int32()), ("blob", pa.binary())])
+EDGES_DDL = "key binary, kind int, start int, blob binary"
 
 
 def _key(k0, k1) -> bytes:
@@ -88,10 +93,11 @@ def _key(k0, k1) -> bytes:
 
 
 def _by_key(found: np.ndarray, kind: int, pack: Callable[[np.ndarray], bytes]) -> pa.RecordBatch | None:
-    """Rows (key, blob), one for each text among the anchors."""
+    """Rows (key, blob), one for each text among the anchors; an anchor that several tasks found counts once."""
     if not len(found):
         return None
     found = found[np.lexsort((found["a"], found["k1"], found["k0"]))]
+    found = found[~_same(found, ("a", "k1", "k0"))]
     cut = np.flatnonzero(np.concatenate([[True], (found["k0"][1:] != found["k0"][:-1]) | (found["k1"][1:] != found["k1"][:-1])]))
     parts = np.split(found, cut[1:])
     m = len(parts)
@@ -119,14 +125,13 @@ def _same(found: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
 def _find(unit: Unit, buckets: int, flush: int = 400_000):
     @released
     def run(batches):
-        held, n = [], 0
+        held, n, seen, again = [], 0, {}, set()
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def out():
             all_ = np.concatenate(held)
             all_ = all_[np.lexsort((all_["c1"], all_["c0"]))]
-            again = _same(all_, ("c0", "c1"))
-            first = np.flatnonzero(~again)
+            first = np.flatnonzero(~_same(all_, ("c0", "c1")))
             many = np.repeat(np.diff(np.append(first, len(all_))) > 1, np.diff(np.append(first, len(all_))))
             # A context that the task holds twice is settled here; one of its anchors goes on for all.
             if (done := _by_key(all_[many], DONE, _whole)) is not None:
@@ -145,14 +150,18 @@ def _find(unit: Unit, buckets: int, flush: int = 400_000):
                 for raw in raw_texts(part):
                     if len(raw) < unit.length:
                         continue
+                    k = text_key(raw)
+                    if k in seen:
+                        again.add(k)
+                        continue
                     tokens = unit.tokens(raw)
+                    seen[k] = len(tokens)
                     if len(tokens) < unit.length:
                         continue
                     a, lo, hi = unit.anchors(tokens)
                     body, w = memoryview(unit.packed(tokens)), unit.width
                     x = np.zeros(len(a), ANCHOR)
                     x["a"], x["lo"], x["hi"] = a, a - lo, a - hi
-                    k = text_key(raw)
                     x["k0"], x["k1"] = int.from_bytes(k[:8], "little"), int.from_bytes(k[8:], "little")
                     h64, h128, common, length = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, unit.common, unit.length
                     x["h"] = [h64(body[w * i : w * (i + common)]) for i in a.tolist()]
@@ -165,21 +174,43 @@ def _find(unit: Unit, buckets: int, flush: int = 400_000):
                     held, n = [], 0
         if held:
             yield from out()
+        if whole := [k for k in again if seen[k] >= unit.length]:
+            m = len(whole)
+            yield rows(OUT, whole, [DONE] * m, [None] * m, [np.array([(0, seen[k] - unit.length)], RUN).tobytes() for k in whole])
 
     return run
 
 
+def _each_bucket(batches, names: tuple[str, ...]):
+    """(bucket, columns as lists) of input that is sorted by bucket."""
+    now, held = None, {c: [] for c in names}
+    for batch in batches:
+        b = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            if now is not None and b[lo] != now:
+                yield now, held
+                held = {c: [] for c in names}
+            now = int(b[lo])
+            for c in names:
+                held[c] += batch.column(c).slice(lo, hi - lo).to_pylist()
+    if now is not None:
+        yield now, held
+
+
 @released
 def _meet(batches):
-    """All anchors of some buckets: settles contexts that occur twice, asks for those of the others that share their
-    common tokens with another context, and drops the rest."""
-    plain, held = zstandard.ZstdDecompressor(), []
-    for batch in batches:
-        held += [np.frombuffer(plain.decompress(b), ANCHOR) for b in batch.column("blob").to_pylist()]
-    if not held:
-        return
-    x = np.concatenate(held)
-    del held
+    """All anchors of some buckets, a bucket at a time."""
+    plain = zstandard.ZstdDecompressor()
+    for _, held in _each_bucket(batches, ("blob",)):
+        yield from _settled(np.concatenate([np.frombuffer(plain.decompress(b), ANCHOR) for b in held["blob"]]))
+
+
+def _settled(x: np.ndarray):
+    """Settles contexts that occur twice, asks for those of the others that share their common tokens with another
+    context, and drops the rest."""
     h, count = np.unique(x["h"], return_counts=True)
     x = x[np.isin(x["h"], h[count > 1])]
     x = x[np.lexsort((x["c1"], x["c0"], x["h"]))]
@@ -258,7 +289,7 @@ def _contexts(own: DataFrame, asked: DataFrame, unit: Unit, splitters) -> DataFr
                     body = unit.packed(unit.tokens(raw))
                     for a, lo, hi, f in np.frombuffer(b"".join(blobs), ASK).tolist():
                         right = body[w * a : w * (a - hi + unit.length)]
-                        found.append((bisect.bisect_right(bounds, right[: w * unit.common]), right, body[w * (a - lo) : w * a], key, a, lo, hi, f))
+                        found.append((bisect.bisect_right(bounds, right), right, body[w * (a - lo) : w * a], key, a, lo, hi, f))
                 if found:
                     yield rows(out, *map(list, zip(*found, strict=True)))
 
@@ -317,87 +348,128 @@ def common_prefixes(order: np.ndarray, x: np.ndarray, lengths: np.ndarray) -> np
     return out
 
 
-def repeated_windows(right: list[bytes], left: list[bytes], lo: np.ndarray, hi: np.ndarray, unit: Unit):
-    """Yields (offset, records): whose window that begins `offset` tokens before the anchor occurs twice or more."""
+def prefixes_with(x: np.ndarray, lengths: np.ndarray, other: bytes) -> np.ndarray:
+    """Bytes that each string shares with another one."""
+    wide = 8 * x.shape[1]
+    both = np.vstack([np.frombuffer(other[:wide].ljust(wide, b"\0"), ">u8").astype(np.uint64), x])
+    order = np.stack([np.zeros(len(x), np.int64), np.arange(1, len(x) + 1)], axis=1).reshape(-1)
+    return common_prefixes(order, both, np.concatenate([[len(other)], lengths]))[1::2]
+
+
+def equal_windows(right: list[bytes], left: list[bytes], lo: np.ndarray, hi: np.ndarray, unit: Unit, sides: tuple[bytes, ...] = ()):
+    """Yields (offset, records, class of each, size of each class, whether each is at a boundary) for the windows that
+    begin `offset` tokens before the anchor; sides: the splitters next to the bucket."""
     m = len(right)
-    ranks = []
+    ranks, edge = [], np.zeros(m, np.int64)
     for strings in (right, [s[::-1] if unit.width == 1 else _backwards(s) for s in left]):
-        x = as_words(strings)
+        x, sizes = as_words(strings), np.array([len(s) for s in strings])
         order = multikey_quicksort(strings, x)
-        shared = common_prefixes(order, x, np.array([len(s) for s in strings])) // unit.width
-        ranks.append((order, shared))
+        ranks.append((order, common_prefixes(order, x, sizes) // unit.width))
+        if strings is right:
+            for side in sides:
+                edge = np.maximum(edge, prefixes_with(x, sizes, side) // unit.width)
     (by_right, share_right), (by_left, share_left) = ranks
     for o in range(int(hi.min(initial=0)), int(lo.max(initial=0)) + 1):
         valid = np.flatnonzero((hi <= o) & (o <= lo))
-        if len(valid) < 2:
+        at_edge = edge[valid] >= unit.length - o
+        if len(valid) < 2 and not at_edge.any():
             continue
         class_right, class_left = np.empty(m, np.int64), np.empty(m, np.int64)
         class_right[by_right] = np.cumsum(share_right < unit.length - o)
         class_left[by_left] = np.cumsum(share_left < o)
         _, where, count = np.unique(class_right[valid] * (m + 1) + class_left[valid], return_inverse=True, return_counts=True)
-        if len(again := valid[count[where] > 1]):
-            yield o, again
+        yield o, valid, where, count, at_edge
 
 
 def _backwards(s: bytes) -> bytes:
     return np.frombuffer(s, ">u8")[::-1].tobytes()
 
 
-def _sort(unit: Unit):
+def _sort(unit: Unit, splitters):
+    """Sorts buckets: runs of repeated windows, and of each class of windows at a boundary one as its 128-bit hash, with
+    its place if nothing in the bucket equals it."""
+
     @released
     def run(batches):
-        cols = {c: [] for c in ("right", "left", "key", "a", "lo", "hi", "f")}
-        for batch in batches:
-            for c, held in cols.items():
-                held += batch.column(c).to_pylist()
-        if not cols["a"]:
-            return
-        a, lo, hi = (np.array(cols[c], np.int64) for c in ("a", "lo", "hi"))
-        record, start = [], []
-        for o, again in repeated_windows(cols["right"], cols["left"], lo, hi, unit):
-            record.append(again)
-            start.append(a[again] - o)
-        if not record:
-            return
-        record, start = np.concatenate(record), np.concatenate(start)
-        order = np.lexsort((start, record))
-        record, start = record[order], start[order]
-        cut = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (start[1:] != start[:-1] + 1)]))
-        runs = np.empty(len(cut), RUN)
-        runs["first"], runs["last"] = start[cut], start[np.append(cut[1:] - 1, len(start) - 1)]
-        by: dict[bytes, list] = {}
-        for r, one in zip(record[cut].tolist(), runs, strict=True):
-            if not cols["f"][r]:
-                by.setdefault(cols["key"][r], []).append(one.tobytes())
-        if by:
-            m = len(by)
-            yield rows(OUT, list(by), [DONE] * m, [None] * m, [b"".join(v) for v in by.values()])
+        bounds, w = splitters.value, unit.width
+        for bucket, cols in _each_bucket(batches, ("right", "left", "key", "a", "lo", "hi", "f")):
+            right, left, key = cols["right"], cols["left"], cols["key"]
+            a, lo, hi, f = (np.array(cols[c], np.int64) for c in ("a", "lo", "hi", "f"))
+            record, start, edges = [], [], []
+            for o, valid, where, count, at_edge in equal_windows(right, left, lo, hi, unit, tuple(bounds[max(0, bucket - 1) : bucket + 1])):
+                again = valid[count[where] > 1]
+                record.append(again)
+                start.append(a[again] - o)
+                if at_edge.any():
+                    classes, first = np.unique(where[at_edge], return_index=True)
+                    for r, size in zip(valid[at_edge][first].tolist(), count[classes].tolist(), strict=True):
+                        whole = left[r][len(left[r]) - w * o :] + right[r][: w * (unit.length - o)]
+                        alone = size == 1 and not f[r]
+                        edges.append((key[r] if alone else None, int(a[r]) - o, xxhash.xxh3_128_digest(whole)))
+                if len(edges) > 100_000:
+                    yield rows(EDGES, [e[0] for e in edges], [EDGE] * len(edges), [e[1] for e in edges], [e[2] for e in edges])
+                    edges = []
+            if edges:
+                yield rows(EDGES, [e[0] for e in edges], [EDGE] * len(edges), [e[1] for e in edges], [e[2] for e in edges])
+            if not record:
+                continue
+            record, start = np.concatenate(record), np.concatenate(start)
+            record, start = record[f[record] == 0], start[f[record] == 0]
+            order = np.lexsort((start, record))
+            record, start = record[order], start[order]
+            cut = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (start[1:] != start[:-1] + 1)])) if len(record) else np.empty(0, np.int64)
+            by: dict[bytes, list] = {}
+            for r, first, last in zip(record[cut].tolist(), start[cut].tolist(), start[np.append(cut[1:] - 1, len(start) - 1)].tolist() if len(cut) else [], strict=True):
+                by.setdefault(key[r], []).append((first, last))
+            if by:
+                m = len(by)
+                yield rows(EDGES, list(by), [DONE] * m, [None] * m, [np.array(v, RUN).tobytes() for v in by.values()])
 
     return run
 
 
+def _across(edges: DataFrame) -> DataFrame:
+    """(key, blob): runs of the windows at boundaries that equal a window of another bucket."""
+    met = edges.groupBy("blob").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "start"))).alias("at")).where("n > 1")
+
+    def as_run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return rows(pa.schema([("key", pa.binary()), ("blob", pa.binary())]), batch.column("key"), [np.array([(s, s)], RUN).tobytes() for s in batch.column("start").to_pylist()])
+
+    return met.select(F.explode("at").alias("at")).select("at.key", "at.start").mapInArrow(by_batch(as_run), "key binary, blob binary")
+
+
 def repeats(own: DataFrame, unit: Unit) -> DataFrame:
-    """(key, blob): for each text with repeated windows, the runs of their starts in tokens. own has a column text."""
+    """(key, cuts): for each text with repeated windows, the maximal stretches of tokens that they cover, as pairs of
+    4-byte integers. own has a column text."""
     spark = own.sparkSession
     short_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(1 << 15, 8 * parts)
-    found = settle(own.select("text").mapInArrow(_find(unit, buckets), DDL))
-    dealt = found.where(f"kind = {DEALT}").select("bucket", "blob").repartition(parts, "bucket")
-    met = settle(dealt.mapInArrow(_meet, DDL))
-    asked = met.where(f"kind = {ASKED}").select("key", "blob")
-    keys = asked.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-    sample = asked.join(F.broadcast(keys), "key", "left_semi")
-    drawn = _contexts(own, sample, unit, spark.sparkContext.broadcast([])).select(F.substring("right", 1, unit.width * unit.common).alias("s"), F.xxhash64("key", "a").alias("h")).orderBy("h", "s").limit(50_000).select("s").collect()
-    drawn = sorted(bytes(r["s"]) for r in drawn)
-    bounds = sorted({drawn[k * len(drawn) // buckets] for k in range(1, buckets)}) if drawn else []
-    sorted_ = _contexts(own, asked, unit, spark.sparkContext.broadcast(bounds)).repartition(parts, "bucket").mapInArrow(_sort(unit), DDL)
-    all_ = found.where(f"kind = {DONE}").select("key", "blob").unionAll(met.where(f"kind = {DONE}").select("key", "blob")).unionAll(sorted_.select("key", "blob"))
-    return settle(all_.groupBy("key").agg(F.collect_list("blob").alias("blobs")))
+    with Scratch(spark) as scratch:
+        found = scratch.settle(own.select("text").mapInArrow(_find(unit, buckets), DDL))
+        dealt = found.where(f"kind = {DEALT}").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        met = scratch.settle(dealt.mapInArrow(_meet, DDL))
+        asked = met.where(f"kind = {ASKED}").select("key", "blob")
+        keys = asked.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
+        sample = asked.join(F.broadcast(keys), "key", "left_semi")
+        drawn = _contexts(own, sample, unit, spark.sparkContext.broadcast([])).select(F.col("right").alias("s"), F.xxhash64("key", "a").alias("h")).orderBy("h", "s").limit(DRAWN).select("s").collect()
+        drawn = sorted(bytes(r["s"]) for r in drawn)
+        splitters = spark.sparkContext.broadcast(sorted({drawn[k * len(drawn) // buckets] for k in range(1, buckets)}) if drawn else [])
+        contexts = _contexts(own, asked, unit, splitters).repartition(parts, "bucket").sortWithinPartitions("bucket")
+        sorted_ = scratch.settle(contexts.mapInArrow(_sort(unit, splitters), EDGES_DDL))
+        runs = [t.where(f"kind = {DONE}").select("key", "blob") for t in (found, met, sorted_)]
+        runs.append(_across(sorted_.where(f"kind = {EDGE}").select("key", "start", "blob")))
+        cuts = pa.schema([("key", pa.binary()), ("cuts", pa.binary())])
+
+        def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return rows(cuts, batch.column("key"), [np.array(spans(b, unit.length), CUT).tobytes() for b in batch.column("blobs").to_pylist()])
+
+        every = functools.reduce(DataFrame.unionAll, runs)
+        return settle(every.groupBy("key").agg(F.collect_set("blob").alias("blobs")).mapInArrow(by_batch(merge), "key binary, cuts binary"))
 
 
 def spans(blobs: list[bytes], length: int) -> list[tuple[int, int]]:
-    """Maximal covered stretches of tokens."""
+    """Maximal covered stretches of tokens, by the runs of window starts."""
     runs = np.sort(np.frombuffer(b"".join(blobs), RUN), order="first")
     out: list[list[int]] = []
     for first, last in runs.tolist():
@@ -408,6 +480,10 @@ def spans(blobs: list[bytes], length: int) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
+def stretches(cuts: bytes | None) -> list[tuple[int, int]]:
+    return np.frombuffer(cuts, CUT).tolist() if cuts else []
+
+
 def without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for a, b in cut:
@@ -416,55 +492,52 @@ def without(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + raw[at:]
 
 
-def _split(own: DataFrame, hits: DataFrame, fields: StructType, done: Callable, text_at: int, need: int, key: str) -> DataFrame:
-    """Rows with a key where their text may have repeats, null elsewhere. done fills the rest of a batch."""
-    wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(hits)))
-    schema = to_arrow_schema(StructType([*fields.fields]).add(key, BinaryType()))
-
-    @released
-    def run(batches):
-        bits = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
-            for part in pieces_of(batch):
-                raw = [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
-                keys = [text_key(t) if len(t) >= need else None for t in raw]
-                keys = [k if k is not None and bits[_bits_of([k])[0]] else None for k in keys]
-                yield done(part, raw, keys, schema)
-
-    return own.mapInArrow(run, StructType([*fields.fields]).add(key, BinaryType()))
-
-
-def report(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row: what is left of a text's bytes without those
-    that a `length`-byte string covers that also starts elsewhere, in the same text or another.
+def report(docs: DataFrame, length: int = 400, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words) for every row: what is left of a text's bytes
+    without those that a `length`-byte string covers that also starts elsewhere, in the same text or another; and how
+    many of its words lie in passages of `words` words or more that also stand elsewhere, whatever their spacing.
 
     A null text is empty; an empty or short text loses nothing. Equal texts of the length or more lose all.
     """
-    unit = Unit(False, length)
+    unit, by_word = Unit(False, length), Unit(True, words)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    hits = repeats(own, unit)
-    fields = StructType().add("doc_id", "long").add("raw", "binary").add("n_bytes", "long").add("sha", "string")
-
-    def done(part, raw, keys, schema):
-        sha = [hashlib.sha256(t).hexdigest() if k is None else None for t, k in zip(raw, keys, strict=True)]
-        return rows(schema, part.column("doc_id"), [t if k is not None else None for t, k in zip(raw, keys, strict=True)], [len(t) for t in raw], sha, keys)
-
-    marked = settle(_split(own, hits, fields, done, 1, length, "__key"))
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    cuts, word_cuts = repeats(own, unit), repeats(own, by_word).withColumnRenamed("cuts", "word_cuts")
+    wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(cuts.select("key").unionAll(word_cuts.select("key")))))
+    marks = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("key", pa.binary()), ("raw", pa.binary())])
 
     @released
-    def finish(batches):
+    def mark(batches):
+        # Rows of documents, and each text that may have repeats once a task.
+        bits, seen = np.unpackbits(wanted.value).astype(bool), set()
         for batch in batches:
             for part in pieces_of(batch):
-                found = []
-                for doc, raw, blobs in zip(part.column("doc_id").to_pylist(), part.column("raw").to_pylist(), part.column("blobs").to_pylist(), strict=True):
-                    cut = spans(blobs, length) if blobs else []
-                    found.append((doc, len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(without(raw, cut)).hexdigest()))
-                if found:
-                    yield rows(out, *map(list, zip(*found, strict=True)))
-
-    some = marked.where("`__key` is not null").join(hits, F.col("__key") == F.col("key"), "left").select("doc_id", "raw", "blobs").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    none = marked.where("`__key` is null").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+                out = []
+                for doc, raw in zip(part.column("doc_id").to_pylist(), raw_texts(part), strict=True):
+                    key = text_key(raw) if len(raw) >= min(length, words) else None
+                    key = key if key is not None and bits[_bits_of([key])[0]] else None
+                    out.append((doc, len(raw), hashlib.sha256(raw).hexdigest() if key is None else None, key, None))
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        out.append((None, None, None, key, raw))
+                if out:
+                    yield rows(marks, *map(list, zip(*out, strict=True)))
+
+    marked = settle(own.mapInArrow(mark, "doc_id long, n_bytes long, sha string, key binary, raw binary"))
+    digest = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated_words", pa.int64())])
+
+    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for key, raw, cuts, word_cuts in zip(*(batch.column(c).to_pylist() for c in ("key", "raw", "cuts", "word_cuts")), strict=True):
+            cut = stretches(cuts)
+            out.append((key, sum(b - a for a, b in cut), len(cut), hashlib.sha256(without(raw, cut)).hexdigest(), sum(b - a for a, b in stretches(word_cuts))))
+        return rows(digest, *(map(list, zip(*out, strict=True)) if out else [[]] * len(digest)))
+
+    # A text is cut once; its copies, however many, take the small result.
+    texts = marked.where("raw is not null").select("key", "raw")
+    digests = texts.join(cuts.join(word_cuts, "key", "full"), "key", "left").dropDuplicates(["key"]).mapInArrow(by_batch(finish), "key binary, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
+    some = marked.where("raw is null and key is not null").select("doc_id", "n_bytes", "key").join(digests, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words")
+    nothing = F.lit(0).cast("long")
+    none = marked.where("key is null").select("doc_id", "n_bytes", nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("sha").alias("kept_sha256"), nothing.alias("n_repeated_words"))
     return none.unionAll(some)
 
 
@@ -477,29 +550,39 @@ def strip(docs: DataFrame, words: int = 50, text_col: str = "text") -> DataFrame
     own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     hits = repeats(own, unit)
 
-    def done(part, raw, keys, schema):
-        return pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], schema=schema)
-
-    key, blobs = fresh(docs, "__key"), fresh(docs, "__blobs")
-    marked = _split(docs, hits, docs.schema, done, docs.columns.index(text_col), words, key)
+    key, cuts = fresh(docs, "__key"), fresh(docs, "__cuts")
     word = re.compile(rb"[^\x20\x09-\x0D]+")
     at, schema = docs.columns.index(text_col), to_arrow_schema(docs.schema)
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(_filter(hits)))
+    keyed = StructType([*docs.schema.fields]).add(key, BinaryType())
+
+    @released
+    def mark(batches):
+        # A key where the text may have repeats, null elsewhere.
+        bits, wide = np.unpackbits(wanted.value).astype(bool), to_arrow_schema(keyed)
+        for batch in batches:
+            for part in pieces_of(batch):
+                keys = [text_key(t) if t and len(t) >= words else None for t in part.column(at).cast(pa.binary()).to_pylist()]
+                keys = [k if k is not None and bits[_bits_of([k])[0]] else None for k in keys]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], schema=wide)
+
+    marked = docs.mapInArrow(mark, keyed)
 
     @released
     def cut(batches):
         for batch in batches:
             for part in pieces_of(batch):
                 kept = []
-                for raw, blobs in zip(part.column(at).cast(pa.binary()).to_pylist(), part.column(len(schema)).to_pylist(), strict=True):
-                    if raw and blobs:
+                for raw, hit in zip(part.column(at).cast(pa.binary()).to_pylist(), part.column(len(schema)).to_pylist(), strict=True):
+                    if raw and hit:
                         starts = [m.start() for m in word.finditer(raw)] + [len(raw)]
-                        raw = without(raw, [(starts[a], starts[b]) for a, b in spans(blobs, words)])
+                        raw = without(raw, [(starts[a], starts[b]) for a, b in stretches(hit)])
                     kept.append(raw)
                 new = [*part.columns[: len(schema)]]
                 new[at] = pa.array(kept, pa.binary()).cast(schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(new, schema=schema)
 
     back = [F.col(f"`{c}`") for c in docs.columns]
-    found = hits.select(F.col("key").alias(key), F.col("blobs").alias(blobs))
-    some = marked.where(f"`{key}` is not null").join(found, key, "left").select(*back, F.col(blobs)).mapInArrow(cut, docs.schema)
+    found = hits.select(F.col("key").alias(key), F.col("cuts").alias(cuts))
+    some = marked.where(f"`{key}` is not null").join(found, key, "left").select(*back, F.col(cuts)).mapInArrow(cut, docs.schema)
     return marked.where(f"`{key}` is null").select(*back).unionAll(some)

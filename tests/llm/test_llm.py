@@ -61,6 +61,25 @@ def test_hash_words():
     w = raw.split()
     assert len(h) == len(w) and [h[i] == h[j] for i in range(len(w)) for j in range(len(w))] == [w[i] == w[j] for i in range(len(w)) for j in range(len(w))]
     assert len(hash_words(b" \n")) == 0
+    r = random.Random(3)
+    words = list({"".join(r.choice("ab\0é") for _ in range(r.choice([1, 7, 8, 9, 16, 17, 63, 64, 65, 300]))) for _ in range(600)} | {thue_morse(n)[k] for n in (64, 256, 1024, 2048) for k in (0, 1)})
+    hashes = hash_words(" ".join(words + words).encode()).tolist()
+    assert hashes[: len(words)] == hashes[len(words) :] and len(set(hashes)) == len(words)
+
+
+def thue_morse(n):
+    """Two different words of n letters that collide in every polynomial hash modulo a power of two, if long enough."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_colliding_words_are_different_words(spark):
+    a, b = thue_morse(1024)
+    assert rules.base(f"{a} {a} {a} x {b} {b} {b}".encode())[4] == 0
+    docs = spark.createDataFrame([(0, f"{a} one two three"), (1, f"{b} one two three")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {0: 0, 1: 1}
 
 
 def test_bpe_equals_library(tokenizer):
@@ -140,6 +159,44 @@ def test_substrings_random(spark):
     assert [got[i] for i in range(60)] == brute_substrings([t.encode() for t in texts], 100)
 
 
+def test_substrings_copies(spark):
+    """Two hundred copies of one text beside texts that share parts of it: nothing is done once for each pair of copies."""
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    texts = [base] * 200 + [base[k * 40 : k * 40 + 900] + f" {k} " + base[:k] for k in range(40)] + ["x" + base[100:1500], base[:399]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substrings.report(docs, 400).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_substrings([t.encode() for t in texts], 400)
+
+
+def test_substrings_across_boundaries(spark):
+    """Many ends of one passage with other words before and behind, dealt over more buckets than it has."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join([*(word() for _ in range(20)), passage[r.randint(0, 30) : len(passage) - r.randint(0, 30)], *(word() for _ in range(20))]) for _ in range(150)]
+    texts += [t[-330:] + t[:200] for t in texts[:30]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substrings.report(docs, 120).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[i] for i in range(len(texts))] == brute_substrings([t.encode() for t in texts], 120)
+
+
+def brute_repeated_words(texts, n):
+    words = [t.encode().split() for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    return [len({i + j for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for j in range(n)}) for w in words]
+
+
+def test_repeated_words(spark, odd):
+    want = Counter(zip([r[0] for r in odd_rows()], brute_repeated_words(texts_of(odd_rows()), 50)))
+    assert Counter((x["doc_id"], x["n_repeated_words"]) for x in substrings.report(odd).collect()) == want
+
+
 def test_multikey_quicksort():
     r = random.Random(1)
     s = ["".join(r.choice("ab\0") for _ in range(r.randint(0, 40))).encode() for _ in range(700)]
