@@ -10,7 +10,8 @@ the least 16-token hash is its anchor; equal windows have equal anchors, so only
 3. Each bucket sorts its suffixes by multikey quicksort, and likewise the tokens before the anchors, read backwards.
    For every offset of a window from its anchor, windows are equal where no short common prefix lies between them
    in either order. Where a suffix shares the window's tokens with a splitter, equal windows may lie on the other side
-   of the boundary: one window of each class is then compared across buckets.
+   of the boundary: one window of each class is then compared across buckets, those that stand alone only if another
+   bucket has a suffix with as many of the same tokens before it.
 
 Texts go by a 128-bit key, so that neither ids nor repeated rows matter: a text that stands twice is repeated as a
 whole, and its copies cost no more than the hash of each.
@@ -83,7 +84,8 @@ class Unit:
 
 OUT = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 DDL = "key binary, kind int, bucket int, blob binary"
-DONE, DEALT, ASKED, EDGE = 0, 1, 2, 3
+DONE, DEALT, ASKED, EDGE, GATE, HELD = range(6)
+STEP = 16  # offsets between gates
 EDGES = pa.schema([("key", pa.binary()), ("kind", pa.int32()), ("start", pa.int32()), ("blob", pa.binary())])
 EDGES_DDL = "key binary, kind int, start int, blob binary"
 
@@ -385,32 +387,85 @@ def _backwards(s: bytes) -> bytes:
     return np.frombuffer(s, ">u8")[::-1].tobytes()
 
 
+def separators(drawn: list[bytes], buckets: int) -> list[bytes]:
+    """Splitters between buckets from a sorted sample, each as short as still parts it from the string before, so that
+    suffixes share much with a splitter only where their own kind lies on both sides of it."""
+    out = []
+    for at in sorted({bisect.bisect_left(drawn, drawn[k * len(drawn) // buckets]) for k in range(1, buckets)} if drawn else ()):
+        s, before = drawn[at], drawn[at - 1] if at else b""
+        out.append(s[: next((i for i, (x, y) in enumerate(zip(s, before)) if x != y), min(len(s), len(before))) + 1])
+    return out
+
+
+def _windows(left: bytes, right: bytes, offsets: list[int], unit: Unit) -> list[bytes]:
+    """128-bit hashes of the windows that begin so many tokens before the anchor."""
+    w = unit.width
+    return [xxhash.xxh3_128_digest(left[len(left) - w * o :] + right[: w * (unit.length - o)]) for o in offsets]
+
+
+def _held(key: bytes, a: int, left: bytes, right: bytes, offsets: list[int], gate: bytes) -> tuple:
+    return key, HELD, a, gate + np.array([len(left), len(offsets)], "<i4").tobytes() + np.array(offsets, "<i4").tobytes() + left + right
+
+
+def _freed(unit: Unit):
+    """The windows of held suffixes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for key, a, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "blob")), strict=True):
+            size, n = np.frombuffer(blob, "<i4", 2, 16).tolist()
+            offsets = np.frombuffer(blob, "<i4", n, 24).tolist()
+            body = blob[24 + 4 * n :]
+            out += [(key, EDGE, a - o, h) for o, h in zip(offsets, _windows(body[:size], body[size:], offsets, unit), strict=True)]
+        return rows(EDGES, *(map(list, zip(*out, strict=True)) if out else [[]] * len(EDGES)))
+
+    return by_batch(run)
+
+
+def _at_boundaries(found: list[tuple], key: list[bytes], left: list[bytes], right: list[bytes], a: np.ndarray, lo: np.ndarray, near: np.ndarray, unit: Unit):
+    """Rows for what lies at a bucket's boundaries. found: (record, offset) of windows that nothing in the bucket equals;
+    near: records at a boundary. Windows up to the next gate go out; those behind it wait until another bucket is known
+    to have the tokens from the gate on."""
+    w = unit.width
+    gates = {xxhash.xxh3_128_digest(left[r][len(left[r]) - w * g :] + right[r][: w * unit.common]) for r in near.tolist() for g in range(STEP, int(lo[r]) + 1, STEP)}
+    yield from ((None, GATE, None, h) for h in gates)
+    by: dict[int, list[int]] = {}
+    for r, o in found:
+        by.setdefault(r, []).append(o)
+    for r, offsets in by.items():
+        gate = -(-max(1, offsets[0]) // STEP) * STEP
+        first = [o for o in offsets if o < gate]
+        yield from ((key[r], EDGE, int(a[r]) - o, h) for o, h in zip(first, _windows(left[r], right[r], first, unit), strict=True))
+        if rest := offsets[len(first) :]:
+            yield _held(key[r], int(a[r]), left[r], right[r], rest, xxhash.xxh3_128_digest(left[r][len(left[r]) - w * gate :] + right[r][: w * unit.common]))
+
+
 def _sort(unit: Unit, splitters):
-    """Sorts buckets: runs of repeated windows, and of each class of windows at a boundary one as its 128-bit hash, with
-    its place if nothing in the bucket equals it."""
+    """Sorts buckets: runs of repeated windows, and what has to be compared with other buckets."""
 
     @released
     def run(batches):
-        bounds, w = splitters.value, unit.width
+        bounds = splitters.value
         for bucket, cols in _each_bucket(batches, ("right", "left", "key", "a", "lo", "hi", "f")):
             right, left, key = cols["right"], cols["left"], cols["key"]
             a, lo, hi, f = (np.array(cols[c], np.int64) for c in ("a", "lo", "hi", "f"))
-            record, start, edges = [], [], []
+            record, start, alone, shared, near = [], [], [], [], np.zeros(len(key), bool)
             for o, valid, where, count, at_edge in equal_windows(right, left, lo, hi, unit, tuple(bounds[max(0, bucket - 1) : bucket + 1])):
                 again = valid[count[where] > 1]
                 record.append(again)
                 start.append(a[again] - o)
                 if at_edge.any():
+                    near[valid[at_edge]] = True
                     classes, first = np.unique(where[at_edge], return_index=True)
                     for r, size in zip(valid[at_edge][first].tolist(), count[classes].tolist(), strict=True):
-                        whole = left[r][len(left[r]) - w * o :] + right[r][: w * (unit.length - o)]
-                        alone = size == 1 and not f[r]
-                        edges.append((key[r] if alone else None, int(a[r]) - o, xxhash.xxh3_128_digest(whole)))
-                if len(edges) > 100_000:
-                    yield rows(EDGES, [e[0] for e in edges], [EDGE] * len(edges), [e[1] for e in edges], [e[2] for e in edges])
-                    edges = []
-            if edges:
-                yield rows(EDGES, [e[0] for e in edges], [EDGE] * len(edges), [e[1] for e in edges], [e[2] for e in edges])
+                        if size == 1 and not f[r]:
+                            alone.append((r, o))
+                        else:
+                            shared += _windows(left[r], right[r], [o], unit)
+            edges = [(None, EDGE, None, h) for h in shared]
+            edges += _at_boundaries(alone, key, left, right, a, lo, np.flatnonzero(near), unit)
+            for k in range(0, len(edges), 20_000):
+                yield rows(EDGES, *map(list, zip(*edges[k : k + 20_000], strict=True)))
             if not record:
                 continue
             record, start = np.concatenate(record), np.concatenate(start)
@@ -428,8 +483,11 @@ def _sort(unit: Unit, splitters):
     return run
 
 
-def _across(edges: DataFrame) -> DataFrame:
+def _across(found: DataFrame, unit: Unit) -> DataFrame:
     """(key, blob): runs of the windows at boundaries that equal a window of another bucket."""
+    passed = found.where(f"kind = {GATE}").groupBy("blob").agg(F.count("*").alias("n")).where("n > 1").select(F.col("blob").alias("gate"))
+    held = found.where(f"kind = {HELD}").join(passed, F.col("gate") == F.substring("blob", 1, 16), "left_semi").select("key", "start", "blob")
+    edges = found.where(f"kind = {EDGE}").unionAll(held.mapInArrow(_freed(unit), EDGES_DDL))
     met = edges.groupBy("blob").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "start"))).alias("at")).where("n > 1")
 
     def as_run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -454,11 +512,11 @@ def repeats(own: DataFrame, unit: Unit) -> DataFrame:
         sample = asked.join(F.broadcast(keys), "key", "left_semi")
         drawn = _contexts(own, sample, unit, spark.sparkContext.broadcast([])).select(F.col("right").alias("s"), F.xxhash64("key", "a").alias("h")).orderBy("h", "s").limit(DRAWN).select("s").collect()
         drawn = sorted(bytes(r["s"]) for r in drawn)
-        splitters = spark.sparkContext.broadcast(sorted({drawn[k * len(drawn) // buckets] for k in range(1, buckets)}) if drawn else [])
+        splitters = spark.sparkContext.broadcast(separators(drawn, buckets))
         contexts = _contexts(own, asked, unit, splitters).repartition(parts, "bucket").sortWithinPartitions("bucket")
         sorted_ = scratch.settle(contexts.mapInArrow(_sort(unit, splitters), EDGES_DDL))
         runs = [t.where(f"kind = {DONE}").select("key", "blob") for t in (found, met, sorted_)]
-        runs.append(_across(sorted_.where(f"kind = {EDGE}").select("key", "start", "blob")))
+        runs.append(_across(sorted_, unit))
         cuts = pa.schema([("key", pa.binary()), ("cuts", pa.binary())])
 
         def merge(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -197,6 +197,16 @@ def test_repeated_words(spark, odd):
     assert Counter((x["doc_id"], x["n_repeated_words"]) for x in substrings.report(odd).collect()) == want
 
 
+def test_separators():
+    r = random.Random(3)
+    drawn = sorted("".join(r.choice("ab") for _ in range(r.randint(0, 12))).encode() for _ in range(400))
+    found = substrings.separators(drawn, 50)
+    assert found == sorted(set(found)) and substrings.separators([], 9) == []
+    for s in found:
+        below = [d for d in drawn if d < s]
+        assert all(d >= s for d in drawn[len(below) :]) and len(found) > 20
+
+
 def test_multikey_quicksort():
     r = random.Random(1)
     s = ["".join(r.choice("ab\0") for _ in range(r.randint(0, 40))).encode() for _ in range(700)]
