@@ -1,7 +1,8 @@
 """Connected components of an edge table, without the driver holding any of it.
 
 Each task first reduces its own edges to stars; then large-star and small-star rounds alternate until nothing
-changes. Every round's table is written to the shared folder.
+changes. Every round's table is written to the shared folder, and deleted after
+the next one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, rows, settle
+from .common import Scratch, released, rows, settle
 
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -59,19 +60,24 @@ def _stars(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b), both long and not null: root is the least node that edges
     lead to. Loops and repeated edges change nothing; no edges give no rows."""
-    now = settle(edges.where("a <> b").mapInArrow(_stars, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == seen or not mark["n"]:
-            break
-        seen = mark
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        first = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(first, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = settle(small.where("a <> b").distinct())
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    spark = edges.sparkSession
+    old, new = Scratch(spark), Scratch(spark)
+    with old, new:
+        now = new.settle(edges.where("a <> b").mapInArrow(_stars, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        seen = None
+        for _ in range(rounds):
+            mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+            if mark == seen or not mark["n"]:
+                break
+            seen = mark
+            both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            first = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(first, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+            old, new = new, old
+            now = new.settle(small.where("a <> b").distinct())
+            old.drop()
+        else:
+            raise RuntimeError("components did not settle")
+        return settle(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

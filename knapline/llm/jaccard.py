@@ -6,7 +6,8 @@ with equal sets are one class and enter once per task. Members of a prefix shing
 and positional filters go to the bucket's least member: since near copies share most of their buckets' members, few
 such groups hold all of a family's buckets. The suffix filter bounds the members in
 which two sets differ by those of short signatures. Groups that pass verify their pairs against whole sets and
-give out a spanning forest of the links, never all pairs; large groups are verified in blocks on several tasks.
+give out a spanning forest of the links, never all pairs; a pair that several groups hold is verified in the first of
+them. Large groups are verified in blocks on several tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructType
 
-from .common import fresh, hash_words, pieces_of, raw_texts, released, rows, settle, short_batches, windows_hash
+from .common import Scratch, fresh, hash_words, pieces_of, raw_texts, released, rows, settle, short_batches, windows_hash
 from .components import Roots, components
 
 SLOT_BITS, CHUNK = 22, 16384
 SMALL = 64  # buckets up to this size apply the filters pair by pair
 BLOCK = 1024  # sets of one side of a verification task
+SALTS = 32  # tasks that the members of one component are dealt to
 FILTER_BITS = 24  # of the fixed-size filter that keeps uninvolved texts from being shuffled
 
 
@@ -222,23 +224,42 @@ def links(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int) -
     return den * common >= num * (na[:, None] + nb[None, :] - common)
 
 
+def met_before(left: list[set[int]], right: list[set[int]]) -> np.ndarray:
+    """(left, right) booleans: whether two members share one of the groups that each has been in before."""
+    known = {g: k for k, g in enumerate(sorted(set().union(*left) & set().union(*right)))}
+    out = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, len(known), 4096):
+        a, b = (np.zeros((len(side), min(4096, len(known) - lo)), np.float32) for side in (left, right))
+        for m, side in ((a, left), (b, right)):
+            for row, groups in enumerate(side):
+                at = [known[g] - lo for g in groups if lo <= known.get(g, -1) < lo + 4096]
+                m[row, at] = 1
+        out |= a @ b.T > 0
+    return out
+
+
 def _verify(num: int, den: int):
-    """Reads rows (leader, i, j, side, cid, s) sorted by group; gives a spanning forest of each group's links."""
+    """Reads rows (leader, i, j, side, cid, s, earlier) sorted by group; gives a spanning forest of each group's links.
+    earlier: the other groups of a member that come before this one. A pair belongs to the first group that holds
+    both, and is verified in that one only."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def group(found: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    def group(found: list[tuple[int, int, bytes, list[int]]]) -> Iterator[tuple[int, int]]:
         roots = Roots()
-        left = [(c, np.frombuffer(s, np.uint64)) for side, c, s in found if side != 2]
-        right = [(c, np.frombuffer(s, np.uint64)) for side, c, s in found if side == 2] or left
+        left = [(c, np.frombuffer(s, np.uint64), set(e)) for side, c, s, e in found if side != 2]
+        right = [(c, np.frombuffer(s, np.uint64), set(e)) for side, c, s, e in found if side == 2] or left
         if len(left) * len(right) <= 36:
-            for k, (c, s) in enumerate(left):
-                for d, t in right[k + 1 :] if right is left else right:
-                    if roots.find(c) != roots.find(d) and linked(s, t, num, den) and roots.join(c, d):
+            for k, (c, s, e) in enumerate(left):
+                for d, t, g in right[k + 1 :] if right is left else right:
+                    if roots.find(c) != roots.find(d) and e.isdisjoint(g) and linked(s, t, num, den) and roots.join(c, d):
                         yield c, d
             return
-        yes = links([s for _, s in left], [s for _, s in right], num, den)
-        for k, (c, _) in enumerate(left):
-            for j in np.flatnonzero(yes[k]):
+        settled = met_before([e for *_, e in left], [e for *_, e in right])
+        rest = np.flatnonzero(~settled.all(axis=1))
+        yes = links([left[k][1] for k in rest], [s for _, s, _ in right], num, den) & ~settled[rest]
+        for k, row in zip(rest.tolist(), yes, strict=True):
+            c = left[k][0]
+            for j in np.flatnonzero(row):
                 if c != right[j][0] and roots.join(c, right[j][0]):
                     yield c, right[j][0]
 
@@ -247,11 +268,11 @@ def _verify(num: int, den: int):
         key, found = None, []
         for batch in batches:
             edges = []
-            for leader, i, j, side, cid, s in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "cid", "s")), strict=True):
+            for leader, i, j, side, cid, s, earlier in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "side", "cid", "s", "earlier")), strict=True):
                 if (leader, i, j) != key:
                     edges += group(found)
                     key, found = (leader, i, j), []
-                found.append((side, cid, s))
+                found.append((side, cid, s, earlier))
             if edges:
                 yield rows(out, *map(list, zip(*edges, strict=True)))
         if edges := list(group(found)):
@@ -283,14 +304,19 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     run, ddl = _prefixes(order, k)
     prefixes = own.select("text").mapInArrow(run, ddl).repartition("token")
     run, ddl = _buckets(num, den)
-    groups = settle(prefixes.mapInArrow(run, ddl).distinct())
-    groups = settle(_plausible(groups, first, num, den))
-    edges = settle(_edges(own, groups, k, num, den))
-    root = components(edges)
+    with Scratch(spark) as scratch:
+        groups = scratch.settle(prefixes.mapInArrow(run, ddl).distinct())
+        groups = scratch.settle(_plausible(groups, first, num, den))
+        root = components(scratch.settle(_edges(own, groups, k, num, den, scratch)))
     classes = first.where("counts is null").select("doc_id", "n", "cid")
-    placed = classes.where("n > 0").join(root, classes["cid"] == root["node"], "left").select("doc_id", "n", "cid", F.coalesce("root", "cid").alias("root"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid")
+    # Equal sets are one row from here on. Components are few; salted copies of their ids meet the members of a large
+    # one on several tasks.
+    low = classes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
+    linked_ = low.join(root, low["cid"] == root["node"]).select("cid", "low", "root", F.expr(f"pmod(xxhash64(cid), {SALTS})").alias("salt"))
+    least = linked_.groupBy("root").agg(F.min("low").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+    of_class = settle(linked_.join(least, ["root", "salt"]).select(F.col("cid").alias("of"), "least"))
+    named = low.join(of_class, low["cid"] == of_class["of"], "left").select("cid", F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    named = classes.where("n > 0").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid")
     return named.unionAll(classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid"))
 
 
@@ -379,7 +405,7 @@ def _plausible(groups: DataFrame, first: DataFrame, num: int, den: int) -> DataF
     return dealt.select("leader", "i", "j", "side", "cid", "n", "sig").mapInArrow(run, ddl).distinct()
 
 
-def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     spark = own.sparkSession
     needed = groups.select("cid").distinct()
 
@@ -413,9 +439,11 @@ def _edges(own: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> Dat
                 if cids:
                     yield rows(pa.schema([("cid", pa.int64()), ("s", pa.binary())]), cids, kept)
 
-    sets = settle(own.select("text").mapInArrow(involved, "cid long, s binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"]))
+    sets = scratch.settle(own.select("text").mapInArrow(involved, "cid long, s binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"]))
     run, ddl = _verify(num, den)
-    return _deal(groups).join(sets, "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid").select("leader", "i", "j", "side", "cid", "s").mapInArrow(run, ddl)
+    before = F.filter("leaders", lambda x: x < F.col("leader")).alias("earlier")
+    held = groups.groupBy("cid").agg(F.collect_set("leader").alias("leaders"))
+    return _deal(groups).join(sets.join(held, "cid"), "cid").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "cid").select("leader", "i", "j", "side", "cid", "s", before).mapInArrow(run, ddl)
 
 
 @released

@@ -5,7 +5,8 @@ Equal vectors form one entry first, within each task and then over all, with as
 result can need, so that a vector that a third of the rows hold is compared once. A query pops tree nodes in the
 order of the summed squares of the margins on the way there until it has visited `share` of all leaves, or `probes`
 of them if that is more: where vectors have no structure to speak of, recall hangs on the share of the leaves that
-are seen. Each leaf ranks its entries by exact double-precision distance, and the best of all leaves are merged.
+are seen. Each leaf ranks its entries by exact double-precision distance, and the best of all leaves are merged. Where
+there are so many vectors that leaves of the sampled planes grow large, a leaf is ranked in blocks on several tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import heapq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,7 +140,9 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
     x = np.array([np.frombuffer(r["vector"], np.float64) for r in drawn]).reshape(len(drawn), dims)
     forest = spark.sparkContext.broadcast(Forest(x, trees, max(2, leaf * len(x) // max(n, 1))))
 
-    placed = pa.schema([("leaf", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("query", pa.binary())])
+    # Whatever the table's size, a task ranks leaves or blocks of them that hold some 4 * leaf entries.
+    blocks = max(1, -(-n * trees // (4 * leaf * max(1, forest.value.leaves))))
+    placed = pa.schema([("leaf", pa.int64()), ("block", pa.int64()), ("vector", pa.binary()), ("ids", pa.list_(pa.int64())), ("query", pa.binary())])
 
     @released
     def place(batches):
@@ -146,19 +150,21 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
             for part in pieces_of(batch, 1000):
                 raw = part.column("vector").to_pylist()
                 at = forest.value.assign(np.array([np.frombuffer(v, np.float64) for v in raw]))
+                block = [xxhash.xxh3_64_intdigest(v) % blocks for v in raw]
                 for t in range(at.shape[1]):
-                    yield rows(placed, at[:, t], raw, part.column("ids"), [None] * len(raw))
+                    yield rows(placed, at[:, t], block, raw, part.column("ids"), [None] * len(raw))
 
     @released
     def ask(batches):
         for batch in batches:
             for part in pieces_of(batch, 256):
-                leaves, asked = [], []
+                leaves, block, asked = [], [], []
                 for v in part.column("vector").to_pylist():
                     own_leaves = forest.value.search(np.frombuffer(v, np.float64), probes, share)
-                    leaves += own_leaves
-                    asked += [v] * len(own_leaves)
-                yield rows(placed, leaves, [None] * len(leaves), [None] * len(leaves), asked)
+                    leaves += own_leaves * blocks
+                    block += [b for b in range(blocks) for _ in own_leaves]
+                    asked += [v] * len(own_leaves) * blocks
+                yield rows(placed, leaves, block, [None] * len(leaves), [None] * len(leaves), asked)
 
     query_rows = pa.schema([("query_id", pa.int64()), ("vector", pa.binary())])
 
@@ -169,7 +175,7 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
             yield rows(query_rows, [key for key, _ in found], [v.tobytes() for _, v in found])
 
     queries = settle(own.where(F.col("vec_id") % every == 0).mapInArrow(queries_of, "query_id long, vector binary").distinct())
-    ddl = "leaf long, vector binary, ids array<long>, query binary"
+    ddl = "leaf long, block long, vector binary, ids array<long>, query binary"
     both = entries.mapInArrow(place, ddl).unionAll(queries.select("vector").distinct().mapInArrow(ask, ddl))
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
@@ -187,7 +193,7 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
         return pd.DataFrame(out, columns=["query", "score", "vec_id"])
 
     # One row for each query and leaf. A vector has the same distance in every leaf, so equal pairs are one hit.
-    found = both.groupBy("leaf").applyInPandas(rank, "query binary, score array<double>, vec_id array<long>").select("query", F.arrays_zip("score", "vec_id").alias("hits"))
+    found = both.groupBy("leaf", "block").applyInPandas(rank, "query binary, score array<double>, vec_id array<long>").select("query", F.arrays_zip("score", "vec_id").alias("hits"))
     best = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("best"))
     answered = queries.join(best, queries["vector"] == best["query"]).select("query_id", F.slice(F.expr("filter(best, x -> x.vec_id <> query_id)"), 1, k).alias("best"))
     return answered.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))

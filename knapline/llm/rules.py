@@ -64,16 +64,20 @@ def base(raw: bytes) -> tuple[int, int, int, int, int, bool]:
     return n, points, int(IS_SYMBOL[b].sum()), dup_lines(raw), again, n < 50 or 100 * again > 50 * n
 
 
-def features(raw: bytes, words: np.ndarray) -> np.ndarray:
-    """Slots of a text's word unigrams and character 4-grams; a slot stands once for each time it occurs."""
+def features(raw: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of a text's word unigrams and character 4-grams, each with its share of the n-grams of its kind. However long
+    the text, there are no more than the slots."""
     b = np.frombuffer(raw, np.uint8)
     top = np.uint64(64 - BITS)
     w = (mix(words) >> top).astype(np.int64)
-    if len(b) < 4:
-        return w
-    q = b[:-3].astype(np.uint32) | b[1:-2].astype(np.uint32) << np.uint32(8) | b[2:-1].astype(np.uint32) << np.uint32(16) | b[3:].astype(np.uint32) << np.uint32(24)
-    q = q * np.uint32(2654435761)
-    return np.concatenate([w, (q >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS)])
+    parts = [w]
+    if len(b) >= 4:
+        q = b[:-3].astype(np.uint32) | b[1:-2].astype(np.uint32) << np.uint32(8) | b[2:-1].astype(np.uint32) << np.uint32(16) | b[3:].astype(np.uint32) << np.uint32(24)
+        parts.append(((q * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS))
+    counts = [np.unique(p, return_counts=True) for p in parts if len(p)]
+    if not counts:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    return np.concatenate([u for u, _ in counts]).astype(np.int32), np.concatenate([c / c.sum() for _, c in counts]).astype(np.float32)
 
 
 class Model:
@@ -82,30 +86,18 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, a: float, b: float):
         self.weights, self.bias, self.a, self.b = weights.astype(np.float32), bias, a, b
 
-    def margin(self, slots: np.ndarray, n_words: int) -> float:
+    def margin(self, slots: np.ndarray, shares: np.ndarray) -> float:
         """The mean weight of each kind of n-gram, so that a long text counts as much as a short one."""
-        w, c = slots[:n_words], slots[n_words:]
-        return self.bias + (float(self.weights[w].mean()) if len(w) else 0.0) + (float(self.weights[c].mean()) if len(c) else 0.0)
+        return self.bias + float(self.weights[slots] @ shares)
 
-    def probability(self, slots: np.ndarray, n_words: int) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(slots, n_words) + self.b, -50, 50))))
+    def probability(self, slots: np.ndarray, shares: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.a * self.margin(slots, shares) + self.b, -50, 50))))
 
 
-def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
-    """Averaged stochastic gradient descent on three quarters of the rows, Platt scaling on the rest. With one class
-    only, the model gives that class's share."""
+def fit(data: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.5, seed: int = 7) -> Model:
+    """Adaptive stochastic gradient descent on three quarters of the rows (slots, shares, label), Platt scaling on the
+    rest. With one class only, the model gives that class's share."""
     size = 2 << BITS
-    data = []
-    for raw, y in rows_:
-        words = hash_words(raw)
-        slots, n = features(raw, words), len(words)
-        x, v = [], []
-        for part in (slots[:n], slots[n:]):
-            if len(part):
-                u, c = np.unique(part, return_counts=True)
-                x.append(u)
-                v.append(c / len(part))
-        data.append((np.concatenate(x) if x else np.empty(0, np.int64), np.concatenate(v) if v else np.empty(0), y, slots, n))
     ys = np.array([d[2] for d in data], float)
     if len(ys) < 8 or ys.min() == ys.max():
         p = float(np.clip((ys.sum() + 0.5) / (len(ys) + 1), 1e-3, 1 - 1e-3))
@@ -117,7 +109,7 @@ def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed
     rng = np.random.default_rng(seed + 1)
     for _ in range(epochs):
         for k in rng.permutation(train):
-            x, v, y, _, _ = data[k]
+            x, v, y = data[k]
             g = (1 / (1 + np.exp(-np.clip(bias + w[x] @ v, -50, 50))) - y) * weight[y]
             gx = g * v
             squares[x] += gx * gx
@@ -125,7 +117,7 @@ def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed
             bs += g * g
             bias -= 0.5 * g / np.sqrt(bs)
     model = Model(w, bias, 1.0, 0.0)
-    m = np.array([model.margin(data[k][3], data[k][4]) for k in back])
+    m = np.array([model.margin(*data[k][:2]) for k in back])
     t = ys[back]
     n1, n0 = t.sum(), len(t) - t.sum()
     t = np.where(t == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -143,12 +135,20 @@ def fit(rows_: list[tuple[bytes, int]], epochs: int = 6, rate: float = 0.5, seed
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, where: str = "true") -> list[tuple[int, bytes, int]]:
-    """At most `sample` labelled texts, those whose ids hash lowest: (id, text, label) by that order."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, where: str = "true") -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """At most `sample` labelled rows, those whose ids hash lowest: (slots, shares, label) by that order. Texts become
+    features in tasks, so that what reaches the driver is bounded however long they are."""
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(where)  # noqa: E741
     chosen = l.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample).dropDuplicates(["doc_id"])
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "h").dropDuplicates(["doc_id"])
-    return [(r["doc_id"], (r["text"] or "").encode(), r["y"]) for r in sorted(found.collect(), key=lambda r: (r["h"], r["doc_id"]))]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", "h").dropDuplicates(["doc_id"])
+    out = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("y", pa.int32()), ("slots", pa.binary()), ("shares", pa.binary())])
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [features(raw, hash_words(raw)) for raw in raw_texts(batch)]
+        return rows(out, *(batch.column(c) for c in ("h", "doc_id", "y")), [u.tobytes() for u, _ in found], [v.tobytes() for _, v in found])
+
+    found = texts.mapInArrow(by_batch(encode), "h long, doc_id long, y int, slots binary, shares binary").collect()
+    return [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["shares"], np.float32), r["y"]) for r in sorted(found, key=lambda r: (r["h"], r["doc_id"]))]
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,15 +159,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshol
     """
     short_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    model = fit([(t, y) for _, t, y in labelled(own, labels, "quality", sample)])
+    model = fit(labelled(own, labels, "quality", sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for raw in raw_texts(batch):
             counts = base(raw)
-            words = hash_words(raw)
-            p = shared.value.probability(features(raw, words), len(words))
+            p = shared.value.probability(*features(raw, hash_words(raw)))
             out.append((*counts, not counts[-1] and p >= threshold, p))
         return rows(OUT, batch.column("doc_id"), *map(list, zip(*out, strict=True)))
 

@@ -15,7 +15,7 @@ from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, StructType
@@ -80,12 +80,11 @@ def scan(docs: DataFrame, repository: str | None = None, owner: str = "source",
         return rows(found, *map(list, zip(*out, strict=True)))
 
     short_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit("") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+    own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), (F.lit("") if repository is None else F.coalesce(F.col(f"`{repository}`").cast("string"), F.lit(""))).alias("repository"), F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("owner"))
     hits = settle(own.mapInArrow(by_batch(search), "doc_id long, key binary, base string, n_assign long, n_access long, n_hex long, values array<binary>, loose array<string>, repository string, owner string"))
     candidates = hits.where("size(values) > 0").select("key", "repository", "owner", F.explode(F.arrays_zip("values", "loose")).alias("c")).select("key", "repository", "owner", F.col("c.values").alias("value"), F.col("c.loose").alias("span"))
     kept = candidates.join(live_values(candidates, max_owners, max_repositories), "value", "left_semi").groupBy("key").agg(F.collect_set("span").alias("owned"))
-    merge = F.udf(lambda base, owned: base if not owned else _merge(base, owned), "string")
-    with_owned = hits.where("key is not null").join(kept, "key", "left").select("doc_id", "base", "n_assign", "n_access", "n_hex", merge("base", "owned").alias("spans"))
+    with_owned = hits.where("key is not null").join(kept, "key", "left").select("doc_id", "base", "n_assign", "n_access", "n_hex", _merged(F.col("base"), F.col("owned")).alias("spans"))
     plain = hits.where("key is null").select("doc_id", "base", "n_assign", "n_access", "n_hex", F.col("base").alias("spans"))
     return plain.unionAll(with_owned)
 
@@ -99,9 +98,11 @@ def live_values(candidates: DataFrame, max_owners: int, max_repositories: int) -
     return n.where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("value")
 
 
-def _merge(base: str, owned: list[str]) -> str:
-    spans = [(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in [*base.split(","), *owned] if s)]
-    return joined(spans)
+def _merged(base: Column, owned: Column) -> Column:
+    """Spans kind:start:end, comma-joined, with an array of further ones in their places."""
+    all_ = F.concat(F.filter(F.split(base, ","), lambda s: s != ""), F.coalesce(owned, F.array().cast("array<string>")))
+    order = F.array_sort(F.transform(all_, lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), F.split(s, ":")[0]).alias("kind"), s.alias("span"))))
+    return F.array_join(F.transform(order, lambda x: x["span"]), ",")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", repository: str | None = None, owner: str = "source", max_owners: int = 1, max_repositories: int = 3, text_col: str = "text") -> DataFrame:

@@ -1,9 +1,11 @@
 """Toxicity by a classifier chain.
 
-Categories in order: low quality, toxic, severe (toxic with several of the words that mark toxic rows). The linear
-model of a category sees word features and the probabilities of the categories before it; in training these are
-out-of-fold predictions, so that a later model doesn't trust what earlier models only remember. Fitting takes at
-most `sample` labelled rows, the documented bound; their words are counted in tasks and only features reach the driver.
+Categories in order: low quality, toxic, severe (toxic with several of the words that mark toxic rows). Labels name the
+first two only, so that the third is drawn from them: its words are those that mark the other folds' toxic rows. The
+linear model of a category sees word features and the probabilities of the categories before it; in training these are
+out-of-fold predictions, by word lists that were chosen without the fold as well, so that a later model doesn't trust
+what earlier ones only remember. Fitting takes at most `sample` labelled rows, the documented bound; their words are
+counted in tasks and only counts of chosen words reach the driver. A word's count enters as 3 if it is more.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 CATEGORIES = ("low_quality", "toxic", "severe")
 LEARN = "crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"
 MARKS = "#*$%&|<>!"
-SEVERE = 3
+SEVERE, MOST = 3, 3  # marking words of a severe row; what a word counts at most
+FOLDS = 5
 
 
 def words(text: str) -> Counter:
@@ -78,7 +81,7 @@ class Chain:
         get = self.lexicon.get
         for w, c in counts.items():
             if (k := get(w)) is not None:
-                x[k] = min(c, 3)
+                x[k] = min(c, MOST)
         x[len(self.lexicon) :] = shape(text, counts.total())
         return x
 
@@ -89,28 +92,37 @@ class Chain:
         return np.column_stack(out)
 
 
-def lexicon(bags: DataFrame, size: int, least: int) -> tuple[dict[str, int], set[str]]:
-    """The words whose presence differs most between toxic and other rows, by log odds weighted by support, and
-    those of them that mark toxic rows. Counted over rows (t, words); only the chosen words reach the driver."""
-    n1, n0 = (max(1, x or 0) for x in bags.agg(F.sum("t"), F.sum(1 - F.col("t"))).first())
-    df1, df0 = F.sum("t"), F.sum(1 - F.col("t"))
-    counted = bags.select("t", F.explode("words").alias("word")).groupBy("word").agg(df1.alias("a"), df0.alias("b")).where(F.col("a") >= least)
-    odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
-    top = counted.withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "word").limit(size).collect()
-    return {r["word"]: k for k, r in enumerate(top)}, {r["word"] for r in top if r["odds"] > 3}
-
-
-def fit(chain: Chain, x: np.ndarray, quality: np.ndarray, toxic: np.ndarray, hits: np.ndarray, folds: int = 5) -> Chain:
-    """x: features of labelled rows in a fixed order; hits: how many words of each row mark toxic rows."""
+def lexicons(bags: DataFrame, size: int, least: int, folds: int = FOLDS) -> list[tuple[list[str], set[str]]]:
+    """The words whose presence differs most between toxic and other rows, by log odds weighted by support, and those of
+    them that mark toxic rows: first of all rows, then without each fold. Counted over rows (t, fold, words); only the
+    chosen words reach the driver."""
+    t = F.col("t")
+    counted = bags.select("t", "fold", F.explode("words").alias("word")).groupBy("word").agg(*(F.sum(F.when(F.col("fold") == k, y).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c, y in (("a", t), ("b", 1 - t))))
+    total = bags.agg(*(F.sum(F.when(F.col("fold") == k, y).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c, y in (("a", t), ("b", 1 - t)))).first()
+    counted = settle(counted.where(" + ".join(f"a{k}" for k in range(folds)) + f" >= {least}"))
+    out = []
+    for held in (None, *range(folds)):
+        use = [k for k in range(folds) if k != held]
+        n1, n0 = (max(1, sum(total[f"{c}{k}"] or 0 for k in use)) for c in "ab")
+        a, b = (sum((F.col(f"{c}{k}") for k in use), F.lit(0)) for c in "ab")
+        own = counted.select("word", a.alias("a"), b.alias("b")).where(F.col("a") >= least)
+        odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
+        top = own.withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "word").limit(size).collect()
+        out.append(([r["word"] for r in top], {r["word"] for r in top if r["odds"] > 3}))
+    return out
+
+
+def fit(chain: Chain, views: list[np.ndarray], fold: np.ndarray, quality: np.ndarray, toxic: np.ndarray, hits: np.ndarray) -> Chain:
+    """views: features of labelled rows in a fixed order by the words of all, then by those chosen without each fold;
+    hits: how many words of each row mark toxic rows of other folds."""
     targets = [1.0 - quality, toxic.astype(float), ((toxic == 1) & (hits >= SEVERE)).astype(float)]
-    fold = np.arange(len(x)) % folds
     before: list[np.ndarray] = []
     for y in targets:
-        here = np.column_stack([x, *before])
-        chain.models.append(Linear(here, y))
-        out = np.zeros(len(x))
-        for k in range(folds):
+        chain.models.append(Linear(np.column_stack([views[0], *before]), y))
+        out = np.zeros(len(y))
+        for k, view in enumerate(views[1:]):
             if (fold == k).any():
+                here = np.column_stack([view, *before])
                 out[fold == k] = Linear(here[fold != k], y[fold != k])(here[fold == k])
         before.append(out)
     return chain
@@ -127,19 +139,26 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     l = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q"), F.col("toxic").cast("int").alias("t")).where("doc_id is not null and q in (0, 1) and t in (0, 1)").where(where)  # noqa: E741
     chosen = l.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "q", "t").limit(sample).dropDuplicates(["doc_id"])
     taught = settle(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "h", "q", "t").dropDuplicates(["doc_id"]))
-    bag = pa.schema([("t", pa.int32()), ("words", pa.list_(pa.string()))])
-    bags = taught.select("text", "t").mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), [list(words(t)) for t in texts(b)])), "t int, words array<string>")
-    known, marks = lexicon(bags, size, least)
-    chain = Chain(known, [])
-    seen = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("q", pa.int32()), ("t", pa.int32()), ("hits", pa.int64()), ("x", pa.list_(pa.float64()))])
+    fold = F.expr(f"cast(pmod(h, {FOLDS}) as int)").alias("fold")
+    bag = pa.schema([("t", pa.int32()), ("fold", pa.int32()), ("words", pa.list_(pa.string()))])
+    bags = taught.select("text", "t", fold).mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), b.column("fold"), [list(words(t)) for t in texts(b)])), "t int, fold int, words array<string>")
+    lists = lexicons(bags, size, least)
+    every = {w: k for k, w in enumerate(sorted(set().union(*(own for own, _ in lists))))}
+    seen = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("q", pa.int32()), ("t", pa.int32()), ("fold", pa.int32()), ("hits", pa.int64()), ("counts", pa.binary()), ("shape", pa.list_(pa.float64()))])
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         bags = [words(t) for t in texts(batch)]
-        return rows(seen, *(batch.column(c) for c in ("doc_id", "h", "q", "t")), [sum(b[w] for w in marks if w in b) for b in bags], [chain.features(t, b).tolist() for t, b in zip(texts(batch), bags, strict=True)])
-
-    found = sorted(taught.mapInArrow(by_batch(look), "doc_id long, h long, q int, t int, hits long, x array<double>").collect(), key=lambda r: (r["h"], r["doc_id"]))
-    x = np.array([r["x"] for r in found], float).reshape(len(found), len(known) + 3)
-    fit(chain, x, *(np.array([r[c] for r in found], int) for c in ("q", "t", "hits")))
+        counts = [bytes(min(MOST, b[w]) for w in every) for b in bags]
+        hits = [sum(b[w] for w in lists[1 + k][1]) for b, k in zip(bags, batch.column("fold").to_pylist(), strict=True)]
+        return rows(seen, *(batch.column(c) for c in ("doc_id", "h", "q", "t", "fold")), hits, counts, [shape(t, b.total()) for t, b in zip(texts(batch), bags, strict=True)])
+
+    found = taught.select("doc_id", "text", "h", "q", "t", fold).mapInArrow(by_batch(look), "doc_id long, h long, q int, t int, fold int, hits long, counts binary, shape array<double>").collect()
+    found.sort(key=lambda r: (r["h"], r["doc_id"]))
+    counts = np.frombuffer(b"".join(r["counts"] for r in found), np.uint8).reshape(len(found), len(every)).astype(float)
+    looks = np.array([r["shape"] for r in found], float).reshape(len(found), 3)
+    views = [np.column_stack([counts[:, [every[w] for w in own]], looks]) for own, _ in lists]
+    chain = Chain({w: k for k, w in enumerate(lists[0][0])}, [])
+    fit(chain, views, *(np.array([r[c] for r in found], int) for c in ("fold", "q", "t", "hits")))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     out = pa.schema([("doc_id", pa.int64()), *((c, pa.float64()) for c in CATEGORIES), ("is_toxic", pa.bool_())])
 

@@ -348,6 +348,33 @@ def test_classifier(spark, odd, none, labels):
     assert classify.keep(odd, labels).columns == odd.columns
 
 
+def brute_attention(p, x, bounds):
+    from math import exp, tanh
+
+    out = []
+    for lo, hi in zip(bounds, bounds[1:]):
+        encoded = [[tanh(sum(v * w for v, w in zip(np.clip(row, -8, 8), col)) + c) for col, c in zip(p["W"].T, p["c"])] for row in x[lo:hi]]
+        gated = []
+        for e in encoded:
+            t = [tanh(sum(v * w for v, w in zip(e, col))) for col in p["V"].T]
+            u = [1 / (1 + exp(-sum(v * w for v, w in zip(e, col)))) for col in p["U"].T]
+            gated.append(sum(a * b * w for a, b, w in zip(t, u, p["w"])))
+        weights = [exp(g) / sum(map(exp, gated)) for g in gated]
+        z = [sum(w * e[k] for w, e in zip(weights, encoded)) for k in range(len(p["s"]))]
+        out.append(1 / (1 + exp(-(sum(v * w for v, w in zip(z, p["s"])) + p["d"][0]))))
+    return out
+
+
+def test_attention_against_loops():
+    """The scores of gated attention equal those of plain loops over the passages of each document."""
+    r = np.random.default_rng(1)
+    model = classify.Attention(6, 5, 4)
+    x, start = r.normal(size=(7, 6)), np.array([0, 2, 3])
+    got = model.forward(x, start)[-1]
+    want = brute_attention(model.p, x, [*start, 7])
+    assert got == pytest.approx(want)
+
+
 def test_attention_gradient():
     r = np.random.default_rng(0)
     model = classify.Attention(6, 5, 4)
@@ -417,6 +444,39 @@ def test_secrets(spark, odd, none):
     assert "hunter22secret" not in " ".join(r["text"] or "" for r in back.collect())
 
 
+def brute_secrets(text):
+    import regex
+
+    found = [(m.start(), 0, m.end(), "assign") for m in regex.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?P<v>[A-Za-z0-9+/_.=-]+)""", text) if len(m["v"]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in regex.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in regex.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets_against_patterns_and_counts(spark):
+    r = random.Random(12)
+    values = ["".join(r.choice("abcdEFGH0123456789") for _ in range(30)) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        parts = [r.choice(['password="abc123x"', "Token = ab", "AKIA" + "Q9" * 9, "deadbeef" * 3, "plain words", "é日", "api_key:x", values[r.randrange(12)]]) for _ in range(r.randint(0, 7))]
+        rows.append((i, " ".join(parts), r.choice(["a", "b", None]) if i % 2 else "a"))
+    rows += rows[:9]
+    places = defaultdict(set)
+    for _, text, source in rows:
+        for a, b in secrets.loose_spans(text):
+            places[text[a:b]].add((source or "", text))
+    live = {v for v, at in places.items() if len({s for s, _ in at}) <= 1 and len({t for _, t in at}) <= 3}
+    got = Counter((x["doc_id"], x["base"], x["n_assign"] + x["n_access"] + x["n_hex"], x["spans"]) for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    want = Counter()
+    for i, text, _ in rows:
+        base = brute_secrets(text)
+        spans = [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0]), s) for s in base.split(",") if s] + [(a, 3, f"owned:{a}:{b}") for a, b in secrets.loose_spans(text) if text[a:b] in live]
+        want[i, base, len(base.split(",")) if base else 0, ",".join(s for *_, s in sorted(spans))] += 1
+    assert got == want
+    dots = spark.createDataFrame([(1, "password=abcdef", "s")], "`a.b` long, `t.x` string, `s.s` string")
+    assert secrets.scan(dots, owner="s.s", id_col="a.b", text_col="t.x").first()["n_assign"] == 1
+
+
 def test_secrets_copied_within_one_owner(spark):
     example, live, copied = "Zq9Ty4Xw1Vu8Rs2Po7Nm3Lk6Ji5H", "k7Rt2mQ9xZ4vB8nL1pW5sY3dF6gH0j", "Ab3Cd6Ef9Gh2Ij5Kl8Mn1Op4Qr7S"
     for source in ("s", None):
@@ -478,12 +538,72 @@ def test_license_distances():
         assert licenses.distances(np.array(words), np.array(x)).tolist() == row
 
 
+def test_licenses_in_any_case(spark):
+    rows = [(0, "RELEASED UNDER THE MIT LICENSE."), (1, "released under the mit LiCense."), (2, "Dedicated to the pUBLIC dOMAIN under CC0 1.0.")]
+    got = {r["doc_id"]: (r["license"], r["verdict"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: ("MIT", "exact"), 1: ("MIT", "exact"), 2: ("CC0-1.0", "exact")}
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_every_span(spark):
+    """The words in which a found notice differs are as few as in any stretch of the text."""
+    r = random.Random(7)
+    for name in ("MIT", "Apache-2.0", "CC-BY-SA-4.0", "GPL-2.0"):
+        own = licenses._words(licenses.TEMPLATES[name])
+        for _ in range(4):
+            changed = list(own)
+            if len(own) > 5:
+                changed[r.randrange(2, len(own))] = "other"
+            text = " ".join([*(r.choice(WORDS) for _ in range(6)), *changed, *(r.choice(WORDS) for _ in range(6))])
+            words = text.split()
+            least = min(edit_distance(own, words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1))
+            found = [f for f in licenses.judge(text, ((name, licenses.TEMPLATES[name]),)) if f[2]]
+            assert [f[4] for f in found] == [least] == [int(changed != own)]
+
+
 def test_capitals_of_whole_texts():
     r = random.Random(4)
     for text in ("", "Aé ÉΩß日", "Ab" * 3000, "aB" * 3000, "".join(r.choice("aB cÉ日\U0001d400") for _ in range(9001))):
         assert toxicity.shape(text, 0)[1] == sum(c.isupper() for c in text) / max(1, len(text))
 
 
+def test_chain_against_loops(spark):
+    """Probabilities of the chain equal those of plain loops; a change in the middle of a long text counts."""
+    r = np.random.default_rng(3)
+    chain = toxicity.Chain({"bad": 0, "worse": 1}, [])
+    text = "fine words " * 50 + "bad bad bad bad worse " + "x " * 40
+    for d in (5, 6, 7):
+        model = toxicity.Linear(np.zeros((0, d)), np.zeros(0))
+        model.w = r.normal(size=d + 1)
+        chain.models.append(model)
+    x = [3.0, 1.0, *toxicity.shape(text, len(text.split()))]
+    want = []
+    for model in chain.models:
+        z = sum(w * v for w, v in zip(model.w, [*x, *want])) + model.w[-1]
+        want.append(1 / (1 + np.exp(-z)))
+    got = chain.probabilities(chain.features(text, toxicity.words(text))[None])[0]
+    assert got == pytest.approx(want)
+    long = ["Word"] * 20_000
+    other = [*long[:10_000], "WORD", *long[10_001:]]
+    assert toxicity.shape(" ".join(long), 20_000) != toxicity.shape(" ".join(other), 20_000)
+
+
+def test_words_of_folds(spark):
+    """A word of one fold alone is in the list of all rows, and not in the one that was chosen without its fold."""
+    rows = [(1, k, [f"only{k}", "shared"]) for k in range(5) for _ in range(6)] + [(0, k, ["plain", "shared"]) for k in range(5) for _ in range(6)]
+    lists = toxicity.lexicons(spark.createDataFrame(rows, "t int, fold int, words array<string>"), 50, 4)
+    assert all(f"only{k}" in lists[0][0] and f"only{k}" not in lists[1 + k][0] and f"only{k}" in lists[1 + (k + 1) % 5][0] for k in range(5))
+
+
 def test_toxicity(spark, odd, none, labels):
     docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = marks.select("doc_id", F.col("toxic").alias("truth"))
