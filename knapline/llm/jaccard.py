@@ -255,11 +255,13 @@ def _verify(num: int, den: int):
                         yield c, d
             return
         settled = met_before([e for *_, e in left], [e for *_, e in right])
-        rest = np.flatnonzero(~settled.all(axis=1))
-        yes = links([left[k][1] for k in rest], [s for _, s, _ in right], num, den) & ~settled[rest]
-        for k, row in zip(rest.tolist(), yes, strict=True):
+        over, across = np.flatnonzero(~settled.all(axis=1)), np.flatnonzero(~settled.all(axis=0))
+        if not len(over):
+            return
+        yes = links([left[k][1] for k in over], [right[k][1] for k in across], num, den) & ~settled[np.ix_(over, across)]
+        for k, row in zip(over.tolist(), yes, strict=True):
             c = left[k][0]
-            for j in np.flatnonzero(row):
+            for j in across[row].tolist():
                 if c != right[j][0] and roots.join(c, right[j][0]):
                     yield c, right[j][0]
 

@@ -28,11 +28,14 @@ DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 class Chunks:
     """A tokenizer's ids for whole texts, packed. What chunks between spaces encode to is remembered in two generations
-    of `limit` chunks: when the younger is full the older goes, but chunks that are met again move to the younger; an empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole."""
+        of `limit` chunks: when the younger is full the older goes, but chunks that are met again move to the younger. An
+    empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole, and likewise
+    those with a special token."""
 
     def __init__(self, path: str, limit: int = 200_000):
         self.path, self.limit, self.known, self.old, self._tokenizer = path, limit, {}, {}, None
-        self.quick = self._quick(Vocabulary(path))
+        vocabulary = Vocabulary(path)
+        self.special, self.quick = tuple(vocabulary.special), self._quick(vocabulary)
 
     @property
     def tokenizer(self):
@@ -66,17 +69,17 @@ class Chunks:
     def _chunks(self, strings: list[str]) -> list[bytes]:
         if self.quick is None:
             return self._encode(strings)
-        odd = [k for k, s in enumerate(strings) if "<|" in s]
-        out = [array.array("I", self.quick(s)).tobytes() for s in strings]
-        for k, ids in zip(odd, self._encode([strings[k] for k in odd]), strict=True):
-            out[k] = ids
-        return out
+        return [array.array("I", self.quick(s)).tobytes() for s in strings]
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
         known, old, split, new, whole = self.known, self.old, [], set(), {}
         for k, text in enumerate(batch):
+            if any(s in text for s in self.special):
+                whole[k] = text
+                split.append(None)
+                continue
             first, *chunks = text.split(" ")
             fresh = set(chunks).difference(known)
             if again := fresh & old.keys():

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,28 @@ def test_jaccard_odd(odd):
     assert ids[5] == 1 and not ids.keys() & {6, 7, 12} and {0, 1, 2, 3} <= ids.keys()
 
 
+def test_a_pair_belongs_to_one_group():
+    """Of groups that share members, each pair is verified in the first only, and all links are found."""
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 1 << 62, 60).astype(np.uint64))
+    sets = {c: np.unique(np.concatenate([np.delete(base, r.integers(0, 60, 2)), [np.uint64(c)]])) for c in range(1, 15)}
+    groups = {1: range(1, 15), 2: range(2, 15), 3: [3, 5, 9]}
+    run, _ = jaccard._verify(85, 100)
+    found = [(g, c, [x for x in groups if x < g and c in groups[x]]) for g in groups for c in groups[g]]
+    batch = pa.RecordBatch.from_pydict({"leader": [f[0] for f in found], "i": [0] * len(found), "j": [0] * len(found), "side": [0] * len(found), "cid": [f[1] for f in found], "s": [sets[f[1]].tobytes() for f in found], "earlier": [f[2] for f in found]})
+    edges = [e for b in run([batch]) for e in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+    want, got = components.Roots(), components.Roots()
+    for a in sets:
+        for b in range(a + 1, 15):
+            if jaccard.linked(sets[a], sets[b], 85, 100):
+                want.join(a, b)
+    for a, b in edges:
+        assert jaccard.linked(sets[a], sets[b], 85, 100)
+        got.join(a, b)
+    assert [got.find(c) for c in sets] == [want.find(c) for c in sets]
+    assert not list(run([batch.filter(pa.array([f[0] > 1 for f in found]))]))
+
+
 def test_signatures_bound_differences():
     r = np.random.default_rng(0)
     for n in (5, 70, 300, 1100):
@@ -617,6 +640,20 @@ def test_toxicity(spark, odd, none, labels):
     assert not any(r["is_toxic"] for r in toxicity.score(odd, labels.limit(0), threshold=0.5).collect())
 
 
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, docs in (("odd", odd), ("none", none)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+        now = docs
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            now = run(spark, now, str(tmp_path / name))
+            assert now.columns == docs.columns and now.count() <= docs.count(), stage
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == (name == "odd")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
