@@ -316,8 +316,9 @@ def join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str
     low = classes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"))
     linked_ = low.join(root, low["cid"] == root["node"]).select("cid", "low", "root", F.expr(f"pmod(xxhash64(cid), {SALTS})").alias("salt"))
     least = linked_.groupBy("root").agg(F.min("low").alias("least")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    of_class = settle(linked_.join(least, ["root", "salt"]).select(F.col("cid").alias("of"), "least"))
-    named = low.join(of_class, low["cid"] == of_class["of"], "left").select("cid", F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    of_class = linked_.join(least.hint("merge"), ["root", "salt"]).select(F.col("cid").alias("of"), "least")
+    # A table, so that Spark may split the copies of one set between tasks in the join with it.
+    named = settle(low.join(of_class, low["cid"] == of_class["of"], "left").select("cid", F.when(F.col("of").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id")))
     named = classes.where("n > 0").join(named, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cid")
     return named.unionAll(classes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cid"))
 
