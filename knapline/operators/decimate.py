@@ -8,7 +8,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,13 +24,14 @@ def dedupe_faces(faces: DataFrame) -> DataFrame:
     return faces.withColumn("_r", rank).where("_r = 1").drop("_r")
 
 
-def cluster(vertices: DataFrame, faces: DataFrame, target: int) -> tuple[DataFrame, DataFrame]:
+def cluster(vertices: DataFrame, faces: DataFrame, target: int | Column) -> tuple[DataFrame, DataFrame]:
     """Vertices of one grid cell become their mean; degenerate and repeated faces go. A mesh with `target` faces or
-    fewer is left as it is. The target is not met exactly."""
+    fewer is left as it is. The target, a number or an expression of a mesh's faces `nf`, is not met exactly."""
+    target = F.lit(target) if isinstance(target, int) else target
     n_faces = faces.groupBy("mesh_id").agg(F.count("*").alias("nf"))
     w = W.partitionBy("mesh_id")
     v = vertices.join(n_faces.where(F.col("nf") > target), "mesh_id")
-    grid = F.greatest(F.lit(4), F.floor(F.cbrt(F.count("*").over(w) * (F.lit(float(target)) / F.col("nf"))) * 1.5))
+    grid = F.greatest(F.lit(4), F.floor(F.cbrt(F.count("*").over(w) * (target.cast("double") / F.col("nf"))) * 1.5))
     v = v.withColumn("grid", grid)
 
     def cell(k: str):
@@ -112,16 +113,17 @@ def _arrays(v: pd.DataFrame, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def decimate(vertices: DataFrame, faces: DataFrame, target: int | None = None, ratio: float = 0.05, method: str = "qem") -> tuple[DataFrame, DataFrame]:
     """Meshes with about `target` faces each. cluster: by grid. qem: by edge collapse, after clustering meshes of more
-    than PRECLUSTER faces. Without a target it is `ratio` of the largest mesh, 500 at least."""
+    than PRECLUSTER faces. Without a target it is `ratio` of each mesh's own faces, 500 at least."""
     if method not in ("qem", "cluster"):
         raise ValueError(f"unknown method {method!r}")
     if target is None:
-        most = faces.groupBy("mesh_id").count().agg(F.max("count")).first()[0] or 0
-        target = max(500, int(most * ratio))
+        goal = F.greatest(F.lit(500), F.floor(F.col("nf") * ratio).cast("int"))
+    else:
+        goal = F.lit(target)
     if method == "cluster":
-        return cluster(vertices, faces, target)
+        return cluster(vertices, faces, goal)
     big = faces.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > PRECLUSTER).select("mesh_id")
-    pre_v, pre_f = cluster(vertices.join(big, "mesh_id", "left_semi"), faces.join(big, "mesh_id", "left_semi"), max(3 * target, PRECLUSTER))
+    pre_v, pre_f = cluster(vertices.join(big, "mesh_id", "left_semi"), faces.join(big, "mesh_id", "left_semi"), F.greatest(3 * goal, F.lit(PRECLUSTER)))
     cast = lambda df: df.select("mesh_id", *(F.col(c).cast("long").alias(c) if c in ("vid", "fid", "a", "b", "c") else F.col(c) for c in df.columns if c != "mesh_id"))
     v = cast(vertices.join(big, "mesh_id", "left_anti")).unionByName(pre_v)
     f = cast(faces.join(big, "mesh_id", "left_anti")).unionByName(pre_f)
@@ -130,11 +132,12 @@ def decimate(vertices: DataFrame, faces: DataFrame, target: int | None = None, r
         if not len(a):
             return pd.DataFrame({"mesh_id": [], "xs": [], "fs": []})
         x, t = _arrays(a, b)
-        if len(t) > target:
-            x, t = collapse(x, t, target)
+        if len(t) > a["goal"].iloc[0]:
+            x, t = collapse(x, t, int(a["goal"].iloc[0]))
         return pd.DataFrame({"mesh_id": [a["mesh_id"].iloc[0]], "xs": [x.ravel().tolist()], "fs": [t.ravel().tolist()]})
 
-    packed = _grouped(v, f, run, "xs array<double>, fs array<long>")
+    goals = faces.groupBy("mesh_id").agg(F.count("*").alias("nf")).select("mesh_id", goal.alias("goal"))
+    packed = _grouped(v.join(goals, "mesh_id"), f, run, "xs array<double>, fs array<long>")
     part = lambda c, n, k: F.element_at(c, (F.col("i") * n + k + 1).cast("int"))
     vs = packed.where("size(xs) > 0").select("mesh_id", "xs", F.explode(F.sequence(F.lit(0), F.expr("size(xs) div 3 - 1"))).alias("i"))
     fs = packed.where("size(fs) > 0").select("mesh_id", "fs", F.explode(F.sequence(F.lit(0), F.expr("size(fs) div 3 - 1"))).alias("i"))

@@ -49,16 +49,26 @@ def build(name: str = "descriptor", **kw) -> Embedder:
     return made
 
 
-def embed(points: DataFrame, embedder: Embedder | None = None) -> DataFrame:
-    """(mesh_id, embedding) of points (mesh_id, pid, x, y, z): one cloud is one group."""
+def embed(points: DataFrame, embedder: Embedder | None = None, failures: bool = False) -> DataFrame:
+    """(mesh_id, embedding) of points (mesh_id, pid, x, y, z): one cloud is one group. With failures, a cloud whose
+    embedder raises or gives numbers that are not finite has a null vector and says why in `error`."""
     model = embedder or Descriptor()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pid")[["x", "y", "z"]].to_numpy(float)
-        return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "embedding": [model.embed(x).astype(float).tolist()]})
+        x, vector, error = pdf.sort_values("pid")[["x", "y", "z"]].to_numpy(float), None, None
+        try:
+            vector = np.asarray(model.embed(x), float).tolist()
+            if failures and not np.isfinite(vector).all():
+                vector, error = None, "not finite"
+        except Exception as e:
+            if not failures:
+                raise
+            error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "embedding": [vector], "error": [error]})
 
     kind = points.schema["mesh_id"].dataType.simpleString()
-    return points.select("mesh_id", "pid", "x", "y", "z").groupBy("mesh_id").applyInPandas(run, f"mesh_id {kind}, embedding array<double>")
+    out = points.select("mesh_id", "pid", "x", "y", "z").groupBy("mesh_id").applyInPandas(run, f"mesh_id {kind}, embedding array<double>, error string")
+    return out if failures else out.drop("error")
 
 
 def describe(vertices: DataFrame, faces: DataFrame) -> DataFrame:

@@ -227,11 +227,12 @@ def mesh_metadata(raw: tuple[DataFrame, DataFrame], clean: tuple[DataFrame, Data
     return out.na.fill(0, ["num_original_faces", "num_clean_vertices", "num_clean_faces"])
 
 
-def principal_extents(vertices: DataFrame) -> DataFrame:
-    """Extents along the principal axes, longest first. The axes come from each mesh's 3 x 3 covariance, their signs
-    don't matter; coordinates stay in the JVM and only the six moments go to Python."""
+def aligned(vertices: DataFrame) -> DataFrame:
+    """Vertices about their mean, in the frame of the mesh's principal axes: x along the longest spread, z along the
+    least. The axes come from each mesh's 3 x 3 covariance, of either sign; coordinates stay in the JVM and only the six
+    moments go to Python."""
     pairs = [(i, j) for k, i in enumerate("xyz") for j in "xyz"[k:]]
-    moments = vertices.groupBy("mesh_id").agg(*(F.coalesce(F.covar_pop(i, j), F.lit(0.0)).alias(i + j) for i, j in pairs))
+    moments = vertices.groupBy("mesh_id").agg(*(F.coalesce(F.covar_pop(i, j), F.lit(0.0)).alias(i + j) for i, j in pairs), *(F.avg(k).alias(f"g{k}") for k in "xyz"))
 
     @F.pandas_udf("array<double>")
     def axes(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
@@ -240,8 +241,14 @@ def principal_extents(vertices: DataFrame) -> DataFrame:
         m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
         return pd.Series(list(np.swapaxes(np.linalg.eigh(m)[1], 1, 2)[:, ::-1].reshape(len(m), 9)))
 
-    frame = moments.select("mesh_id", axes(*(i + j for i, j in pairs)).alias("w"))
-    turned = vertices.join(frame, "mesh_id").select("mesh_id", *((F.col("w")[3 * k] * F.col("x") + F.col("w")[3 * k + 1] * F.col("y") + F.col("w")[3 * k + 2] * F.col("z")).alias(f"p{k}") for k in range(3)))
+    frame = moments.select("mesh_id", "gx", "gy", "gz", axes(*(i + j for i, j in pairs)).alias("w"))
+    part = lambda k: sum((F.col("w")[3 * k + i] * (F.col(c) - F.col(f"g{c}")) for i, c in enumerate("xyz")), F.lit(0.0))
+    return vertices.join(frame, "mesh_id").select("mesh_id", "vid", *(part(k).alias(c) for k, c in enumerate("xyz")))
+
+
+def principal_extents(vertices: DataFrame) -> DataFrame:
+    """Extents along the principal axes, longest first."""
+    turned = aligned(vertices).select("mesh_id", *(F.col(c).alias(f"p{k}") for k, c in enumerate("xyz")))
     ext = turned.groupBy("mesh_id").agg(*((F.max(f"p{k}") - F.min(f"p{k}")).alias(f"p{k}") for k in range(3)))
     down = F.sort_array(F.array("p0", "p1", "p2"), asc=False)
     return ext.select("mesh_id", down[0].alias("length"), down[1].alias("width"), down[2].alias("depth"))

@@ -132,7 +132,7 @@ def hull_area(x: np.ndarray) -> float:
 
 
 def solidity(mask: DataFrame, least: int = 20) -> DataFrame:
-    """Pixels over the area of their convex hull. Only the ends of each row can lie on the hull, so only they leave the JVM."""
+    """Pixels over the area of their convex hull, NaN where they lie in one line. Only the ends of each row can lie on the hull, so only they leave the JVM."""
     ends = mask.groupBy("mesh_id", "row").agg(F.min("col").alias("lo"), F.max("col").alias("hi"), F.count("*").alias("n"))
 
     @F.pandas_udf("double")
@@ -140,7 +140,8 @@ def solidity(mask: DataFrame, least: int = 20) -> DataFrame:
         return points.map(lambda p: hull_area(np.array([[float(q["x"]), float(q["y"])] for q in p])))
 
     g = ends.groupBy("mesh_id").agg(F.sum("n").alias("n"), F.flatten(F.collect_list(F.array(F.struct(F.col("lo").alias("x"), F.col("row").alias("y")), F.struct(F.col("hi").alias("x"), F.col("row").alias("y"))))).alias("points"))
-    return g.where(F.col("n") >= least).select("mesh_id", (F.col("n") / F.greatest(area("points"), F.lit(1.0))).alias("solidity"))
+    measured = g.where(F.col("n") >= least).select("mesh_id", "n", area("points").alias("a"))
+    return measured.select("mesh_id", F.when(F.col("a") > 0, F.col("n") / F.greatest("a", F.lit(1.0))).otherwise(float("nan")).alias("solidity"))
 
 
 def depth_mean(pixels: DataFrame) -> DataFrame:
@@ -223,10 +224,26 @@ def rotate(img: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def align_angle(mask: np.ndarray, least: int = 10) -> float:
-    """Degrees by which an image's long axis leans, in [-90, 90]; 0 for fewer than `least` pixels."""
+    """Degrees between an image's long axis and its vertical one, in [-90, 90]; 0 for fewer than `least` pixels."""
     r, c = np.nonzero(mask)
     if len(r) < least:
         return 0.0
     values, vectors = np.linalg.eigh(np.cov(np.stack([c, r]), bias=True))
-    angle = float(np.rad2deg(np.arctan2(vectors[1, 1], vectors[0, 1])))
+    angle = float(np.rad2deg(np.arctan2(vectors[0, 1], vectors[1, 1])))
     return angle - 180 if angle > 90 else angle + 180 if angle < -90 else angle
+
+
+def turned(img: np.ndarray, degrees: float, normals: tuple[tuple[int, int], ...] = ((0, 1), (3, 4))) -> np.ndarray:
+    """A rotated image whose encoded normals (pairs of channels across and up) turn with it."""
+    out = np.clip(rotate(img, degrees), 0, 1)
+    c, s = np.cos(np.deg2rad(degrees)), np.sin(np.deg2rad(degrees))
+    for x, y in normals:
+        nx, ny = 2 * out[:, :, x] - 1, 2 * out[:, :, y] - 1
+        out[:, :, x], out[:, :, y] = np.clip((c * nx - s * ny + 1) / 2, 0, 1), np.clip((s * nx + c * ny + 1) / 2, 0, 1)
+    return out
+
+
+def upright(img: np.ndarray) -> np.ndarray:
+    """An image turned so that the long axis of what is drawn on it stands upright."""
+    angle = align_angle(img[:, :, :3].sum(axis=2) > MASK)
+    return turned(img, -angle) if angle else img

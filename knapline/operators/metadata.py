@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import consolidated
+
 # The fifteen colours of sites, in order.
 PALETTE = ["#4477AA", "#EE6677", "#117722", "#DDCC55", "#66CCEE", "#992266", "#E69F00", "#00AE83", "#D55E00", "#DD89B7", "#0072B2", "#44AA99", "#999933", "#882255", "#332288"]
 
@@ -22,17 +24,16 @@ def with_note(items: DataFrame, notes: DataFrame, key: str) -> DataFrame:
 def colours(sites: DataFrame) -> DataFrame:
     """(site, rank, colour) of the distinct sites by name; the palette repeats."""
     names = sites.select("site").distinct()
-    rank = F.dense_rank().over(W.orderBy("site")) - 1
     palette = F.array(*map(F.lit, PALETTE))
-    return names.select("site", rank.alias("rank")).withColumn("colour", F.get(palette, F.col("rank") % len(PALETTE)))
+    return consolidated(names, "site").select("site", F.col("ord").cast("int").alias("rank")).withColumn("colour", F.get(palette, F.col("rank") % len(PALETTE)))
 
 
 def codes(items: DataFrame, key: str, value: str) -> DataFrame:
     """(key, code): the value as a number if all values are numbers, else its place among the distinct values."""
     number = F.col(value).try_cast("double")
     numeric = items.agg(F.coalesce(F.bool_and(number.isNotNull() | F.col(value).isNull()), F.lit(False)).alias("_all"))
-    names = items.select(value).where(F.col(value).isNotNull()).distinct().withColumn("_code", F.dense_rank().over(W.orderBy(value)) - 1)
-    joined = items.join(F.broadcast(names), value, "left").crossJoin(F.broadcast(numeric))
+    names = consolidated(items.select(value).where(F.col(value).isNotNull()).distinct(), value).withColumnRenamed("ord", "_code")
+    joined = items.join(names, value, "left").crossJoin(F.broadcast(numeric))
     return joined.select(key, F.when(F.col("_all"), number).otherwise(F.col("_code").cast("double")).alias("code"))
 
 

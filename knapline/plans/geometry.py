@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import barycentric as weights_of
 from ..functions.scalars import shade, tidy as r
-from ..operators import decimate, geometry as op, sampling
+from ..operators import chain, decimate, geometry as op, sampling
 from .inputs import ADJACENT, CORNERS, CURVATURE, DIHEDRAL, EDGES, MEASURED, MESH, NORMALS, mesh, sql, table, tidy
 
 
@@ -149,14 +149,19 @@ def diffuse_shade(s, d):
 
 
 def mesh_report(s, d):
-    m = mesh(s, d)
-    return _rounded(op.mesh_metadata(m, m), ["mesh_id", "num_original_vertices", "num_original_faces", "num_clean_vertices", "num_clean_faces"], "centroid_x", "centroid_y", "centroid_z", "scale_factor", "surface_area", places=5)
+    raw = mesh(s, d)
+    return _rounded(op.mesh_metadata(raw, op.clean_mesh(*raw)), ["mesh_id", "num_original_vertices", "num_original_faces", "num_clean_vertices", "num_clean_faces"], "centroid_x", "centroid_y", "centroid_z", "scale_factor", "surface_area", places=5)
+
+
+def mesh_diagnostic(s, d):
+    found = chain.report(*mesh(s, d))
+    return _rounded(found, [c for c in found.columns if c not in ("surface_area", "extent")], "surface_area", "extent", places=5)
 
 
 def sample_union(s, d):
-    """A bag of quads' halves and triangles: union with repeats kept."""
-    f = mesh(s, d)[1]
-    return f.where("fid % 2 = 0").unionByName(f).select("mesh_id", "fid")
+    """Bags of faces, united with repeats kept."""
+    f = mesh(s, d)[1].select("mesh_id", "fid")
+    return f.unionByName(f)
 
 
 def sample_uniform(s, d):
@@ -233,8 +238,9 @@ QUERIES = {
     "curvature": (curvature, sql(*M, CORNERS, NORMALS, CURVATURE, f"select mesh_id, vid, {tidy('curvature', 4)} as curvature from cv")),
     "dihedral_max": (dihedral_max, sql(*M, EDGES, ADJACENT, DIHEDRAL, f"select mesh_id, fid, {tidy('dihedral', 4)} as dihedral from dih")),
     "diffuse_shade": (diffuse_shade, sql(*M, f"select mesh_id, fid, {tidy('0.30::double + 0.65::double * greatest(nx * 0.4::double + ny * 0.3::double + nz * 0.85::double, 0)')} as shade from m")),
-    "mesh_report": (mesh_report, sql(*M, "a as (select mesh_id, sum(area) area, count(*) nf from m group by 1)", f"select v.mesh_id, count(*) as num_original_vertices, coalesce(any_value(nf), 0) as num_original_faces, count(*) as num_clean_vertices, coalesce(any_value(nf), 0) as num_clean_faces, {tidy('avg(x)', 5)} centroid_x, {tidy('avg(y)', 5)} centroid_y, {tidy('avg(z)', 5)} centroid_z, round(case when sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) > 0 then sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) else 1 end, 5) + 0.0 as scale_factor, {tidy('any_value(area)', 5)} as surface_area from v left join a on a.mesh_id = v.mesh_id group by v.mesh_id")),
-    "sample_union": (sample_union, sql(MESH, "select mesh_id, fid from f where fid % 2 = 0 union all select mesh_id, fid from f")),
+    "mesh_report": (mesh_report, sql(*M, "a as (select mesh_id, sum(area) area, count(*) nf from m group by 1), n0 as (select mesh_id, count(*) nv from v group by 1), u as (select v.* from v where exists (select 1 from f where f.mesh_id = v.mesh_id and v.vid in (f.a, f.b, f.c))), c as (select mesh_id, count(*) cv, avg(x) gx, avg(y) gy, avg(z) gz, sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2) size from u group by 1)", f"select n0.mesh_id, nv as num_original_vertices, coalesce(nf, 0) as num_original_faces, coalesce(cv, 0) as num_clean_vertices, coalesce(nf, 0) as num_clean_faces, {tidy('gx', 5)} centroid_x, {tidy('gy', 5)} centroid_y, {tidy('gz', 5)} centroid_z, round(case when size > 0 then size when size is not null then 1 end, 5) + 0.0 as scale_factor, {tidy('area', 5)} as surface_area from n0 left join a on a.mesh_id = n0.mesh_id left join c on c.mesh_id = n0.mesh_id")),
+    "mesh_diagnostic": (mesh_diagnostic, None),
+    "sample_union": (sample_union, sql(MESH, "select mesh_id, fid from f union all select mesh_id, fid from f")),
     "sample_uniform": (sample_uniform, None),
     "sample_edge_aware": (sample_edge_aware, None),
     "resize_sample": (resize_sample, None),

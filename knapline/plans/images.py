@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import encode_normal, tidy as r
-from ..operators import geometry, images as op
+from ..operators import geometry, images as op, views
 from .inputs import FRAGMENTS, MEASURED, MESH, fragments, mesh, sql, tidy
 
 PLACE = ["mesh_id", "row", "col"]
@@ -103,6 +103,22 @@ def render_top(s, d):
     return op.render(tri, 112, 112, ["nz"], "top").groupBy("mesh_id", "view").agg(F.count("*").alias("n"), r(F.sum("nz"), 4).alias("sum_nz"))
 
 
+def render_7ch(s, d):
+    """Drawn pixels, and the normals and heights on them, of every mesh seen from above and below."""
+    p = views.seven_channels(*mesh(s, d), 10.0, 112, 112)
+    top, bottom = F.col("tx") + F.col("ty") + F.col("tz") > 0, F.col("bx") + F.col("by") + F.col("bz") > 0
+    return p.groupBy("mesh_id").agg(F.count_if(top).alias("n_top"), F.count_if(bottom).alias("n_bottom"), *(r(F.sum(c), 4).alias(f"sum_{c}") for c in ("tx", "tz", "bz", "depth")))
+
+
+def render_8ch(s, d):
+    p = views.eight_channels(*mesh(s, d), 10.0, 112, 112)
+    return p.groupBy("mesh_id").agg(F.count("*").alias("n"), *(r(F.sum(c), 2).alias(f"sum_{c}") for c in ("tz", "thickness", "opposing")))
+
+
+def render_6view(s, d):
+    return views.six_views(*mesh(s, d), canvas=112).groupBy("mesh_id", "view").agg(F.count("*").alias("n"), r(F.avg("value"), 3).alias("mean"))
+
+
 Z = "zb as (select mesh_id, row_, col_, max_by(value, row(depth, fid)) as value from fr group by all)"
 ZF = "zf as (select mesh_id, row_, col_, flag, max_by(value, row(depth, fid)) as value from fr group by all)"
 TB = "tp as (select mesh_id, row_, col_, max(value) as value from zf where flag in ('A', 'R') group by all), bt as (select mesh_id, row_, col_, value / 2 as value from zf where flag = 'N'), th as (select tp.mesh_id, tp.row_, tp.col_, greatest(least(tp.value - bt.value, 1), 0) as value from tp join bt on bt.mesh_id = tp.mesh_id and bt.row_ = tp.row_ and bt.col_ = tp.col_ where tp.value > 0.5::double / 255 and bt.value > 0.5::double / 255)"
@@ -113,6 +129,16 @@ TIP = """tn as (select *, case when vcr = 0 and vc >= vr then 0 when vcr = 0 the
 uw as (select mk.mesh_id, (col_ - mc) * cos(t) + (row_ - mr) * sin(t) u, (row_ - mr) * cos(t) - (col_ - mc) * sin(t) w from mk join tn on tn.mesh_id = mk.mesh_id),
 en as (select mesh_id, min(u) lo, max(u) hi, max(w) - min(w) most from uw group by 1),
 tw as (select uw.mesh_id, any_value(most) most, case when count(*) filter (where u <= lo + greatest(hi - lo, 1e-8) * 0.1 + 1e-9) >= 3 then max(w) filter (where u <= lo + greatest(hi - lo, 1e-8) * 0.1 + 1e-9) - min(w) filter (where u <= lo + greatest(hi - lo, 1e-8) * 0.1 + 1e-9) end w1, case when count(*) filter (where u >= hi - greatest(hi - lo, 1e-8) * 0.1 - 1e-9) >= 3 then max(w) filter (where u >= hi - greatest(hi - lo, 1e-8) * 0.1 - 1e-9) - min(w) filter (where u >= hi - greatest(hi - lo, 1e-8) * 0.1 - 1e-9) end w2 from uw join en on en.mesh_id = uw.mesh_id group by 1)"""
+# Every pixel centre in every face's box; of the faces that hold it, those from above and from below that painter's order draws last.
+SEVEN = """ab as (select mesh_id, avg(x) gx0, avg(y) gy0, avg(z) gz0, (max(x) + min(x)) / 2 mx, (max(y) + min(y)) / 2 my, min(z) lz, max(z) - min(z) rz from v group by 1), al as (select max(rz) az0 from ab),
+fl as (select m.mesh_id, m.fid, if(nx * ((ax + bx + cx) / 3 - gx0) + ny * ((ay + by_ + cy) / 3 - gy0) + nz * ((az + bz + cz) / 3 - gz0) < -1e-9, -1, 1) as sg, nx, ny, nz, (az + bz + cz) / 3 as fz, greatest(least(((az + bz + cz) / 3 - lz) / az0, 1), 0) as d,
+  (ax - mx) * 10 + 56 as x1, 56 - (ay - my) * 10 as y1, (bx - mx) * 10 + 56 as x2, 56 - (by_ - my) * 10 as y2, (cx - mx) * 10 + 56 as x3, 56 - (cy - my) * 10 as y3 from m join ab on ab.mesh_id = m.mesh_id, al),
+px as (select fl.*, c + 0.5::double as gx, r + 0.5::double as gy from fl, range(112) a(c), range(112) b(r) where c >= floor(least(x1, x2, x3)) and c < ceil(greatest(x1, x2, x3)) and r >= floor(least(y1, y2, y3)) and r < ceil(greatest(y1, y2, y3))),
+sd as (select *, (x2 - x1) * (gy - y1) - (y2 - y1) * (gx - x1) s1, (x3 - x2) * (gy - y2) - (y3 - y2) * (gx - x2) s2, (x1 - x3) * (gy - y3) - (y1 - y3) * (gx - x3) s3 from px),
+hit as (select *, greatest(least((sg * nx + 1) / 2, 1), 0) ex, greatest(least((sg * ny + 1) / 2, 1), 0) ey, greatest(least((sg * nz + 1) / 2, 1), 0) ez from sd where (s1 >= 0 and s2 >= 0 and s3 >= 0) or (s1 <= 0 and s2 <= 0 and s3 <= 0)),
+tt as (select mesh_id, gx, gy, max_by(ex, row(fz, fid)) ex, max_by(ez, row(fz, fid)) ez, max_by(d, row(fz, fid)) d from hit where sg * nz >= 0 group by all),
+bb as (select mesh_id, gx, gy, max_by(ez, row(-fz, fid)) ez from hit where sg * nz <= 0 group by all),
+k as (select mesh_id, count(t) n_top, count(b) n_bottom, coalesce(sum(tx), 0) sum_tx, coalesce(sum(tz), 0) sum_tz, coalesce(sum(bz), 0) sum_bz, coalesce(sum(dd), 0) sum_depth from (select coalesce(tt.mesh_id, bb.mesh_id) mesh_id, tt.ez t, bb.ez b, tt.ex tx, tt.ez tz, bb.ez bz, tt.d dd from tt full join bb on bb.mesh_id = tt.mesh_id and bb.gx = tt.gx and bb.gy = tt.gy) group by 1)"""
 AT = 'mesh_id, row_ as "row", col_ as "col"'
 T2, B2 = [f"(2 * {k} - 1)" for k in ("tx", "ty", "tz")], [f"(2 * {k} - 1)" for k in ("bx", "by_", "bz")]
 LEN = lambda v: f"greatest(sqrt({' + '.join(f'{x} * {x}' for x in v)}), 1e-8)"
@@ -135,4 +161,7 @@ QUERIES = {
     "pixel_project": (pixel_project, sql(MESH, "b as (select mesh_id, (max(x) + min(x)) / 2 mx, (max(y) + min(y)) / 2 my from v group by 1)", f"select v.mesh_id, vid, {tidy('(x - mx) * 20 + 112')} as px, {tidy('112 - (y - my) * 20')} as py from v join b on b.mesh_id = v.mesh_id")),
     "normal_encode": (normal_encode, sql(MESH, MEASURED, "select mesh_id, fid, " + ", ".join(f"{tidy(f'greatest(least((n{k} + 1) / 2, 1), 0)')} as e{k}" for k in "xyz") + " from m")),
     "render_top": (render_top, None),
+    "render_7ch": (render_7ch, sql(MESH, MEASURED, SEVEN, "select k.mesh_id, n_top, n_bottom, " + ", ".join(f"{tidy(c, 4)} as {c}" for c in ("sum_tx", "sum_tz", "sum_bz", "sum_depth")) + " from k")),
+    "render_8ch": (render_8ch, None),
+    "render_6view": (render_6view, None),
 }

@@ -47,7 +47,7 @@ def mean_pool(s, d):
 
 def view_concat(s, d):
     """Three views of each object, the thirds of its embedding in another order, laid end to end again."""
-    views = embeddings(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.slice("v", 16 * k + 1, 16).alias("part")) for k in range(3)))).alias("s")).select("id", "s.view", "s.part")
+    views = embeddings(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.slice("v", 22 * k + 1, 22).alias("part")) for k in range(3)))).alias("s")).select("id", "s.view", "s.part")
     whole = views.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("view", "part"))), lambda x: x["part"])).alias("v"))
     return whole.select("id", F.size("v").alias("width"), r(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("check"))
 
@@ -112,7 +112,7 @@ QUERIES = {
     "standardize": (standardize, sql(EMBEDDED, LONG, "st as (select dim, avg(x) as m, stddev_pop(x) as s from long group by dim)", f"select id, long.dim::int as dim, {tidy('(x - m) / case when s > 0 then s else 1 end', 5)} as z from long join st using (dim)")),
     "row_norms": (row_norms, sql(EMBEDDED, f"select id, {tidy('sqrt(list_dot_product(v, v))')} as norm from emb")),
     "mean_pool": (mean_pool, sql(EMBEDDED, LONG, f"select label, dim::int as dim, {tidy('avg(x)')} as mean from long group by label, dim")),
-    "view_concat": (view_concat, sql(EMBEDDED, LONG, f"select id, 48::int as width, {tidy('sum(x * (dim + 1))', 5)} as \"check\" from long where dim < 48 group by id")),
+    "view_concat": (view_concat, sql(EMBEDDED, LONG, f"select id, count(*)::int as width, {tidy('sum(x * (dim + 1))', 5)} as \"check\" from long group by id")),
     "top3_archetype": (top3_archetype, sql(COORDS, "l as (select id, unnest([1, 2, 3])::int as k, unnest([c1, c2, c3]) as w from co), rk as (select *, row_number() over (partition by k order by w desc, id) as rank from l)", f"select k, rank::int as rank, id, {tidy('w')} as w from rk where rank <= 3")),
     "stone_detail": (stone_detail, sql(EMBEDDED, KNN, f"select query, rank::int as rank, neighbour, {tidy('1 - d', 5)} as similarity, coalesce(n_name, 'Unknown') as site, r_name from rk join emb on emb.id = query left join nation on label = n_nationkey left join region on n_regionkey = r_regionkey where rank <= 5 and query = 7")),
     "pca_variance": (pca_variance, None),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The fields of the metadata table and of the failure table, in order.
@@ -39,10 +40,11 @@ def consolidated(df: DataFrame, key: str = "stem") -> DataFrame:
 
 
 def ply_lines(points: DataFrame) -> DataFrame:
-    """(mesh_id, text): an ASCII PLY file of each mesh's points with six decimals."""
-    line = F.format_string("%.6f %.6f %.6f", "x", "y", "z")
+    """(mesh_id, text): an ASCII PLY file of each mesh's points with six decimals, with normals where there are any."""
+    fields = [c for c in ("x", "y", "z", "nx", "ny", "nz") if c in points.columns]
+    line = F.format_string(" ".join(["%.6f"] * len(fields)), *fields)
     g = points.groupBy("mesh_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pid", line.alias("l")))).alias("ls"))
-    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("n").cast("string"), F.lit("\nproperty float x\nproperty float y\nproperty float z\nend_header\n"))
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), F.col("n").cast("string"), F.lit("".join(f"\nproperty float {c}" for c in fields) + "\nend_header\n"))
     return g.select("mesh_id", F.concat(head, F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n")).alias("text"))
 
 
@@ -62,5 +64,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def pca_table(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
+    """(filename, pc1 .. pck) of scores (key, array pc)."""
+    return scores.select(F.col(key).alias("filename"), *(F.col("pc")[i].alias(f"pc{i + 1}") for i in range(k)))
+
+
+def neighbour_table(found: DataFrame) -> DataFrame:
+    """(query, rank, neighbor, cosine_distance), distances with five decimals."""
+    return found.select("query", "rank", F.col("neighbour").alias("neighbor"), F.round("distance", 5).alias("cosine_distance"))
+
+
+def archetype_lines(mix: DataFrame, n: int = 5) -> DataFrame:
+    """(k, text): for each archetype the n rows with the largest share in it (id, k, w), a line each."""
+    top = mix.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("w"), "id"))).where(F.col("r") <= n)
+    line = F.format_string("  %s  %.4f", F.col("id").cast("string"), "w")
+    listed = top.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))).alias("ls"))
+    return listed.select("k", F.concat(F.format_string("archetype %d\n", F.col("k").cast("int")), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("text"))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -6,7 +6,7 @@ regular expressions cut out the blocks, and grouping indices into faces is a run
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,9 +20,24 @@ def find(spark: SparkSession, directory: str, limit: int | None = None) -> DataF
     mesh_id is the path below the directory, so that equal names in two folders stay apart."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(directory)
     files = files.orderBy("path").limit(limit) if limit else files
+    return files.select(below(directory).alias("mesh_id"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "path", "length", "content")
+
+
+def below(directory: str) -> Column:
+    """The column `path` without its scheme and this directory."""
     root = directory.rstrip("/").split(":", 1)[-1].lstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z0-9]+:/*", ""), "^" + _quoted(root) + "/", "")
-    return files.select(rel.alias("mesh_id"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "path", "length", "content")
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z0-9]+:/*", ""), "^" + _quoted(root) + "/", "")
+
+
+def named(spark: SparkSession, paths: list[str], directory: str | None = None, limit: int | None = None) -> DataFrame:
+    """The mesh files that are named one by one, and after them those below a directory; a file that is named twice, or
+    lies there too, comes twice. Columns as in `find`; a named file's mesh_id is its whole path."""
+    parts = [spark.read.format("binaryFile").load(p).select(F.regexp_replace("path", r"^[a-zA-Z0-9]+:/*", "/").alias("mesh_id"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("stem"), "path", "length", "content") for p in paths]
+    parts += [find(spark, directory, limit)] if directory else []
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _quoted(text: str) -> str:

@@ -17,10 +17,10 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 
 def ingest(spark: SparkSession, directory: str, out: str, checkpoint: str, refresh: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
     """Processes mesh files that have not been seen, once each, until none is left. The file source's checkpoint
-    remembers them; a batch that runs again overwrites its own partition, so nothing is counted twice."""
+    remembers them; a file's name is its path below the directory, so that equal names in two folders stay apart. A batch that runs again overwrites its own partition, so nothing is counted twice."""
 
     def batch(files: DataFrame, number: int) -> None:
-        named = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("mesh_id"), "content").persist()
+        named = files.select(vrml.below(directory).alias("mesh_id"), "content").persist()
         meshes = vrml.texts(named)
         v = vrml.points(meshes)
         f = vrml.faces(meshes, v)
@@ -33,5 +33,5 @@ def ingest(spark: SparkSession, directory: str, out: str, checkpoint: str, refre
         done.unpersist()
         named.unpersist()
 
-    stream = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", vrml.SUFFIXES).load(directory)
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", vrml.SUFFIXES).load(directory)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

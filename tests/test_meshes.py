@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from knapline.functions import stats, text
-from knapline.operators import archetypes, decimate, embed, geometry, images, sampling, similarity
+from knapline.operators import archetypes, chain, decimate, embed, geometry, images, metadata, sampling, similarity, views
 from knapline.sources import sinks, tables, vrml
 from knapline.streaming import refresh
 from pyspark.sql import functions as F
@@ -134,8 +134,13 @@ def test_images():
     assert images.resize(np.ones((5, 5, 3)), 9) == pytest.approx(np.ones((9, 9, 3)))
     bar = np.zeros((21, 21))
     bar[10, 3:18] = 1
-    assert images.align_angle(bar) == pytest.approx(0, abs=1e-6)
-    assert abs(images.align_angle(images.rotate(bar, 90) > 0.5)) == pytest.approx(90, abs=1e-6)
+    assert abs(images.align_angle(bar)) == pytest.approx(90, abs=1e-6)
+    assert images.align_angle(images.rotate(bar, 90) > 0.5) == pytest.approx(0, abs=1e-6)
+    image = np.dstack([bar * c for c in (1.0, 0.5, 0.5, 1.0, 0.5, 0.5, 0.3)])
+    up = images.upright(image)
+    assert images.align_angle(up[:, :, :3].sum(axis=2) > 0.1) == pytest.approx(0, abs=1e-6)
+    # The normal pointed along the bar; it still does, upwards or downwards.
+    assert up[10, 10, 0] == pytest.approx(0.5, abs=1e-6) and abs(up[10, 10, 1] - 0.5) == pytest.approx(0.5, abs=1e-6) and up[10, 10, 6] == pytest.approx(0.3)
     assert images.align_angle(np.zeros((4, 4))) == 0
 
 
@@ -187,6 +192,18 @@ def test_sinks(spark, tmp_path):
     assert back.count() == 2 and "more" not in back.columns and back.first()["centroid_x"] is None
     p = spark.createDataFrame([("m", 0, 0.0, 1.0, 2.5)], "mesh_id string, pid long, x double, y double, z double")
     assert sinks.ply_lines(p).first()["text"].endswith("0.000000 1.000000 2.500000\n")
+    n = p.withColumns({c: F.lit(v) for c, v in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))})
+    assert sinks.ply_lines(n).first()["text"] == "ply\nformat ascii 1.0\nelement vertex 1\n" + "".join(f"property float {c}\n" for c in ("x", "y", "z", "nx", "ny", "nz")) + "end_header\n0.000000 1.000000 2.500000 0.000000 0.000000 1.000000\n"
+    scores = spark.createDataFrame([("a", [1.0, 2.0, 3.0])], "id string, pc array<double>")
+    assert sinks.pca_table(scores, 2).columns == ["filename", "pc1", "pc2"] and tuple(sinks.pca_table(scores, 2).first()) == ("a", 1.0, 2.0)
+    near = spark.createDataFrame([("a", 1, "b", 0.1234567)], "query string, rank int, neighbour string, distance double")
+    assert tuple(sinks.neighbour_table(near).first()) == ("a", 1, "b", 0.12346) and sinks.neighbour_table(near).columns == ["query", "rank", "neighbor", "cosine_distance"]
+    mix = spark.createDataFrame([("a", 0, 0.25), ("b", 0, 0.75), ("c", 0, 0.75), ("a", 1, 1.0)], "id string, k int, w double")
+    assert {r["k"]: r["text"] for r in sinks.archetype_lines(mix, 2).collect()} == {0: "archetype 0\n  b  0.7500\n  c  0.7500", 1: "archetype 1\n  a  1.0000"}
+    sinks.write_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).first()["more"] == "extra"
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["num_points"] == "3"
     m = spark.createDataFrame([(1, 2, 0.5)], "i long, j long, value double")
     assert [tuple(r) for r in sinks.wide_matrix(m, [1, 2]).collect()] == [(1, 1.0, 0.5), (2, 0.5, 1.0)]
     assert spark.range(1).select(sinks.bytes_of(F.lit(0.999))).first()[0] == 254
@@ -208,3 +225,83 @@ def test_archetypes_query_takes_the_defaults(spark):
     _, m = archetypes.analyse(np.array([[r["c1"], r["c2"], r["c3"]] for r in rows], float), 4, steps=500, restarts=3)
     got = {(r["id"], r["k"]): r["w"] for r in catalog.queries()["archetypes"](spark, data).collect()}
     assert len(got) == m.size and all(abs(got[r["id"], k] - m[i, k]) < 1e-4 for i, r in enumerate(rows) for k in range(4))
+
+
+def box(spark, sizes, name="m"):
+    return mesh(spark, [tuple(c * s for c, s in zip(p, sizes)) for p in CORNERS], TRIANGLES, name)
+
+
+def test_six_views_of_a_box(spark):
+    """The principal axes of a box are its sides: every view is a full rectangle at the nearest possible depth."""
+    v, f = box(spark, (8, 4, 2))
+    got = {r["view"]: r for r in views.six_views(v, f, canvas=101).groupBy("view").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), (F.max("col") - F.min("col") + 1).alias("w"), (F.max("row") - F.min("row") + 1).alias("h")).collect()}
+    assert got.keys() == {name for name, *_ in views.SIX}
+    for name, ratio in (("pZ", 2), ("nZ", 2), ("pX", 2), ("nX", 2), ("pY", 4), ("nY", 4)):
+        r = got[name]
+        assert r["lo"] == r["hi"] == pytest.approx(1.0) and r["n"] == r["w"] * r["h"]
+        assert abs(r["w"] - 85) <= 1 and abs(r["h"] - 85 / ratio) <= 1
+
+
+def test_channels_of_a_box(spark):
+    v, f = box(spark, (8, 4, 2))
+    p = views.eight_channels(v, f, 10.0, 100, 60).toPandas()
+    inside = p[(p["col"] > 12) & (p["col"] < 87) & (p["row"] > 12) & (p["row"] < 47)]
+    assert len(p) == pytest.approx(80 * 40, abs=240) and inside["tz"].round(6).eq(1).all() and inside["bz"].round(6).eq(0).all()
+    assert inside["opposing"].round(6).eq(1).all() and inside["thickness"].round(3).eq(round(1 - 1 / 255, 3)).all()
+    q = views.seven_channels(v, f, 10.0, 100, 60)
+    assert q.columns == ["mesh_id", "row", "col", "tx", "ty", "tz", "bx", "by", "bz", "depth"] and q.where("tz > 0.99").agg(F.min("depth"), F.max("depth")).first() == (1.0, 1.0)
+    out = views.exported(q)
+    assert out.where("depth = 255").count() > 0 and views.exported(q, q.select("mesh_id")).count() == 0
+
+
+def test_chain_sets_failures_aside(spark):
+    good = "point [0 0 0, 4 0 0, 0 3 0, 0 0 2] coordIndex [0 2 1 -1, 0 1 3 -1, 0 3 2 -1, 1 2 3 -1]"
+    files = spark.createDataFrame([("good.wrl", good.encode()), ("sub/good.wrl", good.encode()), ("empty.wrl", b"nothing"), ("nofaces.wrl", b"point [0 0 0, 1 0 0, 0 1 0]"), ("flat.wrl", b"point [0 0 0, 1 0 0, 2 0 0] coordIndex [0 1 2 -1]")], "mesh_id string, content binary")
+    about, vectors, failed = chain.process(files, points=64, mode="edge_aware")
+    assert {r["mesh_id"] for r in vectors.collect()} == {"good.wrl", "sub/good.wrl"}
+    assert {(r["filename"], r["stage"]) for r in failed.collect()} == {("empty.wrl", "load"), ("nofaces.wrl", "load"), ("flat.wrl", "clean")}
+    rows = {r["mesh_id"]: r for r in about.collect()}
+    assert rows["good.wrl"]["num_clean_faces"] == 4 and rows["flat.wrl"]["num_clean_faces"] == 0
+
+    class Broken:
+        width = 2
+
+        def embed(self, points):
+            return [float("nan"), 1.0] if points[:, 0].size == 64 else [0.0, 1.0]
+
+    _, vectors, failed = chain.process(files, points=64, embedder=Broken())
+    assert vectors.count() == 0 and {r["error"] for r in failed.where("stage = 'embed'").collect()} == {"not finite"}
+
+
+def test_report_of_a_mesh(spark):
+    v, f = box(spark, (8, 4, 2))
+    stray = spark.createDataFrame([("m", 99, 50.0, 0.0, 0.0)], v.schema)
+    r = chain.report(v.unionByName(stray), f, points=50).first()
+    assert (r["num_original_vertices"], r["num_clean_vertices"], r["num_clean_faces"], r["ex"]) == (9, 8, 12, 50.0) and r["surface_area"] == pytest.approx(112)
+    assert all(r[f"n_{m}"] == 50 and r[f"ok_{m}"] for m in chain.MODES) and r["status"] == "ok" and r["extent"] == pytest.approx(4 / math.sqrt(84))
+
+
+def test_decimation_targets_are_of_each_mesh(spark):
+    n = 40
+    grid = [(x, y, math.sin(x / 3)) for y in range(n) for x in range(n)]
+    tri = [t for y in range(n - 1) for x in range(n - 1) for t in ((y * n + x, y * n + x + 1, y * n + x + n), (y * n + x + 1, y * n + x + n + 1, y * n + x + n))]
+    v, f = mesh(spark, grid, tri, "large")
+    w, g = box(spark, (1, 1, 1), "small")
+    faces = decimate.decimate(v.unionByName(w), f.unionByName(g), ratio=0.25)[1].groupBy("mesh_id").count().collect()
+    got = {r["mesh_id"]: r["count"] for r in faces}
+    assert got["small"] == 12 and 600 <= got["large"] <= len(tri) // 4
+
+
+def test_named_files_and_a_folder(spark, tmp_path):
+    for name in ("a.wrl", "sub/a.wrl", "sub/b.WRL"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("point [0 0 0]")
+    one = str(tmp_path / "a.wrl")
+    assert vrml.named(spark, [one, one], str(tmp_path)).count() == 5 and vrml.named(spark, [one]).first()["stem"] == "a"
+
+
+def test_sites_are_ranked_without_one_task(spark):
+    sites = spark.createDataFrame([(s,) for s in ("b", "a", "c", "a")], "site string")
+    assert {r["site"]: r["rank"] for r in metadata.colours(sites).collect()} == {"a": 0, "b": 1, "c": 2}
+    items = spark.createDataFrame([(1, "y"), (2, "x"), (3, None)], "id long, v string")
+    assert {r["id"]: r["code"] for r in metadata.codes(items, "id", "v").collect()} == {1: 1.0, 2: 0.0, 3: None}
