@@ -5,8 +5,11 @@ Equal vectors form one entry first, within each task and then over all, with as
 result can need, so that a vector that a third of the rows hold is compared once. A query pops tree nodes in the
 order of the summed squares of the margins on the way there until it has visited `share` of all leaves, or `probes`
 of them if that is more: where vectors have no structure to speak of, recall hangs on the share of the leaves that
-are seen. Each leaf ranks its entries by exact double-precision distance, and the best of all leaves are merged. Where
-there are so many vectors that leaves of the sampled planes grow large, a leaf is ranked in blocks on several tasks.
+are seen. Where they have structure a query stops sooner: the k-th distance within `PROBE` of the sampled vectors is
+a radius beyond which none of the k nearest lies, planes farther away than that are not crossed, and once all that is
+left of one tree has been visited nothing nearer can be elsewhere. Each leaf shortlists its entries by one matrix
+product and ranks them by exact double-precision distance, and the best of all leaves are merged. Where there are so
+many vectors that leaves of the sampled planes grow large, a leaf is ranked in blocks on several tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import pieces_of, released, rows, settle
 
 
+PROBE = 4096
+
+
 class Forest:
     """Trees in flat arrays. A node below `inner` holds a plane; children are given by `child`, leaves by -1 - leaf."""
 
@@ -71,24 +77,57 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def search(self, q: np.ndarray, probes: int, share: float) -> list[int]:
-        """The leaves that a query visits, by one queue over all trees."""
+    def search(self, q: np.ndarray, probes: int, share: float, radius: float = np.inf) -> list[int]:
+        """The leaves that a query visits, by one queue over all trees. No plane farther away than radius is crossed."""
         probes = max(probes, int(np.ceil(share * self.leaves)))
         margin = self.normal @ q.astype(np.float32) - self.offset if len(self.normal) else np.empty(0)
-        queue = [(0.0, root) for root in self.roots]
-        heapq.heapify(queue)
+        queue = [(0.0, tree, root) for tree, root in enumerate(self.roots)]
+        open_ = [1] * len(queue)
         found = []
         while queue and len(found) < probes:
-            far, node = heapq.heappop(queue)
+            far, tree, node = heapq.heappop(queue)
             while node >= 0:
                 m = float(margin[node])
                 near = int(m > 0)
-                heapq.heappush(queue, (far + m * m, int(self.child[node, 1 - near])))
+                if abs(m) <= radius:
+                    heapq.heappush(queue, (far + m * m, tree, int(self.child[node, 1 - near])))
+                    open_[tree] += 1
                 node = int(self.child[node, near])
             found.append(-1 - node)
+            open_[tree] -= 1
+            if not open_[tree] and np.isfinite(radius):
+                break
         return found
 
 
+def radii(probe: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """For each row of q a distance within which `most` of the probe lie, with room for rounding; else infinity."""
+    if len(probe) < most:
+        return np.full(len(q), np.inf)
+    with np.errstate(over="ignore", invalid="ignore"):
+        own = (q * q).sum(axis=1)
+        d = (probe * probe).sum(axis=1)[None, :] - 2 * (q @ probe.T) + own[:, None]
+        r = np.sqrt(np.maximum(np.partition(d, most - 1, axis=1)[:, most - 1], 0))
+        r = r + 1e-4 * (2 * np.sqrt(own) + r)
+    return np.where(np.isfinite(d).all(axis=1) & np.isfinite(r), r, np.inf)
+
+
+def shortlists(x: np.ndarray, q: np.ndarray, most: int):
+    """For each row of q the rows of x that can be among its `most` nearest: squared distances by a matrix product,
+    and all that rounding may have moved past the last of them. Numbers too large for that leave every row."""
+    if len(x) <= most:
+        yield from (np.arange(len(x)) for _ in q)
+        return
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = (x * x).sum(axis=1)
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            d = size[None, :] - 2 * (part @ x.T)
+            last = np.partition(d, most - 1, axis=1)[:, most - 1] + 1e-9 * (size.max() + (part * part).sum(axis=1))
+            for row, limit, sound in zip(d, last, np.isfinite(d).all(axis=1), strict=True):
+                yield np.flatnonzero(row <= limit) if sound else np.arange(len(x))
+
+
 def distances(points: np.ndarray, q: np.ndarray) -> np.ndarray:
     d = points.astype(np.float64) - q.astype(np.float64)
     return np.sqrt((d * d).sum(axis=1))
@@ -107,7 +146,8 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do null ids or
-    vectors of another length than most have. Ties go to the smaller id; a repeated row of one id counts once.
+    vectors of another length than most have. Ties go to the smaller id; a repeated row of one id counts once, while an
+    id that comes with several vectors is an entry, and if it is a query a question, for each of them.
     An empty table gives no rows; with fewer than k other vectors a query gets all of them.
     """
     spark = vectors.sparkSession
@@ -139,6 +179,7 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
     drawn = entries.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(sample).collect()
     x = np.array([np.frombuffer(r["vector"], np.float64) for r in drawn]).reshape(len(drawn), dims)
     forest = spark.sparkContext.broadcast(Forest(x, trees, max(2, leaf * len(x) // max(n, 1))))
+    probe = spark.sparkContext.broadcast(x[:PROBE])
 
     # Whatever the table's size, a task ranks leaves or blocks of them that hold some 4 * leaf entries.
     blocks = max(1, -(-n * trees // (4 * leaf * max(1, forest.value.leaves))))
@@ -159,8 +200,10 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
         for batch in batches:
             for part in pieces_of(batch, 256):
                 leaves, block, asked = [], [], []
-                for v in part.column("vector").to_pylist():
-                    own_leaves = forest.value.search(np.frombuffer(v, np.float64), probes, share)
+                raw = part.column("vector").to_pylist()
+                q = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), dims)
+                for v, row, radius in zip(raw, q, radii(probe.value, q, most), strict=True):
+                    own_leaves = forest.value.search(row, probes, share, radius)
                     leaves += own_leaves * blocks
                     block += [b for b in range(blocks) for _ in own_leaves]
                     asked += [v] * len(own_leaves) * blocks
@@ -183,13 +226,13 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
         points = group[group["vector"].notna()]
         out = []
         if len(asks) and len(points):
-            x = np.array([np.frombuffer(v, np.float64) for v in points["vector"]])
+            x, q = (np.frombuffer(b"".join(v), np.float64).reshape(len(v), dims) for v in (points["vector"], asks["query"]))
             ids = list(points["ids"])
             first = np.array([i[0] for i in ids])
-            for q in asks["query"]:
-                d = distances(x, np.frombuffer(q, np.float64))
-                near = sorted((float(d[j]), int(i)) for j in np.lexsort((first, d))[:most] for i in ids[j])[:most]
-                out.append((q, [s for s, _ in near], [i for _, i in near]))
+            for raw, row, some in zip(asks["query"], q, shortlists(x, q, most), strict=True):
+                d = distances(x[some], row)
+                near = sorted((float(d[j]), int(i)) for j in np.lexsort((first[some], d))[:most] for i in ids[some[j]])[:most]
+                out.append((raw, [s for s, _ in near], [i for _, i in near]))
         return pd.DataFrame(out, columns=["query", "score", "vec_id"])
 
     # One row for each query and leaf. A vector has the same distance in every leaf, so equal pairs are one hit.

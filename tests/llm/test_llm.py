@@ -357,6 +357,33 @@ def test_neighbours(spark):
     few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<float>")
     assert neighbours.search(few, every=1).count() == 12
     assert neighbours.search(few.limit(0)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0], "a"), (0, [0.0, 1.0], "b"), (1, [1.0, 0.1], "c")], "vec_id long, embedding array<double>, query_id string")
+    assert [tuple(x) for x in neighbours.search(twice).select("query_id", "rank", "vec_id", F.round("score", 6)).orderBy("score").collect()] == [(0, 1, 1, 0.1), (0, 1, 1, round(1.81**0.5, 6))]
+
+
+def test_a_radius_ends_the_search_of_structured_vectors():
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(100, 16)) * 10
+    x = (centres[:, None] + r.normal(size=(100, 200, 16))).reshape(-1, 16)
+    x = x[r.permutation(len(x))]
+    forest, q = neighbours.Forest(x, 4, 50), x[::500]
+    where, radius = forest.assign(x), neighbours.radii(x[: neighbours.PROBE], q, 11)
+    for row, near in zip(q, radius, strict=True):
+        seen = forest.search(row, 1, 1.0, near)
+        assert len(seen) < 0.1 * forest.leaves
+        found = np.isin(where, seen).any(axis=1)
+        assert found[np.argsort(((x - row) ** 2).sum(axis=1))[:11]].all()
+    assert len(forest.search(q[0], 1, 1.0)) == forest.leaves
+    assert np.isinf(neighbours.radii(x[:5], q, 11)).all()
+
+
+def test_shortlists_hold_the_nearest():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.normal(size=(200, 8)), r.normal(size=(200, 8)) * 1e6, r.integers(0, 2, size=(200, 8)).astype(float)])
+    q = np.concatenate([x[::7], np.full((1, 8), 1e200)])
+    for row, some in zip(q, neighbours.shortlists(x, q, 11), strict=True):
+        d = neighbours.distances(x, row)
+        assert set(np.flatnonzero(d < np.sort(d)[10])) <= set(some) and np.sum(d[some] <= np.sort(d)[10]) >= 11
 
 
 def test_classifier(spark, odd, none, labels):
