@@ -235,8 +235,9 @@ def search(vectors: DataFrame, k: int = 10, trees: int = 10, leaf: int = 250, pr
                 out.append((raw, [s for s, _ in near], [i for _, i in near]))
         return pd.DataFrame(out, columns=["query", "score", "vec_id"])
 
-    # One row for each query and leaf. A vector has the same distance in every leaf, so equal pairs are one hit.
+    # One row for each query and leaf. A vector has the same distance in every leaf, so equal pairs are one hit; since no
+    # tree holds a vector twice, the first `most` hits are among the first `most` times `trees` pairs.
     found = both.groupBy("leaf", "block").applyInPandas(rank, "query binary, score array<double>, vec_id array<long>").select("query", F.arrays_zip("score", "vec_id").alias("hits"))
-    best = found.groupBy("query").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, most).alias("best"))
+    best = found.groupBy("query").agg(F.slice(F.array_distinct(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, most * trees)), 1, most).alias("best"))
     answered = queries.join(best, queries["vector"] == best["query"]).select("query_id", F.slice(F.expr("filter(best, x -> x.vec_id <> query_id)"), 1, k).alias("best"))
     return answered.select("query_id", F.posexplode("best").alias("pos", "hit")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
