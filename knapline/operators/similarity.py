@@ -38,27 +38,44 @@ def centred(v: DataFrame) -> DataFrame:
     return v.select("id", F.transform("v", lambda x: x - mean).alias("v"))
 
 
-def _pairs(u: DataFrame) -> DataFrame:
-    left, right = u.select(F.col("id").alias("i"), F.col("v").alias("a")), u.select(F.col("id").alias("j"), F.col("v").alias("b"))
-    return left.join(right, F.col("i") < F.col("j"))
+def _dealt(u: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """Vectors in blocks of about `block` by a hash of their ids, and the number of blocks."""
+    blocks = max(1, -(-u.count() // block))
+    return u.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
+
+
+def _products(u: DataFrame, block: int = 512) -> DataFrame:
+    """(i, j, value) for i < j: dot products, one matrix product for each pair of blocks."""
+    dealt, blocks = _dealt(u, block)
+    left = dealt.select(F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("q"), "id", "v")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"), F.col("block").alias("q"), F.col("id").alias("j"), F.col("v").alias("w"))
+    kind = u.schema["id"].dataType.simpleString()
+
+    def multiply(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": [], "value": []})
+        x, y, value = a["id"].to_numpy(), b["j"].to_numpy(), np.stack(a["v"]) @ np.stack(b["w"]).T
+        # A block meets itself in both orders, two blocks meet once.
+        m, n = np.nonzero(x[:, None] < y[None, :] if key[0] == key[1] else x[:, None] != y[None, :])
+        return pd.DataFrame({"i": np.minimum(x[m], y[n]), "j": np.maximum(x[m], y[n]), "value": value[m, n]})
+
+    return left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(multiply, f"i {kind}, j {kind}, value double")
 
 
 def cosine_matrix(v: DataFrame) -> DataFrame:
     """(i, j, value) for i < j."""
-    return _pairs(unit(v)).select("i", "j", dot(F.col("a"), F.col("b")).alias("value"))
+    return _products(unit(v))
 
 
 def pearson_matrix(v: DataFrame) -> DataFrame:
     """(i, j, value) for i < j: the correlation of two rows is the cosine of their centred forms."""
-    return _pairs(unit(centred(v))).select("i", "j", dot(F.col("a"), F.col("b")).alias("value"))
+    return _products(unit(centred(v)))
 
 
 def neighbours(v: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query, rank, neighbour, distance): the k nearest others by cosine distance, ties to the smaller id. The row
     itself is left out by its id, so that exact copies count as neighbours."""
-    n = v.count()
-    blocks = max(1, -(-n // block))
-    dealt = unit(v).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt, blocks = _dealt(unit(v), block)
     left = dealt.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), "id", "v")
     right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("block").alias("j"), "id", "v")
 

@@ -38,8 +38,9 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, c1, c2, c3, label): the first three components of every embedding."""
-    return embeddings(spark, sf_dir).select("id", *(F.col("v")[k].alias(f"c{k + 1}") for k in range(3)), "label")
+    """(id, c1, c2, c3, label): the sums of the thirds of every embedding, as three components that take in all of it."""
+    third = lambda k: F.aggregate(F.expr(f"filter(v, (x, i) -> i * 3 div size(v) = {k})"), F.lit(0.0), lambda s, x: s + x)
+    return embeddings(spark, sf_dir).select("id", *(third(k).alias(f"c{k + 1}") for k in range(3)), "label")
 
 
 def clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,8 @@ ADJACENT = "adj as (select mesh_id, u, w, min(fid) f1, max(fid) f2 from e group
 DIHEDRAL = """pairs as (select adj.mesh_id, unnest([f1, f2]) as fid, acos(greatest(least(-(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz), 1), -1)) as angle from adj join m p on p.mesh_id = adj.mesh_id and p.fid = f1 join m q on q.mesh_id = adj.mesh_id and q.fid = f2),
 dih as (select m.mesh_id, m.fid, greatest(coalesce(max(angle), 0), 0) as dihedral from m left join pairs on pairs.mesh_id = m.mesh_id and pairs.fid = m.fid group by all)"""
 EMBEDDED = "emb as (select vec_id as id, embedding::double[] as v, label from embeddings)"
-COORDS = "co as (select vec_id as id, embedding[1]::double as c1, embedding[2]::double as c2, embedding[3]::double as c3, label from embeddings)"
+THIRDS = ", ".join(f"list_sum(embedding[({k} * len(embedding) + 2) // 3 + 1 : ({k + 1} * len(embedding) + 2) // 3]::double[]) as c{k + 1}" for k in range(3))
+COORDS = f"co as (select vec_id as id, {THIRDS}, label from embeddings)"
 FRAGMENTS = "fr as (select l_suppkey % 20 as mesh_id, l_linenumber as row_, l_quantity::int as col_, least(floor(l_extendedprice) / 100000, 1) as value, l_extendedprice as depth, row(l_orderkey, l_partkey, l_suppkey) as fid, l_returnflag as flag from lineitem)"
 
 
