@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classify, jaccard, licenses, neighbours, packing, rules, secrets, substrings, toxicity
+from . import bpe, classify, codes, extract, jaccard, licenses, merkle, neighbours, packing, rules, secrets, substrings, toxicity
 from .common import documents
 
 
@@ -58,8 +58,23 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the crc32 of its id, a document is claimed to have its capitals A to Z in lower case."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    some = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(documents(spark, sf_dir), {"text": F.when(some, lower).otherwise(F.col("text"))})
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets, op10_jaccard)}
+    return {f.__name__: f for f in (op1_pack, op2_substrings, op3_bpe, op4_quality_classifier, op5_neighbours, op6_licenses, op7_toxicity, op8_quality_rules, op9_secrets, op10_jaccard, op11_extract, op12_manifest, op13_codes)}
 
 
 #: All pairs that share a shingle, counted; then the least id that links lead to.
