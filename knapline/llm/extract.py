@@ -209,7 +209,7 @@ LABELLED = """
 7 2 0 0 0 0 0
 
 1 1 0 0 0 0 0
-3 0 0 0 0 0 0
+3 2 0 0 0 0 0
 95 0 0 0 0 0 1
 130 4 0 0 0 0 1
 41 1 0 0 0 0 1
@@ -262,6 +262,22 @@ LABELLED = """
 2 0 0 1 0 0 1
 5 1 1 0 0 0 0
 
+1 1 0 1 0 0 0
+2 0 0 1 0 0 1
+5 0 0 1 0 1 1
+3 3 0 1 0 0 0
+3 0 0 1 1 1 1
+1 0 0 1 0 1 1
+4 4 0 1 0 0 0
+4 4 0 1 0 0 0
+2 0 0 1 0 0 1
+9 3 0 1 0 0 1
+
+5 0 1 0 0 0 0
+12 2 0 1 0 0 1
+3 3 0 1 0 0 0
+6 0 0 1 0 1 1
+
 22 12 1 0 0 0 0
 5 1 0 1 1 1 1
 10 1 0 1 0 1 1
@@ -288,6 +304,33 @@ LABELLED = """
 4 4 0 0 0 0 0
 60 1 0 0 0 0 1
 25 0 0 0 0 0 1
+
+6 6 0 0 0 0 0
+90 2 0 0 0 0 1
+4 0 0 0 0 0 1
+70 0 0 0 0 0 1
+7 0 0 0 0 0 1
+55 3 0 0 0 0 1
+6 0 0 0 0 0 0
+
+2 2 0 0 0 0 0
+3 0 0 0 0 1 0
+1 1 0 0 0 0 0
+1 1 0 0 0 0 0
+4 0 0 0 0 1 0
+3 3 0 0 0 0 0
+2 0 0 0 0 0 0
+1 0 0 0 0 0 0
+4 0 0 0 0 0 0
+10 0 0 0 1 1 1
+66 4 0 0 0 1 1
+34 0 0 0 0 1 1
+2 0 0 0 0 0 0
+6 6 0 0 0 0 0
+7 7 0 0 0 0 0
+3 0 0 0 0 0 0
+5 0 0 0 0 0 0
+8 1 0 0 0 0 0
 """
 
 
@@ -314,7 +357,7 @@ def features(found: np.ndarray, page: np.ndarray) -> np.ndarray:
 class Tree:
     """A binary decision tree grown by Gini impurity; of equal splits the first feature and the lowest threshold count."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
         self.nodes: list[list] = []  # feature, threshold, left, right, share of true
         self._grow(x, y, depth, least)
         self.table = np.array(self.nodes, float)
