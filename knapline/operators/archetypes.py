@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import both, pearson_p
+from .lineage import Scratch, settle
+from .ordinals import numbered
+from .similarity import moments
 
 
 def analyse(x: np.ndarray, k: int = 4, steps: int = 500, restarts: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -40,16 +44,261 @@ def analyse(x: np.ndarray, k: int = 4, steps: int = 500, restarts: int = 3) -> t
     return best[1], best[2]
 
 
-def archetypes(coords: DataFrame, columns: list[str], k: int = 4, most: int = 200_000, **kw) -> tuple[DataFrame, DataFrame]:
-    """(k, columns) and (id, k, w). Three numbers a row go to the driver; more than `most` rows raise an error."""
-    rows = coords.select("id", *columns).orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"archetypal analysis takes at most {most} rows")
-    z, m = analyse(np.array([[r[c] for c in columns] for r in rows], float), k, **kw)
+BLOCK = 8_192
+#: Rows that one task analyses on its own, as numbers of a few components: some MB.
+ONE_TASK = 50_000
+#: Steps after which mixtures are written, so that a pass replays no more than these.
+EVERY = 25
+
+
+def _replayed(z: np.ndarray, m: np.ndarray, tips: list[np.ndarray], t: int) -> np.ndarray:
+    """Mixtures (restart, row, k) after the steps that begin at t, towards each of `tips` (restart, k, column) in turn."""
+    rows = np.arange(len(z))
+    for a in tips:
+        for r in range(len(m)):
+            g = (m[r] @ a[r] - z) @ a[r].T
+            m[r] *= 1 - 2 / (t + 2)
+            m[r][rows, g.argmin(axis=1)] += 2 / (t + 2)
+        t += 1
+    return m
+
+
+class Blocks:
+    """Rows of a table as packed blocks (block, n, z, m): scaled coordinates, and mixtures as they were at step `at`."""
+
+    def __init__(self, packed: DataFrame, columns: int, restarts: int, k: int):
+        self.packed, self.columns, self.restarts, self.k, self.at = packed, columns, restarts, k, 0
+
+    def _each(self, fn, schema: str) -> DataFrame:
+        """fn(first ord, z, m, ids) of every block."""
+        shape = (self.restarts, -1, self.k)
+        columns = self.columns
+
+        def run(batches):
+            for pdf in batches:
+                for block, z, m, ids in zip(pdf["block"], pdf["z"], pdf["m"], pdf["ids"], strict=True):
+                    z = np.frombuffer(z).reshape(-1, columns)
+                    start = np.full((shape[0], len(z), shape[2]), 1 / shape[2]) if m is None else np.frombuffer(m).reshape(shape[0], len(z), shape[2]).copy()
+                    yield fn(block, z, start, ids)
+
+        return self.packed.mapInPandas(run, schema)
+
+    def gradients(self, tips: list[np.ndarray], last: np.ndarray | None) -> tuple[np.ndarray, list]:
+        """After the steps towards `tips` from `at` on: the sum over rows of m' (m a - z), a being the last of tips; and of
+        each restart and archetype the row with the least product with `last`, as (product, ord, row)."""
+        at, every = self.at, self.restarts * self.k
+
+        def fn(block, z, m, ids):
+            m = _replayed(z, m, tips, at)
+            g = np.stack([w.T @ (w @ a - z) for w, a in zip(m, tips[-1], strict=True)])
+            if last is None:
+                return pd.DataFrame({"g": [g.ravel()], "v": [[]], "o": [[]], "x": [[]]})
+            v = z @ last.reshape(every, -1).T
+            i = v.argmin(axis=0)
+            return pd.DataFrame({"g": [g.ravel()], "v": [v[i, np.arange(every)]], "o": [block * BLOCK + i], "x": [z[i].ravel()]})
+
+        found = self._each(fn, "g array<double>, v array<double>, o array<long>, x array<double>")
+        # A task's blocks are merged before anything leaves it.
+        size = every * self.columns
+
+        def merged(batches):
+            g, best = np.zeros(size), None
+            for pdf in batches:
+                for r in pdf.itertuples(index=False):
+                    g += np.asarray(r.g)
+                    best = _least(best, (np.asarray(r.v), np.asarray(r.o, np.int64), np.asarray(r.x)), every)
+            yield pd.DataFrame({"g": [g], "v": [best[0] if best else []], "o": [best[1] if best else []], "x": [best[2].ravel() if best else []]})
+
+        g, best = np.zeros(size), None
+        for r in found.mapInPandas(merged, found.schema).collect():  # one row a task
+            g += np.array(r["g"])
+            if len(r["v"]) or last is None:
+                best = _least(best, (np.array(r["v"]), np.array(r["o"], np.int64), np.array(r["x"])), every)
+        return g.reshape(self.restarts, self.k, -1), best
+
+    def advanced(self, tips: list[np.ndarray], keep) -> None:
+        """Writes the mixtures after the steps towards `tips`."""
+        at = self.at
+
+        def fn(block, z, m, ids):
+            return pd.DataFrame({"block": [block], "z": [z.tobytes()], "m": [_replayed(z, m, tips, at).tobytes()], "ids": [ids]})
+
+        self.packed, self.at = keep(self._each(fn, self.packed.schema)), at + len(tips)
+
+
+def _least(one, two, every: int):
+    """The rows with the smaller products, of equals those that come first."""
+    if one is None:
+        return two[0], two[1], two[2].reshape(every, -1) if len(two[0]) else two[2]
+    if not len(two[0]):
+        return one
+    x = two[2].reshape(every, -1)
+    less = (two[0] < one[0]) | ((two[0] == one[0]) & (two[1] < one[1]))
+    return np.where(less, two[0], one[0]), np.where(less, two[1], one[1]), np.where(less[:, None], x, one[2])
+
+
+def _chosen(blocks: Blocks, n: int, seeds: list[np.random.Generator]) -> np.ndarray:
+    """Rows (restart, k, column) to begin with: the first at random, each other by its squared distance to those chosen.
+    Two passes for each: sums of distances by block, of which a block and a place in it follow, and the row there."""
+    first = [int(g.integers(n)) for g in seeds]
+    got = _rows_at(blocks, {(r, i // BLOCK): i % BLOCK for r, i in enumerate(first)})
+    chosen = [[got[r]] for r in range(len(seeds))]
+    for _ in range(blocks.k - 1):
+        now = np.array(chosen)
+
+        def sums(block, z, m, ids, now=now):
+            return pd.DataFrame({"block": [block], "s": [[float(_distances(z, c).sum()) for c in now]]})
+
+        by_block = sorted(map(tuple, blocks._each(sums, "block long, s array<double>").collect()))  # one row a block of 8,192
+        places, at_random = {}, {}
+        for r, g in enumerate(seeds):
+            parts = np.array([s[r] for _, s in by_block])
+            if parts.sum() > 0:
+                upto = np.cumsum(parts)
+                goal = g.random() * upto[-1]
+                k = min(int(np.searchsorted(upto, goal, side="right")), len(parts) - 1)
+                places[r, by_block[k][0]] = goal - (upto[k] - parts[k])
+            else:
+                i = int(g.integers(n))
+                at_random[r, i // BLOCK] = i % BLOCK
+        got = _rows_at(blocks, at_random) | _rows_at(blocks, places, now)
+        for r in range(len(seeds)):
+            chosen[r].append(got[r])
+    return np.array(chosen)
+
+
+def _distances(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    return np.min([((z - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+
+
+def _rows_at(blocks: Blocks, places: dict, chosen: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """Rows by restart: places (restart, block) give an index, or, with `chosen`, how much of the block's distances to
+    them lies before the row."""
+    if not places:
+        return {}
+
+    def fn(block, z, m, ids):
+        found = []
+        for (r, b), place in places.items():
+            if b == block:
+                i = int(place) if chosen is None else min(int(np.searchsorted(np.cumsum(_distances(z, chosen[r])), place, side="right")), len(z) - 1)
+                found.append((r, z[i]))
+        return pd.DataFrame({"r": [r for r, _ in found], "x": [x for _, x in found]})
+
+    only = Blocks(blocks.packed.where(F.col("block").isin([b for _, b in places])), blocks.columns, blocks.restarts, blocks.k)
+    return {r: np.array(x) for r, x in only._each(fn, "r int, x array<double>").collect()}
+
+
+def _packed(coords: DataFrame, columns: list[str], scale: np.ndarray, scratch: Scratch) -> DataFrame:
+    """Blocks of rows in the order of their ids."""
+    kind = coords.schema["id"].dataType.simpleString()
+    dealt = numbered(coords, ["id"], scratch=scratch)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ord")
+        return pd.DataFrame({"block": [int(pdf["ord"].iloc[0]) // BLOCK], "z": [(pdf[columns].to_numpy(float) / scale).tobytes()], "m": [None], "ids": [pdf["id"].tolist()]})
+
+    return scratch.settle(dealt.groupBy(F.expr(f"ord div {BLOCK}")).applyInPandas(pack, f"block long, z binary, m binary, ids array<{kind}>"))
+
+
+def fit(blocks: Blocks, n: int, scratch: Scratch, steps: int, restarts: int) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """(best restart, its archetypes, the steps since the blocks' mixtures were written), by one pass a step.
+
+    A step moves mixtures towards their best archetype, which each row does alone, and each archetype towards the row with the
+    least product with its gradient. Which row that is needs a pass of its own after the gradient's, but is nearly
+    always one that has won before; so the next step is taken with the best of those, the pass that it needs anyway tells
+    whether any row is better, and only then it is taken again. Results are the same as without guessing.
+    """
+    tips = _chosen(blocks, n, [np.random.default_rng(seed) for seed in range(restarts)])
+    every, columns = restarts * blocks.k, blocks.columns
+    pool = {}
+    since: list[np.ndarray] = []
+    pending = None  # gradients whose best rows are still guessed, and the archetypes before that step
+    t = 0
+    while True:
+        g, best = blocks.gradients([*since, tips], pending[0] if pending else None)
+        if pending:
+            right = {int(o): x for o, x in zip(best[1], best[2].reshape(every, columns), strict=True)}
+            true = _moved(pending[1], best[2].reshape(pending[1].shape), t - 1)
+            pool |= right
+            if not np.array_equal(true, tips):
+                tips, pending = true, None
+                g, _ = blocks.gradients([*since, tips], None)
+        if t == steps - 1:
+            break
+        since.append(tips)
+        if len(since) == EVERY:
+            blocks.advanced(since, scratch.settle)
+            since = []
+        if not pool:
+            for a in tips.reshape(every, columns):
+                pool[-1 - len(pool)] = a
+        rows = np.array(list(pool.values()))
+        orders = np.array(list(pool))
+        v = g.reshape(every, columns) @ rows.T
+        picked = [min(np.flatnonzero(w == w.min()), key=lambda i: orders[i]) for w in v]
+        pending = (g, tips)
+        tips = _moved(tips, rows[picked].reshape(tips.shape), t)
+        t += 1
+    # The last gradient's rows, and the errors with the archetypes that they give.
+    _, best = blocks.gradients([*since, tips], g)
+    final = _moved(tips, best[2].reshape(tips.shape), t)
+    since.append(tips)
+    at = blocks.at
+
+    def errors(block, z, m, ids):
+        m = _replayed(z, m, since, at)
+        return pd.DataFrame({"e": [[float(((z - w @ a) ** 2).sum()) for w, a in zip(m, final, strict=True)]]})
+
+    total = np.sum([r["e"] for r in blocks._each(errors, "e array<double>").collect()], axis=0)
+    return int(total.argmin()), final, since
+
+
+def _moved(tips: np.ndarray, rows: np.ndarray, t: int) -> np.ndarray:
+    step = 2 / (t + 2)
+    return (1 - step) * tips + step * rows
+
+
+def archetypes(coords: DataFrame, columns: list[str], k: int = 4, steps: int = 500, restarts: int = 3, one_task: int = ONE_TASK) -> tuple[DataFrame, DataFrame]:
+    """(k, columns) and (id, k, w), as `analyse` gives them for the rows in the order of their ids.
+
+    Up to `one_task` rows are analysed by one task. More stay in blocks that tasks work on, `steps` passes in all:
+    mixtures never leave them, and what reaches the driver are k x columns numbers a task. No rows give none; rows with a
+    null coordinate take no part.
+    """
     spark = coords.sparkSession
-    tips = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(z)], "k int, " + ", ".join(f"{c} double" for c in columns))
-    mix = spark.createDataFrame([(r["id"], i, float(w)) for r, row in zip(rows, m, strict=True) for i, w in enumerate(row)], "id long, k int, w double")
-    return tips, mix
+    kind = coords.schema["id"].dataType.simpleString()
+    schema, mixed = "k int, " + ", ".join(f"`{c}` double" for c in columns), f"id {kind}, k int, w double"
+    rows = coords.select("id", *(F.col(c).cast("double").alias(c) for c in columns)).where(" and ".join(f"`{c}` is not null" for c in columns))
+    with Scratch(spark) as scratch:
+        rows = scratch.settle(rows)
+        n, _, cov = moments(rows.select(F.array(*columns).alias("v")))
+        if n <= one_task:
+            return _in_one_task(rows, columns, k, steps, restarts, schema, mixed)
+        s = np.sqrt(np.diag(cov))
+        s = np.where(s > 0, s, 1.0)
+        blocks = Blocks(_packed(rows, columns, s, scratch), len(columns), restarts, k)
+        best, tips, since = fit(blocks, n, scratch, steps, restarts)
+        at = blocks.at
+
+        def mixture(block, z, m, ids):
+            w = _replayed(z, m, since, at)[best]
+            return pd.DataFrame({"id": np.repeat(np.array(ids), k), "k": np.tile(np.arange(k), len(z)), "w": w.ravel()})
+
+        out = spark.createDataFrame([(i, *map(float, a * s)) for i, a in enumerate(tips[best])], schema)
+        return out, settle(blocks._each(mixture, mixed))
+
+
+def _in_one_task(rows: DataFrame, columns: list[str], k: int, steps: int, restarts: int, schema: str, mixed: str) -> tuple[DataFrame, DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        z, m = analyse(pdf[columns].to_numpy(float), k, steps, restarts)
+        tips = pd.DataFrame(z, columns=columns).assign(id=pdf["id"].iloc[0], k=range(k), w=-1.0)
+        shares = pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), k), "k": np.tile(np.arange(k), len(pdf)), "w": m.ravel(), **{c: 0.0 for c in columns}})
+        return pd.concat([tips, shares])[["id", "k", "w", *columns]]
+
+    both = settle(rows.groupBy().applyInPandas(run, mixed + ", " + schema.split(", ", 1)[1]))
+    return both.where("w < 0").select("k", *columns), both.where("w >= 0").select("id", "k", "w")
 
 
 def contract(tips: DataFrame, columns: list[str], by: float = -0.15) -> DataFrame:

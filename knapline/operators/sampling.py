@@ -13,7 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import barycentric
-from . import geometry
+from . import geometry, space
+from .ordinals import numbered
+
+
+XYZ = ["x", "y", "z"]
 
 
 def uniform(*parts: Column) -> Column:
@@ -96,39 +100,56 @@ def farthest(points: DataFrame, n: int, key: str = "mesh_id", index: str = "pid"
 
 
 def patches(points: DataFrame, centres: DataFrame, k: int, key: str = "mesh_id", index: str = "pid") -> DataFrame:
-    """(key, g, k_rank, pid, lx, ly, lz): each centre's k nearest points, itself included, in local coordinates."""
-    c = centres.select(key, "g", F.col(index).alias("_c")).join(points.select(key, F.col(index).alias("_c"), *(F.col(d).alias(f"c{d}") for d in "xyz")), [key, "_c"])
-    local = [(F.col(d) - F.col(f"c{d}")).alias(f"l{d}") for d in "xyz"]
-    pairs = c.join(points, key).select(key, "g", index, *local)
-    far = F.col("lx") ** 2 + F.col("ly") ** 2 + F.col("lz") ** 2
-    rank = F.row_number().over(W.partitionBy(key, "g").orderBy(far, index))
-    return pairs.withColumn("k_rank", rank).where(F.col("k_rank") <= k).select(key, "g", "k_rank", index, "lx", "ly", "lz")
+    """(key, g, k_rank, pid, lx, ly, lz): each centre's k nearest points, itself included, in local coordinates. Cells of
+    space are searched, not all pairs."""
+    p = points.select(F.col(key).alias("key"), F.col(index).alias("p"), *XYZ)
+    c = centres.select(F.col(key).alias("key"), F.col("g").alias("q"), F.col(index).alias("p")).join(p, ["key", "p"])
+    found = space.nearest(c.select("key", "q", *XYZ), p, k)
+    from_ = c.select("key", "q", *(F.col(d).alias(f"c{d}") for d in XYZ))
+    local = [(F.col(d) - F.col(f"c{d}")).alias(f"l{d}") for d in XYZ]
+    return found.join(p, ["key", "p"]).join(from_, ["key", "q"]).select(F.col("key").alias(key), F.col("q").alias("g"), F.col("rank").alias("k_rank"), F.col("p").alias(index), *local)
 
 
 def chamfer(left: DataFrame, right: DataFrame, key: str = "mesh_id") -> DataFrame:
     """(key, chamfer): mean least squared distance there and back, summed, of the two point sets of each key."""
-    a = left.select(key, F.col("pid").alias("i"), *(F.col(d).alias(f"a{d}") for d in "xyz"))
-    b = right.select(key, F.col("pid").alias("j"), *(F.col(d).alias(f"b{d}") for d in "xyz"))
-    d = sum(((F.col(f"a{k}") - F.col(f"b{k}")) ** 2 for k in "xyz"), F.lit(0.0))
-    pairs = a.join(b, key).select(key, "i", "j", d.alias("d"))
-    there = pairs.groupBy(key, "i").agg(F.min("d").alias("d")).groupBy(key).agg(F.avg("d").alias("there"))
-    back = pairs.groupBy(key, "j").agg(F.min("d").alias("d")).groupBy(key).agg(F.avg("d").alias("back"))
-    return there.join(back, key).select(key, (F.col("there") + F.col("back")).alias("chamfer"))
+
+    def way(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        named = lambda df, i: df.select(F.col(key).alias("key"), F.col("pid").alias(i), *XYZ)
+        return space.nearest(named(a, "q"), named(b, "p"), 1).groupBy("key").agg(F.avg("d").alias(name))
+
+    both = way(left, right, "there").join(way(right, left, "back"), "key")
+    return both.select(F.col("key").alias(key), (F.col("there") + F.col("back")).alias("chamfer"))
+
+
+def _least(items: DataFrame, h: Column, key: str, m: int) -> Column:
+    """Whether a row is among the m first by hash and key. The border is found by counts of the hash's leading 16 bits and
+    of the 16 that follow; only the rows that share all 32 with it are sorted, and the answer is a comparison."""
+    top, next_ = F.shiftrightunsigned(h, 48), F.shiftrightunsigned(h, 32).bitwiseAND(65535)
+    where, met = F.lit(True), F.lit(False)
+    for part in (top, next_):
+        counts = items.where(where).groupBy(part.alias("b")).agg(F.count("*").alias("n"))  # at most 65,536 rows
+        upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)))
+        edge = upto.where(F.col("upto") >= m).orderBy("b").first()
+        if edge is None:
+            return F.lit(True)
+        met, where, m = met | (where & (part < edge["b"])), where & (part == edge["b"]), m - (edge["upto"] - edge["n"])
+    last = items.where(where).select(h.alias("h"), F.col(key).alias("k")).orderBy("h", "k").limit(m).orderBy(F.desc("h"), F.desc("k")).first()
+    return met | (where & ((h < last["h"]) | ((h == last["h"]) & (F.col(key) <= last["k"]))))
 
 
 def split(items: DataFrame, key: str, share: float = 0.15, seed: int = 42) -> DataFrame:
-    """items with `part`: max(1, int(n * share)) rows of "val", the rest "train", by hash order. The validation set is
-    found as a top-k, not by sorting all rows in one task."""
+    """items with `part`: max(1, int(n * share)) rows of "val", the rest "train", by hash order. Rows with equal keys
+    fall on the same side."""
     n = items.count()
-    val = items.select(key).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(max(1, int(n * share))).withColumn("part", F.lit("val"))
-    return items.join(val, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    h = F.xxhash64(key, F.lit(seed))
+    return items.withColumn("part", F.when(_least(items, h, key, max(1, int(n * share))), "val").otherwise("train"))
 
 
 def batches(items: DataFrame, key: str, size: int = 16, seed: int = 42, least: int = 2) -> DataFrame:
-    """(key, batch): random batches of about `size`; those of fewer than `least` rows are left out."""
-    n = items.count()
-    out = items.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(max(1, -(-n // size)))).alias("batch"))
-    return out.withColumn("n", F.count("*").over(W.partitionBy("batch"))).where(F.col("n") >= least).drop("n")
+    """(key, batch): the rows in random order, `size` at a time; a last batch of fewer than `least` rows is left out."""
+    dealt = numbered(items.select(key, F.xxhash64(key, F.lit(seed)).alias("_h")), ["_h", key], name="_at", total="_n")
+    batch = F.expr(f"_at div {size}")
+    return dealt.where((batch < F.expr(f"_n div {size}")) | (F.col("_n") % size >= least)).select(key, batch.alias("batch"))
 
 
 def mask_groups(groups: DataFrame, key: str, ratio: float = 0.6, seed: int = 42) -> DataFrame:

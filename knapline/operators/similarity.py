@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ward import ward_order  # noqa: F401
+
 
 def doubles(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(id, v) with non-null vectors as doubles."""
@@ -109,9 +111,17 @@ def mean_pool(v: DataFrame, key: str) -> DataFrame:
     return v.select(key, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("mean"))
 
 
-def moments(v: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, column means and the covariance (population), from sums that tasks form themselves; only d x d numbers
-    reach the driver, however many rows there are."""
+def _merged(n: int, mean, scatter, m: int, other, more) -> tuple:
+    """Rows, mean and scatter of two sets together."""
+    if not n:
+        return m, other, more
+    d, total = other - mean, n + m
+    return total, mean + d * m / total, scatter + more + np.outer(d, d) * n * m / total
+
+
+def moments(v: DataFrame, groups: int = 8) -> tuple[int, np.ndarray | None, np.ndarray | None]:
+    """Rows, column means and the covariance (population), in one job: tasks form sums, a few groups merge those, and at
+    most `groups` times d x d numbers reach the driver, however many rows there are. No rows give 0 and None."""
 
     def partial(batches):
         n, s, g, m0 = 0, 0.0, 0.0, None
@@ -125,16 +135,18 @@ def moments(v: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
             m = m0 + s / n
             yield pd.DataFrame({"n": [n], "m": [m], "g": [(g - np.outer(s, s) / n).ravel()]})
 
-    parts = v.select("v").mapInPandas(partial, "n long, m array<double>, g array<double>")
-    n, mean, scatter = 0, None, None
-    for r in parts.toLocalIterator():
-        m, g = np.array(r["m"]), np.array(r["g"]).reshape(len(r["m"]), -1)
-        if mean is None:
-            n, mean, scatter = r["n"], m, g
-        else:
-            d, total = m - mean, n + r["n"]
-            scatter = scatter + g + np.outer(d, d) * n * r["n"] / total
-            mean, n = mean + d * r["n"] / total, total
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = (0, None, None)
+        for n, m, g in zip(pdf["n"], pdf["m"], pdf["g"], strict=True):
+            out = _merged(*out, n, np.array(m), np.array(g).reshape(len(m), -1))
+        return pd.DataFrame({"n": [out[0]], "m": [out[1]], "g": [out[2].ravel()]})
+
+    schema = "n long, m array<double>, g array<double>"
+    parts = v.select("v").mapInPandas(partial, schema).withColumn("k", F.spark_partition_id() % groups)
+    out = (0, None, None)
+    for r in sorted(parts.groupBy("k").applyInPandas(lambda pdf: merge(pdf), schema).collect(), key=lambda r: r["m"]):
+        out = _merged(*out, r["n"], np.array(r["m"]), np.array(r["g"]).reshape(len(r["m"]), -1))
+    n, mean, scatter = out
     return n, mean, None if scatter is None else scatter / n
 
 
@@ -173,32 +185,3 @@ class Pca:
                 yield pd.concat([pdf["id"].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
         return v.mapInPandas(project, "id long, " + ", ".join(f"{n} double" for n in names))
-
-
-def ward_order(v: DataFrame, most: int = 5000) -> DataFrame:
-    """(pos, id): leaf order of Ward clustering. Quadratic by nature and so for at most `most` rows, as is the heat map
-    that it orders; more raise an error rather than being sampled."""
-    rows = v.orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"Ward clustering takes at most {most} rows")
-    ids = [r["id"] for r in rows]
-    n = len(ids)
-    if not n:
-        return v.sparkSession.createDataFrame([], "pos int, id long")
-    x = np.array([r["v"] for r in rows], float)
-    g = (x * x).sum(axis=1)
-    d = np.maximum(g[:, None] + g[None, :] - 2 * x @ x.T, 0)
-    np.fill_diagonal(d, np.inf)
-    size, leaves = np.ones(n), {i: [i] for i in range(n)}
-    for _ in range(n - 1):
-        i, j = sorted(divmod(int(d.argmin()), n))
-        live = np.isfinite(d[i]) | np.isfinite(d[j])
-        si, sj = size[i], size[j]
-        new = ((si + size) * d[i] + (sj + size) * d[j] - size * d[i, j]) / (si + sj + size)
-        new[~live | (np.arange(n) == i) | (np.arange(n) == j)] = np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] = si + sj
-        leaves[i] = leaves[i] + leaves.pop(j)
-    (order,) = leaves.values()
-    return v.sparkSession.createDataFrame([(p, ids[i]) for p, i in enumerate(order)], "pos int, id long")

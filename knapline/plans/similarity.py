@@ -47,7 +47,7 @@ def mean_pool(s, d):
 
 def view_concat(s, d):
     """Three views of each object, the thirds of its embedding in another order, laid end to end again."""
-    views = embeddings(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.slice("v", 22 * k + 1, 22).alias("part")) for k in range(3)))).alias("s")).select("id", "s.view", "s.part")
+    views = embeddings(s, d).select("id", F.explode(F.array(*(F.struct(F.lit(k).alias("view"), F.expr(f"filter(v, (x, i) -> i * 3 div size(v) = {k})").alias("part")) for k in range(3)))).alias("s")).select("id", "s.view", "s.part")
     whole = views.groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("view", "part"))), lambda x: x["part"])).alias("v"))
     return whole.select("id", F.size("v").alias("width"), r(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 5).alias("check"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ordinals import numbered
+
 # The fields of the metadata table and of the failure table, in order.
 METADATA_FIELDS = ["filename", "num_original_vertices", "num_original_faces", "num_clean_vertices", "num_clean_faces", "sampling_mode", "num_points", "centroid_x", "centroid_y", "centroid_z", "scale_factor", "bbox_x", "bbox_y", "bbox_z", "surface_area", "embedding_path", "pointcloud_path", "preview_path"]
 FAILURE_FIELDS = ["filename", "stage", "error"]
@@ -27,16 +29,9 @@ def append_failures(df: DataFrame, path: str) -> None:
 
 
 def consolidated(df: DataFrame, key: str = "stem") -> DataFrame:
-    """Embeddings with their place `ord` in the order of stems, found by counting stems below, range by range."""
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    sizes = {r["_p"]: (r["count"], r["first"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("count"), F.min("_m").alias("first")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total - sizes[p][1], total + sizes[p][0]
-    if not before:
-        return df.withColumn("ord", F.lit(0).cast("long"))
-    shift = F.create_map(*(F.lit(x) for p, s in before.items() for x in (p, s)))
-    return ranged.withColumn("ord", F.col("_m") + shift[F.col("_p")]).drop("_p", "_m")
+    """Embeddings with their place `ord` in the order of stems, nulls first; rows with equal stems follow each other in
+    any order. Numbered range by range, right at any size."""
+    return numbered(df, [key])
 
 
 def ply_lines(points: DataFrame) -> DataFrame:

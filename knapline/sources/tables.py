@@ -6,6 +6,7 @@ import io
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,14 +86,22 @@ def latest(runs: DataFrame, by: str, tie: str, *keys: str) -> DataFrame:
 
 
 def images(spark: SparkSession, directory: str) -> DataFrame:
-    """(stem, height, width, row, col, channel, value) of images that Spark decodes, values in [0, 1]."""
+    """(stem, height, width, row, col, channel, value) of images that Spark decodes, values in [0, 1]. Linear in pixels;
+    a task holds one image at a time."""
     img = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").load(directory).select("image.*")
-    hexed = F.hex("data")
-    n = F.col("height") * F.col("width") * F.col("nChannels")
-    at = img.select(F.regexp_extract("origin", r"([^/]*)\.[^./]*$", 1).alias("stem"), "height", "width", "nChannels", hexed.alias("h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    value = F.conv(F.expr("substr(h, i * 2 + 1, 2)"), 16, 10).cast("double") / 255
-    # Spark stores channels as blue, green, red.
-    return at.select("stem", "height", "width", F.expr("cast(i div (width * nChannels) as int)").alias("row"), F.expr("cast(i div nChannels % width as int)").alias("col"), F.expr("nChannels - 1 - cast(i % nChannels as int)").alias("channel"), value.alias("value"))
+    kinds = [("stem", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("channel", pa.int32()), ("value", pa.float64())]
+
+    def pixels(batches):
+        for batch in batches:
+            for stem, h, w, c, data in zip(*(batch.column(k).to_pylist() for k in ("stem", "height", "width", "nChannels", "data")), strict=True):
+                row, col, channel = (x.ravel().astype(np.int32) for x in np.indices((h, w, c)))
+                # Spark stores channels as blue, green, red.
+                value = np.frombuffer(data, np.uint8)[: h * w * c] / 255
+                columns = [[stem] * len(value), np.full(len(value), h, np.int32), np.full(len(value), w, np.int32), row, col, np.int32(c - 1) - channel, value]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+
+    named = img.select(F.regexp_extract("origin", r"([^/]*)\.[^./]*$", 1).alias("stem"), "height", "width", "nChannels", "data")
+    return named.mapInArrow(pixels, "stem string, height int, width int, row int, col int, channel int, value double")
 
 
 def cached(wanted: DataFrame, have: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:

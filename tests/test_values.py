@@ -5,10 +5,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from knapline.operators import decimate, geometry, sampling, similarity
+from knapline.operators import archetypes, decimate, geometry, metadata, sampling, similarity, space
+from knapline.operators.ordinals import numbered
+from knapline.operators.ward import merges_of
 from knapline.sources import sinks, tables
 
 
@@ -61,9 +64,27 @@ def test_ward_order(spark):
     df = spark.createDataFrame([(100 + i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
     got = [r["id"] - 100 for r in similarity.ward_order(df).orderBy("pos").collect()]
     assert got == ward(x)
-    with pytest.raises(ValueError):
-        similarity.ward_order(df, most=24)
     assert similarity.ward_order(df.limit(0)).count() == 0
+    assert [tuple(r) for r in similarity.ward_order(df.where("id = 107")).collect()] == [(0, 107)]
+
+
+def test_ward_order_by_rounds(spark):
+    """Rounds of reciprocal neighbours give the tree of merging one pair at a time, copies of rows included."""
+    x = np.random.default_rng(4).normal(size=(24, 3))
+    x[16:20] = x[:4]
+    df = spark.createDataFrame([(100 + i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = [r["id"] - 100 for r in similarity.ward_order(df, finish=5).orderBy("pos").collect()]
+    assert got == ward(x)
+
+
+def test_ward_order_of_many_rows(spark):
+    """More rows than one task merges: the same order as one pair at a time."""
+    x = np.random.default_rng(5).normal(size=(1_200, 8))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(1_200), "v": x.tolist()})).select("id", "v")
+    leaves = {i: [i] for i in range(1_200)}
+    for a, _, b, _ in merges_of(list(range(1_200)), np.ones(1_200), x):
+        leaves[a] += leaves.pop(b)
+    assert [r["id"] for r in similarity.ward_order(df, finish=800).orderBy("pos").collect()] == leaves[0]
 
 
 @pytest.mark.parametrize("block", [7, 512])
@@ -88,11 +109,10 @@ def test_split_batches_masks(spark):
     assert {r["k"] for r in again.collect()} == {r["k"] for r in sampling.split(items, "k").where("part = 'val'").collect()}
     assert sampling.split(items.limit(3), "k").where("part = 'val'").count() == 1
     dealt = sampling.batches(items, "k").collect()
-    sizes = np.bincount([r["batch"] for r in dealt])
-    assert len({r["k"] for r in dealt}) == len(dealt) and all(s != 1 for s in sizes) and len(sizes) <= 7
-    # Only rows that are alone in their batch are left out.
-    alone = {k for k in range(103)} - {r["k"] for r in dealt}
-    assert len(alone) <= 7 - sum(s > 0 for s in sizes)
+    assert np.bincount([r["batch"] for r in dealt]).tolist() == [16] * 6 + [7] and {r["k"] for r in dealt} == set(range(103))
+    assert np.bincount([r["batch"] for r in sampling.batches(items.limit(97), "k").collect()]).tolist() == [16] * 6
+    twice = sampling.split(items.unionAll(items), "k")
+    assert twice.count() == 206 and twice.groupBy("k").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
     groups = spark.range(5).crossJoin(spark.range(13).select(F.col("id").alias("g"))).select(F.col("id").alias("mesh_id"), "g")
     masked = sampling.mask_groups(groups, "mesh_id").groupBy("mesh_id").agg(F.count_if("masked").alias("n"), F.count("*").alias("all")).collect()
     assert {(r["n"], r["all"]) for r in masked} == {(7, 13)}
@@ -114,6 +134,69 @@ def test_patches_against_loops(spark):
         assert [n["pid"] for n in r["l"]] == np.argsort(d, kind="stable")[:4].tolist()
 
 
+def test_nearest_against_loops(spark):
+    """Clusters, copies of places, a flat key, keys without points or with fewer than k; one cell a key and many."""
+    r = np.random.default_rng(1)
+    points = []
+    for key, n in (("a", 300), ("b", 3), ("c", 200)):
+        x = np.repeat(r.normal(size=(20, 3)), 10, axis=0) * [1, 1, 0] if key == "c" else r.normal(size=(n, 3))
+        if key == "a":
+            x[:150] *= 0.001
+        points += [(key, i, *map(float, v)) for i, v in enumerate(x)]
+    queries = [(k, i, *(np.array(v) + r.normal(size=3) * 0.5).tolist()) for k, i, *v in points[::3]] + [("none", 1, 0.0, 0.0, 0.0)]
+    want = [(k, q, n + 1, p) for k, q, *v in queries for n, (_, p) in enumerate(sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), p) for key, p, *w in points if key == k)[:4])]
+    p, q = (spark.createDataFrame(t, f"key string, {n} long, x double, y double, z double") for t, n in ((points, "p"), (queries, "q")))
+    for cell in (16, 1024):
+        assert sorted(map(tuple, space.nearest(q, p, 4, cell).select("key", "q", "rank", "p").collect())) == sorted(want)
+    odd = spark.createDataFrame([("a", None, 1.0, 1.0, 1.0), ("a", 1, None, 1.0, 1.0), (None, 1, 1.0, 1.0, 1.0), ("a", 2, float("nan"), 1.0, 1.0)], "key string, q long, x double, y double, z double")
+    assert space.nearest(odd, p, 2).count() == 0 and space.nearest(q, p.limit(0), 2).count() == 0
+
+
+def test_ranks_at_any_size(spark):
+    """400,000 rows with repeated names, over partitions that are coalesced: gapless, in order, and codes by distinct names."""
+    df = spark.range(400_000).select("id", F.concat(F.lit("s"), (F.xxhash64("id") % 350_000).cast("string")).alias("stem")).repartition(7)
+    got = sinks.consolidated(df).toPandas()
+    assert sorted(got["ord"]) == list(range(400_000)) and got.sort_values("ord")["stem"].is_monotonic_increasing
+    coded = metadata.codes(df, "id", "stem").join(df, "id").select("stem", "code").distinct().toPandas()
+    names = sorted(coded["stem"])
+    assert len(coded) == len(names) and coded.set_index("stem").loc[names, "code"].tolist() == list(range(len(names)))
+    ranks = metadata.colours(df.select(F.col("stem").alias("site"))).toPandas().set_index("site")
+    assert ranks.loc[names, "rank"].tolist() == list(range(len(names)))
+
+
+def test_numbered_within_keys(spark):
+    rows = [(k, v, i) for i, (k, v) in enumerate([(None, 1), ("a", 3), ("a", None), ("", 2), ("a", 3), (None, None), ("b", 1)] * 30)]
+    got = numbered(spark.createDataFrame(rows, "k string, v int, i int").repartition(5), ["v"], ["k"], total="n").toPandas()
+    for _, g in got.groupby("k", dropna=False):
+        assert sorted(g["ord"]) == list(range(len(g))) and set(g["n"]) == {len(g)}
+        assert g.sort_values("ord")["v"].fillna(-1).is_monotonic_increasing
+    assert len(got) == 210 and numbered(spark.createDataFrame([], "k string"), ["k"]).count() == 0
+
+
+def test_archetypes_in_blocks(spark, monkeypatch):
+    """Passes over blocks give what the analysis of all rows at once gives, steps and restarts included."""
+    monkeypatch.setattr(archetypes, "BLOCK", 256)
+    monkeypatch.setattr(archetypes, "EVERY", 7)
+    r = np.random.default_rng(3)
+    x = r.dirichlet([0.6] * 4, size=1_500) @ np.array([[0, 0, 0], [4, 0, 1], [0, 5, 0], [1, 1, 6.0]]) + r.normal(size=(1_500, 3)) * 0.2
+    ids = r.permutation(1_500)
+    df = spark.createDataFrame(pd.DataFrame({"id": ids, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})).repartition(3)
+    z, m = archetypes.analyse(x[np.argsort(ids)], 4, 20, 2)
+    for one_task in (0, 10_000):
+        tips, mix = archetypes.archetypes(df, ["a", "b", "c"], steps=20, restarts=2, one_task=one_task)
+        assert np.allclose([t[1:] for t in sorted(map(tuple, tips.collect()))], z, atol=1e-6)
+        assert np.allclose(mix.toPandas().pivot(index="id", columns="k", values="w").to_numpy(), m, atol=1e-6)
+    assert archetypes.archetypes(df.limit(0), ["a", "b", "c"])[1].count() == 0
+
+
+def test_archetypes_of_a_million_rows(spark):
+    """A million rows in blocks: no collect of rows, the driver's largest result stays a few numbers a task."""
+    df = spark.range(1_000_000).select("id", *(F.rand(s).alias(c) for s, c in enumerate("abc")))
+    tips, mix = archetypes.archetypes(df, ["a", "b", "c"], steps=2, restarts=1)
+    assert tips.count() == 4 and mix.count() == 4_000_000
+    assert mix.groupBy("id").agg(F.sum("w").alias("s")).where("abs(s - 1) > 1e-9").count() == 0
+
+
 def png(pixels):
     h, w, _ = pixels.shape
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -122,6 +205,12 @@ def png(pixels):
 
 
 def test_images(spark, tmp_path):
+    big = np.random.default_rng(2).integers(0, 256, (224, 224, 3), dtype=np.uint8)
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "large.png").write_bytes(png(big))
+    whole = tables.images(spark, str(tmp_path / "big")).toPandas().sort_values(["row", "col", "channel"])
+    assert np.allclose(whole["value"].to_numpy().reshape(224, 224, 3) * 255, big)
+    (tmp_path / "big" / "large.png").unlink()
     pixels = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3) * 14
     (tmp_path / "stone.top.png").write_bytes(png(pixels))
     got = tables.images(spark, str(tmp_path)).collect()
