@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
-In and around candidate blocks (neighbouring lines or sentences that speak of licensing) every template is looked for
-by its least word-by-word difference, so that a block gives each notice that stands in it. What is found is compressed
-on its own and with its template as a raw zstandard dictionary. Templates are left out of the comparison only where
-counts of shared words show that they differ too much.
+Candidate blocks are neighbouring lines or sentences that speak of licensing. Each is compressed alone and with every
+template as a raw zstandard dictionary; the templates by falling reduction are its candidates. In that order their exact
+wording is looked for in and around the block, by its least word-by-word difference. Where the places of several
+templates overlap, the one whose dictionary saves most bytes of its place wins, and the wording confirms it or calls it a
+variant. Templates that rank low are compared as well, for a block may hold several notices of which one compresses it
+best; none is left out but those that counts of shared words show to differ too much.
 """
 
 from __future__ import annotations
@@ -85,6 +87,7 @@ WORD = re.compile(r"[\w.+-]*\w")
 CLOSE = re.compile(r"[.!?\"')\]]*")
 LEVEL = 3
 TOLERANCE = 0.25
+NEAR = 0.1
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("reduction", pa.float64()), ("n_different", pa.int64()), ("verdict", pa.string())])
 
 
@@ -127,8 +130,12 @@ class Form:
         self.zip = zstandard.ZstdCompressor(dict_data=book, write_content_size=False, write_dict_id=False)
 
     def reduction(self, text: str) -> float:
-        raw = text.encode()
-        return 1 - len(self.zip.compress(raw)) / len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(raw))
+        alone, saved = _alone(text), self.saved(text)
+        return saved / alone
+
+    def saved(self, text: str) -> int:
+        """Bytes that the template spares as a dictionary."""
+        return _alone(text) - len(self.zip.compress(text.encode()))
 
     def shared(self, x: np.ndarray, size: int) -> int:
         """How many words of the template x has too, repeats counted: the rest differ wherever it may stand in x."""
@@ -173,6 +180,12 @@ class Form:
         return out
 
 
+@functools.lru_cache(maxsize=1_000)
+def _alone(text: str) -> int:
+    """Bytes of a text that is compressed without a dictionary."""
+    return len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress(text.encode()))
+
+
 def distances(words: np.ndarray, x: np.ndarray, anchored: bool = False) -> np.ndarray:
     """For each end in x, 0 to its length: the fewest words to change, drop or add between `words` and a part of x that
     ends there; a part that starts where x does if anchored."""
@@ -211,16 +224,30 @@ def _without(spans: list[tuple[int, int]], taken: list[tuple]) -> list[tuple[int
     return out
 
 
-def notices(x: np.ndarray, spans: list[tuple[int, int]], forms: list[Form], size: int) -> list[tuple[int, int, int, Form]]:
+@functools.lru_cache(maxsize=20_000)
+def ranked(block: str, templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[int, ...]:
+    """The templates by falling size reduction of a block; equal ones in their order."""
+    forms, _ = _forms(templates, tolerance)
+    saved = [f.saved(block) for f in forms]
+    return tuple(sorted(range(len(forms)), key=lambda k: -saved[k]))
+
+
+def notices(x: np.ndarray, spans: list[tuple[int, int]], forms: list[Form], size: int, order: dict[int, list[int]], saved) -> list[tuple[int, int, int, Form]]:
     """(start, end, words that differ, form) of every notice in x that touches one of the spans (in words, in order).
 
-    Of notices that overlap, the one that explains more words stands, but an exact wording of another license inside a
-    variant stands too. What the rest of the words hold is looked for again until nothing more is found.
+    order: for each form its ranks in the blocks of the spans; saved(form, start, end): the bytes that it spares there. Of
+    notices that overlap, those that spare most, up to a share of NEAR less, are the winners, and the wording confirms
+    one: that with the fewest words that differ, of equal ones the one that spares more, then that which ranks higher. An
+    exact wording of another license inside a variant stands too. What the rest of the words hold is looked for again
+    until nothing more is found.
     """
     taken: list[tuple[int, int, int, Form]] = []
+    best = {k: min(r) for k, r in order.items()}
+    ranks = sorted(best, key=best.get)
     while True:
         found = []
-        for form in forms:
+        for rank, k in enumerate(ranks):
+            form = forms[k]
             reach: list[tuple[int, int]] = []
             for a, b in spans:
                 a, b = max(0, a - form.n - form.most), min(len(x), b + form.n + form.most)
@@ -230,10 +257,10 @@ def notices(x: np.ndarray, spans: list[tuple[int, int]], forms: list[Form], size
                     reach.append((a, b))
             for a, b in _without(reach, taken):
                 if b - a >= form.n - form.most:
-                    found += [(a + i, a + j, d, form) for i, j, d in form.find(x[a:b], size)]
+                    found += [(a + i, a + j, d, form, rank) for i, j, d in form.find(x[a:b], size)]
         found = [f for f in found if any(f[0] < b and f[1] > a for a, b in spans)]
         before = len(taken)
-        for f in sorted(found, key=lambda f: (2 * f[2] - f[3].n, f[0], f[3].name)):
+        for f in _by_merit([(saved(f[3], f[0], f[1]), *f) for f in found]):
             over = [t for t in taken if t[0] < f[1] and t[1] > f[0]]
             if not over or f[2] == 0 and all(t[2] and t[3].name != f[3].name for t in over):
                 taken.append(f)
@@ -241,6 +268,18 @@ def notices(x: np.ndarray, spans: list[tuple[int, int]], forms: list[Form], size
             return sorted(taken, key=lambda t: t[:3])
 
 
+def _by_merit(found: list[tuple]) -> Iterator[tuple]:
+    """Places (saved, start, end, words that differ, form, rank) in the order in which they are taken, without what they
+    save and their rank."""
+    found = sorted(found, key=lambda f: (-f[0], f[5], f[1]))
+    while found:
+        top = found[0]
+        rivals = [f for f in found if f[1] < top[2] and f[2] > top[1] and f[0] >= (1 - NEAR) * top[0]]
+        won = min(rivals or [top], key=lambda f: (f[3], -f[0], f[5], f[1]))
+        found.remove(won)
+        yield won[1:5]
+
+
 def judge(text: str, templates: tuple[tuple[str, str], ...], tolerance: float = TOLERANCE) -> list[tuple[int, int, str | None, float, int, str]]:
     """(start, end, license, reduction, words that differ, verdict) of each notice, in code points, and of each block
     without one, compared with its nearest template."""
@@ -252,11 +291,23 @@ def judge(text: str, templates: tuple[tuple[str, str], ...], tolerance: float =
     x = np.array([numbers.get(m[0].lower(), -1) for m in words], np.int32)
     begin, end = np.array([m.start() for m in words]), np.array([m.end() for m in words])
     spans = [(int(np.searchsorted(begin, a)), int(np.searchsorted(end, b, side="right"))) for a, b in places]
-    taken = notices(x, spans, forms, len(numbers))
+    order: dict[int, list[int]] = {}
+    for a, b in places:
+        for rank, k in enumerate(ranked(text[a:b], templates, tolerance)):
+            order.setdefault(k, []).append(rank)
+
+    def place(i: int, j: int) -> tuple[int, int]:
+        a, b = int(begin[i]), int(end[j - 1])
+        return a, b + len(CLOSE.match(text, b)[0])
+
+    def saved(form: Form, i: int, j: int) -> int:
+        a, b = place(i, j)
+        return form.saved(text[a:b])
+
+    taken = notices(x, spans, forms, len(numbers), order, saved)
     out = []
     for i, j, d, form in taken:
-        a, b = int(begin[i]), int(end[j - 1])
-        b += len(CLOSE.match(text, b)[0])
+        a, b = place(i, j)
         out.append((a, b, form.name, form.reduction(text[a:b]), d, "variant" if d else "exact"))
     for (a, b), (i, j) in zip(places, spans, strict=True):
         if not any(t[0] < j and t[1] > i for t in taken):
@@ -264,23 +315,12 @@ def judge(text: str, templates: tuple[tuple[str, str], ...], tolerance: float =
     return sorted(out, key=lambda o: o[:2])
 
 
-@functools.lru_cache(maxsize=20_000)
 def _nearest(block: str, templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[float, int]:
-    """(reduction, words that differ) of the template of whose words the least share differs; of several the one that
-    saves most."""
+    """(reduction, words that differ) of the template that ranks first."""
     forms, numbers = _forms(templates, tolerance)
+    form = forms[ranked(block, templates, tolerance)[0]]
     x = np.array([numbers.get(w, -1) for w in _words(block)], np.int32)
-    least = sorted((1 - form.shared(x, len(numbers)) / form.n, k) for k, form in enumerate(forms))
-    best: list[tuple[float, int, int]] = []
-    for bound, k in least:
-        if best and bound > best[0][0] + 1e-9:
-            break
-        d = int(distances(forms[k].words, x).min())
-        if not best or d / forms[k].n < best[0][0]:
-            best = []
-        if not best or d / forms[k].n == best[0][0]:
-            best.append((d / forms[k].n, d, k))
-    return max((forms[k].reduction(block), d) for _, d, k in best)
+    return form.reduction(block), int(distances(form.words, x).min())
 
 
 def listed(templates: dict[str, str]) -> tuple[tuple[str, str], ...]:

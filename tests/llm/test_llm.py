@@ -575,6 +575,29 @@ def test_licenses_whole_texts(spark):
     assert [got.get(i) for i in range(len(rows))] == [[(k, "exact")] for k, _ in forms + long]
 
 
+def test_compression_ranks_license_templates(spark):
+    """Where two wordings differ from a text by as many words, the one that compresses it better wins, whatever its name;
+    without its reduction the other would be taken. A wording that ranks low in a block with several is still found."""
+    close = "This data is licensed under the Meadowlark Sharing Licence, edition seven, without restrictions of any kind whatsoever."
+    far = close.replace("Meadowlark", "Qzx").replace("restrictions", "restriction")
+    templates = {"a-far": far, "z-close": close}
+    text = close.replace("Meadowlark", "Meadowlarks").replace("restrictions", "restrictionsand")
+    ((start, end, name, reduction, different, verdict),) = licenses.judge(text, licenses.listed(templates))
+    own = {k: licenses.Form(k, v, {}, 0.25) for k, v in templates.items()}
+    assert (name, verdict, text[start:end]) == ("z-close", "variant", text) and reduction == own["z-close"].reduction(text) > own["a-far"].reduction(text)
+    forms, numbers = licenses._forms(licenses.listed(templates), 0.25)
+    x = np.array([numbers.get(w, -1) for w in licenses._words(text)], np.int32)
+    assert {int(licenses.distances(f.words, x).min()) for f in forms} == {different}
+    assert [forms[k].name for k in licenses.ranked(text, licenses.listed(templates), 0.25)] == ["z-close", "a-far"]
+    names = licenses.TEMPLATES
+    block = " ".join(names[k] for k in ("GPL-3.0", "AGPL-3.0", "MIT"))
+    ranks = licenses.ranked(block, licenses.listed(names), 0.25)
+    low = [licenses.listed(names)[k][0] for k in ranks].index("MIT")
+    assert low > 2 and [r[2] for r in licenses.judge(block, licenses.listed(names))] == ["GPL-3.0", "AGPL-3.0", "MIT"]
+    other = licenses.judge("He lost his driving licence in an accident.", licenses.listed(names))
+    assert [r[5] for r in other] == ["other"] and other[0][3] == max(f.reduction("He lost his driving licence in an accident.") for f in licenses._forms(licenses.listed(names), 0.25)[0])
+
+
 def test_license_distances():
     r = random.Random(2)
     for _ in range(50):
