@@ -48,7 +48,9 @@ def inside_tetra(s, d):
 
 
 def contract_simplex(s, d):
-    return archetypes.contract(_tips(s), AXES).select("k", *(r(a).alias(a) for a in AXES))
+    """The means of four groups of labels as archetypes."""
+    tips = coords(s, d).groupBy((F.col("label") % 4).alias("k")).agg(*(F.avg(a).alias(a) for a in AXES))
+    return archetypes.contract(tips, AXES).select("k", *(r(a).alias(a) for a in AXES))
 
 
 def patch_knn(s, d):
@@ -111,7 +113,7 @@ QUERIES = {
     "edge_walk": (edge_walk, sql(COORDS, T, WALK, f"select id, i, j, {tidy('t', 5)} as t from wk")),
     "archetype_report": (archetype_report, sql(COORDS, T, WALK, f"select i, j, count(*) as n, {tidy('corr(t, embedding[10]::double)', 5)} as r from wk join embeddings on vec_id = id group by 1, 2")),
     "inside_tetra": (inside_tetra, sql(COORDS, f"select label, count(*) filter (where {_inside()}) as n_inside, count(*) as n from co group by 1")),
-    "contract_simplex": (contract_simplex, sql(T, "select k, " + ", ".join(f"{tidy(f'm{a} + 0.85::double * ({a} - m{a})')} as {a}" for a in AXES) + " from ti, (select avg(c1) mc1, avg(c2) mc2, avg(c3) mc3 from ti)")),
+    "contract_simplex": (contract_simplex, sql(COORDS, "ti as (select label % 4 as k, avg(c1) c1, avg(c2) c2, avg(c3) c3 from co group by 1)", "select k, " + ", ".join(f"{tidy(f'm{a} + 0.85::double * ({a} - m{a})')} as {a}" for a in AXES) + " from ti, (select avg(c1) mc1, avg(c2) mc2, avg(c3) mc3 from ti)")),
     "patch_knn": (patch_knn, sql(COORDS, POINTS, "r as (select a.mesh_id, a.pid as g, b.pid, b.x - a.x as lx, row_number() over (partition by a.mesh_id, a.pid order by (b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2, b.pid) as k from p a join p b on a.mesh_id = b.mesh_id)", f"select mesh_id, g, k::int as k_rank, pid, {tidy('lx', 5)} as lx from r where k <= 8")),
     "chamfer": (chamfer, sql(COORDS, POINTS, "pr as (select a.mesh_id, a.pid i, b.pid j, (a.x + b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 d from p a join p b on a.mesh_id = b.mesh_id), t as (select mesh_id, avg(d) t from (select mesh_id, i, min(d) d from pr group by 1, 2) group by 1), k as (select mesh_id, avg(d) k from (select mesh_id, j, min(d) d from pr group by 1, 2) group by 1)", f"select mesh_id, {tidy('t + k')} as chamfer from t join k using (mesh_id)")),
     "event_windows": (events_windows, "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2"),
