@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, cross, dot, minus, named, norm, xyz
+from . import graph
 from .lineage import Scratch, settle
 
 
@@ -164,9 +165,12 @@ def quadrics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return m.groupBy("mesh_id", "vid").agg(*(F.sum(f"q{n}").alias(f"q{n}") for n in names))
 
 
-def components(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """(mesh_id, vid, component): vertices that faces connect, named by their least vertex. One mesh is one group of a
-    task, the unit in which meshes are stored; the corpus is not bounded."""
+LARGE = 200_000  # faces from which a mesh is more than one task's work
+
+
+def components(vertices: DataFrame, faces: DataFrame, large: int = LARGE) -> DataFrame:
+    """(mesh_id, vid, component): vertices that faces connect, named by their least vertex. A mesh of up to `large` faces
+    is one group of a task; larger ones are worked on by all tasks together."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         up: dict[int, int] = {}
@@ -186,10 +190,19 @@ def components(vertices: DataFrame, faces: DataFrame) -> DataFrame:
         nodes = sorted(set(pdf["u"]) | set(pdf["v"]))
         return pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "vid": nodes, "component": [find(x) for x in nodes]})
 
-    links = edges(faces).select("mesh_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
-    loops = vertices.select("mesh_id", F.col("vid").cast("long").alias("u"), F.col("vid").cast("long").alias("v"))
-    kind = vertices.schema["mesh_id"].dataType.simpleString()
-    return links.unionByName(loops).groupBy("mesh_id").applyInPandas(label, f"mesh_id {kind}, vid long, component long")
+    def in_groups(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+        links = edges(faces).select("mesh_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+        loops = vertices.select("mesh_id", F.col("vid").cast("long").alias("u"), F.col("vid").cast("long").alias("v"))
+        kind = vertices.schema["mesh_id"].dataType.simpleString()
+        return links.unionByName(loops).groupBy("mesh_id").applyInPandas(label, f"mesh_id {kind}, vid long, component long")
+
+    big = faces.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("mesh_id")
+    if not big.limit(1).count():
+        return in_groups(vertices, faces)
+    small = in_groups(vertices.join(big, "mesh_id", "left_anti"), faces.join(big, "mesh_id", "left_anti"))
+    nodes = vertices.join(big, "mesh_id", "left_semi").select(F.col("mesh_id").alias("key"), F.col("vid").cast("long").alias("v"))
+    links = edges(faces.join(big, "mesh_id", "left_semi")).select(F.col("mesh_id").alias("key"), F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b"))
+    return small.unionByName(graph.components(nodes, links).select(F.col("key").alias("mesh_id"), F.col("v").alias("vid"), "component"))
 
 
 def keep_largest(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:

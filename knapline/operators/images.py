@@ -149,39 +149,58 @@ def depth_mean(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("value") > PIXEL).groupBy("mesh_id", "view").agg(F.avg("value").alias("depth_mean"))
 
 
-def fill_triangles(triangles: np.ndarray, values: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Draws triangles (n, 3, 2) of (x, y) pixel coordinates in order, later ones on top; a pixel belongs to a triangle
-    that its centre lies in. values: (n, channels)."""
-    out = np.zeros((height, width, values.shape[1]))
-    for t, v in zip(triangles, values, strict=True):
-        x0, y0 = np.maximum(np.floor(t.min(axis=0)).astype(int), 0)
-        x1, y1 = np.minimum(np.ceil(t.max(axis=0)).astype(int), [width, height])
+TILE = 128
+
+
+def covering(triangles: np.ndarray, height: int, width: int, top: int = 0, left: int = 0) -> np.ndarray:
+    """For each pixel of a window the last triangle (n, 3, 2) of (x, y) canvas coordinates that its centre lies in, else -1."""
+    out = np.full((height, width), -1)
+    for k, t in enumerate(triangles):
+        x0, y0 = np.maximum(np.floor(t.min(axis=0)).astype(int), [left, top])
+        x1, y1 = np.minimum(np.ceil(t.max(axis=0)).astype(int), [left + width, top + height])
         if x1 <= x0 or y1 <= y0:
             continue
         gx, gy = np.meshgrid(np.arange(x0, x1) + 0.5, np.arange(y0, y1) + 0.5)
         (ax, ay), (bx, by), (cx, cy) = t
         s = [(bx - ax) * (gy - ay) - (by - ay) * (gx - ax), (cx - bx) * (gy - by) - (cy - by) * (gx - bx), (ax - cx) * (gy - cy) - (ay - cy) * (gx - cx)]
         inside = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
-        out[y0:y1, x0:x1][inside] = v
+        out[y0 - top : y1 - top, x0 - left : x1 - left][inside] = k
     return out
 
 
-def render(faces_px: DataFrame, height: int, width: int, channels: list[str], view: str) -> DataFrame:
+def fill_triangles(triangles: np.ndarray, values: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Draws triangles in order, later ones on top, with their values (n, channels); 0 where there is none."""
+    at = covering(triangles, height, width)
+    return np.where(at[..., None] >= 0, values[np.maximum(at, 0)], 0.0)
+
+
+def render(faces_px: DataFrame, height: int, width: int, channels: list[str], view: str, tile: int = TILE) -> DataFrame:
     """Pixels of faces (mesh_id, fid, order, ax, ay, bx, by, cx, cy, channels), drawn by rising `order` and then fid.
-    One mesh's faces are one group; only drawn pixels come back."""
+    Faces go to every square of the canvas that they reach into; one square of one mesh is one group, whatever the size
+    of mesh and canvas. Only drawn pixels come back."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "fid"])
+        top, left = int(pdf["_row"].iloc[0]) * tile, int(pdf["_col"].iloc[0]) * tile
         t = pdf[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(float).reshape(-1, 3, 2)
-        img = fill_triangles(t, np.column_stack([pdf[channels].to_numpy(float), np.ones(len(pdf))]), height, width)
-        r, c = np.nonzero(img[:, :, -1])
-        out = pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "view": view, "row": r.astype(np.int32), "col": c.astype(np.int32)})
+        at = covering(t, min(tile, height - top), min(tile, width - left), top, left)
+        r, c = np.nonzero(at >= 0)
+        out = pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "view": view, "row": (r + top).astype(np.int32), "col": (c + left).astype(np.int32)})
+        values = pdf[channels].to_numpy(float)[at[r, c]]
         for k, name in enumerate(channels):
-            out[name] = img[r, c, k]
+            out[name] = values[:, k]
         return out
 
+    def squares(k: str, size: int):
+        corners = [F.col(c + k) for c in "abc"]
+        last = -(-size // tile) - 1
+        lo, hi = F.floor(F.least(*corners) / tile), F.floor(F.greatest(*corners) / tile)
+        return F.when((hi >= 0) & (lo <= last), F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, F.lit(last)).cast("int")))
+
     kind = faces_px.schema["mesh_id"].dataType.simpleString()
-    return faces_px.groupBy("mesh_id").applyInPandas(draw, f"mesh_id {kind}, view string, row int, col int, " + ", ".join(f"{c} double" for c in channels))
+    # Two tables of squares and not one: a generator a select.
+    binned = faces_px.withColumn("_row", F.explode(squares("y", height))).withColumn("_col", F.explode(squares("x", width)))
+    return binned.groupBy("mesh_id", "_row", "_col").applyInPandas(draw, f"mesh_id {kind}, view string, row int, col int, " + ", ".join(f"{c} double" for c in channels))
 
 
 def square_pad(img: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import barycentric
 from . import geometry, space
+from .lineage import Scratch, settle
 from .ordinals import numbered
 
 
@@ -81,9 +82,12 @@ def resize(points: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return ranked.where(F.col("r") < n).select("*", F.explode(copies).alias("lap")).select("mesh_id", (F.col("r") + F.col("lap") * F.col("m")).cast("int").alias("pid"), *[c for c in points.columns if c not in ("mesh_id", "pid")])
 
 
-def farthest(points: DataFrame, n: int, key: str = "mesh_id", index: str = "pid") -> DataFrame:
-    """(key, g, pid): farthest-point sampling from the first point; ties go to the first. Sequential by nature: one
-    group is one task's work, and holds three numbers a point."""
+LARGE = 100_000  # points from which a cloud is more than one task's work
+
+
+def farthest(points: DataFrame, n: int, key: str = "mesh_id", index: str = "pid", large: int = LARGE) -> DataFrame:
+    """(key, g, pid): farthest-point sampling from the first point; ties go to the first. A cloud of up to `large` points
+    is one task's work and holds three numbers a point; in larger ones all tasks look for each next point."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
@@ -96,7 +100,30 @@ def farthest(points: DataFrame, n: int, key: str = "mesh_id", index: str = "pid"
         return pd.DataFrame({key: pdf[key].iloc[0], "g": range(len(out)), index: pdf[index].to_numpy()[out]})
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    return points.select(key, index, "x", "y", "z").groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, g int, {index} {kinds[index]}")
+    in_groups = lambda p: p.select(key, index, *XYZ).groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, g int, {index} {kinds[index]}")
+    big = points.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > large).select(key)
+    if not big.limit(1).count():
+        return in_groups(points)
+    shared = _farthest_of_all(points.join(big, key, "left_semi").select(F.col(key).alias("key"), F.col(index).alias("p"), *XYZ), n)
+    return in_groups(points.join(big, key, "left_anti")).unionByName(shared.select(F.col("key").alias(key), "g", F.col("p").alias(index)))
+
+
+def _farthest_of_all(points: DataFrame, n: int) -> DataFrame:
+    """(key, g, p): a job for each of the n points, in which every task gives its farthest point of each key. Distances
+    are measured anew from the centres so far, so that nothing has to be kept between jobs but those."""
+    with Scratch(points.sparkSession) as scratch:
+        points = scratch.settle(points.select("key", "p", *(F.col(c).cast("double").alias(c) for c in XYZ)))
+        place = F.struct("p", *XYZ)
+        first = points.groupBy("key").agg(F.min(place).alias("s")).select("key", F.lit(0).alias("g"), "s.*")
+        chosen = scratch.settle(first)
+        few = chosen.count() * n <= 100_000
+        for g in range(1, n):
+            centres = chosen.groupBy("key").agg(F.collect_list(F.struct(*XYZ)).alias("centres"))  # at most n a key
+            d = F.array_min(F.transform("centres", lambda c: sum(((F.col(k) - c[k]) ** 2 for k in XYZ), F.lit(0.0))))
+            far = points.join(F.broadcast(centres) if few else centres, "key").select("key", F.struct((-d).alias("d"), "p", *XYZ).alias("s"))
+            new = far.groupBy("key").agg(F.min("s").alias("s")).select("key", F.lit(g).alias("g"), "s.p", *(f"s.{c}" for c in XYZ))
+            chosen = scratch.settle(chosen.unionByName(new))
+        return settle(chosen.where(F.col("g") < n).select("key", "g", "p"))
 
 
 def patches(points: DataFrame, centres: DataFrame, k: int, key: str = "mesh_id", index: str = "pid") -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from knapline.operators import archetypes, decimate, geometry, metadata, sampling, similarity, space
+from knapline.operators import archetypes, decimate, geometry, images, metadata, sampling, similarity, space
 from knapline.operators.ordinals import numbered
 from knapline.operators.ward import merges_of
 from knapline.sources import sinks, tables
@@ -152,6 +152,51 @@ def test_nearest_against_loops(spark):
     assert space.nearest(odd, p, 2).count() == 0 and space.nearest(q, p.limit(0), 2).count() == 0
 
 
+def test_farthest_points_over_tasks(spark):
+    """A cloud that all tasks share gives the points that one task finds, ties and copies included."""
+    r = np.random.default_rng(9)
+    rows = [(m, i, *map(float, x)) for m in (1, 2, 3) for i, x in enumerate(r.integers(0, 4, (60 * m, 3)) if m == 2 else r.normal(size=(60 * m, 3)))]
+    p = spark.createDataFrame(rows, "mesh_id long, pid long, x double, y double, z double").repartition(5)
+    one = sorted(map(tuple, sampling.farthest(p, 12).collect()))
+    assert sorted(map(tuple, sampling.farthest(p, 12, large=100).collect())) == one and len(one) == 36
+
+
+def test_components_over_tasks(spark):
+    """Meshes of several pieces, paths in an awkward order among them, shared by all tasks."""
+    r = np.random.default_rng(10)
+    faces = [(1, i, *map(int, f)) for i, f in enumerate(r.integers(0, 120, (70, 3)))]
+    path = r.permutation(90)
+    faces += [(2, i, int(path[i]), int(path[i + 1]), int(path[i + 1])) for i in range(89) if i != 44] + [(3, 0, 0, 1, 2)]
+    v = spark.createDataFrame([(m, i, 0.0, 0.0, 0.0) for m, n in ((1, 120), (2, 90), (3, 5)) for i in range(n)], "mesh_id long, vid long, x double, y double, z double")
+    f = spark.createDataFrame(faces, "mesh_id long, fid long, a long, b long, c long").repartition(4)
+    one = sorted(map(tuple, geometry.components(v, f).collect()))
+    assert sorted(map(tuple, geometry.components(v, f, large=10).collect())) == one and len({t[::2] for t in one if t[0] == 2}) == 2
+
+
+def test_components_of_a_million_faces(spark):
+    """One mesh of two grids that don't touch, a million faces in all, without one group a mesh."""
+    n = 500  # quads a side
+    at = lambda g, i, j: g * (n + 1) ** 2 + i * (n + 1) + j
+    cells = spark.range(2 * n * n).selectExpr("1L as mesh_id", "id as fid", f"id div {n * n} as g", f"id div {n} % {n} as i", f"id % {n} as j")
+    corner = lambda di, dj: at(F.col("g"), F.col("i") + di, F.col("j") + dj).cast("long")
+    f = cells.select("mesh_id", F.explode(F.array(F.struct(corner(0, 0).alias("a"), corner(0, 1).alias("b"), corner(1, 0).alias("c")), F.struct(corner(0, 1).alias("a"), corner(1, 1).alias("b"), corner(1, 0).alias("c")))).alias("t"), "fid").select("mesh_id", "fid", "t.*")
+    v = spark.range(2 * (n + 1) ** 2).selectExpr("1L as mesh_id", "id as vid")
+    got = geometry.components(v, f).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in got} == {(0, (n + 1) ** 2), ((n + 1) ** 2, (n + 1) ** 2)}
+
+
+def test_tiles_draw_the_same_pixels(spark):
+    """Whatever the size of the squares, also where faces lie across their borders, off the canvas or on top of others."""
+    r = np.random.default_rng(11)
+    rows = [(m, i, float(r.integers(0, 5)), *(r.uniform(-20, 90, 2).repeat(3).reshape(2, 3).T + r.normal(size=(3, 2)) * 15).ravel().tolist(), float(i)) for m in (1, 2) for i in range(60)]
+    px = spark.createDataFrame(rows, "mesh_id long, fid long, order double, ax double, ay double, bx double, by double, cx double, cy double, v double")
+    drawn = [sorted(map(tuple, images.render(px, 61, 75, ["v"], "top", tile).collect())) for tile in (1_000, 32, 7)]
+    assert drawn[0] == drawn[1] == drawn[2] and len(drawn[0]) > 1_000
+    t = [x for x in sorted(rows, key=lambda x: (x[2], x[1])) if x[0] == 1]
+    whole = images.fill_triangles(np.array([x[3:9] for x in t]).reshape(-1, 3, 2), np.array([[x[9] + 1] for x in t]), 61, 75)[:, :, 0]
+    assert {(x[2], x[3]): x[4] + 1 for x in drawn[0] if x[0] == 1} == {(i, j): whole[i, j] for i, j in zip(*np.nonzero(whole), strict=True)}
+
+
 def test_ranks_at_any_size(spark):
     """400,000 rows with repeated names, over partitions that are coalesced: gapless, in order, and codes by distinct names."""
     df = spark.range(400_000).select("id", F.concat(F.lit("s"), (F.xxhash64("id") % 350_000).cast("string")).alias("stem")).repartition(7)
