@@ -1,7 +1,6 @@
 """Embedding analytics: vectors (id, embedding) as arrays of doubles.
 
-Neighbour search deals vectors into blocks and joins blocks, so that a task holds two blocks and gives out k rows a
-query, not all pairs. Matrices of all pairs are as large as their definition; they are for small sets.
+Neighbour search compares blocks of vectors, so that a task holds two blocks and gives out k rows a query, not all pairs. Matrices of all pairs are as large as their definition; they are for small sets.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import knn
 from .ward import ward_order  # noqa: F401
 
 
@@ -77,26 +77,31 @@ def pearson_matrix(v: DataFrame) -> DataFrame:
 def neighbours(v: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query, rank, neighbour, distance): the k nearest others by cosine distance, ties to the smaller id. The row
     itself is left out by its id, so that exact copies count as neighbours."""
-    dealt, blocks = _dealt(unit(v), block)
-    left = dealt.select(F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"), "id", "v")
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("block").alias("j"), "id", "v")
-
-    def near(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(points):
-            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
-        points = points.sort_values("id")
-        q, p = np.stack(queries["v"]), np.stack(points["v"])
-        ids, own = points["id"].to_numpy(), queries["id"].to_numpy()
-        d = 1 - q @ p.T
-        d[own[:, None] == ids[None, :]] = np.inf
-        top = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(own)), top.shape[1])
-        out = pd.DataFrame({"query": own[rows], "neighbour": ids[top.ravel()], "distance": d[rows, top.ravel()]})
-        return out[np.isfinite(out["distance"])]
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(near, "query long, neighbour long, distance double")
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "distance")
+    return knn.nearest(unit(v), k, block=block)
+
+
+def scaled(v: DataFrame) -> DataFrame:
+    """(id, v) with columns about their mean over their population deviation, as whole vectors."""
+    n, mean, cov = moments(v)
+    if not n:
+        return v
+    s = np.sqrt(np.diag(cov))
+    s = np.where(s > 0, s, 1.0)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(v=[(np.asarray(x, float) - mean) / s for x in pdf["v"]])
+
+    return v.select("id", "v").mapInPandas(run, v.select("id", "v").schema)
+
+
+def fuzzy_graph(v: DataFrame, k: int = 15) -> DataFrame:
+    """(i, j, w): the weighted neighbour graph of standardized vectors, k neighbours a row with itself, fewer where there
+    are fewer rows."""
+    k = min(k, v.count() - 1)
+    if k < 2:
+        return v.sparkSession.createDataFrame([], "i long, j long, w double")
+    return knn.fuzzy_graph(knn.nearest(scaled(v), k - 1, cosine=False), k)
 
 
 def standardize(v: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def mean_pool(v: DataFrame, key: str) -> DataFrame:
     return v.select(key, F.posexplode("v").alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("mean"))
 
 
-def _merged(n: int, mean, scatter, m: int, other, more) -> tuple:
+def merged(n: int, mean, scatter, m: int, other, more) -> tuple:
     """Rows, mean and scatter of two sets together."""
     if not n:
         return m, other, more
@@ -138,14 +143,14 @@ def moments(v: DataFrame, groups: int = 8) -> tuple[int, np.ndarray | None, np.n
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out = (0, None, None)
         for n, m, g in zip(pdf["n"], pdf["m"], pdf["g"], strict=True):
-            out = _merged(*out, n, np.array(m), np.array(g).reshape(len(m), -1))
+            out = merged(*out, n, np.array(m), np.array(g).reshape(len(m), -1))
         return pd.DataFrame({"n": [out[0]], "m": [out[1]], "g": [out[2].ravel()]})
 
     schema = "n long, m array<double>, g array<double>"
     parts = v.select("v").mapInPandas(partial, schema).withColumn("k", F.spark_partition_id() % groups)
     out = (0, None, None)
     for r in sorted(parts.groupBy("k").applyInPandas(lambda pdf: merge(pdf), schema).collect(), key=lambda r: r["m"]):
-        out = _merged(*out, r["n"], np.array(r["m"]), np.array(r["g"]).reshape(len(r["m"]), -1))
+        out = merged(*out, r["n"], np.array(r["m"]), np.array(r["g"]).reshape(len(r["m"]), -1))
     n, mean, scatter = out
     return n, mean, None if scatter is None else scatter / n
 

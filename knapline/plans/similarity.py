@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tidy as r
-from ..operators import archetypes, metadata
+from ..operators import archetypes, knn, metadata
 from ..operators import similarity as op
 from .inputs import COORDS, EMBEDDED, coords, embeddings, sql, table, tidy
 
@@ -77,6 +77,17 @@ def knn_graph(s, d):
     return g.select(F.least("query", "neighbour").alias("i"), F.greatest("query", "neighbour").alias("j"), "distance").groupBy("i", "j").agg(r(F.min("distance"), 5).alias("distance"))
 
 
+def fuzzy_graph(s, d):
+    return op.fuzzy_graph(_v(s, d)).select("i", "j", r("w", 5).alias("w"))
+
+
+def umap_layout(s, d):
+    """A layout of the weighted graph, beginning at the first two components."""
+    v = _v(s, d)
+    start = op.Pca(v, 2).transform(v).select("id", F.col("pc1").alias("u1"), F.col("pc2").alias("u2"))
+    return knn.layout(op.fuzzy_graph(v), start, epochs=10)
+
+
 def top3_archetype(s, d):
     """The three highest of each component."""
     long = coords(s, d).select("id", F.expr("stack(3, 1, c1, 2, c2, 3, c3) as (k, w)"))
@@ -120,4 +131,6 @@ QUERIES = {
     "ward_order": (ward_order, None),
     "archetypes": (archetypes_, None),
     "knn_graph": (knn_graph, None),
+    "fuzzy_graph": (fuzzy_graph, None),
+    "umap_layout": (umap_layout, None),
 }

@@ -101,16 +101,50 @@ def test_files(spark, tmp_path):
     assert [list(r["v"]) for r in tables.npy(spark, str(tmp_path)).orderBy("row").collect()] == [[0, 1, 2], [3, 4, 5]]
 
 
+CUBE = "point [0 0 0, 1 0 0, 1 1 0, 0 1 0, 0 0 {h}, 1 0 {h}, 1 1 {h}, 0 1 {h}] coordIndex [0 3 2 -1 0 2 1 -1 4 5 6 -1 4 6 7 -1 0 1 5 -1 0 5 4 -1 2 3 7 -1 2 7 6 -1 1 2 6 -1 1 6 5 -1 0 4 7 -1 0 7 3 -1]"
+
+
+def picky():
+    class Picky:
+        """Refuses tall shapes. Defined here, since workers don't import this module."""
+
+        width = 3
+
+        def embed(self, points):
+            if np.ptp(points, axis=0).max() > 0.9:
+                raise ValueError("too tall")
+            return np.ptp(points, axis=0)
+
+    return Picky()
+
+
 def test_stream(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
-    src.mkdir()
-    for name in ("a.wrl", "b.wrl"):
-        (src / name).write_text("point [0 0 0, 1 0 0, 0 1 0] coordIndex [0 1 2 -1]")
-        refresh.ingest(spark, str(src), str(out), str(tmp_path / "ck")).awaitTermination(60)
-    (src / "c.wrl").write_text("empty")
-    refresh.ingest(spark, str(src), str(out), str(tmp_path / "ck")).awaitTermination(60)
-    assert sorted(r["mesh_id"] for r in spark.read.parquet(f"{out}/embeddings").collect()) == ["a.wrl", "b.wrl"]
-    assert [r["filename"] for r in spark.read.parquet(f"{out}/failures").collect()] == ["c.wrl"]
+    """Three batches: meshes that pass, and one file for each stage that can fail. The state is that of one full pass, and
+    a batch that runs again changes nothing."""
+    src, out, states = tmp_path / "in", tmp_path / "out", []
+    (src / "sub").mkdir(parents=True)
+
+    def run(**files):
+        for name, text in files.items():
+            (src / (name.replace("__", "/") + ".wrl")).write_text(text)
+        refresh.ingest(spark, str(src), str(out), str(tmp_path / "ck"), refresh=lambda s: states.append(s.first()), points=64, embedder=picky()).awaitTermination(300)
+
+    run(a=CUBE.format(h=1), sub__a=CUBE.format(h=2))
+    run(empty="empty", flat="point [0 0 0, 1 0 0, 2 0 0] coordIndex [0 1 2 -1]", tall=CUBE.format(h=90))
+    run(b=CUBE.format(h=0.5))
+    vectors = {r["mesh_id"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{out}/embeddings").collect()}
+    assert set(vectors) == {"a.wrl", "sub/a.wrl", "b.wrl"}
+    failed = {r["filename"]: (r["stage"], r["error"]) for r in spark.read.parquet(f"{out}/failures").collect()}
+    assert failed == {"empty.wrl": ("load", "no point block"), "flat.wrl": ("clean", "no faces after cleaning"), "tall.wrl": ("embed", "ValueError: too tall")}
+    x = np.array(list(vectors.values()))
+    last = states[-1]
+    assert [s["n"] for s in states] == [2, 2, 3] and np.allclose(last["mean"], x.mean(axis=0))
+    assert np.allclose(np.array(last["scatter"]).reshape(3, 3), (x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))
+    assert last["bbox_z"] == 2 and last["surface_area"] == pytest.approx(10)
+    again = spark.createDataFrame([("b.wrl", bytearray(CUBE.format(h=0.5).encode()))], "mesh_id string, content binary")
+    refresh.process_batch(again, 2, str(out), 64, picky())
+    now = refresh.state(spark, str(out)).first()
+    assert now["n"] == 3 and np.allclose(now["mean"], last["mean"]) and spark.read.parquet(f"{out}/embeddings").count() == 3
 
 
 def test_decimate(spark):

@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from knapline.operators import archetypes, decimate, geometry, images, metadata, sampling, similarity, space
+from knapline.operators import archetypes, decimate, geometry, images, knn, metadata, sampling, similarity, space
+from knapline.operators.lineage import Scratch
 from knapline.operators.ordinals import numbered
 from knapline.operators.ward import merges_of
 from knapline.sources import sinks, tables
@@ -152,6 +153,89 @@ def test_nearest_against_loops(spark):
     assert space.nearest(odd, p, 2).count() == 0 and space.nearest(q, p.limit(0), 2).count() == 0
 
 
+def unit_rows(x):
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.where(n > 0, x / np.where(n > 0, n, 1), 0)
+
+
+def test_pruned_neighbours_are_exact(spark):
+    """Clustered vectors, copies and zero rows: the rows of comparing all with all, by a share of the blocks."""
+    r = np.random.default_rng(12)
+    x = np.repeat(r.normal(size=(12, 6)) * 3, 30, axis=0) + r.normal(size=(360, 6)) * 0.05
+    x[5], x[6], x[200:240] = 0, 0, x[100]
+    ids = r.permutation(360)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<double>").repartition(3)
+    x = x[np.argsort(ids)]
+    for cosine in (True, False):
+        y = unit_rows(x) if cosine else x
+        d = 1 - y @ y.T if cosine else np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        d = np.round(d, 7)
+        want = {(q, n + 1): d[q, i] for q in range(360) for n, i in enumerate(np.argsort(d[q], kind="stable")[:4])}
+        v = similarity.unit(df) if cosine else df
+        got = {(t["query"], t["rank"]): t for t in knn.nearest(v, 4, cosine, block=30).collect()}
+        assert got.keys() == want.keys() and all(abs(t["distance"] - want[k]) < 1e-6 for k, t in got.items())
+        assert all(abs(d[t["query"], t["neighbour"]] - t["distance"]) < 1e-6 for t in got.values())
+        one = {(t["query"], t["rank"]): round(t["distance"], 6) for t in knn.nearest(v, 4, cosine).collect()}
+        assert one == {k: round(t["distance"], 6) for k, t in got.items()}
+    assert knn.nearest(df.limit(0), 3).count() == 0
+
+
+def test_pivots_skip_blocks(spark):
+    r = np.random.default_rng(13)
+    x = np.repeat(r.normal(size=(20, 8)) * 5, 50, axis=0) + r.normal(size=(1000, 8)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    with Scratch(spark) as scratch:
+        p = knn.Pivots(df, 1000, 50, False, scratch)
+        visited = p.visits(p.dealt.withColumn("reach", F.lit(0.5))).count()
+    assert len(p.pivots) == 20 and visited < 0.3 * 1000 * (sum(p.chunks) - 1)
+
+
+def test_fuzzy_graph(spark):
+    r = np.random.default_rng(14)
+    x = r.normal(size=(80, 5))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    rows = knn.directed(knn.nearest(similarity.scaled(df), 14, cosine=False), 15).collect()
+    sums = np.bincount([t["query"] for t in rows], [t["w"] for t in rows])
+    assert np.allclose(sums, np.log2(15), atol=1e-4)
+    want = np.zeros((80, 80))
+    for i in range(80):
+        near = np.argsort(d[i], kind="stable")[1:15]
+        want[i, near] = knn.weights_of(d[i, near][None, :], np.log2(15))[0]
+        assert want[i, near[0]] == 1
+    both = want + want.T - want * want.T
+    got = {(t["i"], t["j"]): t["w"] for t in similarity.fuzzy_graph(df, 15).collect()}
+    assert got.keys() == {(i, j) for i, j in zip(*np.nonzero(both), strict=True) if i < j} and all(abs(w - both[k]) < 1e-6 for k, w in got.items())
+    assert similarity.fuzzy_graph(df.limit(0)).count() == 0
+    # Copies have no bandwidth of their own; a row of them alone weighs each fully.
+    assert knn.weights_of(np.zeros((1, 3)), 2.0).tolist() == [[1, 1, 1]]
+    a, b = knn.curve(0.1)
+    assert (round(a, 2), round(b, 2)) == (1.58, 0.9)
+
+
+def test_layout_parts_what_the_graph_parts(spark):
+    r = np.random.default_rng(15)
+    x = np.concatenate([r.normal(size=(20, 4)), r.normal(size=(20, 4)) + 12])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    start = spark.createDataFrame([(i, *map(float, r.normal(size=2))) for i in range(40)], "id long, u1 double, u2 double")
+    graph = similarity.fuzzy_graph(df, 10)
+    assert graph.where("(i < 20) <> (j < 20)").count() == 0
+    before = start.orderBy("id").toPandas()[["u1", "u2"]].to_numpy()
+    after = knn.layout(graph, start, epochs=12).orderBy("id").toPandas()[["u1", "u2"]].to_numpy()
+
+    def linked(u):
+        """How far linked rows lie apart, as a share of what rows of different groups do."""
+        far = lambda i, j: float(np.linalg.norm(u[i] - u[j]))
+        return np.mean([far(t["i"], t["j"]) for t in graph.collect()]) / np.mean([far(i, j) for i in range(20) for j in range(20, 40)])
+
+    assert linked(after) < 0.92 * linked(before)
+    one, two = (knn.layout(g, p, epochs=2).orderBy("id").toPandas()[["u1", "u2"]].to_numpy() for g, p in ((graph, start), (graph.repartition(7), start.repartition(3))))
+    assert np.allclose(one, two)
+    assert knn.layout(graph.limit(0), start.limit(1)).count() == 1
+
+
 def test_farthest_points_over_tasks(spark):
     """A cloud that all tasks share gives the points that one task finds, ties and copies included."""
     r = np.random.default_rng(9)
