@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tidy as r
-from ..operators import archetypes, knn, metadata
+from ..operators import archetypes, contrast, knn, metadata
 from ..operators import similarity as op
 from .inputs import COORDS, EMBEDDED, coords, embeddings, sql, table, tidy
 
@@ -88,6 +88,11 @@ def umap_layout(s, d):
     return knn.layout(op.fuzzy_graph(v), start, epochs=10)
 
 
+def epoch_losses(s, d):
+    """Losses of a linear head that learns to tell two views of an object from those of others."""
+    return contrast.train(contrast.views(_v(s, d)), epochs=5)[1].select("epoch", "n_batches", r("loss", 5).alias("loss"))
+
+
 def top3_archetype(s, d):
     """The three highest of each component."""
     long = coords(s, d).select("id", F.expr("stack(3, 1, c1, 2, c2, 3, c3) as (k, w)"))
@@ -133,4 +138,5 @@ QUERIES = {
     "knn_graph": (knn_graph, None),
     "fuzzy_graph": (fuzzy_graph, None),
     "umap_layout": (umap_layout, None),
+    "epoch_losses": (epoch_losses, None),
 }

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from knapline.operators import archetypes, decimate, geometry, images, knn, metadata, sampling, similarity, space
+from knapline.operators import archetypes, contrast, decimate, geometry, images, knn, metadata, sampling, similarity, space
 from knapline.operators.lineage import Scratch
 from knapline.operators.ordinals import numbered
 from knapline.operators.ward import merges_of
@@ -236,6 +236,41 @@ def test_layout_parts_what_the_graph_parts(spark):
     assert knn.layout(graph.limit(0), start.limit(1)).count() == 1
 
 
+def test_contrastive_gradient():
+    r = np.random.default_rng(16)
+    w, a, b = r.normal(size=(5, 3)), r.normal(size=(6, 5)), r.normal(size=(6, 5))
+    loss, grad = contrast.loss_and_gradient(w, a, b, 0.5)
+    z = np.concatenate([a, b]) @ w
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    want = np.mean([-np.log(np.exp(z[i] @ z[(i + 6) % 12] / 0.5) / sum(np.exp(z[i] @ z[j] / 0.5) for j in range(12) if j != i)) for i in range(12)])
+    assert loss == pytest.approx(want)
+    for i in range(5):
+        for j in range(3):
+            e = np.zeros_like(w)
+            e[i, j] = 1e-6
+            slope = (contrast.loss_and_gradient(w + e, a, b, 0.5)[0] - contrast.loss_and_gradient(w - e, a, b, 0.5)[0]) / 2e-6
+            assert grad[i, j] == pytest.approx(slope, abs=1e-6)
+
+
+def test_contrastive_epochs(spark):
+    """Gradients summed over tasks are those of the batches, and the loss falls; one row an epoch."""
+    r = np.random.default_rng(17)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(101, 8)))], "id long, v array<double>")
+    pairs = contrast.views(df).repartition(3)
+    rows = {t["id"]: (np.array(t["a"]), np.array(t["b"])) for t in pairs.collect()}
+    w = r.normal(size=(8, 4))
+    loss, grad, n = contrast._pass(pairs, w, 1, 16, 0.07)
+    groups = {}
+    for t in sampling.batches(pairs.select("id"), "id", 16, 1).orderBy("id").collect():
+        groups.setdefault(t["batch"], []).append(rows[t["id"]])
+    each = [contrast.loss_and_gradient(w, np.array([a for a, _ in g]), np.array([b for _, b in g])) for g in groups.values()]
+    assert n == len(groups) == 7 and loss == pytest.approx(sum(x for x, _ in each)) and np.allclose(grad, sum(g for _, g in each))
+    _, losses = contrast.train(pairs, width=4, epochs=4, rate=0.1)
+    losses = [t["loss"] for t in losses.orderBy("epoch").collect()]
+    assert len(losses) == 4 and losses[-1] < 0.9 * losses[0]
+    assert contrast.train(pairs.limit(0), epochs=2)[1].count() == 0
+
+
 def test_farthest_points_over_tasks(spark):
     """A cloud that all tasks share gives the points that one task finds, ties and copies included."""
     r = np.random.default_rng(9)
