@@ -478,7 +478,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
                     out.append(class_of(s) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], schema=cids)
 
-    marked = docs.mapInArrow(label, StructType([*docs.schema.fields]).add(cls, LongType()))
+    marked = settle(docs.mapInArrow(label, StructType([*docs.schema.fields]).add(cls, LongType())))
     back = [F.col(f"`{c}`") for c in docs.columns]
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(stay[own]) & (marked[cls] == stay[cls])
     one = marked.where(marked[cls].isNotNull()).join(stay, same, "left_semi").dropDuplicates([id_col, cls])

@@ -136,7 +136,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", repository: str | None = Non
         return pd.Series([_cut(x, o, mark) for x, o in zip(t, live, strict=True)], dtype=object)
 
     text = F.col(f"`{text_col}`")
-    marked = docs.mapInArrow(mark_rows, wide)
+    marked = settle(docs.mapInArrow(mark_rows, wide))
     loose = marked.where(F.size(vals) > 0)
     place = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     candidates = settle(loose.select(F.col(name).alias("k"), (F.hex(name) if repository is None else place(repository)).alias("repository"), place(owner).alias("owner"), F.explode(vals).alias("value")))

@@ -624,7 +624,7 @@ def strip(docs: DataFrame, words: int = 50, text_col: str = "text") -> DataFrame
                 keys = [k if k is not None and bits[_bits_of([k])[0]] else None for k in keys]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary())], schema=wide)
 
-    marked = docs.mapInArrow(mark, keyed)
+    marked = settle(docs.mapInArrow(mark, keyed))
 
     @released
     def cut(batches):
