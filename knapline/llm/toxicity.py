@@ -4,8 +4,10 @@ Categories in order: low quality, toxic, severe (toxic with several of the words
 first two only, so that the third is drawn from them: its words are those that mark the other folds' toxic rows. The
 linear model of a category sees word features and the probabilities of the categories before it; in training these are
 out-of-fold predictions, by word lists that were chosen without the fold as well, so that a later model doesn't trust
-what earlier ones only remember. Fitting takes at most `sample` labelled rows, the documented bound; their words are
-counted in tasks and only counts of chosen words reach the driver. A word's count enters as 3 if it is more.
+what earlier ones only remember. Beside whole words stand the runs of four letters in them, ends of words included: they
+are shared by inflected and compounded forms of which each is rare. Fitting takes at most `sample` labelled rows, the
+documented bound; their terms are counted in tasks and only counts of chosen ones reach the driver. A term's count enters
+as 3 if it is more.
 """
 
 from __future__ import annotations
@@ -33,6 +35,24 @@ def words(text: str) -> Counter:
     return Counter(WORD.findall(text.lower()))
 
 
+GRAM = 4
+
+
+def grams(word: str) -> list[str]:
+    """The runs of GRAM letters of a word between its ends, marked so that none is a word."""
+    ends = f"^{word}$"
+    return [f"#{ends[i : i + GRAM]}" for i in range(len(ends) - GRAM + 1)]
+
+
+def terms(counts: Counter) -> Counter:
+    """Words and their grams."""
+    out = Counter(counts)
+    for w, c in counts.items():
+        for g in grams(w):
+            out[g] += c
+    return out
+
+
 @functools.cache
 def _upper() -> np.ndarray:
     """Which code points are capitals."""
@@ -75,13 +95,23 @@ class Linear:
 class Chain:
     def __init__(self, lexicon: dict[str, int], models: list[Linear]):
         self.lexicon, self.models = lexicon, models
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        """The places of a word and of its grams among the features. Remembered for as many words as a task needs."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[word] = tuple(k for t in (word, *grams(word)) if (k := self.lexicon.get(t)) is not None)
+        return found
 
     def features(self, text: str, counts: Counter) -> np.ndarray:
         x = np.zeros(len(self.lexicon) + 3)
-        get = self.lexicon.get
         for w, c in counts.items():
-            if (k := get(w)) is not None:
-                x[k] = min(c, MOST)
+            for k in self.of(w):
+                x[k] += c
+        np.minimum(x, MOST, out=x)
         x[len(self.lexicon) :] = shape(text, counts.total())
         return x
 
@@ -93,9 +123,9 @@ class Chain:
 
 
 def lexicons(bags: DataFrame, size: int, least: int, folds: int = FOLDS) -> list[tuple[list[str], set[str]]]:
-    """The words whose presence differs most between toxic and other rows, by log odds weighted by support, and those of
-    them that mark toxic rows: first of all rows, then without each fold. Counted over rows (t, fold, words); only the
-    chosen words reach the driver."""
+    """The terms whose presence differs most between toxic and other rows, by log odds weighted by support, and the words
+    among them that mark toxic rows: first of all rows, then without each fold. Counted over rows (t, fold, words); only
+    the chosen terms reach the driver."""
     t = F.col("t")
     counted = bags.select("t", "fold", F.explode("words").alias("word")).groupBy("word").agg(*(F.sum(F.when(F.col("fold") == k, y).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c, y in (("a", t), ("b", 1 - t))))
     total = bags.agg(*(F.sum(F.when(F.col("fold") == k, y).otherwise(0)).alias(f"{c}{k}") for k in range(folds) for c, y in (("a", t), ("b", 1 - t)))).first()
@@ -108,7 +138,7 @@ def lexicons(bags: DataFrame, size: int, least: int, folds: int = FOLDS) -> list
         own = counted.select("word", a.alias("a"), b.alias("b")).where(F.col("a") >= least)
         odds = F.log((F.col("a") + 0.5) / (n1 - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n0 - F.col("b") + 0.5))
         top = own.withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "word").limit(size).collect()
-        out.append(([r["word"] for r in top], {r["word"] for r in top if r["odds"] > 3}))
+        out.append(([r["word"] for r in top], {r["word"] for r in top if r["odds"] > 3 and r["word"][0] != "#"}))
     return out
 
 
@@ -141,14 +171,14 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     taught = settle(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "h", "q", "t").dropDuplicates(["doc_id"]))
     fold = F.expr(f"cast(pmod(h, {FOLDS}) as int)").alias("fold")
     bag = pa.schema([("t", pa.int32()), ("fold", pa.int32()), ("words", pa.list_(pa.string()))])
-    bags = taught.select("text", "t", fold).mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), b.column("fold"), [list(words(t)) for t in texts(b)])), "t int, fold int, words array<string>")
+    bags = taught.select("text", "t", fold).mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), b.column("fold"), [list(terms(words(t))) for t in texts(b)])), "t int, fold int, words array<string>")
     lists = lexicons(bags, size, least)
     every = {w: k for k, w in enumerate(sorted(set().union(*(own for own, _ in lists))))}
     seen = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("q", pa.int32()), ("t", pa.int32()), ("fold", pa.int32()), ("hits", pa.int64()), ("counts", pa.binary()), ("shape", pa.list_(pa.float64()))])
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         bags = [words(t) for t in texts(batch)]
-        counts = [bytes(min(MOST, b[w]) for w in every) for b in bags]
+        counts = [bytes(min(MOST, b[w]) for w in every) for b in map(terms, bags)]
         hits = [sum(b[w] for w in lists[1 + k][1]) for b, k in zip(bags, batch.column("fold").to_pylist(), strict=True)]
         return rows(seen, *(batch.column(c) for c in ("doc_id", "h", "q", "t", "fold")), hits, counts, [shape(t, b.total()) for t, b in zip(texts(batch), bags, strict=True)])
 

@@ -677,6 +677,24 @@ def test_words_of_folds(spark):
     assert all(f"only{k}" in lists[0][0] and f"only{k}" not in lists[1 + k][0] and f"only{k}" in lists[1 + (k + 1) % 5][0] for k in range(5))
 
 
+def test_grams_of_words():
+    assert toxicity.grams("ab") == ["#^ab$"] and toxicity.grams("abcd") == ["#^abc", "#abcd", "#bcd$"] and toxicity.grams("a") == []
+    counts = toxicity.terms(toxicity.words("Bad bads, worse"))
+    assert counts["#^bad"] == 2 and counts["bad"] == 1 and counts["#bads"] == 1
+    chain = toxicity.Chain({"bad": 0, "#^bad": 1, "#orse": 2}, [])
+    for text in ("", "Bad bads, worse", "bad " * 9):
+        c = toxicity.terms(toxicity.words(text))
+        assert chain.features(text, toxicity.words(text))[:3].tolist() == [min(3, c[t]) for t in chain.lexicon]
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """A few hundred labels suffice to rank toxic rows that were not learned from above nearly all others."""
+    docs, marks = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = toxicity.score(docs, marks).join(marks.select("doc_id", F.col("toxic").alias("truth")), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()
+    bad, good = ([r["toxic"] for r in rows if r["truth"] == t] for t in (1, 0))
+    assert len(bad) > 10 and np.mean([(a > b) + (a == b) / 2 for a in bad for b in good]) > 0.93
+
+
 def test_toxicity(spark, odd, none, labels):
     docs, marks = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     truth = marks.select("doc_id", F.col("toxic").alias("truth"))
