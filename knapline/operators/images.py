@@ -6,6 +6,9 @@ filling, the convex hull, rotation and resizing are small numpy kernels, one mes
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -203,6 +206,28 @@ def render(faces_px: DataFrame, height: int, width: int, channels: list[str], vi
     return binned.groupBy("mesh_id", "_row", "_col").applyInPandas(draw, f"mesh_id {kind}, view string, row int, col int, " + ", ".join(f"{c} double" for c in channels))
 
 
+def encode_png(img: np.ndarray) -> bytes:
+    """A picture (height, width) or (height, width, 3) of bytes as a PNG file."""
+    h, w = img.shape[:2]
+    kind = 2 if img.ndim == 3 else 0
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), img.reshape(h, -1).astype(np.uint8)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes())) + part(b"IEND", b"")
+
+
+def pictures(pixels: DataFrame, height: int, width: int, channels: list[str]) -> DataFrame:
+    """(mesh_id, view, png) of drawn pixels (mesh_id, view, row, col, channels in [0, 1]), one channel grey or three in
+    colour, cut off to bytes, 0 where nothing is drawn. A picture is one group."""
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        img = np.zeros((height, width, len(channels)), np.uint8)
+        img[pdf["row"], pdf["col"]] = (np.clip(pdf[channels].to_numpy(float), 0, 1) * 255).astype(np.uint8)
+        return pd.DataFrame({"mesh_id": [pdf["mesh_id"].iloc[0]], "view": [pdf["view"].iloc[0]], "png": [encode_png(img if len(channels) == 3 else img[:, :, 0])]})
+
+    kind = pixels.schema["mesh_id"].dataType.simpleString()
+    return pixels.select("mesh_id", "view", "row", "col", *channels).groupBy("mesh_id", "view").applyInPandas(draw, f"mesh_id {kind}, view string, png binary")
+
+
 def square_pad(img: np.ndarray) -> np.ndarray:
     """Zeros around an image until it is square."""
     h, w = img.shape[:2]

@@ -42,6 +42,14 @@ def top_per(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def scalar_scatter(scores: DataFrame, sites: DataFrame, values: DataFrame) -> DataFrame:
+    """scores (id, components) with `site`, `marker`, the place of the site among all by name, and `value`, that of the
+    site; rows whose site has none are left out. sites: (id, site), unknown where it is missing; values: (site, value)."""
+    placed = scores.join(sites, "id", "left").withColumn("site", F.coalesce("site", F.lit("Unknown")))
+    marks = consolidated(placed.select("site").distinct(), "site").select("site", F.col("ord").cast("int").alias("marker"))
+    return placed.join(marks, "site").join(values.where("value is not null"), "site").select(*scores.columns, "site", "marker", "value")
+
+
 def axis_range(df: DataFrame, column: str, pad: float = 0.05) -> DataFrame:
     """(lo, hi) with a margin of 5 % of the span; a span of 0 counts as 1."""
     m = df.agg(F.min(column).alias("a"), F.max(column).alias("b"))

@@ -1,4 +1,4 @@
-"""Rendered views of whole meshes: seven and eight channels from above and below, and six depth views.
+"""Rendered views of whole meshes: three, seven and eight channels from above and below, and six depth views.
 
 Pixel coordinates are linear in a mesh's own coordinates, so that faces get theirs from one row about their mesh; the
 drawing of one view of one mesh is one group.
@@ -58,6 +58,17 @@ def _both_sides(m: DataFrame, scale: float, width: int, height: int, d) -> DataF
     return sides[0].join(sides[1], ["mesh_id", "row", "col"], "full").na.fill(0.0)
 
 
+def three_views(vertices: DataFrame, faces: DataFrame, scale: float, width: int, height: int) -> DataFrame:
+    """(mesh_id, row, col, tx, ty, tz, bx, by, bz, depth) in the file's own frame: normals as windings give them, not turned
+    outwards, from above and below; and the heights of the faces seen from above between the lowest and the highest of
+    them, 0.5 where all are as high. The middle of each mesh lies in the middle of the canvas."""
+    m = geometry.face_centres(geometry.measured(vertices, faces)).join(_about(vertices), "mesh_id")
+    seen = images.backface_cull(m, "top").groupBy("mesh_id").agg(F.min("fz").alias("low"), F.max("fz").alias("high"))
+    m = m.join(seen, "mesh_id", "left")
+    d = F.when(F.col("high") > F.col("low"), (F.col("fz") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)
+    return _both_sides(m, scale, width, height, d).select("mesh_id", "row", "col", *NORMALS, F.col("td").alias("depth"))
+
+
 def _all_ranges(vertices: DataFrame, axes: str = "z") -> DataFrame:
     """The largest range of each axis over all meshes: one row, which is what gets broadcast."""
     own = vertices.groupBy("mesh_id").agg(*((F.max(k) - F.min(k)).alias(k) for k in axes))

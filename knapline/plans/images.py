@@ -110,6 +110,11 @@ def render_7ch(s, d):
     return p.groupBy("mesh_id").agg(F.count_if(top).alias("n_top"), F.count_if(bottom).alias("n_bottom"), *(r(F.sum(c), 4).alias(f"sum_{c}") for c in ("tx", "tz", "bz", "depth")))
 
 
+def render_3view(s, d):
+    p = views.three_views(*mesh(s, d), 10.0, 112, 112)
+    return p.groupBy("mesh_id").agg(F.count("*").alias("n"), *(r(F.sum(c), 4).alias(f"sum_{c}") for c in ("tx", "tz", "bz", "depth")))
+
+
 def render_8ch(s, d):
     p = views.eight_channels(*mesh(s, d), 10.0, 112, 112)
     return p.groupBy("mesh_id").agg(F.count("*").alias("n"), *(r(F.sum(c), 2).alias(f"sum_{c}") for c in ("tz", "thickness", "opposing")))
@@ -162,6 +167,7 @@ QUERIES = {
     "normal_encode": (normal_encode, sql(MESH, MEASURED, "select mesh_id, fid, " + ", ".join(f"{tidy(f'greatest(least((n{k} + 1) / 2, 1), 0)')} as e{k}" for k in "xyz") + " from m")),
     "render_top": (render_top, None),
     "render_7ch": (render_7ch, sql(MESH, MEASURED, SEVEN, "select k.mesh_id, n_top, n_bottom, " + ", ".join(f"{tidy(c, 4)} as {c}" for c in ("sum_tx", "sum_tz", "sum_bz", "sum_depth")) + " from k")),
+    "render_3view": (render_3view, None),
     "render_8ch": (render_8ch, None),
     "render_6view": (render_6view, None),
 }

@@ -99,6 +99,23 @@ def top3_archetype(s, d):
     return metadata.top_per(long, "k", [F.desc("w"), F.col("id")], 3).select("k", "rank", "id", r("w").alias("w"))
 
 
+def archetype_detail(s, d):
+    """What a click on a component asks for: its three highest rows, with their sites."""
+    nation = table(s, d, "nation").select(F.col("n_nationkey").alias("label"), "n_name")
+    top = top3_archetype(s, d).join(embeddings(s, d).select("id", "label"), "id")
+    return top.join(nation, "label", "left").select("k", "rank", "id", "w", F.coalesce("n_name", F.lit("Unknown")).alias("site"))
+
+
+def scalar_scatter(s, d):
+    """Rows with the mean balance of their nation's customers as the value that colours them; components themselves have
+    no sign that SQL could tell."""
+    v = _v(s, d)
+    nation = table(s, d, "nation")
+    sites = embeddings(s, d).join(nation, F.col("label") == F.col("n_nationkey")).select("id", F.col("n_name").alias("site"))
+    values = table(s, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("site")).agg(F.avg("c_acctbal").alias("value"))
+    return metadata.scalar_scatter(op.Pca(v, 2).transform(v), sites, values).select("id", "site", "marker", r("value", 4).alias("value"))
+
+
 def stone_detail(s, d):
     """One object with its site, its region and its nearest others: what a click asks for."""
     nation, region = table(s, d, "nation"), table(s, d, "region")
@@ -130,6 +147,8 @@ QUERIES = {
     "mean_pool": (mean_pool, sql(EMBEDDED, LONG, f"select label, dim::int as dim, {tidy('avg(x)')} as mean from long group by label, dim")),
     "view_concat": (view_concat, sql(EMBEDDED, LONG, f"select id, count(*)::int as width, {tidy('sum(x * (dim + 1))', 5)} as \"check\" from long group by id")),
     "top3_archetype": (top3_archetype, sql(COORDS, "l as (select id, unnest([1, 2, 3])::int as k, unnest([c1, c2, c3]) as w from co), rk as (select *, row_number() over (partition by k order by w desc, id) as rank from l)", f"select k, rank::int as rank, id, {tidy('w')} as w from rk where rank <= 3")),
+    "archetype_detail": (archetype_detail, sql(COORDS, "l as (select id, label, unnest([1, 2, 3])::int as k, unnest([c1, c2, c3]) as w from co), rk as (select *, row_number() over (partition by k order by w desc, id) as rank from l)", f"select k, rank::int as rank, id, {tidy('w')} as w, coalesce(n_name, 'Unknown') as site from rk left join nation on label = n_nationkey where rank <= 3")),
+    "scalar_scatter": (scalar_scatter, sql(EMBEDDED, "st as (select id, coalesce(n_name, 'Unknown') as site from emb left join nation on label = n_nationkey), vl as (select n_name as site, avg(c_acctbal) as value from customer join nation on c_nationkey = n_nationkey group by 1), mk as (select site, (row_number() over (order by site) - 1)::int as marker from (select distinct site from st))", f"select id, site, marker, {tidy('value', 4)} as value from st join mk using (site) join vl using (site)")),
     "stone_detail": (stone_detail, sql(EMBEDDED, KNN, f"select query, rank::int as rank, neighbour, {tidy('1 - d', 5)} as similarity, coalesce(n_name, 'Unknown') as site, r_name from rk join emb on emb.id = query left join nation on label = n_nationkey left join region on n_regionkey = r_regionkey where rank <= 5 and query = 7")),
     "pca_variance": (pca_variance, None),
     "pca_scatter": (pca_scatter, None),

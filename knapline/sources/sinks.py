@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import lineage
 from ..operators.ordinals import numbered
 
 # The fields of the metadata table and of the failure table, in order.
@@ -77,5 +78,24 @@ def archetype_lines(mix: DataFrame, n: int = 5) -> DataFrame:
     return listed.select("k", F.concat(F.format_string("archetype %d\n", F.col("k").cast("int")), F.array_join(F.transform("ls", lambda x: x["l"]), "\n")).alias("text"))
 
 
+def write_pictures(pictures: DataFrame, path: str, force: bool = False) -> int:
+    """Appends pictures (mesh_id, view, png) that are not at `path` yet, all of them with `force`, which replaces what is
+    there. Returns how many were written."""
+    spark = pictures.sparkSession
+    if not force and lineage.exists(spark, path):
+        pictures = pictures.join(spark.read.parquet(path).select("mesh_id", "view"), ["mesh_id", "view"], "left_anti")
+    pictures = lineage.settle(pictures)
+    pictures.write.mode("overwrite" if force else "append").parquet(path)
+    return pictures.count()
+
+
+def write_archetypes(tips: DataFrame, mix: DataFrame, path: str, n: int = 5) -> None:
+    """The arrays of an archetype analysis as tables, `tips` (k, columns) and `mixture` (id, k, w), and `report`, a text file
+    with the rows that stand for each archetype."""
+    tips.write.mode("overwrite").parquet(f"{path}/tips")
+    mix.write.mode("overwrite").parquet(f"{path}/mixture")
+    archetype_lines(mix, n).orderBy("k").select("text").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import site_key
+from ..functions.text import site_key, stem
+from ..operators import geometry, lineage
+from . import vrml
 
 
 def npy(spark: SparkSession, directory: str) -> DataFrame:
@@ -78,6 +80,18 @@ def dims_json(spark: SparkSession, path: str) -> DataFrame:
     return m.select("stem", *(F.col("d")[k].alias(n) for k, n in enumerate(("length", "width", "depth"))))
 
 
+def dims(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """(stem, length, width, depth): the JSON object at `path` if it is there, else the table beside it, else what follows
+    from the points of the mesh files (mesh_id, content), which is then written as that table."""
+    if lineage.exists(spark, path):
+        return dims_json(spark, path)
+    table = f"{path.removesuffix('.json')}.parquet"
+    if not lineage.exists(spark, table):
+        found = geometry.principal_extents(vrml.points(vrml.texts(files)))
+        found.select(stem(F.col("mesh_id")).alias("stem"), "length", "width", "depth").write.parquet(table)
+    return spark.read.parquet(table)
+
+
 def latest(runs: DataFrame, by: str, tie: str, *keys: str) -> DataFrame:
     """Of each key the row with the last time, ties to the largest `tie`. One aggregate, no sort."""
     cols = [c for c in runs.columns if c not in keys]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.lineage import settle
+
 SUFFIXES = "*.{[wW][rR][lL],[vV][rR][mM][lL]}"
 NUMBER = r"([-+]?(?:[0-9]*\.[0-9]+|[0-9]+\.?)(?:[eE][-+]?[0-9]+)?)"
 POINTS, INDICES = r"(?is)\bpoint\s*\[([^\]]*)\]", r"(?is)\bcoordIndex\s*\[([^\]]*)\]"
@@ -89,6 +91,30 @@ def load(spark: SparkSession, directory: str, limit: int | None = None) -> tuple
     return v.join(good, "mesh_id", "left_semi"), f, failed
 
 
+def layered(files: DataFrame, parsers: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, faces, failures) of files (mesh_id, content) by the first parser that gives both for a file. parsers: by
+    name, functions of such files that return vertices and faces. A file that all give up is one failure, with the names
+    of all."""
+    left, found = settle(files.select("mesh_id", "content")), []
+    for parse in parsers.values():
+        v, f = map(settle, parse(left))
+        good = v.select("mesh_id").distinct().join(f.select("mesh_id").distinct(), "mesh_id")
+        found.append((v.join(good, "mesh_id", "left_semi").select("mesh_id", "vid", "x", "y", "z"), f.join(good, "mesh_id", "left_semi").select("mesh_id", "fid", "a", "b", "c")))
+        left = left.join(good, "mesh_id", "left_anti")
+    vertices, faces = found[0]
+    for v, f in found[1:]:
+        vertices, faces = vertices.unionByName(v), faces.unionByName(f)
+    error = "; ".join(f"{name}: no points or no faces" for name in parsers)
+    return vertices, faces, left.select(F.col("mesh_id").alias("filename"), F.lit("load").alias("stage"), F.lit(error).alias("error"))
+
+
+def native(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parser of this module for `layered`."""
+    meshes = texts(files)
+    v = points(meshes)
+    return v, faces(meshes, v)
+
+
 def blocks(meshes: DataFrame) -> DataFrame:
     """How many point and index blocks each file has; only the first of a kind is read."""
     count = lambda pattern: F.size(F.expr(f"regexp_extract_all(text, r'{pattern}', 1)"))

@@ -147,6 +147,61 @@ def test_stream(spark, tmp_path):
     assert now["n"] == 3 and np.allclose(now["mean"], last["mean"]) and spark.read.parquet(f"{out}/embeddings").count() == 3
 
 
+def test_three_views_of_a_box(spark):
+    """Normals stay as the windings give them; the bottom of a box is seen from below, heights run from 0 to 1."""
+    v = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 2), (1, 0, 2), (1, 1, 2), (0, 1, 2)]
+    up, inwards, down = [(4, 5, 6), (4, 6, 7)], [(0, 1, 2)], [(0, 3, 2)]
+    px = views.three_views(*mesh(spark, v, up + inwards + down), 10.0, 20, 20).toPandas()
+    top, bottom = px[px["tz"] > 0], px[px["bz"] + px["bx"] > 0]
+    assert len(top) == 100 and set(top["tz"].round(6)) == {1.0} and set(top["depth"].round(6)) == {1.0}
+    assert 0 < len(bottom) < 100 and set(bottom["bz"].round(6)) == {0.0}
+    flat = views.three_views(*mesh(spark, v, up), 10.0, 20, 20).toPandas()
+    assert set(flat["depth"]) == {0.5}
+
+
+def test_pictures_and_reports_are_written(spark, tmp_path):
+    rows = [(1, "top", i, j, (i + j) / 10, 0.5, 2.0) for i in range(4) for j in range(6)] + [(2, "top", 0, 0, 1.0, 0.0, -1.0)]
+    px = spark.createDataFrame(rows, "mesh_id long, view string, row int, col int, r double, g double, b double")
+    out = str(tmp_path / "pictures")
+    assert sinks.write_pictures(images.pictures(px.where("mesh_id = 1"), 5, 6, ["r", "g", "b"]), out) == 1
+    assert sinks.write_pictures(images.pictures(px, 5, 6, ["r", "g", "b"]), out) == 1
+    assert sinks.write_pictures(images.pictures(px, 5, 6, ["r"]), out, force=True) == 2 and spark.read.parquet(out).count() == 2
+    (tmp_path / "png").mkdir()
+    (tmp_path / "png" / "one.png").write_bytes(bytes(images.pictures(px.where("mesh_id = 1"), 5, 6, ["r", "g", "b"]).first()["png"]))
+    back = {(r["row"], r["col"], r["channel"]): round(r["value"] * 255) for r in tables.images(spark, str(tmp_path / "png")).collect()}
+    assert back == {(i, j, k): int(min(1, c) * 255) if i < 4 else 0 for i in range(5) for j in range(6) for k, c in enumerate(((i + j) / 10, 0.5, 2.0))}
+    tips = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0)], "k int, a double, b double")
+    mix = spark.createDataFrame([(7, 0, 0.25), (7, 1, 0.75), (8, 0, 1.0), (8, 1, 0.0)], "id long, k int, w double")
+    sinks.write_archetypes(tips, mix, str(tmp_path / "archetypes"), 1)
+    assert spark.read.parquet(str(tmp_path / "archetypes" / "tips")).count() == 2 and spark.read.parquet(str(tmp_path / "archetypes" / "mixture")).count() == 4
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "archetypes" / "report")).collect()] == ["archetype 0", "  8  1.0000", "archetype 1", "  7  0.7500"]
+
+
+def test_dims_are_read_or_computed(spark, tmp_path):
+    files = spark.createDataFrame([("sub/box.wrl", bytearray(b"point [0 0 0, 4 0 0, 4 2 0, 0 2 0, 0 0 1, 4 0 1, 4 2 1, 0 2 1]"))], "mesh_id string, content binary")
+    path = tmp_path / "dims.json"
+    for _ in range(2):
+        (row,) = tables.dims(spark, str(path), files).collect()
+        assert row["stem"] == "box" and [round(x, 6) for x in row[1:]] == [4, 2, 1] and (tmp_path / "dims.parquet").exists()
+        files = files.limit(0)
+    path.write_text('{"other": [3, 2, 1]}')
+    assert [tuple(r) for r in tables.dims(spark, str(path), files).collect()] == [("other", 3.0, 2.0, 1.0)]
+
+
+def test_layered_parsers(spark):
+    """A file goes to the first parser that gives points and faces for it; what all give up is one failure."""
+    ours = "point [0 0 0, 1 0 0, 0 1 0] coordIndex [0 1 2 -1]"
+    files = spark.createDataFrame([(n, bytearray(t.encode())) for n, t in (("a", ours), ("b", "tri"), ("c", "none"), ("d", "point [0 0 0, 1 0 0, 0 1 0]"))], "mesh_id string, content binary")
+
+    def other(files):
+        hit = files.where("cast(content as string) = 'tri'").select("mesh_id")
+        return hit.selectExpr("mesh_id", "explode(sequence(0L, 2L)) as vid", "0D as x", "1D as y", "2D as z"), hit.selectExpr("mesh_id", "0L as fid", "0L as a", "1L as b", "2L as c")
+
+    v, f, failed = vrml.layered(files, {"vrml": vrml.native, "other": other})
+    assert {(r["mesh_id"], r["count"]) for r in v.groupBy("mesh_id").count().collect()} == {("a", 3), ("b", 3)} and sorted(r["mesh_id"] for r in f.collect()) == ["a", "b"]
+    assert sorted(map(tuple, failed.collect())) == [(n, "load", "vrml: no points or no faces; other: no points or no faces") for n in ("c", "d")]
+
+
 def test_decimate(spark):
     n = 12
     grid = [(x, y, math.sin(x / 3) * math.cos(y / 4)) for y in range(n) for x in range(n)]
