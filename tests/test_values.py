@@ -50,6 +50,28 @@ def test_levels_of_detail(spark):
     assert decimate.levels_of_detail(v, f, levels=3, least=500).collect()[0]["n_faces"] == n
 
 
+def test_collapse_in_cells_leaves_no_seams(spark):
+    """A grid in cells: the goal is met, every edge belongs to one face or two, and the surface is still one disc."""
+    v, f = grid(spark, 20)
+    n = f.count()
+    parts = spark.createDataFrame([(1, 250)], "mesh_id long, goal int")
+    cv, cf = decimate.in_cells(v, f, parts, cell=200)
+    assert cf.count() < n / 2
+    dv, df = decimate.decimate(v, f, target=200, cell=200)
+    for vs, fs, most in ((cv, cf, n), (dv, df, 200)):
+        faces = [tuple(r) for r in fs.select("a", "b", "c").collect()]
+        ids = {r["vid"] for r in vs.collect()}
+        edges = {}
+        for t in faces:
+            assert len(set(t)) == 3 and set(t) <= ids
+            for i in range(3):
+                e = tuple(sorted((t[i], t[i - 1])))
+                edges[e] = edges.get(e, 0) + 1
+        assert len(faces) <= most and set(edges.values()) <= {1, 2}
+        assert len(ids) - len(edges) + len(faces) == 1
+        assert len({r["component"] for r in geometry.components(vs, fs).collect()}) == 1
+
+
 def ward(x):
     """Leaf order by merging, at each step, the two clusters whose union adds least to the sum of squares."""
     live = [[i] for i in range(len(x))]
