@@ -144,6 +144,14 @@ hit as (select *, greatest(least((sg * nx + 1) / 2, 1), 0) ex, greatest(least((s
 tt as (select mesh_id, gx, gy, max_by(ex, row(fz, fid)) ex, max_by(ez, row(fz, fid)) ez, max_by(d, row(fz, fid)) d from hit where sg * nz >= 0 group by all),
 bb as (select mesh_id, gx, gy, max_by(ez, row(-fz, fid)) ez from hit where sg * nz <= 0 group by all),
 k as (select mesh_id, count(t) n_top, count(b) n_bottom, coalesce(sum(tx), 0) sum_tx, coalesce(sum(tz), 0) sum_tz, coalesce(sum(bz), 0) sum_bz, coalesce(sum(dd), 0) sum_depth from (select coalesce(tt.mesh_id, bb.mesh_id) mesh_id, tt.ez t, bb.ez b, tt.ex tx, tt.ez tz, bb.ez bz, tt.d dd from tt full join bb on bb.mesh_id = tt.mesh_id and bb.gx = tt.gx and bb.gy = tt.gy) group by 1)"""
+# The same with normals as they are, and heights between the lowest and the highest face that is seen from above.
+THREE = (
+    SEVEN.replace("ab as (", "sn as (select mesh_id, min((az + bz + cz) / 3) lo, max((az + bz + cz) / 3) hi from m where nz >= 0 group by 1),\nab as (", 1)
+    .replace("if(nx * ((ax + bx + cx) / 3 - gx0) + ny * ((ay + by_ + cy) / 3 - gy0) + nz * ((az + bz + cz) / 3 - gz0) < -1e-9, -1, 1) as sg", "1 as sg")
+    .replace("greatest(least(((az + bz + cz) / 3 - lz) / az0, 1), 0) as d", "case when hi > lo then ((az + bz + cz) / 3 - lo) / (hi - lo) else 0.5 end as d")
+    .replace("from m join ab on ab.mesh_id = m.mesh_id, al)", "from m join ab on ab.mesh_id = m.mesh_id left join sn on sn.mesh_id = m.mesh_id)")
+    .replace("count(t) n_top", "count(*) n, count(t) n_top")
+)
 AT = 'mesh_id, row_ as "row", col_ as "col"'
 T2, B2 = [f"(2 * {k} - 1)" for k in ("tx", "ty", "tz")], [f"(2 * {k} - 1)" for k in ("bx", "by_", "bz")]
 LEN = lambda v: f"greatest(sqrt({' + '.join(f'{x} * {x}' for x in v)}), 1e-8)"
@@ -167,7 +175,7 @@ QUERIES = {
     "normal_encode": (normal_encode, sql(MESH, MEASURED, "select mesh_id, fid, " + ", ".join(f"{tidy(f'greatest(least((n{k} + 1) / 2, 1), 0)')} as e{k}" for k in "xyz") + " from m")),
     "render_top": (render_top, None),
     "render_7ch": (render_7ch, sql(MESH, MEASURED, SEVEN, "select k.mesh_id, n_top, n_bottom, " + ", ".join(f"{tidy(c, 4)} as {c}" for c in ("sum_tx", "sum_tz", "sum_bz", "sum_depth")) + " from k")),
-    "render_3view": (render_3view, None),
+    "render_3view": (render_3view, sql(MESH, MEASURED, THREE, "select k.mesh_id, n, " + ", ".join(f"{tidy(c, 4)} as {c}" for c in ("sum_tx", "sum_tz", "sum_bz", "sum_depth")) + " from k")),
     "render_8ch": (render_8ch, None),
     "render_6view": (render_6view, None),
 }
