@@ -27,8 +27,8 @@ CLOSES = {t: frozenset({"p"}) for t in BLOCKS} | {"li": frozenset({"p", "li"}),
 ASIDE = frozenset("nav footer aside dialog menu search".split())
 ASIDE_ROLES = frozenset("navigation contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # Words in a class or an id: what is beside an article, what is on top of a page, what holds an article.
-BESIDE = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer copyright sidebar aside widget widgets related recommended recommendations trending popular share sharing social follow ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments reply replies respond disqus feedback".split())
-ON_TOP = frozenset("header masthead topbar banner".split())
+BESIDE = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer copyright sidebar aside widget widgets related recommended recommendations trending popular share sharing social follow ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search comment comments reply replies respond responses discussion disqus feedback banner notification notifications announcement toc tags tagcloud".split())
+ON_TOP = frozenset("header masthead topbar".split())
 HOLDS = frozenset("article content entry main post story".split())
 NOT_ITSELF = re.compile(r"(?:^|[-_])(?:has|with|no|open|closed|without)(?:[-_]|$)")
 

@@ -16,6 +16,7 @@ PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{color:red}<
 <ul><li>one item<li>two</ul><table><tr><td>cell a<td>cell b</table><div class="share-links"><a>Tweet this</a><a>Like it</a></div><p title="a > b">The last one of them.</div>
 <aside><h2>Related</h2><p>Long text in the side bar that is about something else entirely and so on and on.</aside>
 <div class="adBox"><p>Buy now, buy cheap, buy all of the many things that nobody ever needed in any house.</p></div>
+<div class="Banner300"><p>Another one of these that stands in the middle of everything that one wants to read.</p></div>
 <section id=comments><article class=comment><p>I totally agree with this author about all of the many points that they make.</p></article></section>
 <form><label>Name</label><input name=x><p>Please type your name here and mail it to us at once.</p></form><footer>Copyright 2020 by all of us</footer></body></html>"""
 MAIN = "A title here\nA first paragraph of some length—that goes on & on.\nShort.\nUnclosed line\nQuote <me>\none item\ntwo\ncell a\ncell b\nThe last one of them."
