@@ -180,7 +180,7 @@ def batches(items: DataFrame, key: str, size: int = 16, seed: int = 42, least: i
 
 
 def mask_groups(groups: DataFrame, key: str, ratio: float = 0.6, seed: int = 42) -> DataFrame:
-    """groups with `masked`: int(G * ratio) random groups of each key."""
-    w = W.partitionBy(key)
-    r = F.row_number().over(w.orderBy(F.xxhash64(key, "g", F.lit(seed)), "g"))
-    return groups.withColumn("masked", r <= F.floor(F.count("*").over(w) * ratio))
+    """groups with `masked`: int(G * ratio) random groups of each key, however many a key has."""
+    dealt = groups.withColumn("_h", F.xxhash64(key, "g", F.lit(seed)))
+    ranked = numbered(dealt, ["_h", "g"], [key], name="_at", total="_n")
+    return ranked.withColumn("masked", F.col("_at") < F.floor(F.col("_n") * ratio)).drop("_h", "_at", "_n")

@@ -30,7 +30,7 @@ FILE_HEAD, FILE_MIDDLE, FILE_TAIL = "#VRML V2.0\nShape { geometry IndexedFaceSet
 
 def site_left_join(s, d):
     sites = table(s, d, "region").select(F.col("r_regionkey").alias("label"), F.col("r_name").alias("site"))
-    return op.with_site(embeddings(s, d).select("id", "label"), F.broadcast(sites), "label").select("id", "site")
+    return op.with_site(embeddings(s, d).select("id", "label"), sites, "label").select("id", "site")
 
 
 def note_left_join(s, d):
@@ -42,7 +42,7 @@ def site_meta_join(s, d):
     """Sites by normalised name: customers' segments stand for raw headers."""
     raw = table(s, d, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(" - (x)")).alias("header"))
     sites = table(s, d, "customer").groupBy(F.col("c_mktsegment").alias("site")).agg(F.count("*").alias("n_site"))
-    return raw.withColumn("site", text.site_key(F.col("header"))).join(F.broadcast(sites), "site", "left").select("c_custkey", "site", "n_site")
+    return raw.withColumn("site", text.site_key(F.col("header"))).join(sites, "site", "left").select("c_custkey", "site", "n_site")
 
 
 def site_two_hop(s, d):

@@ -35,6 +35,13 @@ def consolidated(df: DataFrame, key: str = "stem") -> DataFrame:
     return numbered(df, [key])
 
 
+def write_clouds(points: DataFrame, path: str, run_id: str) -> None:
+    """Points (mesh_id, pid, x, y, z, nx, ny, nz) of a run as single precision, a folder a run. A run that is written again
+    replaces its own folder."""
+    single = points.select("mesh_id", F.col("pid").cast("int").alias("pid"), *(F.col(c).cast("float").alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")))
+    single.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
 def ply_lines(points: DataFrame) -> DataFrame:
     """(mesh_id, text): an ASCII PLY file of each mesh's points with six decimals, with normals where there are any."""
     fields = [c for c in ("x", "y", "z", "nx", "ny", "nz") if c in points.columns]

@@ -338,6 +338,33 @@ def test_tiles_draw_the_same_pixels(spark):
     assert {(x[2], x[3]): x[4] + 1 for x in drawn[0] if x[0] == 1} == {(i, j): whole[i, j] for i, j in zip(*np.nonzero(whole), strict=True)}
 
 
+def test_samples_against_inverse_weights(spark, tmp_path):
+    """Each point lies on the face that its random number picks from the cumulated weights, at the place that two more give."""
+    v, f = grid(spark, 5)
+    with_flat = f.unionByName(spark.createDataFrame([(1, 1000, 0, 0, 1)], f.schema))
+    for mode in ("uniform", "curvature", "edge"):
+        got = sampling.sample(v, with_flat, 40, mode, seed=3).orderBy("pid").toPandas()
+        w = sampling.weights(v, with_flat, mode).where("w > 0").orderBy("fid").toPandas()
+        draw = lambda k: sampling.uniform(F.lit(1).cast("long"), F.col("pid"), F.lit(3 + k))
+        draws = spark.range(40).select(F.col("id").cast("int").alias("pid")).select("pid", *(draw(k).alias(f"u{k}") for k in range(3))).orderBy("pid").toPandas()
+        x = np.array([list(t) for t in v.orderBy("vid").select("x", "y", "z").collect()])
+        corners = {t["fid"]: x[[t["a"], t["b"], t["c"]]] for t in f.collect()}
+        upto = np.cumsum(w["w"])
+        assert upto.iloc[-1] == pytest.approx(1) and len(got) == 40
+        for k, t in draws.iterrows():
+            a, b, c = corners[w["fid"].iloc[min(int(np.searchsorted(upto, t["u0"], side="right")), len(w) - 1)]]
+            root = t["u1"] ** 0.5
+            want = (1 - root) * a + root * (1 - t["u2"]) * b + root * t["u2"] * c
+            assert got.loc[k, ["x", "y", "z"]].to_numpy(float) == pytest.approx(want, abs=1e-9)
+            normal = np.cross(b - a, c - a)
+            assert got.loc[k, ["nx", "ny", "nz"]].to_numpy(float) == pytest.approx(normal / np.linalg.norm(normal))
+    for points in (40, 20):
+        sinks.write_clouds(sampling.sample(v, f, points), str(tmp_path / "clouds"), "one")
+    sinks.write_clouds(sampling.sample(v, f, 5), str(tmp_path / "clouds"), "two")
+    back = spark.read.parquet(str(tmp_path / "clouds"))
+    assert {(r["run_id"], r["count"]) for r in back.groupBy("run_id").count().collect()} == {("one", 20), ("two", 5)} and dict(back.dtypes)["x"] == "float"
+
+
 def test_ranks_at_any_size(spark):
     """400,000 rows with repeated names, over partitions that are coalesced: gapless, in order, and codes by distinct names."""
     df = spark.range(400_000).select("id", F.concat(F.lit("s"), (F.xxhash64("id") % 350_000).cast("string")).alias("stem")).repartition(7)
