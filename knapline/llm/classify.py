@@ -138,7 +138,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshold: flo
     """(doc_id, held_out, score, predicted) for every document.
 
     Only the text enters the score. A null or empty text is one passage of zeros and is scored like any other. A
-    null id is not held out. Repeated rows each get their row; without labels every score is one half.
+    null id is not held out. Repeated rows each get their row; without labels every score is one half. Where a labelled id
+    has several texts or labels, one of them is learned from, whichever Spark meets first.
     """
     short_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -155,7 +155,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, sample: int = 4000, threshol
     """One row per document: counts, the verdict of the counting rules, and whether it is kept.
 
     A document is kept if the counting rules pass it and its calibrated probability of good quality reaches
-    `threshold`. Null and empty texts have no words and fail the counting rules. Repeated rows each get their row.
+    `threshold`. Null and empty texts have no words and fail the counting rules. Repeated rows each get their row. Where a
+    labelled id has several texts or labels, one of them is learned from, whichever Spark meets first.
     """
     short_batches(docs.sparkSession)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -109,7 +109,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", repository: str | None = Non
     """docs with every reported span replaced by a mark; overlapping spans count as one. All columns stay.
 
     A text without spans is left as it is, a null one stays null. Only rows with loose candidates are joined. Owners
-    and repositories as in `scan`.
+    and repositories as in `scan`; docs must have the owner's column, and the repository's if one is named.
     """
 
     short_batches(docs.sparkSession)
