@@ -101,7 +101,7 @@ class Chain:
         """The places of a word and of its grams among the features. Remembered for as many words as a task needs."""
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > 50_000:
                 self.known.clear()
             found = self.known[word] = tuple(k for t in (word, *grams(word)) if (k := self.lexicon.get(t)) is not None)
         return found
@@ -171,18 +171,22 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
     taught = settle(own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "h", "q", "t").dropDuplicates(["doc_id"]))
     fold = F.expr(f"cast(pmod(h, {FOLDS}) as int)").alias("fold")
     bag = pa.schema([("t", pa.int32()), ("fold", pa.int32()), ("words", pa.list_(pa.string()))])
-    bags = taught.select("text", "t", fold).mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), b.column("fold"), [list(terms(words(t))) for t in texts(b)])), "t int, fold int, words array<string>")
+    bags = taught.select("text", "t", fold).mapInArrow(by_batch(lambda b: rows(bag, b.column("t"), b.column("fold"), [list(terms(words(t))) for t in texts(b)]), 32), "t int, fold int, words array<string>")
     lists = lexicons(bags, size, least)
     every = {w: k for k, w in enumerate(sorted(set().union(*(own for own, _ in lists))))}
     seen = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("q", pa.int32()), ("t", pa.int32()), ("fold", pa.int32()), ("hits", pa.int64()), ("counts", pa.binary()), ("shape", pa.list_(pa.float64()))])
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = [words(t) for t in texts(batch)]
-        counts = [bytes(min(MOST, b[w]) for w in every) for b in map(terms, bags)]
-        hits = [sum(b[w] for w in lists[1 + k][1]) for b, k in zip(bags, batch.column("fold").to_pylist(), strict=True)]
-        return rows(seen, *(batch.column(c) for c in ("doc_id", "h", "q", "t", "fold")), hits, counts, [shape(t, b.total()) for t, b in zip(texts(batch), bags, strict=True)])
-
-    found = taught.select("doc_id", "text", "h", "q", "t", fold).mapInArrow(by_batch(look), "doc_id long, h long, q int, t int, fold int, hits long, counts binary, shape array<double>").collect()
+        hits, counts, looks = [], [], []
+        for text, k in zip(texts(batch), batch.column("fold").to_pylist(), strict=True):
+            bag = words(text)
+            hits.append(sum(bag[w] for w in lists[1 + k][1]))
+            looks.append(shape(text, bag.total()))
+            bag = terms(bag)
+            counts.append(bytes(min(MOST, bag[w]) for w in every))
+        return rows(seen, *(batch.column(c) for c in ("doc_id", "h", "q", "t", "fold")), hits, counts, looks)
+
+    found = taught.select("doc_id", "text", "h", "q", "t", fold).mapInArrow(by_batch(look, 32), "doc_id long, h long, q int, t int, fold int, hits long, counts binary, shape array<double>").collect()
     found.sort(key=lambda r: (r["h"], r["doc_id"]))
     counts = np.frombuffer(b"".join(r["counts"] for r in found), np.uint8).reshape(len(found), len(every)).astype(float)
     looks = np.array([r["shape"] for r in found], float).reshape(len(found), 3)
@@ -198,4 +202,4 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, threshold: f
         p = shared.value.probabilities(x)
         return rows(out, batch.column("doc_id"), p[:, 0], p[:, 1], p[:, 2], p[:, 1] > threshold)
 
-    return own.mapInArrow(by_batch(run), "doc_id long, low_quality double, toxic double, severe double, is_toxic boolean")
+    return own.mapInArrow(by_batch(run, 64), "doc_id long, low_quality double, toxic double, severe double, is_toxic boolean")
