@@ -23,11 +23,13 @@ import bisect
 import functools
 import hashlib
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -559,7 +561,12 @@ def report(docs: DataFrame, length: int = 400, words: int = 50, id_col: str = "d
     """
     unit, by_word = Unit(False, length), Unit(True, words)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    cuts, word_cuts = repeats(own, unit), repeats(own, by_word).withColumnRenamed("cuts", "word_cuts")
+    # Two passes that don't need each other: their jobs, of which many have few tasks, share the cluster.
+    with ThreadPoolExecutor(2) as pool:
+        # Each wrapped on its own, for each takes its own copy of the caller's local properties.
+        passes = [pool.submit(inheritable_thread_target(functools.partial(repeats, own, u))) for u in (unit, by_word)]
+        cuts, word_cuts = (p.result() for p in passes)
+    word_cuts = word_cuts.withColumnRenamed("cuts", "word_cuts")
     wanted = own.sparkSession.sparkContext.broadcast(np.packbits(_filter(cuts.select("key").unionAll(word_cuts.select("key")))))
     marks = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string()), ("key", pa.binary()), ("raw", pa.binary())])
 
