@@ -446,3 +446,24 @@ def test_small_files(spark, tmp_path):
     assert [tuple(r) for r in back] == [("1", "1", "2", "0.12346"), ("1", "2", "3", "0.5")] and back[0].asDict().keys() == {"query", "rank", "neighbor", "cosine_distance"}
     sinks.write_json(rows, str(tmp_path / "json"))
     assert sorted(map(tuple, spark.read.schema(rows.schema).json(str(tmp_path / "json")).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_matrices_of_many_blocks(spark):
+    """Every pair of rows once, whatever block they stand in, also next to rows with equal ids, and vectors shuffled once."""
+    from knapline.operators import similarity
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(83, 5))
+    x[7] = 0
+    ids = [int(i) for i in rng.permutation(83)]
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "id long, v array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    got = {(r["i"], r["j"]): r["value"] for r in similarity._products(v, 10, similarity._unit_rows).collect()}
+    assert set(got) == {(i, j) for i in range(83) for j in range(i + 1, 83)}
+    assert max(abs(got[i, j] - u[i] @ u[j]) for i, j in got) < 1e-12
+    off = np.abs(u @ u.T)[~np.eye(83, dtype=bool)].max()
+    assert similarity.largest_cosine(v, size=10).groupBy().max("value").first()[0] == pytest.approx(off, abs=1e-12)
+    again = similarity._products(v.unionByName(v.where("id = 40")), 10, similarity._unit_rows)
+    assert again.count() == 83 * 82 // 2 + 82 and not again.where("i >= j").count()
+    plan = similarity.cosine_matrix(v)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
