@@ -190,8 +190,8 @@ def diff_axis(s, d):
     """Symmetric range of a heat map: the largest value off its diagonal."""
     from ..operators import similarity
 
-    m = similarity.cosine_matrix(embeddings(s, d).select("id", "v"))
-    return m.agg(r(-F.max(F.abs("value")), 5).alias("lo"), r(F.max(F.abs("value")), 5).alias("hi"))
+    m = similarity.largest_cosine(embeddings(s, d).select("id", "v"))
+    return m.agg(r(-F.max("value"), 5).alias("lo"), r(F.max("value"), 5).alias("hi"))
 
 
 LETTER = "case " + " ".join(f"when contains(p, '{w}') then '{k}'" for w, k in text.NOTE_LETTERS.items()) + " end"
