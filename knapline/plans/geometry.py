@@ -215,7 +215,7 @@ QUERIES = {
     "surface_area": (surface_area, sql(*M, f"select mesh_id, {tidy('sum(area)', 5)} as area from m group by 1")),
     "face_normals": (face_normals, sql(*M, f"select mesh_id, fid, {tidy('nx')} as nx, {tidy('ny')} as ny, {tidy('nz')} as nz from m")),
     "vertex_normals": (vertex_normals, sql(*M, CORNERS, NORMALS, f"select mesh_id, vid, {tidy('vx')} as nx, {tidy('vy')} as ny, {tidy('vz')} as nz from vn")),
-    "orient_outward": (orient_outward, sql(*M, "fc as (select *, (ax + bx + cx) / 3 fx, (ay + by_ + cy) / 3 fy, (az + bz + cz) / 3 fz from m), mc as (select *, avg(fx) over w mx, avg(fy) over w my, avg(fz) over w mz from fc window w as (partition by mesh_id))", "select mesh_id, fid, a, case when nx * (fx - mx) + ny * (fy - my) + nz * (fz - mz) < 0 then c else b end as b, case when nx * (fx - mx) + ny * (fy - my) + nz * (fz - mz) < 0 then b else c end as c from mc")),
+    "orient_outward": (orient_outward, sql(*M, "fc as (select *, (ax + bx + cx) / 3 fx, (ay + by_ + cy) / 3 fy, (az + bz + cz) / 3 fz from m), mc as (select *, avg(fx) over w mx, avg(fy) over w my, avg(fz) over w mz from fc window w as (partition by mesh_id))", "select mesh_id, fid, a, case when nx * (fx - mx) + ny * (fy - my) + nz * (fz - mz) < -1e-9 then c else b end as b, case when nx * (fx - mx) + ny * (fy - my) + nz * (fz - mz) < -1e-9 then b else c end as c from mc")),
     "bbox_extents": (bbox_extents, sql(MESH, BOX, f"select mesh_id, {tidy('ex')} ex, {tidy('ey')} ey, {tidy('ez')} ez, {tidy('l[1]')} e1, {tidy('l[2]')} e2, {tidy('l[3]')} e3 from sb")),
     "global_extents": (global_extents, sql(MESH, BOX, f"select {tidy('greatest(max(l[1]), 1e-10)')} max_long, {tidy('greatest(max(l[2]), 1e-10)')} max_mid, {tidy('greatest(max(l[3]), 1e-10)')} max_short from sb")),
     "normalize_mesh": (normalize_mesh, sql(MESH, "c as (select mesh_id, vid, x - avg(x) over w x, y - avg(y) over w y, z - avg(z) over w z from v window w as (partition by mesh_id)), k as (select *, sqrt((max(x) over w - min(x) over w) ** 2 + (max(y) over w - min(y) over w) ** 2 + (max(z) over w - min(z) over w) ** 2) as s from c window w as (partition by mesh_id))", "select mesh_id, vid, " + ", ".join(f"{tidy(f'{k} / case when s > 0 then s else 1 end')} as {k}" for k in "xyz") + " from k")),
