@@ -18,12 +18,21 @@ from . import graph
 from .lineage import Scratch, settle
 
 
+EPS = 1e-9  # a normal this little turned inwards counts as turned outwards
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus: packed well in a file it looks small, and would be sent whole to the
+    driver and held by every task."""
+    return df.hint("merge")
+
+
 def corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with the coordinates of their corners: ax .. cz."""
     out = faces.select("mesh_id", "fid", "a", "b", "c")
     for k in "abc":
         v = vertices.select("mesh_id", F.col("vid").alias(k), *(F.col(d).alias(f"{k}{d}") for d in "xyz"))
-        out = out.join(v, ["mesh_id", k])
+        out = out.join(shuffled(v), ["mesh_id", k])
     return out.select("mesh_id", "fid", "a", "b", "c", *(f"{k}{d}" for k in "abc" for d in "xyz"))
 
 
@@ -48,12 +57,12 @@ def drop_degenerate(vertices: DataFrame, faces: DataFrame, least: float = 1e-15)
 
 
 def orient_outward(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Faces with b and c swapped where the normal points to the mean of the mesh's face centres. Right for roughly
-    convex shapes."""
+    """Faces with b and c swapped where the normal points to the mean of the mesh's face centres, by more than EPS: what lies
+    in one plane with that mean, but for rounding, stays. Right for roughly convex shapes."""
     m = face_centres(measured(vertices, faces))
     w = W.partitionBy("mesh_id")
     m = m.select("*", *(F.avg(f"f{k}").over(w).alias(f"m{k}") for k in "xyz"))
-    swap = dot(xyz("n"), minus(xyz("f"), xyz("m"))) < 0
+    swap = dot(xyz("n"), minus(xyz("f"), xyz("m"))) < -EPS
     return m.select("mesh_id", "fid", "a", F.when(swap, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(swap, F.col("b")).otherwise(F.col("c")).alias("c"))
 
 
@@ -88,7 +97,7 @@ def merge_vertices(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-
     placed = vertices.select("*", *grid)
     merged = placed.groupBy("mesh_id", "gx", "gy", "gz").agg(*(F.avg(k).alias(k) for k in "xyz"))
     merged = merged.withColumn("vid", F.row_number().over(W.partitionBy("mesh_id").orderBy("gx", "gy", "gz")) - 1)
-    new = placed.join(merged.select("mesh_id", "gx", "gy", "gz", F.col("vid").alias("new")), ["mesh_id", "gx", "gy", "gz"]).select("mesh_id", F.col("vid").alias("old"), "new")
+    new = placed.join(shuffled(merged.select("mesh_id", "gx", "gy", "gz", F.col("vid").alias("new"))), ["mesh_id", "gx", "gy", "gz"]).select("mesh_id", F.col("vid").alias("old"), "new")
     return merged.select("mesh_id", F.col("vid").cast("long").alias("vid"), "x", "y", "z"), renamed(faces, new)
 
 
@@ -96,7 +105,7 @@ def renamed(faces: DataFrame, new: DataFrame) -> DataFrame:
     """faces with corners renamed by (mesh_id, old, new)."""
     out = faces
     for k in "abc":
-        out = out.join(new.select("mesh_id", F.col("old").alias(k), F.col("new").cast("long").alias(f"_{k}")), ["mesh_id", k])
+        out = out.join(shuffled(new.select("mesh_id", F.col("old").alias(k), F.col("new").cast("long").alias(f"_{k}"))), ["mesh_id", k])
     return out.select("mesh_id", "fid", *(F.col(f"_{k}").alias(k) for k in "abc"))
 
 
@@ -104,7 +113,7 @@ def reindex(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame
     """Only the vertices that faces use, numbered by rank; a mesh without faces keeps its vertices."""
     used = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
     bare = vertices.join(faces.select("mesh_id").distinct(), "mesh_id", "left_anti")
-    kept = vertices.join(used, ["mesh_id", "vid"], "left_semi").unionByName(bare)
+    kept = vertices.join(shuffled(used), ["mesh_id", "vid"], "left_semi").unionByName(bare)
     kept = kept.withColumn("new", F.row_number().over(W.partitionBy("mesh_id").orderBy("vid")) - 1)
     return kept.select("mesh_id", F.col("new").cast("long").alias("vid"), "x", "y", "z"), renamed(faces, kept.select("mesh_id", F.col("vid").alias("old"), "new"))
 
@@ -151,9 +160,9 @@ def max_dihedral(vertices: DataFrame, faces: DataFrame, mode: str = "formula") -
     two = n.select("mesh_id", F.col("fid").alias("f2"), *(F.col(f"n{k}").alias(f"q{k}") for k in "xyz"))
     d = dot(xyz("p"), xyz("q"))
     angle = F.acos(clip(-d if mode == "formula" else d, -1.0, 1.0))
-    pairs = adjacency(faces).join(one, ["mesh_id", "f1"]).join(two, ["mesh_id", "f2"]).select("mesh_id", F.explode(F.array("f1", "f2")).alias("fid"), angle.alias("angle"))
+    pairs = adjacency(faces).join(shuffled(one), ["mesh_id", "f1"]).join(shuffled(two), ["mesh_id", "f2"]).select("mesh_id", F.explode(F.array("f1", "f2")).alias("fid"), angle.alias("angle"))
     most = pairs.groupBy("mesh_id", "fid").agg(F.max("angle").alias("angle"))
-    return n.select("mesh_id", "fid").join(most, ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.greatest(F.coalesce("angle", F.lit(0.0)), F.lit(0.0)).alias("dihedral"))
+    return n.select("mesh_id", "fid").join(shuffled(most), ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.greatest(F.coalesce("angle", F.lit(0.0)), F.lit(0.0)).alias("dihedral"))
 
 
 def quadrics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -210,9 +219,9 @@ def keep_largest(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Data
     parts = components(vertices, faces)
     size = parts.groupBy("mesh_id", "component").agg(F.count("*").alias("n"))
     best = size.groupBy("mesh_id").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component"))
-    kept = parts.join(best, ["mesh_id", "component"], "left_semi").select("mesh_id", F.col("vid").alias("a"))
-    v = vertices.join(kept.withColumnRenamed("a", "vid"), ["mesh_id", "vid"], "left_semi")
-    return reindex(v, faces.join(kept, ["mesh_id", "a"], "left_semi").select("mesh_id", "fid", "a", "b", "c"))
+    kept = parts.join(shuffled(best), ["mesh_id", "component"], "left_semi").select("mesh_id", F.col("vid").alias("a"))
+    v = vertices.join(shuffled(kept.withColumnRenamed("a", "vid")), ["mesh_id", "vid"], "left_semi")
+    return reindex(v, faces.join(shuffled(kept), ["mesh_id", "a"], "left_semi").select("mesh_id", "fid", "a", "b", "c"))
 
 
 def clean_mesh(vertices: DataFrame, faces: DataFrame, largest: bool = True, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +245,7 @@ def mesh_metadata(raw: tuple[DataFrame, DataFrame], clean: tuple[DataFrame, Data
     about = about.withColumn("scale_factor", F.when(size > 0, size).otherwise(1.0))
     out = count(raw[0], "num_original_vertices")
     for part in (count(raw[1], "num_original_faces"), count(v, "num_clean_vertices"), count(f, "num_clean_faces"), about, surface_area(v, f).withColumnRenamed("area", "surface_area")):
-        out = out.join(part, "mesh_id", "left")
+        out = out.join(shuffled(part), "mesh_id", "left")
     return out.na.fill(0, ["num_original_faces", "num_clean_vertices", "num_clean_faces"])
 
 

@@ -32,11 +32,11 @@ def weights(vertices: DataFrame, faces: DataFrame, mode: str = "uniform") -> Dat
     m = geometry.measured(vertices, faces)
     if mode == "curvature":
         k = geometry.curvature(vertices, faces)
-        spread = m.select("mesh_id", "fid", "area", F.explode(F.array("a", "b", "c")).alias("vid")).join(k, ["mesh_id", "vid"])
+        spread = m.select("mesh_id", "fid", "area", F.explode(F.array("a", "b", "c")).alias("vid")).join(geometry.shuffled(k), ["mesh_id", "vid"])
         raw = spread.groupBy("mesh_id", "fid").agg((F.first("area") * (1 + 3 * F.avg("curvature"))).alias("raw"))
     elif mode == "edge":
         d = geometry.max_dihedral(vertices, faces)
-        raw = m.select("mesh_id", "fid", "area").join(d, ["mesh_id", "fid"]).select("mesh_id", "fid", (F.col("area") * (1 + 5 * F.col("dihedral") / F.pi())).alias("raw"))
+        raw = m.select("mesh_id", "fid", "area").join(geometry.shuffled(d), ["mesh_id", "fid"]).select("mesh_id", "fid", (F.col("area") * (1 + 5 * F.col("dihedral") / F.pi())).alias("raw"))
     elif mode == "uniform":
         raw = m.select("mesh_id", "fid", F.col("area").alias("raw"))
     else:
@@ -57,13 +57,13 @@ def sample(vertices: DataFrame, faces: DataFrame, points: int, mode: str = "unif
     draws = w.select("mesh_id").distinct().select("mesh_id", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("pid"))
     draws = draws.withColumn("u", uniform(F.col("mesh_id"), F.col("pid"), F.lit(seed))).withColumn("cell", F.floor(F.col("u") * points))
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * points), F.least(F.floor(F.col("hi") * points), F.lit(points - 1)))))
-    hit = draws.join(cells.select("mesh_id", "cell", "fid", "lo", "hi"), ["mesh_id", "cell"]).where("u >= lo and u < hi").select("mesh_id", "pid", "fid")
+    hit = draws.join(geometry.shuffled(cells.select("mesh_id", "cell", "fid", "lo", "hi")), ["mesh_id", "cell"]).where("u >= lo and u < hi").select("mesh_id", "pid", "fid")
     hit = hit.dropDuplicates(["mesh_id", "pid"])
     m = geometry.measured(vertices, faces)
     r1, r2 = uniform(F.col("mesh_id"), F.col("pid"), F.lit(seed + 1)), uniform(F.col("mesh_id"), F.col("pid"), F.lit(seed + 2))
     u, v, t = barycentric(r1, r2)
     at = [(u * F.col(f"a{k}") + v * F.col(f"b{k}") + t * F.col(f"c{k}")).alias(k) for k in "xyz"]
-    return hit.join(m, ["mesh_id", "fid"]).select("mesh_id", "pid", *at, "nx", "ny", "nz")
+    return hit.join(geometry.shuffled(m), ["mesh_id", "fid"]).select("mesh_id", "pid", *at, "nx", "ny", "nz")
 
 
 def sample_edge_aware(vertices: DataFrame, faces: DataFrame, points: int, edge_ratio: float = 0.3, seed: int = 42) -> DataFrame:

@@ -394,3 +394,34 @@ def test_sites_are_ranked_without_one_task(spark):
     assert {r["site"]: r["rank"] for r in metadata.colours(sites).collect()} == {"a": 0, "b": 1, "c": 2}
     items = spark.createDataFrame([(1, "y"), (2, "x"), (3, None)], "id long, v string")
     assert {r["id"]: r["code"] for r in metadata.codes(items, "id", "v").collect()} == {1: 1.0, 2: 0.0, 3: None}
+
+
+def test_faces_of_given_vertices(spark, tmp_path):
+    """Faces stand where all corners do, each once, also where a row comes twice, and are dealt over as many tasks as the
+    vertices ask for."""
+    from knapline.plans import inputs
+
+    keys = [k for m in range(3) for k in range(100 * m, 100 * m + 100) if (m, k % 100) not in ((0, 0), (1, 55))] + [142]
+    spark.createDataFrame([(k, k % 7) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in inputs.faces(spark, str(tmp_path)).collect())
+    want, have = [], set(keys)
+    for m in range(3):
+        for fid in range(162):
+            o = fid // 2 // 9 * 10 + fid // 2 % 9
+            abc = (o, o + 1, o + 10) if fid % 2 == 0 else (o + 1, o + 11, o + 10)
+            if all(100 * m + k in have for k in abc):
+                want.append((m, fid, *abc))
+    assert got == want
+    before, inputs.ROWS = inputs.ROWS, 20
+    try:
+        assert inputs.faces(spark, str(tmp_path)).rdd.getNumPartitions() == 15
+    finally:
+        inputs.ROWS = before
+
+
+def test_orientation_within_rounding(spark):
+    """A face in one plane with the mean of all, but for rounding, stays as it is."""
+    z = 1e-12
+    v = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 0.0, 1.0, 0.0), (1, 3, 5.0, 5.0, z), (1, 4, 6.0, 5.0, z), (1, 5, 5.0, 6.0, z)], "mesh_id long, vid long, x double, y double, z double")
+    f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 3, 4, 5)], "mesh_id long, fid long, a long, b long, c long")
+    assert sorted(tuple(r)[1:] for r in geometry.orient_outward(v, f).collect()) == [(0, 0, 1, 2), (1, 3, 4, 5)]
