@@ -467,3 +467,22 @@ def test_matrices_of_many_blocks(spark):
     assert again.count() == 83 * 82 // 2 + 82 and not again.where("i >= j").count()
     plan = similarity.cosine_matrix(v)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "CoGroup" not in plan
+
+
+def test_neighbours_of_some_queries(spark):
+    """The asked rows' neighbours among all rows, over many blocks, as plain loops find them; vectors are shuffled once."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(230, 4)), np.zeros((2, 4)), rng.normal(size=(1, 4)).repeat(12, 0)])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    for cosine in (True, False):
+        v = similarity.unit(df) if cosine else df
+        y = np.array([r["v"] for r in v.orderBy("id").collect()])
+        d = 1 - y @ y.T if cosine else np.sqrt(((y[:, None] - y[None, :]) ** 2).sum(axis=2))
+        got = {}
+        for r in knn.nearest(v, 4, cosine=cosine, block=20, queries=F.col("id") % 10 == 0).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["neighbour"], r["distance"]))
+        assert set(got) == set(range(0, len(x), 10))
+        for q, found in got.items():
+            want = sorted((round(float(d[q, j]), 6), j) for j in range(len(x)) if j != q)[:4]
+            assert [round(e, 6) for _, e in found] == pytest.approx([e for e, _ in want], abs=2e-6)
+            assert len({j for j, _ in found}) == 4 and q not in {j for j, _ in found}
