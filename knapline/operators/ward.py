@@ -2,7 +2,7 @@
 
 Merging two clusters brings neither nearer to a third than the nearer of them was, so that such pairs are merges of the
 usual one-at-a-time clustering too, and a cluster has to look for its nearest again only if that has been merged.
-Clusters are rows with their centroid; a search compares blocks of them. The tree is a table of merges, and the place
+Clusters are rows with their centroid; a search compares blocks of them, which meet in a product of partitions. The tree is a table of merges, and the place
 of each leaf follows from it by pointer jumping.
 """
 
@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .lineage import Scratch, settle
 
 #: Clusters that one task merges on its own: a matrix of their distances takes some 30 MB.
@@ -47,15 +49,9 @@ def merges_of(slots: list, sizes: np.ndarray, x: np.ndarray) -> list[tuple]:
     return out
 
 
-def _nearest(seeking: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-    """Of each seeking cluster the one among others that costs least, ties to the smaller slot. Products screen, what
-    their rounding leaves open is measured by differences."""
-    if not len(seeking) or not len(others):
-        return pd.DataFrame({"slot": [], "near": [], "d": []})
-    others = others.sort_values("slot")
-    q, p = np.stack(seeking["c"]), np.stack(others["c"])
-    a, b = seeking["slot"].to_numpy(), others["slot"].to_numpy()
-    si, sj = seeking["size"].to_numpy(float), others["size"].to_numpy(float)
+def _nearest(a, si, q, b, sj, p) -> tuple:
+    """(row, near, d): of each seeking cluster (slots a, sizes si, centroids q) the one among others (b in rising order, sj, p)
+    that costs least, ties to the smaller slot. Products screen, what their rounding leaves open is measured by differences."""
     gq, gp = (q * q).sum(axis=1), (p * p).sum(axis=1)
     factor = cost(si[:, None], sj[None, :], 1.0)
     d = factor * (gq[:, None] + gp[None, :] - 2 * q @ p.T)
@@ -66,17 +62,33 @@ def _nearest(seeking: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     exact = factor[row, col] * ((q[row] - p[col]) ** 2).sum(axis=1)
     order = np.lexsort((b[col], exact, row))
     first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-    return pd.DataFrame({"slot": a[row[first]], "near": b[col[first]], "d": exact[first]})
-
-
-def _search(seeking: DataFrame, clusters: DataFrame, n: tuple[int, int], kind: str) -> DataFrame:
+    return row[first], b[col[first]], exact[first]
+
+
+def _least(batches):
+    """Of rows (a block of seeking clusters, a block of others) the best that a task has met for each seeking cluster."""
+    best: dict = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            get = lambda c: batch.column(c)[row]  # noqa: B023, E731
+            side = lambda n, ids, x, size: (get(ids).values.to_numpy(zero_copy_only=False), np.frombuffer(get(size).as_buffer()), blocks.matrix(get(x), get(n).as_py()))
+            one, other = side("n", "ids", "x", "size"), side("on", "oids", "ox", "osize")
+            at, near, d = _nearest(*one, *other)
+            _, slots, far = best.setdefault(get("b").as_py(), (one[0], np.full(len(one[0]), one[0][0]), np.full(len(one[0]), np.inf)))
+            less = (d < far[at]) | ((d == far[at]) & np.isfinite(d) & (near < slots[at]))
+            slots[at[less]], far[at[less]] = near[less], d[less]
+    for a, slots, far in best.values():
+        found = np.isfinite(far)
+        yield pa.RecordBatch.from_pandas(pd.DataFrame({"slot": a[found], "near": slots[found], "d": far[found]}), preserve_index=False)
+
+
+def _search(seeking: DataFrame, clusters: DataFrame, n: tuple[int, int], kind: str, keep) -> DataFrame:
     """(slot, near, d) of the seeking clusters among all."""
     i, j = (max(1, -(-k // BLOCK)) for k in n)
-    dealt = lambda df, blocks: df.select("slot", "size", "c", F.pmod(F.xxhash64("slot"), F.lit(blocks)).cast("int").alias("b"))
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = dealt(seeking, i).select(F.col("b").alias("i"), every(j).alias("j"), "slot", "size", "c")
-    right = dealt(clusters, j).select(every(i).alias("i"), F.col("b").alias("j"), "slot", "size", "c")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_nearest, f"slot {kind}, near {kind}, d double")
+    dealt = lambda df, many: df.select(F.col("slot").alias("id"), "size", F.col("c").alias("v"), F.pmod(F.xxhash64("slot"), F.lit(many)).cast("int").alias("b"))
+    left = blocks.packed(dealt(seeking, i), ["b"], keep, extra={"size": float})
+    right = blocks.packed(dealt(clusters, j), ["b"], keep, extra={"size": float}).toDF("ob", "on", "oids", "ox", "osize")
+    found = blocks.met(left, right, (i, j), _least, f"slot {kind}, near {kind}, d double")
     best = found.groupBy("slot").agg(F.min(F.struct("d", "near")).alias("m"))
     return best.select("slot", F.col("m.near").alias("near"), F.col("m.d").alias("d"))
 
@@ -101,7 +113,7 @@ def merges(v: DataFrame, finish: int = FINISH) -> DataFrame:
         done, n = [], now.count()
         while n > finish:
             seeking = now.where("near is null")
-            found = _search(seeking, now, (seeking.count(), n), kind)
+            found = _search(seeking, now, (seeking.count(), n), kind, scratch.settle)
             now = scratch.settle(now.where("near is not null").unionByName(seeking.drop("near", "d").join(found, "slot")))
             back = now.select(F.col("slot").alias("near"), F.col("near").alias("slot"), F.col("size").alias("other_size"), F.col("c").alias("other_c"))
             pairs = scratch.settle(now.join(back, ["slot", "near"]).where("slot < near").select("slot", "size", F.col("near").alias("other"), "other_size", "c", "other_c"))

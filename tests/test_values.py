@@ -486,3 +486,18 @@ def test_neighbours_of_some_queries(spark):
             want = sorted((round(float(d[q, j]), 6), j) for j in range(len(x)) if j != q)[:4]
             assert [round(e, 6) for _, e in found] == pytest.approx([e for e, _ in want], abs=2e-6)
             assert len({j for j, _ in found}) == 4 and q not in {j for j, _ in found}
+
+
+def test_ward_search_by_blocks(spark, monkeypatch):
+    """Each seeking cluster's best among all, over many blocks; no block is shuffled for each meeting."""
+    from knapline.operators import ward
+    from knapline.operators.lineage import settle
+
+    monkeypatch.setattr(ward, "BLOCK", 9)
+    rng = np.random.default_rng(3)
+    x, size = rng.normal(size=(70, 3)), rng.integers(1, 5, 70)
+    now = spark.createDataFrame([(i, int(size[i]), x[i].tolist()) for i in range(70)], "slot long, size long, c array<double>")
+    found = ward._search(now.where("slot % 3 = 0"), now, (24, 70), "bigint", settle)
+    d = ward.cost(size[:, None], size[None, :], ((x[:, None] - x[None, :]) ** 2).sum(axis=2)) + np.diag([np.inf] * 70)
+    assert {r["slot"]: r["near"] for r in found.collect()} == {i: int(d[i].argmin()) for i in range(0, 70, 3)}
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
