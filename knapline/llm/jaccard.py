@@ -30,6 +30,7 @@ SLOT_BITS, CHUNK = 22, 16384
 SMALL = 64  # buckets up to this size apply the filters pair by pair
 BLOCK = 1024  # sets of one side of a verification task
 SALTS = 32  # tasks that the members of one component are dealt to
+COUNTED = 500_000  # slots that a task holds before it counts them
 FILTER_BITS = 24  # of the fixed-size filter that keeps uninvolved texts from being shuffled
 
 
@@ -73,6 +74,12 @@ class Order:
         return n - -(-self.num * n // self.den) + 1
 
 
+def _count(total: np.ndarray, held: list[np.ndarray]) -> None:
+    """Adds how often each slot is in `held`, without a second table as large as `total`."""
+    slot, n = np.unique(np.concatenate(held), return_counts=True)
+    total[slot] += n.astype(total.dtype)
+
+
 def _classes(k: int):
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("sig", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
@@ -84,13 +91,14 @@ def _classes(k: int):
                 sets = [shingles(raw, k) for raw in raw_texts(part)]
                 held += [slots(s) for s in sets]
                 n += sum(map(len, sets))
-                if n > 2_000_000:
-                    total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
+                if n > COUNTED:
+                    _count(total, held)
                     held, n = [], 0
                 none = [None] * part.num_rows
                 yield rows(out, part.column("doc_id"), [len(s) for s in sets], [class_of(s) for s in sets], [signature(s) if len(s) else None for s in sets], none, none)
         if n:
-            total += np.bincount(np.concatenate(held), minlength=1 << SLOT_BITS).astype(np.uint32)
+            _count(total, held)
+        held = []
         if total.any():
             parts = [zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in range(0, len(total), CHUNK)]
             none = [None] * len(parts)

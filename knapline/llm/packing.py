@@ -32,7 +32,7 @@ class Chunks:
     empty chunk, or one that ends in white space, depends on what follows, so such texts are encoded whole, and likewise
     those with a special token."""
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 50_000):
         self.path, self.limit, self.known, self.old, self._tokenizer = path, limit, {}, {}, None
         vocabulary = Vocabulary(path)
         self.special, self.quick = tuple(vocabulary.special), self._quick(vocabulary)
@@ -97,6 +97,10 @@ class Chunks:
         alone = dict(zip(whole, self._encode(list(whole.values())), strict=True)) if whole else {}
         return [alone[k] if s is None else next(firsts) + b"".join(map(known.__getitem__, s[1])) for k, s in enumerate(split)]
 
+    def forget(self) -> None:
+        """Gives back what texts have left behind. The vocabulary stays, the tokenizer is loaded anew where a text needs it."""
+        self.known, self.old, self._tokenizer = {}, {}, None
+
 
 @functools.lru_cache(maxsize=2)
 def chunks(path: str) -> Chunks:
@@ -189,15 +193,18 @@ def pack(docs: DataFrame, path: str, length: int = 2048, open_windows: int = 64,
             cols[5] = [base + s for s in cols[5]]
             return rows(OUT, *map(list, cols))
 
-        for batch in batches:
-            for part in pieces_of(batch):
-                found = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), code(texts(part)), strict=True):
-                    found.extend(packer.add(doc, ids + end))
-                if found:
-                    yield table(found)
-        if found := list(packer.finish()):
-            yield table(found)
+        try:
+            for batch in batches:
+                for part in pieces_of(batch):
+                    found = []
+                    for doc, ids in zip(part.column("doc_id").to_pylist(), code(texts(part)), strict=True):
+                        found.extend(packer.add(doc, ids + end))
+                    if found:
+                        yield table(found)
+            if found := list(packer.finish()):
+                yield table(found)
+        finally:
+            code.forget()  # Python workers outlive tasks
 
     own = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     return own.mapInArrow(run, DDL)

@@ -737,3 +737,24 @@ def test_pipeline(spark):
     assert packed.where(F.col("start") == 0).agg(F.sum("doc_tokens")).first()[0] == packed.agg(F.sum("length")).first()[0]
     tokens = lambda df: sorted(map(tuple, df.groupBy("doc_id").agg(F.sum("length")).collect()))
     assert tokens(corpus_pipeline.run(spark, DATA)) == tokens(packed)
+
+
+def test_workers_give_chunks_back(spark):
+    """Python workers outlive tasks: what a packing task has remembered of its texts is gone when it ends."""
+    path = queries.vocabulary_path()
+    df = spark.createDataFrame([(i, f"some words {i} of text {i * 7}") for i in range(400)], "doc_id long, text string").repartition(4)
+    assert packing.pack(df, path).groupBy("doc_id").count().count() == 400
+
+    def held(batches):
+        for batch in batches:
+            c = packing.chunks(path)
+            yield pa.RecordBatch.from_pydict({"n": [len(c.known) + len(c.old)]})
+
+    assert {r["n"] for r in spark.range(4, numPartitions=4).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_slots_are_counted():
+    total = np.ones(1 << jaccard.SLOT_BITS, np.uint32)
+    held = [np.array([5, 5, 7]), np.array([5, (1 << jaccard.SLOT_BITS) - 1])]
+    jaccard._count(total, held)
+    assert total.dtype == np.uint32 and total[[5, 7, -1, 0]].tolist() == [4, 2, 2, 1] and total.sum() == len(total) + 5
