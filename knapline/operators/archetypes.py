@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +50,13 @@ def analyse(x: np.ndarray, k: int = 4, steps: int = 500, restarts: int = 3) -> t
 BLOCK = 8_192
 #: Rows that one task analyses on its own, as numbers of a few components: some MB.
 ONE_TASK = 50_000
-#: Steps after which mixtures are written, so that a pass replays no more than these.
-EVERY = 25
+#: Blocks that one task of a pass holds where they are many: some 60 MB.
+HELD = 64
+#: Steps after which mixtures are kept, so that a pass replays no more than these.
+EVERY = 8
+#: Steps after which they are written, so that what an executor has lost is computed again from there.
+WRITTEN = 100
+PACKED = "block long, z binary, m binary, ids binary"
 
 
 def _replayed(z: np.ndarray, m: np.ndarray, tips: list[np.ndarray], t: int) -> np.ndarray:
@@ -64,24 +72,40 @@ def _replayed(z: np.ndarray, m: np.ndarray, tips: list[np.ndarray], t: int) -> n
 
 
 class Blocks:
-    """Rows of a table as packed blocks (block, n, z, m): scaled coordinates, and mixtures as they were at step `at`."""
+    """Rows of a table as packed blocks (block, z, m, ids): scaled coordinates, and mixtures as they were at step `at`. They stay
+    with the executors, on disk where memory is short, dealt evenly over tasks."""
+
+    def __init__(self, table: DataFrame, columns: int, restarts: int, k: int, tasks: int):
+        self.columns, self.restarts, self.k, self.tasks, self.at, self.written = columns, restarts, k, tasks, 0, 0
+        self.spark, self.held = table.sparkSession, []
+        self.packed = self._dealt(table)
+
+    def _dealt(self, table: DataFrame) -> RDD:
+        rows = table.rdd.map(lambda r: (r["block"], (r["block"], r["z"], r["m"], r["ids"])))
+        return self._kept(rows.partitionBy(self.tasks, lambda block: block).values())
 
-    def __init__(self, packed: DataFrame, columns: int, restarts: int, k: int):
-        self.packed, self.columns, self.restarts, self.k, self.at = packed, columns, restarts, k, 0
+    def _kept(self, packed: RDD) -> RDD:
+        """Kept from the next pass on; the one before it stays until then."""
+        self.held.append(packed.persist(StorageLevel.MEMORY_AND_DISK))
+        while len(self.held) > 2:
+            self.held.pop(0).unpersist()
+        return packed
 
-    def _each(self, fn, schema: str) -> DataFrame:
-        """fn(first ord, z, m, ids) of every block."""
-        shape = (self.restarts, -1, self.k)
-        columns = self.columns
+    def drop(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
-        def run(batches):
-            for pdf in batches:
-                for block, z, m, ids in zip(pdf["block"], pdf["z"], pdf["m"], pdf["ids"], strict=True):
-                    z = np.frombuffer(z).reshape(-1, columns)
-                    start = np.full((shape[0], len(z), shape[2]), 1 / shape[2]) if m is None else np.frombuffer(m).reshape(shape[0], len(z), shape[2]).copy()
-                    yield fn(block, z, start, ids)
+    def each(self, fn, packed: RDD | None = None) -> RDD:
+        """fn(block, z, m, ids) of every block."""
+        columns, restarts, k = self.columns, self.restarts, self.k
 
-        return self.packed.mapInPandas(run, schema)
+        def run(found):
+            block, z, m, ids = found
+            z = np.frombuffer(z).reshape(-1, columns)
+            m = np.full((restarts, len(z), k), 1 / k) if m is None else np.frombuffer(m).reshape(restarts, len(z), k).copy()
+            return fn(block, z, m, ids)
+
+        return (self.packed if packed is None else packed).map(run)
 
     def gradients(self, tips: list[np.ndarray], last: np.ndarray | None) -> tuple[np.ndarray, list]:
         """After the steps towards `tips` from `at` on: the sum over rows of m' (m a - z), a being the last of tips; and of
@@ -92,49 +116,39 @@ class Blocks:
             m = _replayed(z, m, tips, at)
             g = np.stack([w.T @ (w @ a - z) for w, a in zip(m, tips[-1], strict=True)])
             if last is None:
-                return pd.DataFrame({"g": [g.ravel()], "v": [[]], "o": [[]], "x": [[]]})
+                return g, None
             v = z @ last.reshape(every, -1).T
             i = v.argmin(axis=0)
-            return pd.DataFrame({"g": [g.ravel()], "v": [v[i, np.arange(every)]], "o": [block * BLOCK + i], "x": [z[i].ravel()]})
+            return g, (v[i, np.arange(every)], block * BLOCK + i, z[i])
 
-        found = self._each(fn, "g array<double>, v array<double>, o array<long>, x array<double>")
         # A task's blocks are merged before anything leaves it.
-        size = every * self.columns
-
-        def merged(batches):
-            g, best = np.zeros(size), None
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    g += np.asarray(r.g)
-                    best = _least(best, (np.asarray(r.v), np.asarray(r.o, np.int64), np.asarray(r.x)), every)
-            yield pd.DataFrame({"g": [g], "v": [best[0] if best else []], "o": [best[1] if best else []], "x": [best[2].ravel() if best else []]})
-
-        g, best = np.zeros(size), None
-        for r in found.mapInPandas(merged, found.schema).collect():  # one row a task
-            g += np.array(r["g"])
-            if len(r["v"]) or last is None:
-                best = _least(best, (np.array(r["v"]), np.array(r["o"], np.int64), np.array(r["x"])), every)
-        return g.reshape(self.restarts, self.k, -1), best
+        def merged(found):
+            g, best = 0.0, None
+            for more, row in found:
+                g = g + more
+                best = row if best is None else _least(best, row)
+            if best is not None or not np.isscalar(g):
+                yield g, best
+
+        g, best = np.zeros((self.restarts, self.k, self.columns)), None
+        for more, row in self.each(fn).mapPartitions(merged).collect():  # one row a task
+            g = g + more
+            best = row if best is None else _least(best, row)
+        return g, best
 
     def advanced(self, tips: list[np.ndarray], keep) -> None:
-        """Writes the mixtures after the steps towards `tips`."""
+        """Keeps the mixtures after the steps towards `tips`; `keep` writes a table of them now and then."""
         at = self.at
-
-        def fn(block, z, m, ids):
-            return pd.DataFrame({"block": [block], "z": [z.tobytes()], "m": [_replayed(z, m, tips, at).tobytes()], "ids": [ids]})
-
-        self.packed, self.at = keep(self._each(fn, self.packed.schema)), at + len(tips)
+        self.packed = self._kept(self.each(lambda block, z, m, ids: (block, z.tobytes(), _replayed(z, m, tips, at).tobytes(), ids)))
+        self.at = at + len(tips)
+        if self.at - self.written >= WRITTEN:
+            self.packed, self.written = self._dealt(keep(self.spark.createDataFrame(self.packed, PACKED))), self.at
 
 
-def _least(one, two, every: int):
-    """The rows with the smaller products, of equals those that come first."""
-    if one is None:
-        return two[0], two[1], two[2].reshape(every, -1) if len(two[0]) else two[2]
-    if not len(two[0]):
-        return one
-    x = two[2].reshape(every, -1)
+def _least(one: tuple, two: tuple) -> tuple:
+    """The rows (product, ord, row) with the smaller products, of equals those that come first."""
     less = (two[0] < one[0]) | ((two[0] == one[0]) & (two[1] < one[1]))
-    return np.where(less, two[0], one[0]), np.where(less, two[1], one[1]), np.where(less[:, None], x, one[2])
+    return np.where(less, two[0], one[0]), np.where(less, two[1], one[1]), np.where(less[:, None], two[2], one[2])
 
 
 def _chosen(blocks: Blocks, n: int, seeds: list[np.random.Generator]) -> np.ndarray:
@@ -147,9 +161,9 @@ def _chosen(blocks: Blocks, n: int, seeds: list[np.random.Generator]) -> np.ndar
         now = np.array(chosen)
 
         def sums(block, z, m, ids, now=now):
-            return pd.DataFrame({"block": [block], "s": [[float(_distances(z, c).sum()) for c in now]]})
+            return block, [float(_distances(z, c).sum()) for c in now]
 
-        by_block = sorted(map(tuple, blocks._each(sums, "block long, s array<double>").collect()))  # one row a block of 8,192
+        by_block = sorted(blocks.each(sums).collect())  # one row a block of 8,192
         places, at_random = {}, {}
         for r, g in enumerate(seeds):
             parts = np.array([s[r] for _, s in by_block])
@@ -183,22 +197,21 @@ def _rows_at(blocks: Blocks, places: dict, chosen: np.ndarray | None = None) ->
             if b == block:
                 i = int(place) if chosen is None else min(int(np.searchsorted(np.cumsum(_distances(z, chosen[r])), place, side="right")), len(z) - 1)
                 found.append((r, z[i]))
-        return pd.DataFrame({"r": [r for r, _ in found], "x": [x for _, x in found]})
+        return found
 
-    only = Blocks(blocks.packed.where(F.col("block").isin([b for _, b in places])), blocks.columns, blocks.restarts, blocks.k)
-    return {r: np.array(x) for r, x in only._each(fn, "r int, x array<double>").collect()}
+    wanted = {b for _, b in places}
+    return dict(blocks.each(fn, blocks.packed.filter(lambda found: found[0] in wanted)).flatMap(lambda found: found).collect())
 
 
 def _packed(coords: DataFrame, columns: list[str], scale: np.ndarray, scratch: Scratch) -> DataFrame:
     """Blocks of rows in the order of their ids."""
-    kind = coords.schema["id"].dataType.simpleString()
     dealt = numbered(coords, ["id"], scratch=scratch)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
-        return pd.DataFrame({"block": [int(pdf["ord"].iloc[0]) // BLOCK], "z": [(pdf[columns].to_numpy(float) / scale).tobytes()], "m": [None], "ids": [pdf["id"].tolist()]})
+        return pd.DataFrame({"block": [int(pdf["ord"].iloc[0]) // BLOCK], "z": [(pdf[columns].to_numpy(float) / scale).tobytes()], "m": [None], "ids": [pickle.dumps(pdf["id"].to_numpy())]})
 
-    return scratch.settle(dealt.groupBy(F.expr(f"ord div {BLOCK}")).applyInPandas(pack, f"block long, z binary, m binary, ids array<{kind}>"))
+    return scratch.settle(dealt.groupBy(F.expr(f"ord div {BLOCK}")).applyInPandas(pack, PACKED))
 
 
 def fit(blocks: Blocks, n: int, scratch: Scratch, steps: int, restarts: int) -> tuple[int, np.ndarray, list[np.ndarray]]:
@@ -248,9 +261,9 @@ def fit(blocks: Blocks, n: int, scratch: Scratch, steps: int, restarts: int) ->
 
     def errors(block, z, m, ids):
         m = _replayed(z, m, since, at)
-        return pd.DataFrame({"e": [[float(((z - w @ a) ** 2).sum()) for w, a in zip(m, final, strict=True)]]})
+        return np.array([((z - w @ a) ** 2).sum() for w, a in zip(m, final, strict=True)])
 
-    total = np.sum([r["e"] for r in blocks._each(errors, "e array<double>").collect()], axis=0)
+    total = np.sum(blocks.each(errors).collect(), axis=0)  # one row a block
     return int(total.argmin()), final, since
 
 
@@ -263,7 +276,7 @@ def archetypes(coords: DataFrame, columns: list[str], k: int = 4, steps: int = 5
     """(k, columns) and (id, k, w), as `analyse` gives them for the rows in the order of their ids.
 
     Up to `one_task` rows are analysed by one task. More stay in blocks that tasks work on, `steps` passes in all:
-    mixtures never leave them, and what reaches the driver are k x columns numbers a task. No rows give none; rows with a
+    mixtures never leave them, and what reaches the driver are k x columns numbers a task, or a few a block. No rows give none; rows with a
     null coordinate take no part.
     """
     spark = coords.sparkSession
@@ -277,16 +290,24 @@ def archetypes(coords: DataFrame, columns: list[str], k: int = 4, steps: int = 5
             return _in_one_task(rows, columns, k, steps, restarts, schema, mixed)
         s = np.sqrt(np.diag(cov))
         s = np.where(s > 0, s, 1.0)
-        blocks = Blocks(_packed(rows, columns, s, scratch), len(columns), restarts, k)
-        best, tips, since = fit(blocks, n, scratch, steps, restarts)
-        at = blocks.at
-
-        def mixture(block, z, m, ids):
-            w = _replayed(z, m, since, at)[best]
-            return pd.DataFrame({"id": np.repeat(np.array(ids), k), "k": np.tile(np.arange(k), len(z)), "w": w.ravel()})
-
-        out = spark.createDataFrame([(i, *map(float, a * s)) for i, a in enumerate(tips[best])], schema)
-        return out, settle(blocks._each(mixture, mixed))
+        count = -(-n // BLOCK)
+        tasks = min(count, max(spark.sparkContext.defaultParallelism, -(-count // HELD)))
+        blocks = Blocks(_packed(rows, columns, s, scratch), len(columns), restarts, k, tasks)
+        try:
+            best, tips, since = fit(blocks, n, scratch, steps, restarts)
+            at = blocks.at
+            ended = blocks.each(lambda block, z, m, ids: (block, b"", _replayed(z, m, since, at)[best].tobytes(), ids))
+
+            def mixture(batches):
+                for pdf in batches:
+                    for m, ids in zip(pdf["m"], pdf["ids"], strict=True):
+                        ids = pickle.loads(ids)
+                        yield pd.DataFrame({"id": np.repeat(ids, k), "k": np.tile(np.arange(k), len(ids)), "w": np.frombuffer(m)})
+
+            out = spark.createDataFrame([(i, *map(float, a * s)) for i, a in enumerate(tips[best])], schema)
+            return out, settle(spark.createDataFrame(ended, PACKED).mapInPandas(mixture, mixed))
+        finally:
+            blocks.drop()
 
 
 def _in_one_task(rows: DataFrame, columns: list[str], k: int, steps: int, restarts: int, schema: str, mixed: str) -> tuple[DataFrame, DataFrame]:

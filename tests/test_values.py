@@ -402,6 +402,19 @@ def test_archetypes_in_blocks(spark, monkeypatch):
     assert archetypes.archetypes(df.limit(0), ["a", "b", "c"])[1].count() == 0
 
 
+def test_blocks_are_dealt_evenly(spark):
+    """Blocks from a table of one file are worked on by all tasks, and no more than two generations of them are held."""
+    z = np.arange(24.0).reshape(8, 3)
+    table = spark.createDataFrame([(b, bytearray(z.tobytes()), None, bytearray(b"")) for b in range(8)], archetypes.PACKED).coalesce(1)
+    blocks = archetypes.Blocks(table, 3, 2, 4, 4)
+    assert blocks.packed.glom().map(len).collect() == [2] * 4
+    tips = np.ones((2, 4, 3))
+    for _ in range(3):
+        blocks.advanced([tips], None)
+    assert len(blocks.held) == 2 and blocks.at == 3 and blocks.gradients([tips], None)[0].shape == (2, 4, 3)
+    blocks.drop()
+
+
 def test_archetypes_of_a_million_rows(spark):
     """A million rows in blocks: no collect of rows, the driver's largest result stays a few numbers a task."""
     df = spark.range(1_000_000).select("id", *(F.rand(s).alias(c) for s, c in enumerate("abc")))
