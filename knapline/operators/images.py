@@ -155,20 +155,31 @@ def depth_mean(pixels: DataFrame) -> DataFrame:
 TILE = 128
 
 
+#: Pixels in boxes of triangles that are looked at together: some 100 MB.
+PAIRS = 1_000_000
+
+
 def covering(triangles: np.ndarray, height: int, width: int, top: int = 0, left: int = 0) -> np.ndarray:
     """For each pixel of a window the last triangle (n, 3, 2) of (x, y) canvas coordinates that its centre lies in, else -1."""
-    out = np.full((height, width), -1)
-    for k, t in enumerate(triangles):
-        x0, y0 = np.maximum(np.floor(t.min(axis=0)).astype(int), [left, top])
-        x1, y1 = np.minimum(np.ceil(t.max(axis=0)).astype(int), [left + width, top + height])
-        if x1 <= x0 or y1 <= y0:
-            continue
-        gx, gy = np.meshgrid(np.arange(x0, x1) + 0.5, np.arange(y0, y1) + 0.5)
-        (ax, ay), (bx, by), (cx, cy) = t
+    out = np.full(height * width, -1)
+    lo = np.maximum(np.floor(triangles.min(axis=1)).astype(int), [left, top])
+    hi = np.minimum(np.ceil(triangles.max(axis=1)).astype(int), [left + width, top + height])
+    wide, high = (np.maximum(hi, lo) - lo).T
+    upto = np.cumsum(wide * high)
+    first = 0
+    while first < len(triangles):
+        before = upto[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(upto, before + PAIRS, side="right")))
+        k = np.repeat(np.arange(first, last), (wide * high)[first:last])
+        at = np.arange(len(k)) - (upto - wide * high - before)[k]
+        x, y = lo[k, 0] + at % wide[k], lo[k, 1] + at // wide[k]
+        gx, gy = x + 0.5, y + 0.5
+        (ax, ay), (bx, by), (cx, cy) = triangles[k].transpose(1, 2, 0)
         s = [(bx - ax) * (gy - ay) - (by - ay) * (gx - ax), (cx - bx) * (gy - by) - (cy - by) * (gx - bx), (ax - cx) * (gy - cy) - (ay - cy) * (gx - cx)]
         inside = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
-        out[y0 - top : y1 - top, x0 - left : x1 - left][inside] = k
-    return out
+        np.maximum.at(out, ((y - top) * width + x - left)[inside], k[inside])
+        first = last
+    return out.reshape(height, width)
 
 
 def fill_triangles(triangles: np.ndarray, values: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -177,10 +188,11 @@ def fill_triangles(triangles: np.ndarray, values: np.ndarray, height: int, width
     return np.where(at[..., None] >= 0, values[np.maximum(at, 0)], 0.0)
 
 
-def render(faces_px: DataFrame, height: int, width: int, channels: list[str], view: str, tile: int = TILE) -> DataFrame:
+def render(faces_px: DataFrame, height: int, width: int, channels: list[str], view: str | None, tile: int = TILE, totals: bool = False) -> DataFrame:
     """Pixels of faces (mesh_id, fid, order, ax, ay, bx, by, cx, cy, channels), drawn by rising `order` and then fid.
     Faces go to every square of the canvas that they reach into; one square of one mesh is one group, whatever the size
-    of mesh and canvas. Only drawn pixels come back."""
+    of mesh and canvas. Only drawn pixels come back. Without `view` faces name theirs in a column. totals: instead of its
+    pixels each square gives their number n and, for each channel c, the number n_c and sum sum_c of its values."""
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["order", "fid"])
@@ -188,7 +200,14 @@ def render(faces_px: DataFrame, height: int, width: int, channels: list[str], vi
         t = pdf[["ax", "ay", "bx", "by", "cx", "cy"]].to_numpy(float).reshape(-1, 3, 2)
         at = covering(t, min(tile, height - top), min(tile, width - left), top, left)
         r, c = np.nonzero(at >= 0)
-        out = pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "view": view, "row": (r + top).astype(np.int32), "col": (c + left).astype(np.int32)})
+        name = pdf["view"].iloc[0] if view is None else view
+        if totals:
+            values = pdf[channels].to_numpy(float)[at[r, c]]
+            out = {"mesh_id": [pdf["mesh_id"].iloc[0]], "view": [name], "n": [len(r)]}
+            for k, channel in enumerate(channels):
+                out |= {f"n_{channel}": [int((~np.isnan(values[:, k])).sum())], f"sum_{channel}": [float(np.nansum(values[:, k]))]}
+            return pd.DataFrame(out)[: len(r)]
+        out = pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "view": name, "row": (r + top).astype(np.int32), "col": (c + left).astype(np.int32)})
         values = pdf[channels].to_numpy(float)[at[r, c]]
         for k, name in enumerate(channels):
             out[name] = values[:, k]
@@ -203,7 +222,8 @@ def render(faces_px: DataFrame, height: int, width: int, channels: list[str], vi
     kind = faces_px.schema["mesh_id"].dataType.simpleString()
     # Two tables of squares and not one: a generator a select.
     binned = faces_px.withColumn("_row", F.explode(squares("y", height))).withColumn("_col", F.explode(squares("x", width)))
-    return binned.groupBy("mesh_id", "_row", "_col").applyInPandas(draw, f"mesh_id {kind}, view string, row int, col int, " + ", ".join(f"{c} double" for c in channels))
+    given = "n long, " + ", ".join(f"n_{c} long, sum_{c} double" for c in channels) if totals else "row int, col int, " + ", ".join(f"{c} double" for c in channels)
+    return binned.groupBy("mesh_id", *(["view"] if view is None else []), "_row", "_col").applyInPandas(draw, f"mesh_id {kind}, view string, {given}")
 
 
 def encode_png(img: np.ndarray) -> bytes:

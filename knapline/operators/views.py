@@ -32,10 +32,14 @@ def surface(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def _placed(m: DataFrame, across: str, up: str, scale, width: int, height: int) -> DataFrame:
+    return m.withColumns(_places(across, up, scale, width, height))
+
+
+def _places(across: str, up: str, scale, width: int, height: int) -> dict:
     """Corners on the canvas, the middle of the mesh in its middle, rows running down."""
     px = {f"p{c}x": (F.col(f"{c}{across}") - F.col(f"m{across}")) * scale + width / 2 for c in "abc"}
     py = {f"p{c}y": height / 2 - (F.col(f"{c}{up}") - F.col(f"m{up}")) * scale for c in "abc"}
-    return m.withColumns({**px, **py})
+    return {**px, **py}
 
 
 def _drawn(m: DataFrame, view: str, order, channels: dict, width: int, height: int) -> DataFrame:
@@ -97,17 +101,28 @@ def eight_channels(vertices: DataFrame, faces: DataFrame, scale: float, width: i
 def six_views(vertices: DataFrame, faces: DataFrame, canvas: int = 224, aligned: bool = True) -> DataFrame:
     """(mesh_id, view, row, col, value): depth from six sides in the frame of each mesh's principal axes, 1 for the nearest
     possible surface. Every view fills its canvas on its own; depths are shares of the corpus' largest range."""
+    return images.render(_six(vertices, faces, canvas, aligned), canvas, canvas, ["value"], None)
+
+
+def six_view_means(vertices: DataFrame, faces: DataFrame, canvas: int = 224, aligned: bool = True) -> DataFrame:
+    """(mesh_id, view, n, mean): drawn pixels of each of `six_views` and the mean of their values. They are added up where
+    they are drawn, so that no pixel is a row."""
+    t = images.render(_six(vertices, faces, canvas, aligned), canvas, canvas, ["value"], None, totals=True)
+    return t.groupBy("mesh_id", "view").agg(F.sum("n").alias("n"), F.try_divide(F.sum("sum_value"), F.sum("n_value")).alias("mean"))
+
+
+def _six(vertices: DataFrame, faces: DataFrame, canvas: int, aligned: bool) -> DataFrame:
+    """Faces as images.render takes them, once for each view."""
     v = geometry.aligned(vertices) if aligned else vertices
     m = surface(v, faces).crossJoin(_all_ranges(v, "xyz"))
-    out = None
+    seen = []
     for name, across, up, along, positive in SIX:
         scale = canvas * FILL / F.greatest(f"r{across}", f"r{up}", F.lit(1e-10))
         far = F.col(f"f{along}") - F.col(f"l{along}")
         value = depth(far if positive else F.col(f"r{along}") - far, F.greatest(f"all_{along}", f"r{along}", F.lit(1e-10)))
         order = F.col(f"f{along}") if positive else -F.col(f"f{along}")
-        view = _drawn(_placed(m, across, up, scale, canvas, canvas), name, order, {"value": value}, canvas, canvas).select("mesh_id", F.lit(name).alias("view"), "row", "col", "value")
-        out = view if out is None else out.unionByName(view)
-    return out
+        seen.append(F.struct(F.lit(name).alias("view"), order.alias("order"), *(e.alias(n[1:]) for n, e in _places(across, up, scale, canvas, canvas).items()), value.alias("value")))
+    return m.select("mesh_id", "fid", F.explode(F.array(*seen)).alias("s")).select("mesh_id", "fid", "s.*")
 
 
 def exported(pixels: DataFrame, done: DataFrame | None = None) -> DataFrame:

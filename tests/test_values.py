@@ -514,3 +514,30 @@ def test_ward_search_by_blocks(spark, monkeypatch):
     d = ward.cost(size[:, None], size[None, :], ((x[:, None] - x[None, :]) ** 2).sum(axis=2)) + np.diag([np.inf] * 70)
     assert {r["slot"]: r["near"] for r in found.collect()} == {i: int(d[i].argmin()) for i in range(0, 70, 3)}
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_six_view_means_are_those_of_the_pixels(spark):
+    """Means added up where they are drawn are those of the pixels themselves; faces are measured once for all views."""
+    from knapline.operators import views
+    from knapline.plans import inputs
+
+    v, f = inputs.mesh(spark, "/root/testdata/sf0.001")
+    own = views.six_views(v, f, 40).groupBy("mesh_id", "view").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    want = {(r["mesh_id"], r["view"]): (r["n"], r["mean"]) for r in own.collect()}
+    means = views.six_view_means(v, f, 40)
+    got = {(r["mesh_id"], r["view"]): (r["n"], r["mean"]) for r in means.collect()}
+    assert got.keys() == want.keys() and len({k[1] for k in got}) == 6
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in got)
+    assert views._six(v, f, 40, True).count() == 6 * f.count()
+
+
+def test_covering_in_parts(monkeypatch):
+    """Triangles looked at together or one after another: the last that holds a pixel's centre wins."""
+    t = np.random.default_rng(2).uniform(-5, 45, (60, 3, 2))
+    whole = images.covering(t, 40, 30, 3, 2)
+    monkeypatch.setattr(images, "PAIRS", 10)
+    assert np.array_equal(images.covering(t, 40, 30, 3, 2), whole) and whole.max() == 59
+    out = np.full((40, 30), -1)
+    for k in range(60):
+        out = np.where(images.covering(t[k : k + 1], 40, 30, 3, 2) == 0, k, out)
+    assert np.array_equal(out, whole) and (images.covering(t[:0], 4, 4) == -1).all()
