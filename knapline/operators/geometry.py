@@ -7,8 +7,11 @@ face whose vertex is missing drops out of every join. Null coordinates give null
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,13 +94,15 @@ def normalize(vertices: DataFrame) -> DataFrame:
     return out.select("mesh_id", "vid", *((F.col(k) / F.when(size > 0, size).otherwise(1.0)).alias(k) for k in "xyz"))
 
 
-def merge_vertices(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
-    """Vertices that round to one grid point become their mean, numbered by grid point; faces follow."""
+def merge_vertices(vertices: DataFrame, faces: DataFrame, tolerance: float = 1e-8, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices that round to one grid point become their mean, numbered by grid point; faces follow. With `scratch` the new
+    vertices and names are made once and not anew for each join."""
+    keep = scratch.settle if scratch else lambda df: df
     grid = [F.bround(F.col(k) / tolerance).cast("long").alias(f"g{k}") for k in "xyz"]
     placed = vertices.select("*", *grid)
     merged = placed.groupBy("mesh_id", "gx", "gy", "gz").agg(*(F.avg(k).alias(k) for k in "xyz"))
-    merged = merged.withColumn("vid", F.row_number().over(W.partitionBy("mesh_id").orderBy("gx", "gy", "gz")) - 1)
-    new = placed.join(shuffled(merged.select("mesh_id", "gx", "gy", "gz", F.col("vid").alias("new"))), ["mesh_id", "gx", "gy", "gz"]).select("mesh_id", F.col("vid").alias("old"), "new")
+    merged = keep(merged.withColumn("vid", F.row_number().over(W.partitionBy("mesh_id").orderBy("gx", "gy", "gz")) - 1))
+    new = keep(placed.join(shuffled(merged.select("mesh_id", "gx", "gy", "gz", F.col("vid").alias("new"))), ["mesh_id", "gx", "gy", "gz"]).select("mesh_id", F.col("vid").alias("old"), "new"))
     return merged.select("mesh_id", F.col("vid").cast("long").alias("vid"), "x", "y", "z"), renamed(faces, new)
 
 
@@ -109,12 +114,13 @@ def renamed(faces: DataFrame, new: DataFrame) -> DataFrame:
     return out.select("mesh_id", "fid", *(F.col(f"_{k}").alias(k) for k in "abc"))
 
 
-def reindex(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Only the vertices that faces use, numbered by rank; a mesh without faces keeps its vertices."""
+def reindex(vertices: DataFrame, faces: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Only the vertices that faces use, numbered by rank; a mesh without faces keeps its vertices. What `keep` settles is
+    what both tables come from."""
     used = faces.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
-    bare = vertices.join(faces.select("mesh_id").distinct(), "mesh_id", "left_anti")
+    bare = vertices.join(shuffled(faces.select("mesh_id").distinct()), "mesh_id", "left_anti")
     kept = vertices.join(shuffled(used), ["mesh_id", "vid"], "left_semi").unionByName(bare)
-    kept = kept.withColumn("new", F.row_number().over(W.partitionBy("mesh_id").orderBy("vid")) - 1)
+    kept = keep(kept.withColumn("new", F.row_number().over(W.partitionBy("mesh_id").orderBy("vid")) - 1))
     return kept.select("mesh_id", F.col("new").cast("long").alias("vid"), "x", "y", "z"), renamed(faces, kept.select("mesh_id", F.col("vid").alias("old"), "new"))
 
 
@@ -177,33 +183,63 @@ def quadrics(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 LARGE = 200_000  # faces from which a mesh is more than one task's work
 
 
+def _labeller() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def meshes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows that come mesh by mesh, as tables that part no mesh: what a batch has of its last one waits for the next."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cut = int(np.searchsorted(code, code[-1]))
+            if held and (cut or held[-1].column(0)[-1] != batch.column(0)[0]):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(mesh_id, vid, component) of links (mesh_id, u, v) that come mesh by mesh, many small meshes at a time: roots hook to
+        their least neighbour and hooks are followed to their end, until nothing moves."""
+        for links in meshes(batches):
+            mesh = links.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            code, known = mesh.indices.to_numpy().astype(np.int64), links.column("u").is_valid().to_numpy()
+            lost = np.unique(code[~known])  # a vertex without a number is a component without one
+            ends = np.concatenate([links.column(c).combine_chunks().drop_null().to_numpy() for c in ("u", "v")])
+            vids, at = np.unique(ends, return_inverse=True)
+            nodes, at = np.unique(np.tile(code[known], 2) * max(1, len(vids)) + at, return_inverse=True)
+            u, v = np.split(at, 2)
+            up = np.arange(len(nodes))
+            while True:
+                least, new = np.minimum(up[u], up[v]), up.copy()
+                for end in (u, v):
+                    np.minimum.at(new, up[end], least)
+                while (new[new] != new).any():
+                    new = new[new]
+                if (new == up).all():
+                    break
+                up = new
+            vid, empty = vids[nodes % max(1, len(vids))], np.repeat([False, True], [len(nodes), len(lost)])
+            of = mesh.dictionary.take(pa.array(np.concatenate([nodes // max(1, len(vids)), lost])))
+            columns = [pa.array(np.concatenate([x, lost]), pa.int64(), mask=empty) for x in (vid, vid[up])]
+            yield pa.RecordBatch.from_arrays([of, *columns], ["mesh_id", "vid", "component"])
+
+    return label
+
+
 def components(vertices: DataFrame, faces: DataFrame, large: int = LARGE) -> DataFrame:
-    """(mesh_id, vid, component): vertices that faces connect, named by their least vertex. A mesh of up to `large` faces
-    is one group of a task; larger ones are worked on by all tasks together."""
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            at = x
-            while up.get(at, at) != at:
-                at = up[at]
-            while up.get(x, x) != at:
-                up[x], x = at, up.get(x, x)
-            return at
-
-        for u, v in zip(pdf["u"], pdf["v"], strict=True):
-            a, b = find(u), find(v)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        nodes = sorted(set(pdf["u"]) | set(pdf["v"]))
-        return pd.DataFrame({"mesh_id": pdf["mesh_id"].iloc[0], "vid": nodes, "component": [find(x) for x in nodes]})
+    """(mesh_id, vid, component): vertices that faces connect, named by their least vertex. Meshes of up to `large` faces
+    are each one task's work, many in a task; larger ones are worked on by all tasks together."""
 
     def in_groups(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-        links = edges(faces).select("mesh_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).distinct()
+        links = edges(faces).select("mesh_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
         loops = vertices.select("mesh_id", F.col("vid").cast("long").alias("u"), F.col("vid").cast("long").alias("v"))
         kind = vertices.schema["mesh_id"].dataType.simpleString()
-        return links.unionByName(loops).groupBy("mesh_id").applyInPandas(label, f"mesh_id {kind}, vid long, component long")
+        dealt = links.unionByName(loops).repartition("mesh_id").sortWithinPartitions("mesh_id")
+        return dealt.mapInArrow(_labeller(), f"mesh_id {kind}, vid long, component long")
 
     big = faces.groupBy("mesh_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("mesh_id")
     if not big.limit(1).count():
@@ -214,26 +250,31 @@ def components(vertices: DataFrame, faces: DataFrame, large: int = LARGE) -> Dat
     return small.unionByName(graph.components(nodes, links).select(F.col("key").alias("mesh_id"), F.col("v").alias("vid"), "component"))
 
 
-def keep_largest(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each mesh's component with most vertices (ties: the one with the least vertex), renumbered."""
+def keep_largest(vertices: DataFrame, faces: DataFrame, scratch: Scratch | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Each mesh's component with most vertices (ties: the one with the least vertex), renumbered. With `scratch` components
+    are found once and not anew for each join; `keep` as in reindex."""
     parts = components(vertices, faces)
+    if scratch:
+        parts = scratch.settle(parts)
     size = parts.groupBy("mesh_id", "component").agg(F.count("*").alias("n"))
     best = size.groupBy("mesh_id").agg(F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("component"))
     kept = parts.join(shuffled(best), ["mesh_id", "component"], "left_semi").select("mesh_id", F.col("vid").alias("a"))
+    if scratch:
+        kept = scratch.settle(kept)
     v = vertices.join(shuffled(kept.withColumnRenamed("a", "vid")), ["mesh_id", "vid"], "left_semi")
-    return reindex(v, faces.join(shuffled(kept), ["mesh_id", "a"], "left_semi").select("mesh_id", "fid", "a", "b", "c"))
+    f = faces.join(shuffled(kept), ["mesh_id", "a"], "left_semi").select("mesh_id", "fid", "a", "b", "c")
+    return reindex(v, scratch.settle(f) if scratch else f, keep)
 
 
 def clean_mesh(vertices: DataFrame, faces: DataFrame, largest: bool = True, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:
     """Merges vertices, drops degenerate faces and unused vertices, keeps the largest component, orients outward. A
-    breadth-first pass over windings would change nothing, since orienting outward doesn't depend on windings."""
+    breadth-first pass over windings would change nothing, since orienting outward doesn't depend on windings. Unused
+    vertices, each a component of its own, go with all but the largest one; orienting leaves the corners as they are."""
     with Scratch(vertices.sparkSession) as scratch:
-        v, f = map(scratch.settle, merge_vertices(vertices, faces, tolerance))
-        v, f = map(scratch.settle, reindex(v, scratch.settle(drop_degenerate(v, f))))
-        if largest:
-            v, f = map(scratch.settle, keep_largest(v, f))
-        v, f = map(settle, reindex(v, scratch.settle(orient_outward(v, f))))
-    return v, f
+        v, f = merge_vertices(vertices, faces, tolerance, scratch)
+        f = scratch.settle(drop_degenerate(v, scratch.settle(f)))
+        v, f = keep_largest(v, f, scratch, settle) if largest else reindex(v, f, settle)
+        return v, settle(orient_outward(v, scratch.settle(f)))
 
 
 def mesh_metadata(raw: tuple[DataFrame, DataFrame], clean: tuple[DataFrame, DataFrame]) -> DataFrame:

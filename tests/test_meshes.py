@@ -425,3 +425,42 @@ def test_orientation_within_rounding(spark):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 1.0, 0.0, 0.0), (1, 2, 0.0, 1.0, 0.0), (1, 3, 5.0, 5.0, z), (1, 4, 6.0, 5.0, z), (1, 5, 5.0, 6.0, z)], "mesh_id long, vid long, x double, y double, z double")
     f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 1, 3, 4, 5)], "mesh_id long, fid long, a long, b long, c long")
     assert sorted(tuple(r)[1:] for r in geometry.orient_outward(v, f).collect()) == [(0, 0, 1, 2), (1, 3, 4, 5)]
+
+
+@pytest.mark.parametrize("rows", ["7", "10000"])
+def test_components_of_many_meshes_in_a_batch(spark, rows):
+    """Meshes that batches part, of any kind of id, null included; no group of a task for each mesh."""
+    rng = np.random.default_rng(3)
+    v, f, want = [], [], set()
+    for m in [None, *(f"m{k}" for k in range(12))]:
+        n = int(rng.integers(3, 30))
+        tri = [tuple(int(x) for x in rng.choice(n, 3, replace=False) - 5) for _ in range(n // 4)]
+        v += [(m, k - 5, 0.0, 0.0, 0.0) for k in range(n)]
+        f += [(m, i, *t) for i, t in enumerate(tri)]
+        root = {k - 5: k - 5 for k in range(n)}
+        for _ in range(n):
+            for t in tri:
+                root |= dict.fromkeys(t, min(root[x] for x in t))
+        want |= {(m, k, root[k]) for k in root}
+    v += [("m3", None, 0.0, 0.0, 0.0), ("none", None, 0.0, 0.0, 0.0)]
+    want |= {("m3", None, None), ("none", None, None)}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = geometry.components(spark.createDataFrame(v, "mesh_id string, vid long, x double, y double, z double"), spark.createDataFrame(f, "mesh_id string, fid long, a long, b long, c long"))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_cleaning_sends_no_meshes_to_the_driver(spark, cube):
+    """The ids of meshes with faces grow with the corpus: joined by a shuffle; orienting leaves numbers and vertices alone."""
+    v, f = cube
+    v = v.unionByName(spark.createDataFrame([("m", 99, 50.0, 0.0, 0.0), ("bare", 3, 0.0, 0.0, 0.0)], v.schema))
+    for df in geometry.reindex(v, f):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    for largest in (True, False):
+        w, g = geometry.clean_mesh(v, f, largest=largest)
+        assert sorted(map(tuple, w.select("mesh_id", "vid").collect())) == [("bare", 0), *(("m", k) for k in range(8))]
+        assert g.count() == 12 and {x for r in g.collect() for x in r[2:]} == set(range(8))
