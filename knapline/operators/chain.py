@@ -41,12 +41,13 @@ def report(vertices: DataFrame, faces: DataFrame, points: int = 256) -> DataFram
     """One row per mesh: counts and box before cleaning, counts and area after it, the normalised extent, and for each
     sampler how many points it gave and whether all of them and their normals are finite."""
     clean = geometry.clean_mesh(vertices, faces)
-    unit = geometry.normalize(clean[0])
+    unit = settle(geometry.normalize(clean[0]))
+    m = settle(geometry.measured(unit, clean[1]))  # read by every sampler
     extent = unit.groupBy("mesh_id").agg(F.max(F.greatest(*(F.abs(k) for k in "xyz"))).alias("extent"))
     about = geometry.mesh_metadata((vertices, faces), clean).select("mesh_id", "num_original_vertices", "num_original_faces", "num_clean_vertices", "num_clean_faces", "surface_area")
-    out = about.join(geometry.bbox(vertices).select("mesh_id", "ex", "ey", "ez"), "mesh_id").join(extent, "mesh_id", "left")
+    out = about.join(geometry.shuffled(geometry.bbox(vertices).select("mesh_id", "ex", "ey", "ez")), "mesh_id").join(geometry.shuffled(extent), "mesh_id", "left")
     for name, mode in MODES.items():
-        p = sampling.sample_edge_aware(unit, clean[1], points) if name == "edge_aware" else sampling.sample(unit, clean[1], points, mode=mode)
+        p = sampling.sample_edge_aware(unit, clean[1], points, m=m, keep=settle) if name == "edge_aware" else sampling.sample(unit, clean[1], points, mode=mode, m=m, keep=settle)
         fine = F.bool_and(F.expr(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in p.columns if c in ("x", "y", "z", "nx", "ny", "nz"))))
-        out = out.join(p.groupBy("mesh_id").agg(F.count("*").alias(f"n_{name}"), fine.alias(f"ok_{name}")), "mesh_id", "left")
+        out = out.join(geometry.shuffled(p.groupBy("mesh_id").agg(F.count("*").alias(f"n_{name}"), fine.alias(f"ok_{name}"))), "mesh_id", "left")
     return out.withColumn("status", F.when(F.coalesce("num_clean_faces", F.lit(0)) == 0, "no faces after cleaning").otherwise("ok"))

@@ -124,22 +124,23 @@ def reindex(vertices: DataFrame, faces: DataFrame, keep: Callable[[DataFrame], D
     return kept.select("mesh_id", F.col("new").cast("long").alias("vid"), "x", "y", "z"), renamed(faces, kept.select("mesh_id", F.col("vid").alias("old"), "new"))
 
 
-def vertex_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Area-weighted mean of the incident faces' normals, as unit vectors; zero where they cancel."""
-    m = measured(vertices, faces)
+def vertex_normals(vertices: DataFrame, faces: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    """Area-weighted mean of the incident faces' normals, as unit vectors; zero where they cancel. m: measured(), if at hand."""
+    m = measured(vertices, faces) if m is None else m
     spread = m.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid"), *((F.col(f"n{k}") * F.col("area")).alias(f"n{k}") for k in "xyz"))
     s = spread.groupBy("mesh_id", "vid").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in "xyz"))
     size = norm(xyz("n"))
     return s.select("mesh_id", "vid", *(F.when(size > 0, F.col(f"n{k}") / size).otherwise(0.0).alias(f"n{k}") for k in "xyz"))
 
 
-def curvature(vertices: DataFrame, faces: DataFrame) -> DataFrame:
-    """Mean angle between a vertex's normal and those of its faces; 0 for a vertex without faces."""
-    vn = vertex_normals(vertices, faces).select("mesh_id", "vid", *(F.col(f"n{k}").alias(f"v{k}") for k in "xyz"))
-    m = measured(vertices, faces).select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid"), "nx", "ny", "nz")
+def curvature(vertices: DataFrame, faces: DataFrame, m: DataFrame | None = None) -> DataFrame:
+    """Mean angle between a vertex's normal and those of its faces; 0 for a vertex without faces. m: measured(), if at hand."""
+    m = measured(vertices, faces) if m is None else m
+    vn = vertex_normals(vertices, faces, m).select("mesh_id", "vid", *(F.col(f"n{k}").alias(f"v{k}") for k in "xyz"))
+    m = m.select("mesh_id", F.explode(F.array("a", "b", "c")).alias("vid"), "nx", "ny", "nz")
     angle = F.acos(clip(dot(xyz("v"), xyz("n")), -1.0, 1.0))
-    mean = m.join(vn, ["mesh_id", "vid"]).groupBy("mesh_id", "vid").agg(F.avg(angle).alias("curvature"))
-    return vertices.select("mesh_id", "vid").join(mean, ["mesh_id", "vid"], "left").select("mesh_id", "vid", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))
+    mean = m.join(shuffled(vn), ["mesh_id", "vid"]).groupBy("mesh_id", "vid").agg(F.avg(angle).alias("curvature"))
+    return vertices.select("mesh_id", "vid").join(shuffled(mean), ["mesh_id", "vid"], "left").select("mesh_id", "vid", F.coalesce("curvature", F.lit(0.0)).alias("curvature"))
 
 
 def edges(faces: DataFrame) -> DataFrame:
@@ -158,10 +159,11 @@ def adjacency(faces: DataFrame) -> DataFrame:
     return g.where("n = 2").select("mesh_id", "u", "v", "f1", "f2")
 
 
-def max_dihedral(vertices: DataFrame, faces: DataFrame, mode: str = "formula") -> DataFrame:
+def max_dihedral(vertices: DataFrame, faces: DataFrame, mode: str = "formula", m: DataFrame | None = None) -> DataFrame:
     """The largest angle over a face's shared edges, 0 without any. "formula": acos of the negated dot product of the
-    normals, by which flat edges have the largest angle; "edge_sharp": acos of the dot product itself."""
-    n = measured(vertices, faces).select("mesh_id", "fid", "nx", "ny", "nz")
+    normals, by which flat edges have the largest angle; "edge_sharp": acos of the dot product itself. m: measured(), if at
+    hand."""
+    n = (measured(vertices, faces) if m is None else m).select("mesh_id", "fid", "nx", "ny", "nz")
     one = n.select("mesh_id", F.col("fid").alias("f1"), *(F.col(f"n{k}").alias(f"p{k}") for k in "xyz"))
     two = n.select("mesh_id", F.col("fid").alias("f2"), *(F.col(f"n{k}").alias(f"q{k}") for k in "xyz"))
     d = dot(xyz("p"), xyz("q"))

@@ -6,6 +6,8 @@ partitioning, or on a task being run again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,16 +28,16 @@ def uniform(*parts: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(F.xxhash64(*parts), 11), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
-def weights(vertices: DataFrame, faces: DataFrame, mode: str = "uniform") -> DataFrame:
+def weights(vertices: DataFrame, faces: DataFrame, mode: str = "uniform", m: DataFrame | None = None) -> DataFrame:
     """(mesh_id, fid, w): each face's share of its mesh's samples. uniform: area; curvature: area by 1 + 3 mean corner
-    curvature; edge: area by 1 + 5 dihedral / pi. A mesh without area has null weights."""
-    m = geometry.measured(vertices, faces)
+    curvature; edge: area by 1 + 5 dihedral / pi. A mesh without area has null weights. m: measured(), if at hand."""
+    m = geometry.measured(vertices, faces) if m is None else m
     if mode == "curvature":
-        k = geometry.curvature(vertices, faces)
+        k = geometry.curvature(vertices, faces, m)
         spread = m.select("mesh_id", "fid", "area", F.explode(F.array("a", "b", "c")).alias("vid")).join(geometry.shuffled(k), ["mesh_id", "vid"])
         raw = spread.groupBy("mesh_id", "fid").agg((F.first("area") * (1 + 3 * F.avg("curvature"))).alias("raw"))
     elif mode == "edge":
-        d = geometry.max_dihedral(vertices, faces)
+        d = geometry.max_dihedral(vertices, faces, m=m)
         raw = m.select("mesh_id", "fid", "area").join(geometry.shuffled(d), ["mesh_id", "fid"]).select("mesh_id", "fid", (F.col("area") * (1 + 5 * F.col("dihedral") / F.pi())).alias("raw"))
     elif mode == "uniform":
         raw = m.select("mesh_id", "fid", F.col("area").alias("raw"))
@@ -45,10 +47,11 @@ def weights(vertices: DataFrame, faces: DataFrame, mode: str = "uniform") -> Dat
     return raw.select("mesh_id", "fid", F.when(total > 0, F.col("raw") / total).alias("w"))
 
 
-def sample(vertices: DataFrame, faces: DataFrame, points: int, mode: str = "uniform", seed: int = 42) -> DataFrame:
+def sample(vertices: DataFrame, faces: DataFrame, points: int, mode: str = "uniform", seed: int = 42, m: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(mesh_id, pid, x, y, z, nx, ny, nz): `points` points on each mesh, with replacement, by inverse cumulative
-    weights. Meshes without area give no rows."""
-    w = weights(vertices, faces, mode).where("w > 0")
+    weights. Meshes without area give no rows. m: measured(), if at hand. Weights are read twice: `keep` may settle them."""
+    m = geometry.measured(vertices, faces) if m is None else m
+    w = keep(weights(vertices, faces, mode, m).where("w > 0"))
     upto = F.sum("w").over(W.partitionBy("mesh_id").orderBy("fid"))
     ranges = w.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("w"))
     last = F.max("fid").over(W.partitionBy("mesh_id"))
@@ -59,18 +62,17 @@ def sample(vertices: DataFrame, faces: DataFrame, points: int, mode: str = "unif
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * points), F.least(F.floor(F.col("hi") * points), F.lit(points - 1)))))
     hit = draws.join(geometry.shuffled(cells.select("mesh_id", "cell", "fid", "lo", "hi")), ["mesh_id", "cell"]).where("u >= lo and u < hi").select("mesh_id", "pid", "fid")
     hit = hit.dropDuplicates(["mesh_id", "pid"])
-    m = geometry.measured(vertices, faces)
     r1, r2 = uniform(F.col("mesh_id"), F.col("pid"), F.lit(seed + 1)), uniform(F.col("mesh_id"), F.col("pid"), F.lit(seed + 2))
     u, v, t = barycentric(r1, r2)
     at = [(u * F.col(f"a{k}") + v * F.col(f"b{k}") + t * F.col(f"c{k}")).alias(k) for k in "xyz"]
     return hit.join(geometry.shuffled(m), ["mesh_id", "fid"]).select("mesh_id", "pid", *at, "nx", "ny", "nz")
 
 
-def sample_edge_aware(vertices: DataFrame, faces: DataFrame, points: int, edge_ratio: float = 0.3, seed: int = 42) -> DataFrame:
-    """A share of edge-weighted points after the uniform ones, numbered on."""
+def sample_edge_aware(vertices: DataFrame, faces: DataFrame, points: int, edge_ratio: float = 0.3, seed: int = 42, m: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A share of edge-weighted points after the uniform ones, numbered on. m and keep as in sample."""
     n = max(1, int(points * edge_ratio))
-    flat = sample(vertices, faces, points - n, "uniform", seed)
-    sharp = sample(vertices, faces, n, "edge", seed + 10).withColumn("pid", F.col("pid") + (points - n))
+    flat = sample(vertices, faces, points - n, "uniform", seed, m, keep)
+    sharp = sample(vertices, faces, n, "edge", seed + 10, m, keep).withColumn("pid", F.col("pid") + (points - n))
     return flat.unionByName(sharp)
 
 

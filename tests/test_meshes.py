@@ -7,6 +7,7 @@ import pytest
 
 from knapline.functions import stats, text
 from knapline.operators import archetypes, chain, decimate, embed, geometry, images, metadata, sampling, similarity, views
+from knapline.operators.lineage import settle
 from knapline.sources import sinks, tables, vrml
 from knapline.streaming import refresh
 from pyspark.sql import functions as F
@@ -464,3 +465,19 @@ def test_cleaning_sends_no_meshes_to_the_driver(spark, cube):
         w, g = geometry.clean_mesh(v, f, largest=largest)
         assert sorted(map(tuple, w.select("mesh_id", "vid").collect())) == [("bare", 0), *(("m", k) for k in range(8))]
         assert g.count() == 12 and {x for r in g.collect() for x in r[2:]} == set(range(8))
+
+
+def test_report_measures_faces_once(spark, monkeypatch):
+    """Samplers read one table of measured faces, and nothing that grows with the corpus is broadcast."""
+    v, f = box(spark, (8, 4, 2))
+    measured, calls = geometry.measured, []
+    monkeypatch.setattr(geometry, "measured", lambda *a: calls.append(a) or measured(*a))
+    out = chain.report(v, f, points=40)
+    assert len(calls) == 4  # degenerate faces, orientation, samplers, area
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    r = out.first()
+    assert all(r[f"n_{m}"] == 40 and r[f"ok_{m}"] for m in chain.MODES)
+    monkeypatch.undo()
+    for mode in ("uniform", "curvature", "edge"):
+        rows = lambda p: sorted(tuple(x if isinstance(x, str) else round(x, 9) for x in r) for r in p.collect())
+        assert rows(sampling.sample(v, f, 30, mode, m=settle(measured(v, f)), keep=settle)) == rows(sampling.sample(v, f, 30, mode))
