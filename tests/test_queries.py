@@ -36,7 +36,7 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0
 
 
-@pytest.mark.parametrize("name", ["knn_cosine", "knn_top1"])
+@pytest.mark.parametrize("name", ["knn_cosine", "knn_top1", "top5_similar"])
 def test_searches_ask_for_every_row(spark, name):
     ids = {r["vec_id"] for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
     assert {r["query"] for r in catalog.queries()[name](spark, DATA).select("query").collect()} == ids
