@@ -258,6 +258,27 @@ def test_layout_parts_what_the_graph_parts(spark):
     assert knn.layout(graph.limit(0), start.limit(1)).count() == 1
 
 
+def test_layout_takes_all_epochs(spark, monkeypatch):
+    """Without a number 500 epochs up to 10,000 rows, in the query too; blocks of rows and chunks of their edges give what one task does."""
+    from knapline.plans import catalog
+
+    r = np.random.default_rng(17)
+    df = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(r.normal(size=(60, 4)))], "id long, v array<double>")
+    start = spark.createDataFrame([(3 * i, *map(float, r.normal(size=2))) for i in range(61)], "id long, u1 double, u2 double")
+    graph = similarity.fuzzy_graph(df, 8).localCheckpoint()
+    table = lambda u: u.orderBy("id").toPandas()[["u1", "u2"]].to_numpy()
+    whole = table(knn.layout(graph, start))
+    assert np.array_equal(whole, table(knn.layout(graph, start, epochs=500))) and not np.allclose(whole, table(knn.layout(graph, start, epochs=100)))
+    few = table(knn.layout(graph, start, epochs=6))
+    assert np.array_equal(few, table(knn.layout(graph, start, epochs=6, one_task=0)))
+    monkeypatch.setattr(knn, "ROWS", 7)
+    monkeypatch.setattr(knn, "EDGES", 50)
+    assert np.allclose(few, table(knn.layout(graph, start, epochs=6, one_task=0)))
+    asked = []
+    monkeypatch.setattr(knn, "_in_one_task", lambda pos, edges, epochs, *rest: asked.append(epochs) or pos.select("id", "u1", "u2"))
+    assert catalog.queries()["umap_layout"](spark, "/root/testdata/sf0.001").count() == 500 and asked == [500]
+
+
 def test_contrastive_gradient():
     r = np.random.default_rng(16)
     w, a, b = r.normal(size=(5, 3)), r.normal(size=(6, 5)), r.normal(size=(6, 5))
