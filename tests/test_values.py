@@ -537,6 +537,42 @@ def test_ward_search_by_blocks(spark, monkeypatch):
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("scale", [1e-30, 1e-3, 1.0, 1e20])
+def test_ward_screen_in_single_precision(scale):
+    """What the screen leaves holds each cluster's best among others of other sizes, copies and equal costs included."""
+    from knapline.operators import ward
+
+    rng = np.random.default_rng(8)
+    x, size = rng.normal(size=(300, 6)) * scale, rng.integers(1, 40, 300).astype(float)
+    x[200:220], size[200:220] = x[100:120], size[100:120]
+    slots = rng.permutation(300)
+    d = ward.cost(size[:, None], size[None, :], 1.0) * ((x[:, None] - x[None, :]) ** 2).sum(axis=2) + np.diag([np.inf] * 300)
+    bound = np.sort(d, axis=1)[:, 3]
+    row, near, far = ward._closer(slots, size, x, bound, slots, size, x)
+    assert row.tolist() == list(range(300)) and np.array_equal(far, d.min(axis=1))
+    assert near.tolist() == [min(slots[d[i] == d[i].min()]) for i in range(300)]
+
+
+def test_ward_merges_as_by_the_least_of_all(spark):
+    """Remembered row minima choose as a search of the whole matrix does, of equal pairs the first."""
+    rng = np.random.default_rng(9)
+    x, size = rng.integers(0, 4, size=(90, 2)).astype(float), rng.integers(1, 3, 90)
+    live, got = {i: (int(size[i]), x[i]) for i in range(90)}, []
+    g, s = (x * x).sum(axis=1), size.astype(float)
+    d = 2 * s[:, None] * s[None] / (s[:, None] + s[None]) * np.maximum(g[:, None] + g[None] - 2 * x @ x.T, 0)
+    np.fill_diagonal(d, np.inf)
+    while len(live) > 1:
+        i, j = divmod(int(d.argmin()), 90)
+        got.append((i, int(s[i]), j, int(s[j])))
+        new = ((s[i] + s) * d[i] + (s[j] + s) * d[j] - s * d[i, j]) / (s[i] + s[j] + s)
+        new[[k for k in range(90) if k not in live or k in (i, j)]] = np.inf
+        d[i] = d[:, i] = new
+        d[j] = d[:, j] = np.inf
+        s[i] += s[j]
+        del live[j]
+    assert merges_of(list(range(90)), size, x) == got
+
+
 def test_six_view_means_are_those_of_the_pixels(spark):
     """Means added up where they are drawn are those of the pixels themselves; faces are measured once for all views."""
     from knapline.operators import views
