@@ -118,13 +118,21 @@ def _closer(a, si, q, d, b, sj, p) -> tuple:
 
 
 def _least(batches):
-    """Of rows (a block of seeking clusters, a block of others) the best that a task has met for each seeking cluster."""
+    """Of rows (a block of seeking clusters, a block of others), as _meetings gives them, the best that a task has met for each
+    seeking cluster."""
     best: dict = {}
+    others: dict = {}
     for batch in batches:
         for row in range(batch.num_rows):
             get = lambda c: batch.column(c)[row]  # noqa: B023, E731
             side = lambda n, ids, x, size: (get(ids).values.to_numpy(zero_copy_only=False), np.frombuffer(get(size).as_buffer()), blocks.matrix(get(x), get(n).as_py()))
-            (a, si, q), (b, sj, p) = side("n", "ids", "x", "size"), side("on", "oids", "ox", "osize")
+            if not get("again").as_py():
+                a, si, q = side("n", "ids", "x", "size")
+                continue
+            other = get("ob").as_py()
+            if get("ox").is_valid:
+                others[other] = side("on", "oids", "ox", "osize")
+            b, sj, p = others[other]
             _, slots, far = best.setdefault(get("b").as_py(), (a, np.full(len(a), a[0]), np.full(len(a), np.inf)))
 
             def better(rows, at, near, d, slots=slots, far=far):
@@ -159,11 +167,21 @@ def _packed(clusters: DataFrame, kind: str) -> DataFrame:
     return clusters.select("slot", "size", "c").mapInPandas(run, f"b string, n int, ids array<{kind}>, x binary, size binary")
 
 
+def _meetings(left: DataFrame, right: DataFrame, n: tuple[int, int]) -> DataFrame:
+    """Every block of left beside every block of right, which meet in a product of partitions. A task gets each block's contents
+    once: those of a left one in a row of their own (not again) before its meetings, those of right ones with the first left one."""
+    first = F.expr("monotonically_increasing_id() & 8589934591 = 0")  # of what a task reads
+    mine, theirs = ["n", "ids", "x", "size"], ["on", "oids", "ox", "osize"]
+    spread = right.toDF("ob", *theirs).repartition(blocks.parts(n[1])).withColumn("lead", first)
+    dealt = left.repartition(blocks.parts(n[0])).withColumn("ahead", first).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("again"))
+    pairs = dealt.join(spread.hint("shuffle_replicate_nl"), F.col("again") | F.col("lead"))
+    return pairs.select("b", "again", "ob", *(F.when(~F.col("again"), F.col(c)).alias(c) for c in mine), *(F.when(F.col("again") & F.col("ahead"), F.col(c)).alias(c) for c in theirs))
+
+
 def _search(seeking: DataFrame, clusters: DataFrame, n: tuple[int, int], kind: str, keep) -> DataFrame:
     """(slot, near, d) of the seeking clusters among all."""
     many = tuple(max(1, -(-k // BLOCK)) for k in n)
-    right = _packed(clusters, kind).toDF("ob", "on", "oids", "ox", "osize")
-    found = blocks.met(_packed(seeking, kind), right, many, _least, f"slot {kind}, near {kind}, d double")
+    found = _meetings(_packed(seeking, kind), _packed(clusters, kind), many).mapInArrow(_least, f"slot {kind}, near {kind}, d double")
     best = found.groupBy("slot").agg(F.min(F.struct("d", "near")).alias("m"))
     return keep(best.select("slot", F.col("m.near").alias("near"), F.col("m.d").alias("d")))
 

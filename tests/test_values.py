@@ -537,6 +537,17 @@ def test_ward_search_by_blocks(spark, monkeypatch):
     assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ward_blocks_reach_a_task_once(spark, monkeypatch):
+    """Every block meets every other, but its contents go to a task once, not once a meeting."""
+    from knapline.operators import blocks, ward
+
+    monkeypatch.setattr(ward, "BLOCK", 9)
+    now = spark.createDataFrame([(i, 1, [float(i)]) for i in range(198)], "slot long, size long, c array<double>").repartition(1)
+    met = ward._meetings(ward._packed(now, "bigint"), ward._packed(now, "bigint"), (22, 22)).cache()
+    assert met.where("again").select("b", "ob").distinct().count() == met.where("again").count() == 22 * 22
+    assert met.where("x is not null").count() == met.where("ox is not null").count() == 22 * blocks.parts(22)
+
+
 @pytest.mark.parametrize("scale", [1e-30, 1e-3, 1.0, 1e20])
 def test_ward_screen_in_single_precision(scale):
     """What the screen leaves holds each cluster's best among others of other sizes, copies and equal costs included."""
