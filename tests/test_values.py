@@ -503,6 +503,20 @@ def test_matrices_of_many_blocks(spark):
     assert "CartesianProduct" in plan and "CoGroup" not in plan
 
 
+@pytest.mark.parametrize("matrix", [similarity.cosine_matrix])
+def test_matrices_take_few_bytes_a_pair(spark, tmp_path, matrix):
+    """Rounded values recur where a writer looks for it: no column is left at eight bytes a pair."""
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(12).normal(size=(700, 64))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    matrix(v, places=5).write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(3)]
+    assert sum(m.num_rows for m in files) == 700 * 699 // 2
+    assert sum(c.total_compressed_size for c in columns) < 5 * 700 * 699 // 2
+
+
 def test_neighbours_of_some_queries(spark):
     """The asked rows' neighbours among all rows, over many blocks, as plain loops find them; vectors are shuffled once."""
     rng = np.random.default_rng(11)
