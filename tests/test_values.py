@@ -503,7 +503,7 @@ def test_matrices_of_many_blocks(spark):
     assert "CartesianProduct" in plan and "CoGroup" not in plan
 
 
-@pytest.mark.parametrize("matrix", [similarity.cosine_matrix])
+@pytest.mark.parametrize("matrix", [similarity.cosine_matrix, similarity.pearson_matrix])
 def test_matrices_take_few_bytes_a_pair(spark, tmp_path, matrix):
     """Rounded values recur where a writer looks for it: no column is left at eight bytes a pair."""
     import pyarrow.parquet as pq
